@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, chat, line_quality, shard_table, url_filter
+from sparkseam.llm import bpe, chat, line_quality, shard_table, url_filter, winnow
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_quality": line_quality.op1_line_quality,
         "op3_reply_trees": chat.op3_reply_trees,
         "op7_shard_table": shard_table.op7_shard_table,
+        "op8_winnowing": winnow.op8_winnowing,
         "op9_url_filters": url_filter.op9_url_filters,
         "op10_sentencepiece": bpe.op10_sentencepiece,
     }
