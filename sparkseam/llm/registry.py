@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, chat, line_quality, shard_table, toxicity, url_filter, winnow
+from sparkseam.llm import bpe, chat, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
 
 
 def queries() -> dict:
     return {
         "op1_line_quality": line_quality.op1_line_quality,
+        "op2_char_tagger": pii.op2_char_tagger,
         "op3_reply_trees": chat.op3_reply_trees,
+        "op4_bm25_packing": packing.op4_bm25_packing,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_shard_table": shard_table.op7_shard_table,
         "op8_winnowing": winnow.op8_winnowing,
