@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, chat, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
+from sparkseam.llm import bpe, chat, jaccard_join, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_reply_trees": chat.op3_reply_trees,
         "op4_bm25_packing": packing.op4_bm25_packing,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_ngram_join": jaccard_join.op6_ngram_join,
         "op7_shard_table": shard_table.op7_shard_table,
         "op8_winnowing": winnow.op8_winnowing,
         "op9_url_filters": url_filter.op9_url_filters,
