@@ -98,19 +98,42 @@ def frequent_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int
     )
 
 
+def host_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """frequent_lines, broadcast if there are few hosts."""
+    known = frequent_lines(docs, host_col, text_col)
+    return F.broadcast(known) if docs.select(host_col).distinct().count() <= BROADCAST_HOSTS else known
+
+
+def without(text: Column, keys: Column) -> Column:
+    """text without the lines whose hashes are in keys (null: none)."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.size(keys) > 0, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(keys, line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")).otherwise(text)
+
+
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, keep columns, the base figures, base_failed, left_chars, cleaned (the text without frequent lines), kept."""
-    known = frequent_lines(docs, host_col, text_col)
-    n = docs.select(host_col).distinct().count()
-    known = F.broadcast(known) if n <= BROADCAST_HOSTS else known
+    known = host_lines(docs, host_col, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_own"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = rows.join(known, rows["_own"].eqNullSafe(known["_host"]), "left")
-    split = F.split(F.coalesce("_text", F.lit("")), "\n")
-    cleaned = F.when(F.size("_frequent") > 0, F.array_join(F.filter(split, lambda x: ~F.array_contains(F.col("_frequent"), line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")).otherwise(F.coalesce("_text", F.lit("")))
-    rows = rows.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], *base(F.col("_text")), cleaned.alias("cleaned"))
+    rows = rows.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], *base(F.col("_text")), without(F.col("_text"), F.col("_frequent")).alias("cleaned"))
     left = F.length(F.regexp_replace("cleaned", SPACE, "")).cast("long")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("left_chars", left).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("left_chars") >= min_left * F.col("word_chars")))
+    return rows.withColumn("left_chars", left).withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") >= min_left * F.col("word_chars")))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", min_left: float = MIN_LEFT) -> DataFrame:
+    """The kept rows with all their columns, text_col without frequent lines and length_col to match where a line went."""
+    known = host_lines(docs, host_col, text_col)
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.join(known, F.col("_row")[host_col].eqNullSafe(known["_host"]), "left")
+    text = F.col("_row")[text_col]
+    rows = rows.select("_row", without(text, F.col("_frequent")).alias("_cleaned"), *base(text)).filter(~F.expr(FAILED))
+    rows = rows.filter(F.length(F.regexp_replace("_cleaned", SPACE, "")) >= min_left * F.col("word_chars"))
+    length = F.when(F.col("_cleaned") == text, F.col("_row")[length_col]).otherwise(F.length("_cleaned"))
+    new = {text_col: F.col("_cleaned"), length_col: length.cast(docs.schema[length_col].dataType)}
+    return rows.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
