@@ -235,6 +235,8 @@ def _rows(kind: int, key: np.ndarray, a, b: np.ndarray, n: np.ndarray | None = N
 
 def grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
     """Signatures once each with their smallest node, and the pairs and members of those that several nodes share."""
+    if not len(sig):
+        return sig, node, []
     by = np.lexsort((node, sig))
     sig, node = sig[by], node[by]
     fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
