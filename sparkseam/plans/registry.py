@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkseam.session import read_table
+from sparkseam.plans import search_queries
+
+_MODULES = [search_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Hybrid retrieval: BM25 and cosine branches, fused and ranked."""
+    return search_queries.hybrid_topk(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
