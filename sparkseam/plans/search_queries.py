@@ -142,7 +142,7 @@ def rerank_prefix(spark, sf):
     return search.rerank(_hybrid(spark, sf), read_table(spark, sf, "embeddings"), vector0(spark, sf), 6, K).withColumnRenamed("id", "doc_id")
 
 
-@query("postfilter_topk", f"with {_HYB}, r as (select * from hy order by final_score desc, id limit 30), p as (select r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
+@query("postfilter_topk", f"with {_HYB.replace('limit 30', 'limit 90')}, r as (select * from hy order by final_score desc, id limit 30), p as (select r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
 def postfilter_topk(spark, sf):
     rows = _hybrid(spark, sf, search.fetch_size(K)).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
     return search.post_filtered(rows, F.col("lang") == "en", K).select(F.col("id").alias("doc_id"), "final_score", "rank")
