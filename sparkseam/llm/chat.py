@@ -49,13 +49,15 @@ def root_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     jumps = [materialise(known.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump0")]
     parents = known.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     bound = nodes.count()
+    rooted = jumps[0].filter("up is null")
     while not jumps[-1].filter("up is not null").isEmpty() and 2 ** len(jumps) <= 2 * bound:
-        next_ = jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        step = jumps[-1].join(next_, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
-        )
+        # nodes whose jump has passed the root are done and leave the rounds
+        live = jumps[-1].filter("up is not null")
+        done = rooted.select("tree", F.col("node").alias("up"), F.lit(None).cast(nodes.schema["node"].dataType).alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        next_ = live.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps")).unionByName(done)
+        step = live.join(next_, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps"))
         jumps.append(materialise(step, f"jump{len(jumps)}"))
-    rooted = jumps[-1].filter("up is null")  # nodes on or below a cycle still have a jump
+        rooted = rooted.unionByName(jumps[-1].filter("up is null"))
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     best = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).filter(F.col("rank") <= paths)
     spread = materialise(best.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("steps") - 1).alias("depth")), "walk")
