@@ -21,16 +21,22 @@ def alnum_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a lambda would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits for each character; 0 for the empty string. Counts by distinct character, so nothing is exploded."""
-    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0))
-    n = F.size(chars).cast("double")
 
-    def part(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def of(chars: Column) -> Column:
+        def part(c: Column) -> Column:
+            p = F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+            return -p * F.log2(p)
+
+        return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x))
 
-    return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x))
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0)), of)
 
 
 def long_text_entropy(text: Column) -> Column:
@@ -47,18 +53,24 @@ def long_text_entropy(text: Column) -> Column:
 
 def repetition(text: Column) -> Column:
     """Share of word pairs that repeat an earlier one; 0 below two words."""
-    w = words(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))
-    return F.when(F.size(w) < 2, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(pairs)) / (F.size(w) - 1))
+
+    def of(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(w) < 2, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(pairs)) / F.nullif(F.size(w) - 1, F.lit(0)))
+
+    return let(words(text), of)
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
     """array<string>: windows of `size` words, each beginning `size - overlap` words after the last, up to the first that reaches the end."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(F.size(w) > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), of)
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
