@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import chunk_id, windows, words
+from sparkseam.session import materialise
 
 CHUNK = "chunk_id string, text string, file_path string, file_type string, chunk_index int, tokens int, dependencies array<string>, block_type string, resource_type string, block_name string"
 # Terraform blocks and names that are never resource references.
@@ -207,10 +208,14 @@ def resolve(chunks: DataFrame, order: str) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
     """id, level of the known nodes met within `depth` levels (depth 1: the seeds). edges: src, dst; seeds: id; nodes: id."""
-    seen = seeds.select("id").distinct().join(nodes, "id", "left_semi").withColumn("level", F.lit(0))
-    front = seen
+    edges, nodes = edges.select("src", "dst"), nodes.select("id")
+    seen = front = materialise(seeds.select("id").distinct().join(nodes, "id", "left_semi").withColumn("level", F.lit(0)), "level0")
     for level in range(1, depth):
-        front = front.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct().join(nodes, "id", "left_semi").join(seen, "id", "left_anti").withColumn("level", F.lit(level))
+        # each level is written, so the plan doesn't grow with the depth
+        reached = front.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
+        front = materialise(reached.join(nodes, "id", "left_semi").join(seen, "id", "left_anti").withColumn("level", F.lit(level)), f"level{level}")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
