@@ -24,5 +24,7 @@ def oracle_sql() -> dict:
     return {
         "op1_line_quality": line_quality.ORACLE,
         "op3_reply_trees": chat.ORACLE,
+        "op6_ngram_join": jaccard_join.ORACLE,
+        "op7_shard_table": shard_table.ORACLE,
         "op9_url_filters": url_filter.ORACLE,
     }

@@ -70,3 +70,15 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> D
 def op7_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return place(docs, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)]).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+
+
+ORACLE = """
+with recursive h as (select i, 'shard-' || lpad(i::varchar, 3, '0') as s from range(16) t(i)),
+o as (select i, s, (('0x' || substr(md5(s || '/offset'), 1, 15))::bigint % 2039) as o, (('0x' || substr(md5(s || '/skip'), 1, 15))::bigint % 2038) + 1 as k from h),
+c as (select list(o order by i) as o, list(k order by i) as k, list(s order by i) as s from o),
+f(turn, nxt, owner, left_) as (select 0, list_transform(range(16), lambda x: 0::bigint), list_transform(range(2039), lambda x: -1), 2039
+  union all
+  select case when free then (turn + 1) % 16 else turn end, nxt[1 : turn] || [nxt[turn + 1] + 1] || nxt[turn + 2 : ], case when free then owner[1 : slot] || [turn] || owner[slot + 2 : ] else owner end, case when free then left_ - 1 else left_ end
+  from (select *, owner[slot + 1] < 0 as free from (select f.*, ((c.o[turn + 1] + nxt[turn + 1] * c.k[turn + 1]) % 2039)::int as slot from f, c where left_ > 0)))
+select doc_id, slot, c.s[owner[slot + 1] + 1] as shard from (select doc_id, (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % 2039)::int as slot from documents), (select owner from f where left_ = 0), c
+"""
