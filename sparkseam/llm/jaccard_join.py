@@ -8,13 +8,13 @@ Sizes fall into bands. For the band of the larger set, all shingles are dealt by
 in its own band and, as the smaller partner, in the next one where that holds sizes up to 1.25 times its own. Two
 indexes are costed for every band and the cheaper one is taken:
 
-* exact segments: a set emits the hashes of its first H + 1 informative segments. A segment is informative if it holds
-  a shingle that is not frequent. Of r's H + 1 segments at least one is equal in s; it is informative there too, and
-  the set whose H + 1 reach less far decides how far both must reach. A set with fewer informative segments emits all.
+* exact segments: a set emits the hashes of its H + 1 cheapest segments. A segment's cost is the sampled frequency of
+  its rarest shingle (empty segments cost most), ties by number, so it follows from the content alone. Of the segments
+  that two linked sets have in common, the cheapest has at most H others before it in either set: both emit it.
 * one-deletion neighbourhoods (small sets): m = H // 2 + 1 segments; one of them differs by one element at most. A set
   emits every segment's hash and the hashes without each one of its elements.
 
-"Frequent" comes from a bounded sample (SAMPLE_DOCS) and steers cost only: any choice gives the same links.
+Frequencies come from a bounded sample (SAMPLE_DOCS) and steer cost only: any values give the same links.
 
 Sets with equal elements are one node from the start, so exact copies cost nothing. Each map task groups its own
 signatures and sends one row for each, so no group at a reducer exceeds the number of map flushes, whatever the number
@@ -34,15 +34,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseam.session import materialise
 
 SHINGLE = 5
 #: Documents sampled for frequent shingles (one is frequent in FREQUENT of them), ids that are broadcast at most.
-SAMPLE_DOCS, FREQUENT, BROADCAST_IDS = 4096, 3, 1_000_000
-BAND, FLUSH_ROWS, CHUNK_BYTES, STAR_ROUNDS = 1.6, 1_500_000, 2_000_000, 3
+SAMPLE_DOCS, FREQUENT, BROADCAST_IDS = 16_384, 3, 1_000_000
+EMPTY = 2**40
+#: Links united in one task (16 bytes each).
+SMALL_LINKS = 200_000
+BAND, FLUSH_ROWS, CHUNK_BYTES, STAR_ROUNDS, STAR_SIZE, ODD_BITS = 1.6, 500_000, 600_000, 1, 8, 1024
 U = np.uint64
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -169,19 +172,20 @@ def bands(largest: int) -> list[Band]:
     return out
 
 
-def signatures(sets: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) for all sets."""
     plan = bands(int(sizes.max(initial=0)))
     if not plan:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     edges = np.array([b.lo for b in plan])
-    common = np.zeros(len(sets), dtype=bool)
-    if len(frequent):
-        seen = np.zeros(2**20, dtype=bool)
-        seen[frequent >> U(44)] = True
-        maybe = np.flatnonzero(seen[sets >> U(44)])
-        at = np.minimum(np.searchsorted(frequent, sets[maybe]), len(frequent) - 1)
-        common[maybe] = frequent[at] == sets[maybe]
+    seen = np.zeros(len(sets), dtype=np.int64)
+    known, counts = frequent
+    if len(known):
+        bloom = np.zeros(2**20, dtype=bool)
+        bloom[known >> U(44)] = True
+        maybe = np.flatnonzero(bloom[sets >> U(44)])
+        at = np.minimum(np.searchsorted(known, sets[maybe]), len(known) - 1)
+        seen[maybe] = np.where(known[at] == sets[maybe], counts[at], 0)
     own = np.searchsorted(edges, sizes, side="right") - 1
     upper = np.searchsorted(edges, sizes * 5 // 4, side="right") - 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -210,11 +214,15 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tup
                 keys.append(mix(content[cell] - value + name[cell % m], 1002))
                 owners.append(owner[inside])
                 continue
+            # cost of a segment: how often the sample saw its rarest shingle; empty ones come last
+            price = np.where(np.bincount(cell, seen[inside] == 0, minlength=len(content)) > 0, 0, EMPTY)
+            dear = np.flatnonzero(price[cell] == EMPTY)
+            np.minimum.at(price, cell[dear], seen[inside][dear])
             far = most_apart(sizes[rows] + np.minimum(sizes[rows] * 5 // 4, spec.hi - 1))
-            telling = (np.bincount(cell, ~common[inside], minlength=len(content)) > 0).reshape(len(rows), m)
-            upto = np.cumsum(telling, axis=1)
-            poor = upto[:, -1] <= far
-            take = ((telling & (upto <= far[:, None] + 1)) | poor[:, None]).ravel()
+            order = np.argsort(price.reshape(len(rows), m) * m + np.arange(m), axis=1)
+            chosen = np.zeros((len(rows), m), dtype=bool)
+            np.put_along_axis(chosen, order, np.arange(m) <= far[:, None], axis=1)
+            take = chosen.ravel()
             keys.append(mix(content + np.tile(name, len(rows)), 1002)[take])
             owners.append(np.repeat(rows, m)[take])
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -310,8 +318,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").mapInArrow(run, ROW)
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted shingles in FREQUENT or more of about `sample` documents."""
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles in FREQUENT or more of about `sample` documents, and in how many."""
     n = docs.count()
     share = max(1, n // sample)
 
@@ -321,30 +329,48 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["s"])
 
     some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(text_col).mapInArrow(run, "s long")
-    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).select("s").collect()
-    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).collect()
+    known, counts = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64), np.array([r[1] for r in found], dtype=np.int64)
+    by = np.argsort(known)
+    return known[by], counts[by]
 
 
 # ---- verification and components
 
 
 def whole_sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataFrame:
-    """node, shingles (sorted, eight bytes each). reps: _rep (an id), node."""
+    """node, n, odd, shingles (sorted, eight bytes each). reps: _rep (an id), node.
+
+    odd: for each of ODD_BITS hash buckets whether the set has an odd number of shingles there. Two sets differ in at
+    least as many elements as their odd bits differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, sets, sizes in chunks(batch, 0):
                 nodes, ends = node_ids(sets, sizes), np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array([sets[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["node", "shingles"])
+                bucket = (mix(sets, 13) % U(ODD_BITS)).astype(np.int64) + np.repeat(np.arange(len(sizes)) * ODD_BITS, sizes)
+                odd = np.packbits(np.bincount(bucket, minlength=len(sizes) * ODD_BITS) & 1).view(np.int64).reshape(len(sizes), -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(list(odd), pa.list_(pa.int64())), pa.array([sets[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
+                    names=["node", "n", "odd", "shingles"],
+                )
 
     n = reps.count()
     reps = reps.select("_rep", F.col("node").alias("_node"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    got = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, texts["_id"].eqNullSafe(reps["_rep"])).select("_text").mapInArrow(run, "node long, shingles binary")
+    got = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, texts["_id"].eqNullSafe(reps["_rep"])).select("_text").mapInArrow(run, "node long, n long, odd array<long>, shingles binary")
     # repeated ids may bring other texts along
     return got.dropDuplicates(["node"])
 
 
+def may_link() -> Column:
+    """Whether sizes (_pn, _qn) and odd bits (_podd, _qodd) allow a link."""
+    both = F.col("_pn") + F.col("_qn")
+    apart = F.aggregate(F.zip_with("_podd", "_qodd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    return (5 * F.least("_pn", "_qn") >= 4 * F.greatest("_pn", "_qn")) & (apart <= both - 2 * F.ceil(4 * both / 9))
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -360,12 +386,53 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+    slim = sets.select("node", "n", "odd")
+    pairs = pairs.join(slim.withColumnsRenamed({"node": "b", "n": "_qn", "odd": "_qodd"}), "b").join(slim.withColumnsRenamed({"node": "a", "n": "_pn", "odd": "_podd"}), "a").filter(may_link()).select("a", "b")
+    pairs = materialise(pairs, "likely")
+    # only sets of likely pairs are moved
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+    x, y = own.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node it reaches), by alternating large and small stars; only minima are aggregated."""
+def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """_p, _q: the pairs of different components that share a signature and may link by sizes and odd bits."""
+    rows = members.select("sig", "node", "comp").join(sets.select("node", "n", "odd"), "node")
+    x, y = (rows.select("sig", *[F.col(c).alias(f"_{side}{c}") for c in ("node", "comp", "n", "odd")]) for side in "pq")
+    fits = (F.col("_pnode") < F.col("_qnode")) & (F.col("_pcomp") != F.col("_qcomp")) & may_link()
+    return x.join(y, (x["sig"] == y["sig"]) & fits).select(F.col("_pnode").alias("_p"), F.col("_qnode").alias("_q"))
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by smallest node over one task's links."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
+def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
+    """node, comp (the smallest node it reaches).
+
+    Up to `small` links are united in one task of that bounded size; beyond it, alternating large and small stars run on
+    all executors, and only minima are aggregated.
+    """
+    links = materialise(links.select("a", "b"), "united")
+    if links.count() <= small:
+        return materialise(links.coalesce(1).mapInArrow(united, "node long, comp long"), "comp")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     edges, before = materialise(both, "edges"), None
     while True:
@@ -384,6 +451,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = small.select("a", "b").unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def merged(comp: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """comp with the components joined that a linking pair connects."""
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    split = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    found = materialise(verify(split, sets), "found")
+    if found.isEmpty():
+        return comp
+    # components so far are links to their smallest node, so earlier links needn't be walked again
+    return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, _node of every row."""
     spark = docs.sparkSession
@@ -396,32 +474,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = materialise(whole_sets(docs, id_col, text_col, materialise(nodes.join(wanted, "node"), "wanted")), "sets")
-    links = materialise(verify(pairs, sets), "links0")
-    done = pairs
+    # a pair for each node first; of the others only those that aren't in one component by then
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    comp = components(verify(first, sets))
+    comp = merged(comp, pairs, sets)
     # groups of two are settled by their only pair
-    large = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 2").select("sig")
+    large = members.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).filter("many > 2")
     members = materialise(members.join(large, "sig"), "members")
-    comp = components(links)
     for turn in range(STAR_ROUNDS + 1):
-        named = members.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = named.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("comp"))).alias("_hub")).filter("_lo <> _hi")
-        named = materialise(named.join(open_.select("sig", "_hub"), "sig"), f"open{turn}")
+        named = members.join(comp, "node", "left").select("sig", "many", "node", F.coalesce("comp", "node").alias("comp"))
+        open_ = named.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("sig")
+        named = materialise(named.join(open_, "sig"), f"open{turn}")
         if named.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            more = named.filter(F.col("comp") != F.col("_hub.comp")).select(F.col("_hub.node").alias("_p"), F.col("node").alias("_q"))
+            # salted stars: in every group each node meets a few others by chance, so a group of near copies soon is one component
+            salted = named.withColumn("_s", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("many") / STAR_SIZE)))
+            hubs = salted.groupBy("sig", "_s").agg(F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)).alias("h"), F.col("node").alias("_p"), F.col("comp").alias("_own"))).alias("_hub"))
+            more = salted.join(hubs, ["sig", "_s"]).filter(F.col("comp") != F.col("_hub._own")).select(F.col("_hub._p").alias("_p"), F.col("node").alias("_q"))
         else:
-            other = named.select("sig", F.col("node").alias("_q"), F.col("comp").alias("_other"))
-            more = named.select("sig", F.col("node").alias("_p"), "comp").join(other, "sig").filter("_p < _q and comp <> _other").select("_p", "_q")
+            more = across(named, sets)
         more = more.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b")).distinct()
-        more = materialise(more.join(done, ["a", "b"], "left_anti"), f"pairs{turn}")
-        if turn < STAR_ROUNDS and more.isEmpty():
-            continue
-        done = done.unionByName(more)
-        found = materialise(verify(more, sets), f"links{turn + 1}")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
+        comp = merged(comp, materialise(more, f"pairs{turn}"), sets)
     names = nodes.join(comp, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp"))
     least = names.groupBy("comp").agg(F.min("_rep").alias("component_id"))
     names = names.join(least, "comp").select("node", "component_id")
@@ -432,3 +506,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) as g from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)),
+e as (select x, y from l union select y, x from l),
+r(id, reach) as (select doc_id, doc_id from d union select id, y from r join e on x = reach)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from d left join n using (doc_id) join (select id, min(reach) as component_id from r group by id) m on m.id = d.doc_id
+"""

@@ -400,3 +400,11 @@ def test_sentencepiece_rows(spark):
     got = {r["doc_id"]: r for r in bpe.digest(rows, P.path("piece_bpe_32k.model")).collect()}
     assert got[0]["n_tokens"] == got[1]["n_tokens"] == 0 and got[2]["ids_sha256"] == got[3]["ids_sha256"] and got[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert [r["decoded"] for r in bpe.encode_column(rows, P.path("piece_bpe_32k.model")).orderBy("doc_id").collect()] == ["", "", "hello world", "hello world"]
+
+
+def test_components_agree_on_both_paths(spark):
+    rng = random.Random(5)
+    links = [(rng.randint(1, 120), rng.randint(1, 120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 240)]
+    frame = spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long")
+    one, many = ({r["node"]: r["comp"] for r in jaccard_join.components(frame, small).collect()} for small in (10**6, 0))
+    assert one == {**{n: c for n, c in one.items() if n == c}, **many}
