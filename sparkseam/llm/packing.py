@@ -2,14 +2,18 @@
 
 All documents are tokenised once and their ids kept in the shared folder. One pass over these adds up document
 frequencies of all token ids, the number of documents and of tokens: as many numbers as the vocabulary has entries,
-whatever the corpus. The next deals the documents by hash into shards of about SHARD_TOKENS tokens; each shard is one task's inverted index (postings of token
-ids with BM25 weights from the corpus-wide statistics). Documents are laid end to end in windows of `window` tokens: a
-window opens with the rest of the document that the last one cut, or else with the shard's next unused document; that
-seed's QUERY_TERMS heaviest terms query the index, and its unused neighbours fill the window, best first, the last one
-cut at the window's end. What remains at a shard's end is cut into powers of two, so no sequence has padding.
+whatever the corpus. The next deals the documents by
+hash into shards of about SHARD_TOKENS tokens; each shard is one row of the inverted index (token ids of documents with
+BM25 weights from the corpus-wide statistics). Documents are laid end to end in windows of `window` tokens, in chains of
+about CHAIN_WINDOWS windows side by side: a window opens with the rest of the document that the last one cut, or else
+with the next unused document of its chain's part of the corpus. In each step the QUERY_TERMS heaviest ids of every open
+window's first document query all shards, and the unused neighbours of the whole corpus fill the windows, best first,
+the last one cut at the window's end; a document that several windows want goes to the highest score. What remains at a
+chain's end is cut into powers of two, so no sequence has padding.
 
 Defined results: null counts as empty; every document ends with the separator id, so an empty one has one token.
-Repeated rows are packed each. Ties in score go to the smaller id, then ids. An empty table gives an empty result.
+Repeated rows are packed each. Ties in score go to the next
+place after the window's first document, in the order of shard, id, ids and round the corpus. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseam.session import materialise
 
-WINDOW, SHARD_TOKENS, QUERY_TERMS = 1024, 500_000, 16
+WINDOW, SHARD_TOKENS, QUERY_TERMS, CHAIN_WINDOWS = 1024, 500_000, 16, 32
+# Scores are whole numbers of 1 / UNIT; CELLS: scores a task holds at once.
+UNIT, CELLS = 2**16, 2**21
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 # Fixed value: the published splitting pattern of this byte-level vocabulary.
@@ -107,83 +113,169 @@ def statistics(rows: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int,
 
 
 class Index:
-    """BM25 postings of one shard: for each token id the documents that hold it, with their weights."""
+    """BM25 postings of one shard. Weights are whole numbers of 1 / UNIT, so that scores add up alike in any order."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n: int, mean: float):
-        terms, owners, weights, self.queries = [], [], [], []
-        for i, ids in enumerate(docs):
+        terms, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for ids in docs:
             t, tf = np.unique(ids, return_counts=True)
             idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
-            w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(t) > QUERY_TERMS else slice(None)
-            self.queries.append(t[top])
             terms.append(t)
-            owners.append(np.full(len(t), i, dtype=np.int32))
-            weights.append(w)
-        terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
+            weights.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
+        self._set(np.cumsum([len(t) for t in terms[1:]], dtype=np.int64), np.concatenate(terms).astype(np.int64), np.rint(np.concatenate(weights) * UNIT))
+
+    def _set(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray | None) -> Index:
+        self.ends, self.terms, self.weights, self.n = ends, terms, weights, len(ends)
+        return self
+
+    @classmethod
+    def stored(cls, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray | None = None) -> Index:
+        """Distinct token ids of all documents after each other with their weights; ends: where each document's end."""
+        return cls.__new__(cls)._set(ends, terms, weights)
+
+    def query(self, i: int) -> np.ndarray:
+        """The QUERY_TERMS heaviest token ids of document i."""
+        own = slice(self.ends[i - 1] if i else 0, self.ends[i])
+        return self.terms[own][np.argsort(-self.weights[own], kind="stable")[:QUERY_TERMS]]
+
+    def only(self, alive: np.ndarray) -> Index:
+        counts = np.diff(self.ends, prepend=0)
+        keep = np.repeat(alive, counts)
+        return Index.stored(np.cumsum(counts[alive]), self.terms[keep], self.weights[keep])
+
+    def search(self, queries: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores of every document (columns) for blocks of queries (rows), with the first row's number."""
+        if not self.n:
+            return
+        size = int(max([self.terms.max(initial=0), *(q.max(initial=0) for q in queries)])) + 1
+        owners = np.repeat(np.arange(self.n), np.diff(self.ends, prepend=0))
+        df = np.bincount(self.terms, minlength=size)
+        # frequent ids by a product of matrices, the others by their postings
+        row = np.full(size, -1)
+        frequent = np.flatnonzero(df * 12 >= max(self.n, 12))
+        row[frequent] = np.arange(len(frequent))
+        often = row[self.terms] >= 0
+        dense = np.zeros((len(frequent), self.n))
+        dense[row[self.terms[often]], owners[often]] = self.weights[often]
+        terms, owners, weights = self.terms[~often], owners[~often], self.weights[~often]
         by = np.argsort(terms, kind="stable")
-        self.owners, self.weights = owners[by], weights[by]
-        self.ends = np.cumsum(np.bincount(terms, minlength=len(df)))
-        self.n = len(docs)
+        owners, weights = owners[by], weights[by]
+        counts = np.bincount(terms, minlength=size)
+        starts = np.cumsum(counts) - counts
+        step = max(1, CELLS // max(self.n, len(frequent)))
+        for at in range(0, len(queries), step):
+            part = queries[at : at + step]
+            q, t = np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part).astype(np.int64)
+            asked = np.zeros((len(part), len(frequent)))
+            o = row[t] >= 0
+            asked[q[o], row[t[o]]] = 1
+            out = asked @ dense
+            q, t = q[~o], t[~o]
+            m = counts[t]
+            where = np.repeat(starts[t] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            out += np.bincount(np.repeat(q, m) * self.n + owners[where], weights[where], minlength=out.size).reshape(out.shape)
+            yield at, out
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document for document i's heaviest terms."""
-        q = self.queries[i]
-        if not len(q):
-            return np.zeros(self.n)
-        spans = [slice(self.ends[t - 1] if t else 0, self.ends[t]) for t in map(int, q)]
-        return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), minlength=self.n)
+        """BM25 of every document for document i's heaviest ids."""
+        return next(self.search([self.query(i)]))[1][0] / UNIT
+
+
+class Chains:
+    """Windows of several chains side by side: which documents are used, and what each chain's open window still needs."""
+
+    def __init__(self, sizes: np.ndarray, bounds: np.ndarray, window: int):
+        """sizes: tokens of each document; chain c opens windows with documents bounds[c] to bounds[c + 1]."""
+        n = len(bounds) - 1
+        self.sizes, self.window, self.used, self.left = sizes, window, np.zeros(len(sizes), dtype=bool), len(sizes)
+        self.fresh, self.stop = list(map(int, bounds[:-1])), list(map(int, bounds[1:]))
+        self.first, self.room, self.seq = [-1] * n, [window] * n, [0] * n
+        self.active, self.out = list(range(n)), []
+
+    def lay(self, c: int, doc: int) -> None:
+        start, size = 0, int(self.sizes[doc])
+        self.used[doc] = True
+        self.left -= 1
+        while start < size:
+            take = min(self.room[c], size - start)
+            self.out.append((doc, start, take, c, self.seq[c], self.window - self.room[c]))
+            start += take
+            self.room[c] -= take
+            if not self.room[c]:
+                self.seq[c], self.room[c], self.first[c] = self.seq[c] + 1, self.window, doc if start < size else -1
+
+    def waiting(self) -> list[int]:
+        """Chains whose window needs neighbours, after windows without a first document got their chain's next unused one."""
+        for c in self.active:
+            while self.first[c] < 0:
+                while self.fresh[c] < self.stop[c] and self.used[self.fresh[c]]:
+                    self.fresh[c] += 1
+                if self.fresh[c] == self.stop[c]:
+                    break
+                self.first[c] = self.fresh[c]
+                self.lay(c, self.fresh[c])
+        self.active = [c for c in self.active if self.first[c] >= 0]
+        return self.active if self.left else []
+
+    def take(self, offers) -> None:
+        """offers: (chain, document), best first. A used document or one for a window that is full is passed over."""
+        seqs = {c: self.seq[c] for c in self.active}
+        for c, doc in offers:
+            if seqs[c] == self.seq[c] and not self.used[doc]:
+                self.lay(c, doc)
+
+    def pieces(self) -> list[tuple[int, int, int, int, int, int]]:
+        """(document, start, length, chain, sequence, offset); a chain's unfilled last window becomes sequences of powers of two."""
+        out, last = [], {}
+        for p in self.out:
+            if p[4] == self.seq[p[3]]:
+                last.setdefault(p[3], []).append(p)
+            else:
+                out.append(p)
+        for c, own in last.items():
+            seq, offset, total = self.seq[c], 0, sum(p[2] for p in own)
+            bits = [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1]
+            left = bits.pop(0)
+            for d, s, m, *_ in own:
+                while m:
+                    take = min(m, left)
+                    out.append((d, s, take, c, seq, offset))
+                    s, m, left, offset = s + take, m - take, left - take, offset + take
+                    if not left and bits:
+                        left, seq, offset = bits.pop(0), seq + 1, 0
+        return out
 
 
 def layout(sizes: list[int], neighbours, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece. sizes: tokens of each document; neighbours(i): scores."""
-    n, out = len(sizes), []
-    used, seed, start, fresh, seq = np.zeros(n, dtype=bool), -1, 0, 0, 0
-    while True:
-        room = window
-        if seed < 0:
-            while fresh < n and used[fresh]:
-                fresh += 1
-            if fresh == n:
-                break
-            seed, start = fresh, 0
-            used[seed] = True
-        first, queue = seed, None
-        while room:
-            take = min(room, sizes[seed] - start)
-            out.append((seed, start, take, seq, window - room))
-            room, start = room - take, start + take
-            if start < sizes[seed]:
-                break
-            if queue is None:
-                score = neighbours(first)
-                queue = iter(np.argsort(-score, kind="stable").tolist())
-            seed = next((j for j in queue if not used[j]), -1)
-            start = 0
-            if seed < 0:
-                break
-            used[seed] = True
-            if not room:
-                break
-        seq += 1
-        if seed >= 0 and start == sizes[seed]:
-            seed = -1
-    # the last sequence becomes sequences of powers of two
-    last = [p for p in out if p[3] == seq - 1]
-    total = sum(p[2] for p in last)
-    if last and total < window:
-        out = out[: -len(last)]
-        seq, offset = seq - 1, 0
-        bits = [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1]
-        left = bits.pop(0)
-        for d, s, m, _, _ in last:
-            while m:
-                take = min(m, left)
-                out.append((d, s, take, seq, offset))
-                s, m, left, offset = s + take, m - take, left - take, offset + take
-                if not left and (bits or m):
-                    left, seq, offset = bits.pop(0), seq + 1, 0
-    return out
+    """(document, start, length, sequence, offset) of every piece of one chain. neighbours(i): scores."""
+    chains = Chains(np.asarray(sizes), np.array([0, len(sizes)]), window)
+    while chains.waiting():
+        chains.take((0, j) for j in np.argsort(-neighbours(chains.first[0]), kind="stable").tolist())
+    return [(d, s, m, q, o) for d, s, m, _, q, o in chains.pieces()]
+
+
+def offers(index: Index, sizes: np.ndarray, place: int, n: int, asked: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """chain, score, tie, document, size, need of the shard's best documents for each (chain, seed, need, ids), until their sizes reach the need."""
+    places = place + np.flatnonzero(sizes)
+    index, sizes = index.only(sizes > 0), sizes[sizes > 0]
+    many = len(places)
+    for at, scores in index.search([x[3] for x in asked]):
+        part = asked[at : at + len(scores)]
+        seed, need = np.array([x[1] for x in part]), np.array([x[2] for x in part])
+        # equal scores: the next place after the seed, round the corpus
+        turn = (np.arange(many) - np.searchsorted(places, seed, side="right")[:, None]) % many
+        keys = (scores.astype(np.int64) << 24) - turn
+        todo, k = np.arange(len(part)), min(16, many)
+        while len(todo):
+            own = keys if len(todo) == len(part) else keys[todo]
+            top = np.argpartition(-own, k - 1, axis=1)[:, :k] if k < many else np.tile(np.arange(many), (len(todo), 1))
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(own, top, 1), axis=1), 1)
+            before = np.cumsum(sizes[top], axis=1) - sizes[top]
+            done = (before[:, -1] + sizes[top[:, -1]] >= need[todo]) | (k == many)
+            r, j = np.nonzero((before < need[todo][:, None]) & done[:, None])
+            doc, q = top[r, j], todo[r]
+            yield np.array([x[0] for x in part])[q], scores[q, doc].astype(np.int64), (places[doc] - seed[q] - 1) % n, places[doc], sizes[doc], need[q]
+            todo, k = todo[~done], min(k * 8, many)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -195,23 +287,89 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, -(-total // shard_tokens))
     mean = max(1.0, total / max(1, n))
     kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     # one copy of the statistics for each executor: as many numbers as the vocabulary has
-    shared = docs.sparkSession.sparkContext.broadcast(df)
-
-    def run(table: pa.Table) -> pa.Table:
-        freq, shard = shared.value, table.column("_shard")[0].as_py()
-        table = table.sort_by([("_id", "ascending"), ("_ids", "ascending")])
+    shared = spark.sparkContext.broadcast(df)
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_ids"), F.lit(shards)).cast("long"))
+    order = [("_id", "ascending"), ("_ids", "ascending")]
+
+    def build(table: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table.sort_by(order).column("_ids")]
+        index = Index([x[:-1] for x in ids], shared.value, n, mean)
+        sizes = np.array([len(x) for x in ids], dtype=np.int32)
+        parts = [sizes.tobytes(), index.ends.tobytes(), index.terms.astype(dtype).tobytes(), index.weights.astype(np.int32).tobytes()]
+        return pa.table({"_shard": table.column("_shard")[:1], **{k: pa.array([x], pa.binary()) for k, x in zip(("sizes", "ends", "terms", "weights"), parts, strict=True)}})
+
+    index = materialise(rows.groupBy("_shard").applyInArrow(build, "_shard long, sizes binary, ends binary, terms binary, weights binary"), "index")
+    by_shard = {r[0]: np.frombuffer(r[1], dtype=np.int32) for r in index.select("_shard", "sizes").toLocalIterator()}  # four bytes a document
+    sizes = np.concatenate([np.zeros(0, np.int32), *(by_shard[k] for k in sorted(by_shard))])
+    counts = {k: len(by_shard[k]) for k in sorted(by_shard)}
+    place = dict(zip(counts, np.cumsum([0, *counts.values()])[:-1].tolist(), strict=True))
+    places = spark.sparkContext.broadcast(place)
+    begins = np.cumsum(sizes, dtype=np.int64) - sizes
+    bounds = np.searchsorted(begins, np.arange(-(-total // (CHAIN_WINDOWS * window)) + 1) * CHAIN_WINDOWS * window)
+    chains = Chains(sizes, bounds, window)
+
+    def seeds(wanted):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ends, at = np.frombuffer(r["ends"], dtype=np.int64), places.value[r["_shard"]]
+                    one = Index.stored(ends, np.frombuffer(r["terms"], dtype=dtype), np.frombuffer(r["weights"], dtype=np.int32))
+                    w = wanted.value[slice(*np.searchsorted(wanted.value, [at, at + len(ends)]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([one.query(i - at).tobytes() for i in w.tolist()], pa.binary())], names=["doc", "ids"])
+
+        return run
+
+    def search(state):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            used, asked = state.value
+            asked = [(c, d, m, np.frombuffer(x, dtype=dtype)) for c, d, m, x in asked]
+            for batch in batches:
+                for r in batch.to_pylist():
+                    sizes, at = np.frombuffer(r["sizes"], dtype=np.int32).astype(np.int64), places.value[r["_shard"]]
+                    free = ~np.unpackbits(used[at // 8 : (at + len(sizes)) // 8 + 1])[at % 8 :][: len(sizes)].astype(bool)
+                    one = Index.stored(np.frombuffer(r["ends"], dtype=np.int64), np.frombuffer(r["terms"], dtype=dtype).astype(np.int64), np.frombuffer(r["weights"], dtype=np.int32).astype(float))
+                    for found in offers(one, sizes * free, at, n, asked):
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["chain", "score", "tie", "doc", "size", "need"])
+
+        return run
+
+    best = Window.partitionBy("chain").orderBy(F.desc("score"), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    factor: dict[int, int] = {}
+    while waiting := chains.waiting():
+        # a window that got nothing, as others took all it was offered, asks for more
+        need = {c: chains.room[c] * factor.get(c, 2) for c in waiting}
+        first, had = {c: chains.first[c] for c in waiting}, {c: (chains.seq[c], chains.room[c]) for c in waiting}
+        wanted = spark.sparkContext.broadcast(np.unique(np.array(list(first.values()))))
+        found = index.select("_shard", "ends", "terms", "weights").mapInArrow(seeds(wanted), "doc long, ids binary").toArrow()
+        ids = dict(zip(found.column("doc").to_pylist(), found.column("ids").to_pylist(), strict=True))
+        state = spark.sparkContext.broadcast((np.append(np.packbits(chains.used), np.uint8(0)), [(c, first[c], need[c], ids[first[c]]) for c in waiting]))
+        found = index.mapInArrow(search(state), "chain long, score long, tie long, doc long, size long, need long")
+        found = found.withColumn("_before", F.coalesce(F.sum("size").over(best), F.lit(0))).filter("_before < need").select("chain", "score", "tie", "doc").toArrow()
+        found = found.sort_by([("score", "descending"), ("tie", "ascending"), ("chain", "ascending")])
+        chains.take(zip(found.column("chain").to_pylist(), found.column("doc").to_pylist(), strict=True))
+        factor = {c: factor.get(c, 2) * 4 for c in waiting if had[c] == (chains.seq[c], chains.room[c])}
+        wanted.destroy()
+        state.destroy()
+
+    d, s, m, c, q, o = (np.array(x, dtype=np.int64) for x in zip(*chains.pieces(), strict=True)) if n else [np.zeros(0, np.int64)] * 6
+    keys = np.array([*place, 0])
+    shard = np.searchsorted([*place.values()], d, side="right") - 1
+    pieces = pa.table({"_shard": keys[shard], "doc": d - np.array([*place.values(), 0])[shard], "start": s, "length": m, "sequence_id": c * 2**32 + q, "offset": o})
+    laid = spark.createDataFrame(pieces)
+
+    def cut(table: pa.Table, pieces: pa.Table) -> pa.Table:
+        table, pieces = table.sort_by(order), pieces.sort_by([("doc", "ascending"), ("start", "ascending")])
         ids = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table.column("_ids")]
-        index = Index([x[:-1] for x in ids], freq, n, mean)
-        d, s, m, q, o = (np.array(x, dtype=np.int64) for x in zip(*layout([len(x) for x in ids], index.scores, window), strict=True))
+        d, s, m = (pieces.column(k).to_pylist() for k in ("doc", "start", "length"))
         return pa.table({
-            id_col: table.column("_id").take(pa.array(d)), "start": s, "length": m,
-            "ids_crc32": pa.array([zlib.crc32(ids[i][a : a + k].astype("<u4")) for i, a, k in zip(d.tolist(), s.tolist(), m.tolist(), strict=True)], pa.int64()),
-            "doc_tokens": np.array([len(x) for x in ids], dtype=np.int64)[d], "sequence_id": shard * 2**32 + q, "offset": o,
+            id_col: table.column("_id").take(pieces.column("doc")), "start": pieces.column("start"), "length": pieces.column("length"),
+            "ids_crc32": pa.array([zlib.crc32(ids[i][a : a + k].astype("<u4")) for i, a, k in zip(d, s, m, strict=True)], pa.int64()),
+            "doc_tokens": pa.array([len(ids[i]) for i in d], pa.int64()), "sequence_id": pieces.column("sequence_id"), "offset": pieces.column("offset"),
         })
 
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_ids"), F.lit(shards)).cast("long"))
-    return rows.groupBy("_shard").applyInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.groupBy("_shard").cogroup(laid.groupBy("_shard")).applyInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

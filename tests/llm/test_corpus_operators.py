@@ -216,6 +216,50 @@ def test_packing_checksums_and_neighbours(spark):
     assert index.scores(3)[5] > index.scores(3)[4] and packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_packing_finds_neighbours_in_every_shard(spark):
+    """One chain over many shards gives the windows of brute force over the whole corpus."""
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(7)
+    own = packing.Tokens(path)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "wheel", "grape") for b in ("mark", "line", "fall", "work", "yard", "house")]
+    texts = [" ".join(rng.choices(words, k=rng.randint(5, 60))) for _ in range(90)]
+    out = packing.pack(docs_of(spark, texts), path, window=512, shard_tokens=700).collect()
+    ids = [own.ids(t) for t in texts]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=own.size)
+    index = packing.Index(ids, df, len(ids), sum(len(x) + 1 for x in ids) / len(ids))
+    laid = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        laid.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"]))
+    assert len({k >> 32 for k in laid}) == 1 and len(laid) > 3
+    used = set()
+    for seq in sorted(laid)[:4]:
+        first = laid[seq][0][0]
+        used.add(first)
+        scores = index.scores(first)
+        for doc, start in laid[seq][1:]:
+            assert start == 0 and scores[doc] == max(s for j, s in enumerate(scores) if j not in used)
+            used.add(doc)
+
+
+def test_packing_offers_are_exact_and_whole():
+    """Offers are the best by a full sort, equal scores in turn after the seed."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 400, rng.integers(0, 120)) ** 2 // 400 for _ in range(150)] * 2
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=400)
+    index, sizes = packing.Index(docs, df, len(docs), 60.0), np.array([len(x) + 1 for x in docs])
+    begin = [0, *index.ends]
+    weight = [dict(zip(index.terms[a:b].tolist(), index.weights[a:b])) for a, b in zip(begin, begin[1:])]
+    free = sizes * (rng.random(300) < 0.7)
+    asked = [(c, seed, need, index.query(seed)) for c, (seed, need) in enumerate([(3, 50), (77, 4000), (299, 10**6), (150, 1)])]
+    got = {}
+    for found in packing.offers(index, free, 0, 300, asked):
+        for c, score, tie, doc, *_ in zip(*map(np.ndarray.tolist, found)):
+            got.setdefault(c, []).append((-score, tie, doc))
+    for c, seed, need, q in asked:
+        want = sorted((-int(sum(weight[j].get(t, 0) for t in q.tolist())), (j - seed - 1) % 300, j) for j in range(300) if free[j])
+        cut = np.cumsum([0, *(free[j] for *_, j in want)])[:-1] < need
+        assert got[c] == [w for w, keep in zip(want, cut) if keep]
+
+
 # ---- 5
 
 
