@@ -6,7 +6,7 @@ whatever the corpus. The next deals the documents by
 hash into shards of about SHARD_TOKENS tokens; each shard is one row of the inverted index (token ids of documents with
 BM25 weights from the corpus-wide statistics). Documents are laid end to end in windows of `window` tokens, in chains of
 about CHAIN_WINDOWS windows side by side: a window opens with the rest of the document that the last one cut, or else
-with the next unused document of its chain's part of the corpus. In each step the QUERY_TERMS heaviest ids of every open
+with the next unused document of its chain's part of the corpus. In each step all distinct token ids of every open
 window's first document query all shards, and the unused neighbours of the whole corpus fill the windows, best first,
 the last one cut at the window's end; a document that several windows want goes to the highest score. What remains at a
 chain's end is cut into powers of two, so no sequence has padding.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkseam.session import materialise
 
-WINDOW, SHARD_TOKENS, QUERY_TERMS, CHAIN_WINDOWS = 1024, 500_000, 16, 32
+WINDOW, SHARD_TOKENS, CHAIN_WINDOWS = 1024, 500_000, 32
 # Scores are whole numbers of 1 / UNIT; CELLS: scores a task holds at once.
 UNIT, CELLS = 2**16, 2**21
 K1, B = 1.2, 0.75
@@ -134,9 +134,8 @@ class Index:
         return cls.__new__(cls)._set(ends, terms, weights)
 
     def query(self, i: int) -> np.ndarray:
-        """The QUERY_TERMS heaviest token ids of document i."""
-        own = slice(self.ends[i - 1] if i else 0, self.ends[i])
-        return self.terms[own][np.argsort(-self.weights[own], kind="stable")[:QUERY_TERMS]]
+        """All distinct token ids of document i."""
+        return self.terms[self.ends[i - 1] if i else 0 : self.ends[i]]
 
     def only(self, alive: np.ndarray) -> Index:
         counts = np.diff(self.ends, prepend=0)
@@ -177,7 +176,7 @@ class Index:
             yield at, out
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document for document i's heaviest ids."""
+        """BM25 of every document for all token ids of document i."""
         return next(self.search([self.query(i)]))[1][0] / UNIT
 
 
@@ -315,7 +314,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for batch in batches:
                 for r in batch.to_pylist():
                     ends, at = np.frombuffer(r["ends"], dtype=np.int64), places.value[r["_shard"]]
-                    one = Index.stored(ends, np.frombuffer(r["terms"], dtype=dtype), np.frombuffer(r["weights"], dtype=np.int32))
+                    one = Index.stored(ends, np.frombuffer(r["terms"], dtype=dtype))
                     w = wanted.value[slice(*np.searchsorted(wanted.value, [at, at + len(ends)]))]
                     yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([one.query(i - at).tobytes() for i in w.tolist()], pa.binary())], names=["doc", "ids"])
 
@@ -342,7 +341,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         need = {c: chains.room[c] * factor.get(c, 2) for c in waiting}
         first, had = {c: chains.first[c] for c in waiting}, {c: (chains.seq[c], chains.room[c]) for c in waiting}
         wanted = spark.sparkContext.broadcast(np.unique(np.array(list(first.values()))))
-        found = index.select("_shard", "ends", "terms", "weights").mapInArrow(seeds(wanted), "doc long, ids binary").toArrow()
+        found = index.select("_shard", "ends", "terms").mapInArrow(seeds(wanted), "doc long, ids binary").toArrow()
         ids = dict(zip(found.column("doc").to_pylist(), found.column("ids").to_pylist(), strict=True))
         state = spark.sparkContext.broadcast((np.append(np.packbits(chains.used), np.uint8(0)), [(c, first[c], need[c], ids[first[c]]) for c in waiting]))
         found = index.mapInArrow(search(state), "chain long, score long, tie long, doc long, size long, need long")

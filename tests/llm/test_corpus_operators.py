@@ -241,11 +241,12 @@ def test_packing_finds_neighbours_in_every_shard(spark):
 
 
 def test_packing_offers_are_exact_and_whole():
-    """Offers are the best by a full sort, equal scores in turn after the seed."""
+    """The query is all of a document's ids; offers are the best by a full sort, equal scores in turn after the seed."""
     rng = np.random.default_rng(5)
     docs = [rng.integers(0, 400, rng.integers(0, 120)) ** 2 // 400 for _ in range(150)] * 2
     df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=400)
     index, sizes = packing.Index(docs, df, len(docs), 60.0), np.array([len(x) + 1 for x in docs])
+    assert all(set(index.query(i)) == set(docs[i]) for i in range(300))
     begin = [0, *index.ends]
     weight = [dict(zip(index.terms[a:b].tolist(), index.weights[a:b])) for a, b in zip(begin, begin[1:])]
     free = sizes * (rng.random(300) < 0.7)
