@@ -157,14 +157,14 @@ def fetch_size(k: int, factor: int = 3) -> int:
     return max(k * factor, 10)
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False) -> DataFrame:
-    """id, the two scores, final_score, rank. A metadata filter holds for the vector branch, and for keywords only with filter_both."""
+def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None) -> DataFrame:
+    """id, the two scores, final_score, rank of the k best, or of the `keep` best of the merged list. A metadata filter holds for the vector branch, and for keywords only with filter_both."""
     n = fetch_size(k)
     semantic = vector_topk(vectors, vector, n, vec_id, where).select(F.col(vec_id).alias("id"), "score")
     base = equal_to(corpus, where or {}) if filter_both else corpus
     words = bm25(base, query, id_col, text_col).withColumn("score", F.round("score", 6)).filter("score > 0")
     keyword = ranked(words, "score", n, "id").select("id", "score")
-    return ranked(fuse(semantic, keyword).withColumn("final_score", F.round("final_score", 6)), "final_score", k, "id")
+    return ranked(fuse(semantic, keyword).withColumn("final_score", F.round("final_score", 6)), "final_score", keep or k, "id")
 
 
 def rerank(rows: DataFrame, vectors: DataFrame, query: list[float], pool: int, k: int, vec_id: str = "vec_id") -> DataFrame:

@@ -142,6 +142,17 @@ def rerank_prefix(spark, sf):
     return search.rerank(_hybrid(spark, sf), read_table(spark, sf, "embeddings"), vector0(spark, sf), 6, K).withColumnRenamed("id", "doc_id")
 
 
+_POOL = max(K, search.fetch_size(K))
+
+
+@query("rerank_merged", f"""with {_HYB}, r as (select *, row_number() over (order by final_score desc, id) as old from hy),
+n as (select r.id, final_score as base_score, old, old <= {_POOL} as inside, round((coalesce({_COS}, 0) + 1) / 2, 6) as fresh from r left join embeddings e on e.vec_id = r.id, (select embedding from embeddings where vec_id = 0) q)
+select id as doc_id, base_score, case when inside then fresh end as rerank_score, case when inside then fresh else base_score end as final_score, row_number() over (order by inside desc, case when inside then fresh else 0 end desc, base_score desc, old)::int as rank from n order by rank limit {K}""")
+def rerank_merged(spark, sf):
+    """Reranks the whole merged list's prefix before the cut to K; rerank_prefix and its SQL cut first."""
+    both = search.hybrid(read_table(spark, sf, "documents"), read_table(spark, sf, "embeddings"), QUERY, vector0(spark, sf), K, keep=2 * search.fetch_size(K))
+    return search.rerank(both, read_table(spark, sf, "embeddings"), vector0(spark, sf), _POOL, K).withColumnRenamed("id", "doc_id")
+
 @query("postfilter_topk", f"with {_HYB.replace('limit 30', 'limit 90')}, r as (select * from hy order by final_score desc, id limit 30), p as (select r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
 def postfilter_topk(spark, sf):
     rows = _hybrid(spark, sf, search.fetch_size(K)).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")

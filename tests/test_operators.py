@@ -158,3 +158,16 @@ def test_sessions_are_isolated(spark):
     other = governance.isolated(spark)
     other.range(1).createOrReplaceTempView("only_there")
     assert not spark.catalog.tableExists("only_there") and other.catalog.tableExists("only_there")
+
+
+def test_rerank_reaches_candidates_below_k(spark, tmp_path):
+    """The best vector stands behind 12 documents with keywords: it is cut before a rerank of the first 10, and first after a rerank of all."""
+    from sparkseam.plans import search_queries as Q
+
+    texts = ["plain words"] + ["the of tion thand erer"] * 12 + ["plain words"] * 20
+    vectors = [[1.0, 0.0]] + [[0.8, 0.6]] * 12 + [[0.0, 1.0]] * 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["doc_id"], r["rank"]) for r in Q.rerank_merged(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(0, 1), *((i, i + 1) for i in range(1, 10))]
+    assert 0 not in [r["doc_id"] for r in Q.hybrid_topk(spark, str(tmp_path)).collect()]
