@@ -160,6 +160,24 @@ def test_sessions_are_isolated(spark):
     assert not spark.catalog.tableExists("only_there") and other.catalog.tableExists("only_there")
 
 
+def test_full_iam_queries_see_every_row(spark, sf):
+    """Roles, rule and overlap findings against brute force over all of lineitem; all findings are the parts' sum."""
+    from sparkseam.plans import detector_queries as Q
+
+    rows = [r.asDict() for r in Q.assigned(spark.read.parquet(f"{sf}/lineitem.parquet")).collect()]
+    assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert not any("l_orderkey %" in Q.SQL[f"{name}_full"].replace("l_orderkey % 50", "") for name in Q._FULL if name != "iam_findings")
+    own = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        own.setdefault(r["identity_name"], []).append(r["role"])
+    got = {r["identity"]: r["role"] for r in Q.Q["iam_multi_role_full"](spark, sf).collect()}
+    assert got == {k: ", ".join(v) for k, v in own.items() if len(v) > 3}
+    wide = ("subscription", "resource_group")
+    assert Q.Q["iam_service_wide_full"](spark, sf).count() == sum(r["role"] in Q.iam.SERVICE_WIDE and r["scope_type"] in wide for r in rows)
+    parts = sum(Q.Q[f"iam_{x}_full"](spark, sf).count() for x in ("rule_chain", "multi_role", "overlap", "broad_redundant", "service_wide"))
+    assert Q.Q["iam_findings_full"](spark, sf).count() == parts
+
+
 def test_rerank_reaches_candidates_below_k(spark, tmp_path):
     """The best vector stands behind 12 documents with keywords: it is cut before a rerank of the first 10, and first after a rerank of all."""
     from sparkseam.plans import search_queries as Q
