@@ -309,6 +309,13 @@ def secrets_patterns(spark, sf):
     return D.secret_lines(rows).filter("secret_type <> 'high_entropy'").select("file_path", "line_number", "secret_type", "match")
 
 
+@query("secrets_lines_all")
+def secrets_lines_all(spark, sf):
+    """All kinds, high_entropy too, over the sample rows and all documents."""
+    rows = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file_path"), "text")
+    return D.secret_lines(frame(spark, ["file_path", "text"], SEC_ROWS).unionByName(rows)).select("file_path", "line_number", "secret_type", "match")
+
+
 _RED = "text"
 for _p, _g in D.REDACTIONS:
     _RED = f"regexp_replace({_RED}, '{_p.replace(chr(39), chr(39) * 2)}', '{chr(92) + '1' if _g else ''}[REDACTED]', 'g')"

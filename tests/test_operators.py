@@ -189,3 +189,11 @@ def test_rerank_reaches_candidates_below_k(spark, tmp_path):
     got = [(r["doc_id"], r["rank"]) for r in Q.rerank_merged(spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(0, 1), *((i, i + 1) for i in range(1, 10))]
     assert 0 not in [r["doc_id"] for r in Q.hybrid_topk(spark, str(tmp_path)).collect()]
+
+
+def test_secrets_over_documents_hold_every_kind(spark, tmp_path):
+    from sparkseam.plans import detector_queries as Q
+
+    spark.createDataFrame([(i, text) for i, (_, text) in enumerate(Q.SEC_ROWS, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["file_path"], r["line_number"], r["secret_type"]) for r in Q.Q["secrets_lines_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((p + k[1:], n, kind) for k, n, kind in Q.SEC_OUT for p in "ds") and "high_entropy" in [g[2] for g in got]
