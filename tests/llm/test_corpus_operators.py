@@ -278,9 +278,59 @@ def test_toxicity_held_out(spark):
     got = [r for r in toxicity.op5_toxicity(spark, sf).collect() if r["doc_id"] in labels]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     test = [r for r in got if r["held_out"]]
-    assert sum(r["predicted"] == labels[r["doc_id"]] for r in test) / len(test) > 0.9
-    hits = [r for r in test if r["predicted"]]
-    assert hits and sum(labels[r["doc_id"]] for r in hits) / len(hits) > 0.9
+    lang = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    toxic, clean = ([r for r in test if labels[r["doc_id"]] == y] for y in (1, 0))
+    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.85 and sum(r["predicted"] for r in clean) / len(clean) < 0.015
+    for k, least in (("en", 0.85), ("fr", 0.8), ("de", 0.8), ("es", 0.5)):
+        own = [r["predicted"] for r in toxic if lang[r["doc_id"]] == k]
+        assert sum(own) / len(own) >= least, (k, sum(own), len(own))
+
+
+def test_toxicity_scores_against_plain_rules():
+    """A second reading of the grammar, without transducers: every clause's best word by the rules of the docstring."""
+    model = toxicity.Model({"idiot": 1.0, "ox": 0.4}, {"trott": 0.7, "trottelig": 0.9}, -4.0, 3.0)
+    words = ["idiot", "ox", "oxen", "trottel", "trotteliger", "trot", "you", "them", "kill", "hurt", "not", "never", "said", "the", "a", "cat", "don't", "you're"]
+    kind = {**dict.fromkeys(["you", "them"], "G"), **dict.fromkeys(["kill", "hurt"], "T"), **dict.fromkeys(["not", "never", "don't"], "N"), "said": "R"}
+    lexical = {"idiot": 1.0, "ox": 0.4, "trottel": 0.7, "trotteliger": 0.9}
+
+    def clause(own):
+        best = 0.0
+        for i, w in enumerate(own):
+            near = lambda k, n: any(kind.get(x) == k for x in own[max(0, i - n) : i])  # noqa: E731, B023
+            weight = 1.0
+            if w in lexical:
+                weight = lexical[w] * (1.3 if near("G", 5) else 1.0)
+            elif not (kind.get(w) == "G" and near("T", 3)):
+                continue
+            weight *= (0.4 if near("N", 4) else 1.0) * (0.6 if near("R", i) else 1.0)
+            best = max(best, weight)
+        return best
+
+    rng = random.Random(8)
+    for _ in range(2000):
+        clauses = [[rng.choice(words) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 4))]
+        text = "".join(" ".join(c) + rng.choice([". ", "\n", ", ", "! "]) for c in clauses)
+        own = [[w.split("'")[0] if "'" in w and w not in kind else w for w in c] for c in clauses]
+        want = [x for x in map(clause, own) if x]
+        assert model.clauses(text) == pytest.approx(want), text
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(4 - 3 * min(sum(want), toxicity.MOST))))
+
+
+def test_toxicity_training_on_executors_equals_the_local_fit(spark):
+    rng = random.Random(4)
+    bad, words = ["zornig", "zornige", "zorniger", "blodel"], [f"wort{k}" for k in range(80)]
+    texts, labels = [], []
+    for i in range(200):
+        y = int(i % 4 == 0)
+        texts.append(" ".join(rng.choices(words, k=20) + ([rng.choice(bad)] if y else [])))
+        labels.append((i, 0, y))
+    texts[7], texts[9] = None, texts[13]
+    docs, known = docs_of(spark, texts), spark.createDataFrame([*labels, (None, 0, 1), (5, 0, None), labels[3]], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs.unionByName(docs.limit(3)), known)
+    want = toxicity.fit([(texts[i], y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5])
+    assert model.stems == want.stems and "zorni" in model.stems and model.insults == want.insults
+    assert (model.offset, model.slope) == pytest.approx((want.offset, want.slope), abs=1e-6)
+    assert model.score("ein zornigster tag") > model.score("ein guter tag")
 
 
 def test_toxicity_edges(spark):
