@@ -1,19 +1,27 @@
 """Packing by lexical retrieval over a sharded BM25 inverted index.
 
-All documents are tokenised once and their ids kept in the shared folder. One pass over these adds up document
-frequencies of all token ids, the number of documents and of tokens: as many numbers as the vocabulary has entries,
-whatever the corpus. The next deals the documents by
-hash into shards of about SHARD_TOKENS tokens; each shard is one row of the inverted index (token ids of documents with
-BM25 weights from the corpus-wide statistics). Documents are laid end to end in windows of `window` tokens, in chains of
-about CHAIN_WINDOWS windows side by side: a window opens with the rest of the document that the last one cut, or else
-with the next unused document of its chain's part of the corpus. In each step all distinct token ids of every open
-window's first document query all shards, and the unused neighbours of the whole corpus fill the windows, best first,
-the last one cut at the window's end; a document that several windows want goes to the highest score. What remains at a
-chain's end is cut into powers of two, so no sequence has padding.
+All documents are tokenised once; the same pass gives each a content key and adds up document frequencies of all token
+ids (as many numbers as the vocabulary has entries, whatever the corpus). Documents are then dealt by ranges of
+(content key, row number), so that alike documents lie side by side, a hot key is cut like any other range, and every
+range has about equally many rows. A range is read in order and cut into shards of about SHARD_TOKENS tokens; each is an
+inverted index (token ids with BM25 weights from the corpus-wide statistics) of bounded size.
+
+Within a shard documents are laid end to end in windows of `window` tokens, in chains of about CHAIN_WINDOWS windows side
+by side: a window opens with the rest of the document that the last one cut, or else with the next unused document of
+its chain's part of the shard. In each step all distinct token ids of every open window's first document query the
+index, and the unused neighbours fill the windows, best first, the last one cut at the window's end; a document that
+several windows want goes to the highest score. What remains at a chain's end is cut into powers of two, so no sequence
+has padding.
+
+The content key is (nearest of CLUSTERS centres, heaviest token id). Centres are fitted by spherical k-means on hashed
+tf-idf vectors of SAMPLE_DOCS documents at most (the smallest hashes of id and text); they choose the neighbourhood, and
+every document is indexed whatever its key. A seed meets its own shard only: the work grows in proportion to the corpus,
+and what share of the corpus-wide best neighbours and of their scores that reaches is measured in the README.
 
 Defined results: null counts as empty; every document ends with the separator id, so an empty one has one token.
-Repeated rows are packed each. Ties in score go to the next
-place after the window's first document, in the order of shard, id, ids and round the corpus. An empty table gives an empty result.
+Repeated rows are packed each. Ties in score go to the next place after the window's first document, in the shard's
+order and round it. A very long document is a shard of its own with what came before it, and cut across windows. An
+empty table gives an empty result. Only the named columns are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -24,18 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseam.session import materialise
 
-WINDOW, SHARD_TOKENS, CHAIN_WINDOWS = 1024, 500_000, 32
-# Scores are whole numbers of 1 / UNIT; CELLS: scores a task holds at once.
-UNIT, CELLS = 2**16, 2**21
+WINDOW, SHARD_TOKENS, CHAIN_WINDOWS = 1024, 2_000_000, 32
+#: Shards in a range, documents the centres are fitted on, centres, dimensions of the hashed vectors.
+RANGE_SHARDS, SAMPLE_DOCS, CLUSTERS, DIMENSIONS = 2, 4096, 64, 256
+#: Scores count in steps of 1 / UNIT, so that the order of additions doesn't tell equal ones apart.
+UNIT = 2**20
+#: Token ids in at least this share of a shard's documents are scored by a product of matrices.
+DENSE = 1 / 12
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
 # Fixed value: the published splitting pattern of this byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# It is written with possessive repeats, which match the same and spare the backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def _bytes_of_marks() -> dict[str, int]:
@@ -77,107 +91,169 @@ def tokens(path: str) -> Tokens:
     return _LOADED[path]
 
 
-def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, separator: int) -> DataFrame:
-    """_id, _ids (token ids and the separator, two bytes each for vocabularies of up to 65,536) of every row."""
+def weights(terms: np.ndarray, tf: np.ndarray, size: int, df: np.ndarray, n: int, mean: float) -> np.ndarray:
+    """BM25 weights of a document's distinct token ids."""
+    idf = np.log1p((n - df[terms] + 0.5) / (df[terms] + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+class Content:
+    """What gives a document its content key: statistics and centres of the sample."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float, centres: np.ndarray):
+        rng = np.random.default_rng(5)
+        self.df, self.n, self.mean, self.centres = df, n, mean, centres
+        self.cell, self.sign = rng.integers(0, DIMENSIONS, len(df)), np.where(rng.random(len(df)) < 0.5, -1.0, 1.0)
+
+    def vector(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Hashed tf-idf vector of length one."""
+        v = np.bincount(self.cell[terms], w * self.sign[terms], minlength=DIMENSIONS)
+        return v / (np.sqrt((v * v).sum()) + 1e-9)
+
+    def key(self, ids: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """Distinct token ids, the nearest centre and the heaviest token id."""
+        terms, tf = np.unique(ids, return_counts=True)
+        if not len(terms):
+            return terms, 0, 0
+        w = weights(terms, tf, len(ids), self.df, self.n, self.mean)
+        return terms, int((self.centres @ self.vector(terms, w)).argmax()) if len(self.centres) else 0, int(terms[w.argmax()])
+
+    def fit(self, vectors: np.ndarray) -> Content:
+        """Spherical k-means. vectors: one row for each document of the sample."""
+        if len(vectors):
+            rng = np.random.default_rng(6)
+            centres = vectors[rng.choice(len(vectors), min(CLUSTERS, len(vectors)), replace=False)]
+            for _ in range(8):
+                near = (vectors @ centres.T).argmax(1)
+                sums = np.stack([vectors[near == k].sum(0) if (near == k).any() else centres[k] for k in range(len(centres))])
+                centres = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9)
+            self.centres = centres
+        return self
+
+
+KEYED = "_ids binary, _key long, _term long, _stat boolean"
+
+
+def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, separator: int, content: Content | None = None) -> DataFrame:
+    """_id, _ids (token ids and the separator, two bytes each for vocabularies of up to 65,536), content key and heaviest token id of every row.
+
+    Rows with _stat: for each task and token id (_key) the number of its documents with it (_term); id `size` stands for
+    documents, size + 1 for tokens with the separators.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens(path)
+        own, content = tokens(path), shared.value
         tail = np.array([separator], dtype=own.dtype).tobytes()
+        df, names = np.zeros(own.size + 2, dtype=np.int64), ["_id", "_ids", "_key", "_term", "_stat"]
+        null = None
         for batch in batches:
+            null = null if null is not None else batch.column(0).type
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.ids(t or "").tobytes() + tail for t in part.column(1).to_pylist()], pa.binary())], names=["_id", "_ids"])
+                raw, keys, heavy = [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = own.ids(text or "")
+                    terms, key, term = content.key(ids) if content else (np.unique(ids), 0, 0)
+                    df[terms] += 1
+                    df[-2] += 1
+                    df[-1] += len(ids) + 1
+                    raw.append(ids.tobytes() + tail)
+                    keys.append(key)
+                    heavy.append(term)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.int64()), pa.array(heavy, pa.int64()), pa.array([False] * len(raw))], names=names)
+        at = np.flatnonzero(df)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]), pa.array([True] * len(at))], names=names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, _ids binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, {KEYED}")
 
 
-def statistics(rows: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int, int]:
+def statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     """Document frequency of each token id, number of documents, number of tokens with the separators."""
+    df = np.zeros(size + 2, dtype=np.int64)
+    for token, n in rows.filter("_stat").groupBy("_key").agg(F.sum("_term")).collect():  # size + 2 rows at most
+        df[token] = n
+    return df[:-2], int(df[-2]), int(df[-1])
+
+
+def fit_content(docs: DataFrame, path: str, id_col: str, text_col: str, separator: int, sample: int = SAMPLE_DOCS) -> Content:
+    """Centres of a sample of `sample` documents at most; the driver gets their vectors, DIMENSIONS numbers each."""
+    some = docs.select(F.col(id_col), F.col(text_col)).orderBy(F.xxhash64(id_col, text_col)).limit(sample)
+    own = tokens(path)
+    rows = materialise(tokenise(some, path, id_col, text_col, separator), "sample")
+    df, n, total = statistics(rows, own.size)
+    content = Content(df, n, max(1.0, total / max(1, n)), np.zeros((0, DIMENSIONS)))
+    dtype = own.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(size + 2, dtype=np.int64)
         for batch in batches:
+            out = []
             for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), dtype=dtype)
-                df[np.unique(ids[:-1])] += 1
-                df[-2] += 1
-                df[-1] += len(ids)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["token", "n"])
+                ids = np.frombuffer(raw.as_buffer(), dtype=dtype)[:-1]
+                terms, tf = np.unique(ids, return_counts=True)
+                out.append(content.vector(terms, weights(terms, tf, len(ids), content.df, content.n, content.mean)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["v"])
 
-    df = np.zeros(size + 2, dtype=np.int64)
-    for token, n in rows.select("_ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect():  # size + 2 rows at most
-        df[token] = n
-    return df[:-2], int(df[-2]), int(df[-1])
+    found = sorted(r[0] for r in rows.filter("not _stat").select("_ids").mapInArrow(run, "v binary").collect())
+    return content.fit(np.array([np.frombuffer(v, dtype="<f4") for v in found], dtype=float).reshape(-1, DIMENSIONS))
 
 
 class Index:
-    """BM25 postings of one shard. Weights are whole numbers of 1 / UNIT, so that scores add up alike in any order."""
+    """BM25 postings of one shard. Frequent token ids are rows of a matrix over the documents still unused, the others have postings."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n: int, mean: float):
-        terms, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        for ids in docs:
-            t, tf = np.unique(ids, return_counts=True)
-            idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
-            terms.append(t)
-            weights.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        self._set(np.cumsum([len(t) for t in terms[1:]], dtype=np.int64), np.concatenate(terms).astype(np.int64), np.rint(np.concatenate(weights) * UNIT))
-
-    def _set(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray | None) -> Index:
-        self.ends, self.terms, self.weights, self.n = ends, terms, weights, len(ends)
-        return self
-
-    @classmethod
-    def stored(cls, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray | None = None) -> Index:
-        """Distinct token ids of all documents after each other with their weights; ends: where each document's end."""
-        return cls.__new__(cls)._set(ends, terms, weights)
+        found = [np.unique(ids, return_counts=True) for ids in docs]
+        self.n, self.ends = len(docs), np.cumsum([len(t) for t, _ in found], dtype=np.int64)
+        self.terms = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in found)]).astype(np.int64)
+        counts = np.diff(self.ends, prepend=0)
+        owners = np.repeat(np.arange(self.n), counts)
+        tf = np.concatenate([np.zeros(0), *(c for _, c in found)])
+        w = weights(self.terms, tf, np.repeat([len(x) for x in docs], counts) if self.n else tf, df, n, mean)
+        size = int(self.terms.max(initial=0)) + 1
+        here = np.bincount(self.terms, minlength=size)
+        # frequent ids by a product of matrices, the others by their postings
+        self.row = np.full(size, -1)
+        frequent = np.flatnonzero(here >= max(1.0, self.n * DENSE))
+        self.row[frequent] = np.arange(len(frequent))
+        often = self.row[self.terms] >= 0
+        self.dense = np.zeros((len(frequent), self.n))
+        self.dense[self.row[self.terms[often]], owners[often]] = w[often]
+        self.columns = np.arange(self.n)
+        terms, owners, w = self.terms[~often], owners[~often], w[~often]
+        by = np.argsort(terms, kind="stable")
+        self.owners, self.weights = owners[by], w[by]
+        self.counts = np.bincount(terms, minlength=size)
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def query(self, i: int) -> np.ndarray:
         """All distinct token ids of document i."""
         return self.terms[self.ends[i - 1] if i else 0 : self.ends[i]]
 
-    def only(self, alive: np.ndarray) -> Index:
-        counts = np.diff(self.ends, prepend=0)
-        keep = np.repeat(alive, counts)
-        return Index.stored(np.cumsum(counts[alive]), self.terms[keep], self.weights[keep])
-
-    def search(self, queries: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """Scores of every document (columns) for blocks of queries (rows), with the first row's number."""
-        if not self.n:
-            return
-        size = int(max([self.terms.max(initial=0), *(q.max(initial=0) for q in queries)])) + 1
-        owners = np.repeat(np.arange(self.n), np.diff(self.ends, prepend=0))
-        df = np.bincount(self.terms, minlength=size)
-        # frequent ids by a product of matrices, the others by their postings
-        row = np.full(size, -1)
-        frequent = np.flatnonzero(df * 12 >= max(self.n, 12))
-        row[frequent] = np.arange(len(frequent))
-        often = row[self.terms] >= 0
-        dense = np.zeros((len(frequent), self.n))
-        dense[row[self.terms[often]], owners[often]] = self.weights[often]
-        terms, owners, weights = self.terms[~often], owners[~often], self.weights[~often]
-        by = np.argsort(terms, kind="stable")
-        owners, weights = owners[by], weights[by]
-        counts = np.bincount(terms, minlength=size)
-        starts = np.cumsum(counts) - counts
-        step = max(1, CELLS // max(self.n, len(frequent)))
-        for at in range(0, len(queries), step):
-            part = queries[at : at + step]
-            q, t = np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part).astype(np.int64)
-            asked = np.zeros((len(part), len(frequent)))
-            o = row[t] >= 0
-            asked[q[o], row[t[o]]] = 1
-            out = asked @ dense
-            q, t = q[~o], t[~o]
-            m = counts[t]
-            where = np.repeat(starts[t] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            out += np.bincount(np.repeat(q, m) * self.n + owners[where], weights[where], minlength=out.size).reshape(out.shape)
-            yield at, out
+    def shrink(self, alive: np.ndarray) -> None:
+        """Columns of used documents leave the matrix once they are a fourth of it."""
+        keep = alive[self.columns]
+        if keep.sum() <= 0.75 * len(keep):
+            self.columns, self.dense = self.columns[keep], np.ascontiguousarray(self.dense[:, keep])
+
+    def search(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Scores of every column's document for each query (a row)."""
+        q, t = np.repeat(np.arange(len(queries)), [len(x) for x in queries]), np.concatenate(queries)
+        often = self.row[t] >= 0
+        asked = np.zeros((len(queries), len(self.dense)))
+        asked[q[often], self.row[t[often]]] = 1
+        q, t = q[~often], t[~often]
+        m = self.counts[t]
+        where = np.repeat(self.starts[t] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        rare = np.bincount(np.repeat(q, m) * self.n + self.owners[where], self.weights[where], minlength=len(queries) * self.n).reshape(len(queries), self.n)
+        return np.rint((rare[:, self.columns] + asked @ self.dense) * UNIT) / UNIT
 
     def scores(self, i: int) -> np.ndarray:
         """BM25 of every document for all token ids of document i."""
-        return next(self.search([self.query(i)]))[1][0] / UNIT
+        out = np.full(self.n, -np.inf)
+        out[self.columns] = self.search([self.query(i)])[0]
+        return out
 
 
 class Chains:
@@ -253,122 +329,99 @@ def layout(sizes: list[int], neighbours, window: int) -> list[tuple[int, int, in
     return [(d, s, m, q, o) for d, s, m, _, q, o in chains.pieces()]
 
 
-def offers(index: Index, sizes: np.ndarray, place: int, n: int, asked: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """chain, score, tie, document, size, need of the shard's best documents for each (chain, seed, need, ids), until their sizes reach the need."""
-    places = place + np.flatnonzero(sizes)
-    index, sizes = index.only(sizes > 0), sizes[sizes > 0]
-    many = len(places)
-    for at, scores in index.search([x[3] for x in asked]):
-        part = asked[at : at + len(scores)]
-        seed, need = np.array([x[1] for x in part]), np.array([x[2] for x in part])
-        # equal scores: the next place after the seed, round the corpus
-        turn = (np.arange(many) - np.searchsorted(places, seed, side="right")[:, None]) % many
-        keys = (scores.astype(np.int64) << 24) - turn
-        todo, k = np.arange(len(part)), min(16, many)
-        while len(todo):
-            own = keys if len(todo) == len(part) else keys[todo]
-            top = np.argpartition(-own, k - 1, axis=1)[:, :k] if k < many else np.tile(np.arange(many), (len(todo), 1))
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(own, top, 1), axis=1), 1)
-            before = np.cumsum(sizes[top], axis=1) - sizes[top]
-            done = (before[:, -1] + sizes[top[:, -1]] >= need[todo]) | (k == many)
-            r, j = np.nonzero((before < need[todo][:, None]) & done[:, None])
-            doc, q = top[r, j], todo[r]
-            yield np.array([x[0] for x in part])[q], scores[q, doc].astype(np.int64), (places[doc] - seed[q] - 1) % n, places[doc], sizes[doc], need[q]
-            todo, k = todo[~done], min(k * 8, many)
+def offers(index: Index, chains: Chains, asked: list[int], factor: dict[int, int]) -> list[tuple[int, int]]:
+    """(chain, unused document), best first: for each chain the best ones until their sizes reach `factor` times its room."""
+    index.shrink(~chains.used)
+    free = ~chains.used[index.columns]
+    n, out = index.n, []
+    for at in range(0, len(asked), 32):
+        part = asked[at : at + 32]
+        scores = index.search([index.query(chains.first[c]) for c in part])[:, free]
+        docs = index.columns[free]
+        for c, own in zip(part, scores, strict=True):
+            need, k = chains.room[c] * factor.get(c, 2), 16
+            while True:
+                # the k best and all that are equal to the last of them, so that ties are settled by place alone
+                top = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if k < len(own) else np.arange(len(own))
+                turn = (docs[top] - chains.first[c] - 1) % n
+                by = np.lexsort((turn, -own[top]))
+                top = top[by]
+                before = np.cumsum(chains.sizes[docs[top]]) - chains.sizes[docs[top]]
+                if k >= len(own) or before[-1] + chains.sizes[docs[top[-1]]] >= need:
+                    break
+                k *= 4
+            cut = before < need
+            out += zip((-own[top[cut]]).tolist(), turn[by][cut].tolist(), [c] * int(cut.sum()), docs[top[cut]].tolist(), strict=True)
+    return [(c, d) for _, _, c, d in sorted(out)]
+
+
+def fill(ids: list[np.ndarray], df: np.ndarray, n: int, mean: float, window: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(document, start, length, chain, sequence, offset) of every piece of a shard. ids: with the separators."""
+    index = Index([x[:-1] for x in ids], df, n, mean)
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    step = CHAIN_WINDOWS * window
+    chains = Chains(sizes, np.searchsorted(begins, np.arange(-(-int(sizes.sum()) // step) + 1) * step), window)
+    factor: dict[int, int] = {}
+    while waiting := chains.waiting():
+        had = {c: (chains.seq[c], chains.room[c]) for c in waiting}
+        chains.take(offers(index, chains, waiting, factor))
+        # a window that got nothing, as others took all it was offered, asks for more
+        factor = {c: factor.get(c, 2) * 4 for c in waiting if had[c] == (chains.seq[c], chains.room[c])}
+    return chains.pieces()
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     own = tokens(path)
-    size, dtype = own.size, own.dtype
-    rows = materialise(tokenise(docs, path, id_col, text_col, separator), "tokens")
-    df, n, total = statistics(rows, size, dtype)
-    shards = max(1, -(-total // shard_tokens))
+    dtype, kind = own.dtype, docs.schema[id_col].dataType.simpleString()
+    rows = materialise(tokenise(docs, path, id_col, text_col, separator, fit_content(docs, path, id_col, text_col, separator)), "tokens")
+    df, n, total = statistics(rows, own.size)
     mean = max(1.0, total / max(1, n))
-    kind = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
     # one copy of the statistics for each executor: as many numbers as the vocabulary has
-    shared = spark.sparkContext.broadcast(df)
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", "_ids"), F.lit(shards)).cast("long"))
-    order = [("_id", "ascending"), ("_ids", "ascending")]
-
-    def build(table: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table.sort_by(order).column("_ids")]
-        index = Index([x[:-1] for x in ids], shared.value, n, mean)
-        sizes = np.array([len(x) for x in ids], dtype=np.int32)
-        parts = [sizes.tobytes(), index.ends.tobytes(), index.terms.astype(dtype).tobytes(), index.weights.astype(np.int32).tobytes()]
-        return pa.table({"_shard": table.column("_shard")[:1], **{k: pa.array([x], pa.binary()) for k, x in zip(("sizes", "ends", "terms", "weights"), parts, strict=True)}})
-
-    index = materialise(rows.groupBy("_shard").applyInArrow(build, "_shard long, sizes binary, ends binary, terms binary, weights binary"), "index")
-    by_shard = {r[0]: np.frombuffer(r[1], dtype=np.int32) for r in index.select("_shard", "sizes").toLocalIterator()}  # four bytes a document
-    sizes = np.concatenate([np.zeros(0, np.int32), *(by_shard[k] for k in sorted(by_shard))])
-    counts = {k: len(by_shard[k]) for k in sorted(by_shard)}
-    place = dict(zip(counts, np.cumsum([0, *counts.values()])[:-1].tolist(), strict=True))
-    places = spark.sparkContext.broadcast(place)
-    begins = np.cumsum(sizes, dtype=np.int64) - sizes
-    bounds = np.searchsorted(begins, np.arange(-(-total // (CHAIN_WINDOWS * window)) + 1) * CHAIN_WINDOWS * window)
-    chains = Chains(sizes, bounds, window)
-
-    def seeds(wanted):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    ends, at = np.frombuffer(r["ends"], dtype=np.int64), places.value[r["_shard"]]
-                    one = Index.stored(ends, np.frombuffer(r["terms"], dtype=dtype))
-                    w = wanted.value[slice(*np.searchsorted(wanted.value, [at, at + len(ends)]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([one.query(i - at).tobytes() for i in w.tolist()], pa.binary())], names=["doc", "ids"])
-
-        return run
-
-    def search(state):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            used, asked = state.value
-            asked = [(c, d, m, np.frombuffer(x, dtype=dtype)) for c, d, m, x in asked]
-            for batch in batches:
-                for r in batch.to_pylist():
-                    sizes, at = np.frombuffer(r["sizes"], dtype=np.int32).astype(np.int64), places.value[r["_shard"]]
-                    free = ~np.unpackbits(used[at // 8 : (at + len(sizes)) // 8 + 1])[at % 8 :][: len(sizes)].astype(bool)
-                    one = Index.stored(np.frombuffer(r["ends"], dtype=np.int64), np.frombuffer(r["terms"], dtype=dtype).astype(np.int64), np.frombuffer(r["weights"], dtype=np.int32).astype(float))
-                    for found in offers(one, sizes * free, at, n, asked):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["chain", "score", "tie", "doc", "size", "need"])
-
-        return run
-
-    best = Window.partitionBy("chain").orderBy(F.desc("score"), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    factor: dict[int, int] = {}
-    while waiting := chains.waiting():
-        # a window that got nothing, as others took all it was offered, asks for more
-        need = {c: chains.room[c] * factor.get(c, 2) for c in waiting}
-        first, had = {c: chains.first[c] for c in waiting}, {c: (chains.seq[c], chains.room[c]) for c in waiting}
-        wanted = spark.sparkContext.broadcast(np.unique(np.array(list(first.values()))))
-        found = index.select("_shard", "ends", "terms").mapInArrow(seeds(wanted), "doc long, ids binary").toArrow()
-        ids = dict(zip(found.column("doc").to_pylist(), found.column("ids").to_pylist(), strict=True))
-        state = spark.sparkContext.broadcast((np.append(np.packbits(chains.used), np.uint8(0)), [(c, first[c], need[c], ids[first[c]]) for c in waiting]))
-        found = index.mapInArrow(search(state), "chain long, score long, tie long, doc long, size long, need long")
-        found = found.withColumn("_before", F.coalesce(F.sum("size").over(best), F.lit(0))).filter("_before < need").select("chain", "score", "tie", "doc").toArrow()
-        found = found.sort_by([("score", "descending"), ("tie", "ascending"), ("chain", "ascending")])
-        chains.take(zip(found.column("chain").to_pylist(), found.column("doc").to_pylist(), strict=True))
-        factor = {c: factor.get(c, 2) * 4 for c in waiting if had[c] == (chains.seq[c], chains.room[c])}
-        wanted.destroy()
-        state.destroy()
-
-    d, s, m, c, q, o = (np.array(x, dtype=np.int64) for x in zip(*chains.pieces(), strict=True)) if n else [np.zeros(0, np.int64)] * 6
-    keys = np.array([*place, 0])
-    shard = np.searchsorted([*place.values()], d, side="right") - 1
-    pieces = pa.table({"_shard": keys[shard], "doc": d - np.array([*place.values(), 0])[shard], "start": s, "length": m, "sequence_id": c * 2**32 + q, "offset": o})
-    laid = spark.createDataFrame(pieces)
-
-    def cut(table: pa.Table, pieces: pa.Table) -> pa.Table:
-        table, pieces = table.sort_by(order), pieces.sort_by([("doc", "ascending"), ("start", "ascending")])
-        ids = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in table.column("_ids")]
-        d, s, m = (pieces.column(k).to_pylist() for k in ("doc", "start", "length"))
-        return pa.table({
-            id_col: table.column("_id").take(pieces.column("doc")), "start": pieces.column("start"), "length": pieces.column("length"),
-            "ids_crc32": pa.array([zlib.crc32(ids[i][a : a + k].astype("<u4")) for i, a, k in zip(d, s, m, strict=True)], pa.int64()),
-            "doc_tokens": pa.array([len(ids[i]) for i in d], pa.int64()), "sequence_id": pieces.column("sequence_id"), "offset": pieces.column("offset"),
-        })
-
-    return rows.groupBy("_shard").cogroup(laid.groupBy("_shard")).applyInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    shared = docs.sparkSession.sparkContext.broadcast(df)
+
+    def laid(ids: list[np.ndarray], base: int) -> tuple[list[tuple], int]:
+        """Pieces of a shard with sequence numbers from base on, and the next number."""
+        number: dict[tuple[int, int], int] = {}
+        out = [(d, s, m, number.setdefault((c, q), base + len(number)), o) for d, s, m, c, q, o in fill(ids, shared.value, n, mean, window)]
+        return out, base + len(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, base = [], TaskContext.get().partitionId() << 40
+        ids, size = [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal base, names, ids, size
+            pieces, base = laid(ids, base)
+            d, s, m, q, o = zip(*pieces, strict=True)
+            out = pa.RecordBatch.from_arrays([
+                pa.concat_arrays(names).take(pa.array(d, pa.int64())), pa.array(s, pa.int64()), pa.array(m, pa.int64()),
+                pa.array([zlib.crc32(ids[i][a : a + k].astype("<u4")) for i, a, k in zip(d, s, m, strict=True)], pa.int64()),
+                pa.array([len(ids[i]) for i in d], pa.int64()), pa.array(q, pa.int64()), pa.array(o, pa.int64()),
+            ], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            names, ids, size = [], [], 0
+            return out
+
+        for batch in batches:
+            first = 0
+            for i, raw in enumerate(batch.column(1)):
+                ids.append(np.frombuffer(raw.as_buffer(), dtype=dtype))
+                size += len(ids[-1])
+                if size >= shard_tokens:
+                    names.append(batch.column(0).slice(first, i + 1 - first))
+                    first = i + 1
+                    yield shard()
+            if first < batch.num_rows:
+                names.append(batch.column(0).slice(first))
+        if ids:
+            yield shard()
+
+    # the row number parts equal keys and repeated rows; the table is written, so it numbers alike when a task is run again
+    ranges = max(1, -(-total // (RANGE_SHARDS * shard_tokens)))
+    dealt = rows.filter("not _stat").select("_id", "_ids", "_key", "_term", F.monotonically_increasing_id().alias("_row"))
+    dealt = dealt.repartitionByRange(ranges, "_key", "_term", "_row").sortWithinPartitions("_key", "_term", "_row")
+    return dealt.select("_id", "_ids").mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

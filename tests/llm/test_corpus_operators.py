@@ -216,20 +216,19 @@ def test_packing_checksums_and_neighbours(spark):
     assert index.scores(3)[5] > index.scores(3)[4] and packing.pack(docs_of(spark, []), path).count() == 0
 
 
-def test_packing_finds_neighbours_in_every_shard(spark):
-    """One chain over many shards gives the windows of brute force over the whole corpus."""
+def test_packing_fills_windows_with_the_best_unused_neighbours(spark):
+    """One chain in one shard gives the windows of brute force."""
     path, rng = P.path("byte_bpe_50k.json"), random.Random(7)
     own = packing.Tokens(path)
     words = [f"{a}{b}" for a in ("stone", "river", "cloud", "wheel", "grape") for b in ("mark", "line", "fall", "work", "yard", "house")]
     texts = [" ".join(rng.choices(words, k=rng.randint(5, 60))) for _ in range(90)]
-    out = packing.pack(docs_of(spark, texts), path, window=512, shard_tokens=700).collect()
+    out = packing.pack(docs_of(spark, texts), path, window=512).collect()
     ids = [own.ids(t) for t in texts]
     df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=own.size)
     index = packing.Index(ids, df, len(ids), sum(len(x) + 1 for x in ids) / len(ids))
     laid = {}
     for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
         laid.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"]))
-    assert len({k >> 32 for k in laid}) == 1 and len(laid) > 3
     used = set()
     for seq in sorted(laid)[:4]:
         first = laid[seq][0][0]
@@ -240,6 +239,25 @@ def test_packing_finds_neighbours_in_every_shard(spark):
             used.add(doc)
 
 
+def test_packing_in_many_shards_is_whole_and_keeps_alike_documents_together(spark):
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(3)
+    own = packing.Tokens(path)
+    topics = [[f"{a}{b}" for b in ("mark", "line", "fall", "work", "yard")] for a in ("stone", "river", "cloud", "wheel", "grape")]
+    texts = [" ".join(rng.choices(topics[i % 5], k=rng.randint(5, 40))) for i in range(200)] + ["same text"] * 60 + [None] * 40
+    rows = docs_of(spark, texts + [texts[0]] * 5, [*range(len(texts)), *[0] * 5])  # repeated rows
+    out = packing.pack(rows.selectExpr("*", "1 as _key", "2 as _ids", "3 as start"), path, window=128, shard_tokens=500).collect()
+    sizes = {i: len(own.ids(t or "")) + 1 for i, t in enumerate(texts)}
+    assert sum(r["length"] for r in out) == sum(sizes.values()) + 5 * sizes[0] and {r["doc_id"] for r in out} == set(sizes)
+    at, inside = {}, {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+        inside.setdefault(r["sequence_id"], []).append(r["doc_id"])
+    assert all(v == 128 or (v < 128 and v & (v - 1) == 0) for v in at.values())
+    pairs = [(a % 5, b % 5) for own_ in inside.values() for a, b in zip(own_, own_[1:]) if a < 200 and b < 200]
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.8
+
+
 def test_packing_offers_are_exact_and_whole():
     """The query is all of a document's ids; offers are the best by a full sort, equal scores in turn after the seed."""
     rng = np.random.default_rng(5)
@@ -247,18 +265,21 @@ def test_packing_offers_are_exact_and_whole():
     df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=400)
     index, sizes = packing.Index(docs, df, len(docs), 60.0), np.array([len(x) + 1 for x in docs])
     assert all(set(index.query(i)) == set(docs[i]) for i in range(300))
-    begin = [0, *index.ends]
-    weight = [dict(zip(index.terms[a:b].tolist(), index.weights[a:b])) for a, b in zip(begin, begin[1:])]
-    free = sizes * (rng.random(300) < 0.7)
-    asked = [(c, seed, need, index.query(seed)) for c, (seed, need) in enumerate([(3, 50), (77, 4000), (299, 10**6), (150, 1)])]
-    got = {}
-    for found in packing.offers(index, free, 0, 300, asked):
-        for c, score, tie, doc, *_ in zip(*map(np.ndarray.tolist, found)):
-            got.setdefault(c, []).append((-score, tie, doc))
-    for c, seed, need, q in asked:
-        want = sorted((-int(sum(weight[j].get(t, 0) for t in q.tolist())), (j - seed - 1) % 300, j) for j in range(300) if free[j])
-        cut = np.cumsum([0, *(free[j] for *_, j in want)])[:-1] < need
-        assert got[c] == [w for w, keep in zip(want, cut) if keep]
+    weight = [dict(zip(t.tolist(), packing.weights(t, c, len(x), df, 300, 60.0))) for x in docs for t, c in [np.unique(x, return_counts=True)]]
+    seeds = [3, 77, 299, 150]
+    chains = packing.Chains(sizes, np.array([0, 75, 150, 225, 300]), 1024)
+    for spent in (0.0, 0.3, 0.6):
+        chains.used |= rng.random(300) < spent
+        chains.first, chains.room = list(seeds), [50, 400, 1024, 1]
+        factor = {2: 300}
+        got = {}
+        for c, doc in packing.offers(index, chains, [0, 1, 2, 3], factor):
+            got.setdefault(c, []).append(doc)
+        for c, seed in enumerate(seeds):
+            score = lambda j: round(sum(weight[j].get(t, 0.0) for t in index.query(seed).tolist()), 4)  # noqa: E731, B023
+            want = [j for *_, j in sorted((-score(j), (j - seed - 1) % 300, j) for j in range(300) if not chains.used[j])]
+            need = chains.room[c] * factor.get(c, 2)
+            assert got[c] == [j for j, before in zip(want, np.cumsum([0, *sizes[want]])) if before < need]
 
 
 # ---- 5
