@@ -9,9 +9,12 @@ Template: `<|im_start|>role<|im_sep|>text<|im_end|>` for each turn. Backslashes
 every control string gets a backslash after its first character, so no control string stands in a text; taking the
 character after each backslash undoes both.
 
-Defined results: null text is empty and null role the empty role. A parent that doesn't exist makes a root; nodes on a
-parent cycle have no root and are left out. Equal scores: the smaller leaf wins. Repeated node ids are not allowed in
-the general operator; the query numbers repeated turns by role and text. An empty table gives an empty result.
+Defined results: null text is empty and null role the empty role; null is a tree like any other. A parent that doesn't
+exist makes a root; nodes on a parent cycle have no root and are left out, and so are nodes whose id is null. Equal
+scores: the smaller leaf wins. Rows that repeat a node are one node with the smallest parent, the largest score, and the
+smallest role and text; the query numbers repeated turns by role and text, so all of them stay. Very long texts are
+formatted whole; one conversation's text must fit a row. An empty table gives an empty result. Only the named columns
+are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ def unescape(text: Column) -> Column:
 
 def root_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """tree, leaf, rank, node, depth (0 at the root) of the best root-to-leaf paths. nodes: tree, node, parent, score."""
-    nodes = materialise(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    # in a struct a null tree equals itself in joins
+    nodes = nodes.filter("node is not null").select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = materialise(nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score")), "nodes")
     here = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
     known = nodes.join(here, ["tree", "parent"], "left").select("tree", "node", "up", "score")
     # jump k: from a node 2^k steps up; total: the score of the nodes passed, the node itself included
@@ -68,13 +73,14 @@ def root_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
             continue
         more = spread.join(j, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         spread = materialise(spread.unionByName(more), f"walk{k}")
-    return spread.select("tree", "leaf", "rank", "node", "depth")
+    return spread.select(F.col("tree")["tree"].alias("tree"), "leaf", "rank", "node", "depth")
 
 
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     """tree, leaf, rank, formatted, loss_spans (start, end in code points of formatted). turns: tree, node, role, text."""
-    said = turns.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escape(F.col("text")).alias("text"))
-    rows = paths.join(said, ["tree", "node"])
+    said = turns.filter("node is not null").select(F.struct("tree").alias("tree"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = said.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("_said")).select("tree", "node", F.col("_said")["role"].alias("role"), escape(F.col("_said")["text"]).alias("text"))
+    rows = paths.withColumn("tree", F.struct("tree")).join(said, ["tree", "node"])
     each = F.struct("depth", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"), "text", (F.col("role") == "assistant").alias("loss"))
     # a conversation is one output row, so its turns meet in one task; only the chosen paths' turns are gathered
     rows = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(each)).alias("t"))
@@ -86,7 +92,7 @@ def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
         e = s + F.length(x["text"])
         return F.struct((e + len(END)).alias("at"), F.when(x["loss"], F.concat(a["spans"], F.array(F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"))))).otherwise(a["spans"]).alias("spans"))
 
-    return rows.select("tree", "leaf", "rank", formatted.alias("formatted"), F.aggregate("t", zero, walk, lambda a: a["spans"]).alias("loss_spans"))
+    return rows.select(F.col("tree")["tree"].alias("tree"), "leaf", "rank", formatted.alias("formatted"), F.aggregate("t", zero, walk, lambda a: a["spans"]).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -14,17 +14,23 @@ indexes are costed for every band and the cheaper one is taken:
 * one-deletion neighbourhoods (small sets): m = H // 2 + 1 segments; one of them differs by one element at most. A set
   emits every segment's hash and the hashes without each one of its elements.
 
-Frequencies come from a bounded sample (SAMPLE_DOCS) and steer cost only: any values give the same links.
+Frequencies come from a bounded sample (about SAMPLE_DOCS documents, SAMPLE_SHINGLES counts) and steer cost only: any
+values give the same links.
 
 Sets with equal elements are one node from the start, so exact copies cost nothing. Each map task groups its own
 signatures and sends one row for each, so no group at a reducer exceeds the number of map flushes, whatever the number
 of copies. A group yields pairs with its smallest node (a star); verified stars merge into components, and only groups
-whose members are in different components get further rounds: other star centres first, then all pairs across
-components. No link between different sets can be lost: every pair of a group is either verified or inside one
+whose members are in different components get further rounds: other star centres first, then pairs across components
+that sizes and odd bits allow. A group of more than BLOCK members is dealt in blocks, each pair of blocks a key of its
+own, so no task holds a large group. No link between different sets can be lost: every pair of a group is either verified or inside one
 component. Pairs are verified on the whole sets.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; fewer than five words make one
-shingle of the whole sequence. Repeated rows are copies. Null ids are allowed. An empty table gives an empty result.
+shingle of the whole sequence. Repeated rows are copies. Null ids are allowed. Ids may be of any type that orders; ids
+other than whole numbers are represented by 64-bit hashes inside. Of rows that repeat an id each is judged by its own
+text. There are no ties to settle: links are exact and the smallest id names a component. Very long texts are read whole;
+one text's set must fit a task. An empty table gives an empty result. Only the id and the text are read, so other
+columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -36,12 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkseam.session import materialise
 
 SHINGLE = 5
 #: Documents sampled for frequent shingles (one is frequent in FREQUENT of them), ids that are broadcast at most.
-SAMPLE_DOCS, FREQUENT, BROADCAST_IDS = 16_384, 3, 1_000_000
+SAMPLE_DOCS, FREQUENT, BROADCAST_IDS, SAMPLE_SHINGLES = 16_384, 3, 1_000_000, 1_000_000
+#: Members of a signature that are compared in one task.
+BLOCK = 512
 EMPTY = 2**40
 #: Links united in one task (16 bytes each).
 SMALL_LINKS = 200_000
@@ -318,18 +327,18 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").mapInArrow(run, ROW)
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text_col: str, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles in FREQUENT or more of about `sample` documents, and in how many."""
-    n = docs.count()
-    share = max(1, n // sample)
+    share = min(1.0, sample / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, sets, _ in chunks(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["s"])
 
-    some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(text_col).mapInArrow(run, "s long")
-    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).collect()
+    # chosen by row, not by id: null or repeated ids are sampled like others
+    some = docs.select(text_col).sample(share, 20).mapInArrow(run, "s long")
+    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(SAMPLE_SHINGLES).collect()
     known, counts = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64), np.array([r[1] for r in found], dtype=np.int64)
     by = np.argsort(known)
     return known[by], counts[by]
@@ -396,12 +405,21 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """_p, _q: the pairs of different components that share a signature and may link by sizes and odd bits."""
-    rows = members.select("sig", "node", "comp").join(sets.select("node", "n", "odd"), "node")
-    x, y = (rows.select("sig", *[F.col(c).alias(f"_{side}{c}") for c in ("node", "comp", "n", "odd")]) for side in "pq")
+def across(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """_p, _q: the pairs of different components that share a signature and may link by sizes and odd bits.
+
+    A group of `many` members is dealt by hash into many / block blocks; a member is sent once for each block it meets,
+    on the left with its own block first, on the right with it second, so each pair meets under one key.
+    """
+    rows = members.select("sig", "many", "node", "comp").join(sets.select("node", "n", "odd"), "node")
+    blocks = F.ceil(F.col("many") / block).cast("int")
+    own, other = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    kept = lambda side: [F.col(c).alias(f"_{side}{c}") for c in ("node", "comp", "n", "odd")]
+    x = rows.select("sig", *kept("p"), own.alias("_i"), other.alias("_j"))
+    y = rows.select(F.col("sig").alias("_sig"), *kept("q"), other.alias("_k"), own.alias("_l"))
     fits = (F.col("_pnode") < F.col("_qnode")) & (F.col("_pcomp") != F.col("_qcomp")) & may_link()
-    return x.join(y, (x["sig"] == y["sig"]) & fits).select(F.col("_pnode").alias("_p"), F.col("_qnode").alias("_q"))
+    met = (F.col("sig") == F.col("_sig")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l"))
+    return x.join(y, met & fits).select(F.col("_pnode").alias("_p"), F.col("_qnode").alias("_q"))
 
 
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,10 +480,18 @@ def merged(comp: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, _node of every row."""
+    """id_col, n_shingles, component_id, _node, _comp (null without shingles) of every row.
+
+    _node stands for a set, _comp for a component: with repeated ids two components may have the same smallest id.
+    """
+    if docs.schema[id_col].dataType.simpleString() not in WHOLE:
+        return _linked_by_hash(docs, id_col, text_col)
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text_col))
     rows = materialise(candidates(index_rows(docs, id_col, text_col, frequent)), "index")
     of_doc = rows.filter(F.col("kind") == DOC).select(F.col("a").alias("_id"), F.col("b").alias("node"), "n")
     pairs = rows.filter(F.col("kind") == PAIR).select("a", "b").distinct()
@@ -498,10 +524,61 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         comp = merged(comp, materialise(more, f"pairs{turn}"), sets)
     names = nodes.join(comp, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp"))
     least = names.groupBy("comp").agg(F.min("_rep").alias("component_id"))
-    names = names.join(least, "comp").select("node", "component_id")
+    names = names.join(least, "comp").select("node", "component_id", "comp")
     # a row without shingles is a component of its own; its node is none
     out = of_doc.select("_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n").join(names, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.col("node").alias("_node"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+
+
+def _linked_by_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """linked() for ids of any type: rows are linked under hashes of the ids, and the smallest id is found afterwards."""
+    rows = docs.select(F.col(id_col).alias("_name"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"), F.col(text_col).alias("_text"))
+    names = rows.select("_name", "_hash").distinct()
+    out = linked(rows, "_hash", "_text").join(names, "_hash")
+    least = out.filter("_comp is not null").groupBy("_comp").agg(F.min("_name").alias("_least"))
+    out = out.join(least, "_comp", "left")
+    return out.select(F.col("_name").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("_name")).alias("component_id"), "_node", "_comp")
+
+
+def with_nodes(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with _node, the number of each row's set (null without shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for row, end, sets, sizes in chunks(batch, at):
+                nodes = node_ids(sets, sizes)
+                yield batch.slice(row, end - row).append_column("_node", pa.array(nodes.view(np.int64), mask=nodes == 0))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when each component keeps one document: its smallest id's (a null id comes last).
+
+    Rows without shingles link with nothing and all stay. Of rows that repeat an id, those whose text is in another
+    component's set go by their text; of rows that repeat an id and a set the one with the smallest text (and then the
+    smallest other columns) stays.
+    """
+    rows = materialise(linked(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "_node", "_comp"), "linked")
+    first = rows.filter("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node"))).alias("_f"))
+    first = first.select(F.col("_f")["id"].alias("_stay"), F.col("_f")["node"].alias("_stay_node"))
+    stay = materialise(first.unionByName(rows.filter("_comp is null").select(F.col("_id").alias("_stay"), F.col("_node").alias("_stay_node"))), "stay")
+    repeated = materialise(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col("_id").alias("_again")), "repeated")
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+    own = few(stay)
+    same = docs[id_col].eqNullSafe(stay["_stay"])
+    if repeated.isEmpty():
+        return docs.join(own, same, "left_semi")
+    again = few(repeated)
+    single = docs.join(again, docs[id_col].eqNullSafe(repeated["_again"]), "left_anti").join(own, same, "left_semi")
+    more = with_nodes(docs.join(again, docs[id_col].eqNullSafe(repeated["_again"]), "left_semi"), text_col)
+    more = more.join(own, more[id_col].eqNullSafe(stay["_stay"]) & more["_node"].eqNullSafe(stay["_stay_node"]), "left_semi")
+    rest = [c for c in docs.columns if c != text_col]
+    best = more.filter("_node is not null").groupBy(F.col(id_col).alias("_key"), "_node").agg(F.min(F.struct(text_col, *rest)).alias("_best"))
+    return single.unionByName(best.select(*[F.col("_best")[c].alias(c) for c in docs.columns])).unionByName(more.filter("_node is null").select(*docs.columns))
+
+
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

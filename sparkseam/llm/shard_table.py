@@ -8,7 +8,9 @@ the data. Rows then meet it by slot = hash(key) mod slots in a broadcast join: s
 Adding or removing a shard moves few slots, and shard shares differ by one slot at most.
 
 Defined results: a null key hashes as the empty string. Repeated rows and ties go to the same shard. An empty table
-gives an empty result. One to 255 shards with distinct names; more slots than shards.
+gives an empty result. Very long keys are hashed whole. All columns of the rows stay; where one has a result column's
+name already, the result column gets underscores before its name until that is free. One to 255 shards with distinct
+names; more slots than shards.
 """
 
 from __future__ import annotations
@@ -60,16 +62,27 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
         "slot", F.get("names", F.conv(F.substr("owner", 2 * F.col("slot") + 1, F.lit(2)), 16, 10).cast("int")).alias("shard"))
 
 
-def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """rows with _slot and _shard."""
-    table = lookup_table(rows.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
+def free_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """rows with slot_col and shard_col."""
+    slot_col = free_name(slot_col, rows.columns)
+    shard_col = free_name(shard_col, [*rows.columns, slot_col])
+    mine, theirs = free_name("_slot_of_row", rows.columns), free_name("_slot_of_table", rows.columns)
+    table = lookup_table(rows.sparkSession, shards, slots).select(F.col("slot").alias(theirs), F.col("shard").alias(shard_col))
     at = F.pmod(hash60(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
-    return rows.withColumn("_slot", at).join(F.broadcast(table), "_slot", "left")
+    met = rows.withColumn(mine, at).join(F.broadcast(table), F.col(mine) == F.col(theirs), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(mine).alias(slot_col), F.col(shard_col))
 
 
 def op7_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return place(docs, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)]).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return place(docs, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)])
 
 
 ORACLE = """

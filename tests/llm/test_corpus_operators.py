@@ -160,6 +160,25 @@ def test_reply_tree_paths(spark):
     assert chat.root_paths(frame.filter("false")).count() == 0
 
 
+def test_reply_trees_with_null_trees_repeats_and_other_columns(spark):
+    nodes = [(None, 1, None, 1.0), (None, 2, 1, 1.0), (5, 1, None, 1.0), (5, 2, 1, 1.0), (5, 2, 1, 3.0), (5, 3, 1, 2.0), (5, None, 1, 9.0)]
+    frame = spark.createDataFrame(nodes, "tree long, node long, parent long, score double").selectExpr("*", "1 as up", "2 as rank")
+    paths = chat.root_paths(frame)
+    assert sorted((str(r["tree"]), r["depth"], r["node"]) for r in paths.collect()) == [("5", 0, 1), ("5", 1, 2), ("None", 0, 1), ("None", 1, 2)]
+    long = "word " * 50_000
+    turns = [(None, 1, "user", "hi"), (None, 2, "assistant", long), (5, 1, "user", "b"), (5, 1, "user", "a"), (5, 2, None, None)]
+    got = {r["tree"]: r for r in chat.format_paths(paths, spark.createDataFrame(turns, "tree long, node long, role string, text string").selectExpr("*", "1 as leaf")).collect()}
+    assert got[None]["formatted"] == f"<|im_start|>user<|im_sep|>hi<|im_end|><|im_start|>assistant<|im_sep|>{long}<|im_end|>"
+    assert got[5]["formatted"] == "<|im_start|>user<|im_sep|>a<|im_end|><|im_start|><|im_sep|><|im_end|>" and got[5]["loss_spans"] == []
+
+
+def test_chat_keeps_conversations_without_an_id(spark, tmp_path):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "c")]
+    written(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.op3_reply_trees(spark, str(tmp_path)).collect()}
+    assert got == {None: 2, 5: 1, -1: 2}
+
+
 def test_chat_round_trip(spark, tmp_path):
     rng, bits = random.Random(2), [*chat.CONTROLS, "\\", "\n", "a", "é", "<", "[", ">", "|", " "]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "odd\nrole", None]), None if rng.random() < 0.1 else "".join(rng.choices(bits, k=rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 9))]
@@ -412,6 +431,35 @@ def test_jaccard_chain_and_edges(spark):
     assert [r["component_id"] for r in jaccard_join.linked(docs_of(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_jaccard_ids_of_any_type(spark):
+    texts = ["a b c d e f", "A b c d e f", "x y", None]
+    for ids, kind in ((["d", "b", "c", None], "string"), ([2.5, 1.5, 3.0, None], "double")):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").selectExpr("*", "1 as _hash", "2 as key")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked(rows).collect()}
+        assert got == {ids[0]: ids[1], ids[1]: ids[1], ids[2]: ids[2], None: None}
+
+
+def test_keep_one_of_each_component(spark):
+    a, b = "one two three four five six", "other words stand here in this text"
+    rows = [(1, a), (5, b), (5, a), (6, b + " "), (7, "solo text"), (7, "solo text"), (7, "SOLO text"), (8, None), (8, ""), (None, a), (None, "null owns this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _node", "doc_id * 2 as n")
+    docs = docs.drop("_node")
+    out = jaccard_join.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, [(1, a), (5, b), (7, "SOLO text"), (8, None), (8, ""), (None, "null owns this")]))
+    assert jaccard_join.keep_one(docs.filter("doc_id in (1, 6)")).count() == 2 and jaccard_join.keep_one(docs.filter("false")).count() == 0
+
+
+def test_pairs_of_a_large_signature_meet_once_in_blocks(spark):
+    n = 60
+    members = spark.range(n).selectExpr("1L as sig", f"{n}L as many", "id as node", "id % 50 as comp")
+    sets = spark.range(n).selectExpr("id as node", "10L as n", "array(0L, 0L) as odd")
+    want = {(p, q) for q in range(n) for p in range(q) if p % 50 != q % 50}
+    for block in (1000, 7):
+        got = [(r["_p"], r["_q"]) for r in jaccard_join.across(members, sets, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_most_apart_bounds_every_linked_pair():
     for a in range(1, 120):
         for b in range(a, 120):
@@ -434,8 +482,12 @@ def test_lookup_table_is_filled_by_turns(spark):
         want[order[turn][at[turn]]] = names[turn]
         turn = (turn + 1) % len(names)
     assert {r["slot"]: r["shard"] for r in shard_table.lookup_table(spark, names, slots).collect()} == want
-    rows = spark.createDataFrame([("k1", 1), (None, 2), ("k1", 3)], "key string, shard int")
-    got = {r["shard"]: r["_shard"] for r in shard_table.place(rows, "key", names, slots).collect()}
+    rows = spark.createDataFrame([("k1", 1), (None, 2), ("k1", 3)], "key string, shard int").selectExpr("*", "9 as _slot_of_row", "8 as slot")
+    placed = shard_table.place(rows, "key", names, slots)
+    assert placed.columns == ["key", "shard", "_slot_of_row", "slot", "_slot", "_shard"] and placed.filter("slot = 8 and _slot_of_row = 9").count() == 3
+    assert shard_table.place(rows.filter("false"), "key", names, slots).count() == 0
+    assert shard_table.place(spark.range(1).selectExpr("repeat('x', 1000000) as key", "1 as _shard", "2 as _slot"), "key", names, slots).first()["shard"] in names
+    got = {r["shard"]: r["_shard"] for r in placed.collect()}
     assert got[1] == got[3] == want[h("k1") % slots] and got[2] == want[h("") % slots]
     with pytest.raises(ValueError):
         shard_table.lookup_table(spark, names, 100)
