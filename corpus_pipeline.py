@@ -7,7 +7,6 @@ columns of docs. run() writes each stage's rows as Parquet into the shared folde
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkseam.llm import jaccard_join, line_quality, packing, pii, toxicity
 from sparkseam.session import materialise, read_table
@@ -26,15 +25,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays. Rows that repeat an id and a text count once."""
-    rows = materialise(jaccard_join.linked(docs).select("doc_id", "component_id"), "linked")
-    stay = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    stay = materialise(stay.select(F.col("doc_id").alias("_stay"), "_rows"), "stay")
-    few = stay.count() <= jaccard_join.BROADCAST_IDS
-    kept = docs.join(F.broadcast(stay) if few else stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    if stay.filter("_rows > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of linked documents the one with the smallest id stays; repeated ids are told apart by their texts."""
+    return jaccard_join.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
