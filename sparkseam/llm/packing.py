@@ -14,7 +14,7 @@ several windows want goes to the highest score. What remains at a chain's end is
 has padding.
 
 The content key is (nearest of CLUSTERS centres, heaviest token id). Centres are fitted by spherical k-means on hashed
-tf-idf vectors of SAMPLE_DOCS documents at most (the smallest hashes of id and text); they choose the neighbourhood, and
+tf-idf vectors of a sample of about SAMPLE_DOCS documents; they choose the neighbourhood, and
 every document is indexed whatever its key. A seed meets its own shard only: the work grows in proportion to the corpus,
 and what share of the corpus-wide best neighbours and of their scores that reaches is measured in the README.
 
@@ -91,10 +91,23 @@ def tokens(path: str) -> Tokens:
     return _LOADED[path]
 
 
-def weights(terms: np.ndarray, tf: np.ndarray, size: int, df: np.ndarray, n: int, mean: float) -> np.ndarray:
-    """BM25 weights of a document's distinct token ids."""
-    idf = np.log1p((n - df[terms] + 0.5) / (df[terms] + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+def distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token ids of each document after each other, how often each occurs, and how many each document has."""
+    sizes = np.array([len(x) for x in docs], dtype=np.int64)
+    if not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(docs), np.int64)
+    all_ = np.concatenate([np.sort(x, kind="stable") for x in docs])
+    first = np.append(True, all_[1:] != all_[:-1])
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(first)
+    owner = np.searchsorted(np.cumsum(sizes), at, side="right")
+    return all_[at].astype(np.int64), np.diff(np.append(at, len(all_))), np.bincount(owner, minlength=len(docs))
+
+
+def weights(terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray, df: np.ndarray, n: int, mean: float) -> np.ndarray:
+    """BM25 weights of token ids that occur tf times in documents of these sizes."""
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    return idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / mean))
 
 
 class Content:
@@ -105,18 +118,23 @@ class Content:
         self.df, self.n, self.mean, self.centres = df, n, mean, centres
         self.cell, self.sign = rng.integers(0, DIMENSIONS, len(df)), np.where(rng.random(len(df)) < 0.5, -1.0, 1.0)
 
-    def vector(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Hashed tf-idf vector of length one."""
-        v = np.bincount(self.cell[terms], w * self.sign[terms], minlength=DIMENSIONS)
-        return v / (np.sqrt((v * v).sum()) + 1e-9)
-
-    def key(self, ids: np.ndarray) -> tuple[np.ndarray, int, int]:
-        """Distinct token ids, the nearest centre and the heaviest token id."""
-        terms, tf = np.unique(ids, return_counts=True)
-        if not len(terms):
-            return terms, 0, 0
-        w = weights(terms, tf, len(ids), self.df, self.n, self.mean)
-        return terms, int((self.centres @ self.vector(terms, w)).argmax()) if len(self.centres) else 0, int(terms[w.argmax()])
+    def vectors(self, terms: np.ndarray, tf: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed tf-idf vectors of length one (a row for each document) and the weights. Arguments as from distinct()."""
+        w = weights(terms, tf, np.repeat(sizes, counts), self.df, self.n, self.mean)
+        cell = np.repeat(np.arange(len(counts)) * DIMENSIONS, counts) + self.cell[terms]
+        v = np.bincount(cell, w * self.sign[terms], minlength=len(counts) * DIMENSIONS).reshape(len(counts), DIMENSIONS)
+        return v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9), w
+
+    def keys(self, terms: np.ndarray, tf: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre and the heaviest token id (the smallest of equals) of each document."""
+        v, w = self.vectors(terms, tf, counts, sizes)
+        heavy, full = np.zeros(len(counts), np.int64), counts > 0
+        if full.any():
+            most = np.maximum.reduceat(w, (np.cumsum(counts) - counts)[full])
+            owner = np.repeat(np.arange(len(counts)), counts)
+            at = np.flatnonzero(w == np.repeat(most, counts[full]))[::-1]
+            heavy[owner[at]] = terms[at]
+        return (v @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(counts), np.int64), heavy
 
     def fit(self, vectors: np.ndarray) -> Content:
         """Spherical k-means. vectors: one row for each document of the sample."""
@@ -152,20 +170,16 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, separator:
             null = null if null is not None else batch.column(0).type
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                raw, keys, heavy = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = own.ids(text or "")
-                    terms, key, term = content.key(ids) if content else (np.unique(ids), 0, 0)
-                    df[terms] += 1
-                    df[-2] += 1
-                    df[-1] += len(ids) + 1
-                    raw.append(ids.tobytes() + tail)
-                    keys.append(key)
-                    heavy.append(term)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.int64()), pa.array(heavy, pa.int64()), pa.array([False] * len(raw))], names=names)
+                ids = [own.ids(t or "") for t in part.column(1).to_pylist()]
+                sizes, (terms, tf, counts) = np.array([len(x) for x in ids]), distinct(ids)
+                df[:-2] += np.bincount(terms, minlength=own.size)
+                df[-2:] += len(ids), sizes.sum() + len(ids)
+                keys, heavy = content.keys(terms, tf, counts, sizes) if content else (np.zeros(len(ids), np.int64),) * 2
+                raw = pa.array([x.tobytes() + tail for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(keys), pa.array(heavy), pa.array(np.zeros(len(ids), bool))], names=names)
         at = np.flatnonzero(df)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]), pa.array([True] * len(at))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]), pa.array(np.ones(len(at), bool))], names=names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, {KEYED}")
 
@@ -179,8 +193,8 @@ def statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
 
 
 def fit_content(docs: DataFrame, path: str, id_col: str, text_col: str, separator: int, sample: int = SAMPLE_DOCS) -> Content:
-    """Centres of a sample of `sample` documents at most; the driver gets their vectors, DIMENSIONS numbers each."""
-    some = docs.select(F.col(id_col), F.col(text_col)).orderBy(F.xxhash64(id_col, text_col)).limit(sample)
+    """Centres of a sample of about `sample` documents; the driver gets their vectors, DIMENSIONS numbers each."""
+    some = docs.select(id_col, text_col).sample(min(1.0, sample / max(1, docs.count())), 20)
     own = tokens(path)
     rows = materialise(tokenise(some, path, id_col, text_col, separator), "sample")
     df, n, total = statistics(rows, own.size)
@@ -189,12 +203,9 @@ def fit_content(docs: DataFrame, path: str, id_col: str, text_col: str, separato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), dtype=dtype)[:-1]
-                terms, tf = np.unique(ids, return_counts=True)
-                out.append(content.vector(terms, weights(terms, tf, len(ids), content.df, content.n, content.mean)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["v"])
+            ids = [np.frombuffer(raw.as_buffer(), dtype=dtype)[:-1] for raw in batch.column(0)]
+            v, _ = content.vectors(*distinct(ids), np.array([len(x) for x in ids]))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary())], names=["v"])
 
     found = sorted(r[0] for r in rows.filter("not _stat").select("_ids").mapInArrow(run, "v binary").collect())
     return content.fit(np.array([np.frombuffer(v, dtype="<f4") for v in found], dtype=float).reshape(-1, DIMENSIONS))
@@ -204,13 +215,10 @@ class Index:
     """BM25 postings of one shard. Frequent token ids are rows of a matrix over the documents still unused, the others have postings."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n: int, mean: float):
-        found = [np.unique(ids, return_counts=True) for ids in docs]
-        self.n, self.ends = len(docs), np.cumsum([len(t) for t, _ in found], dtype=np.int64)
-        self.terms = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in found)]).astype(np.int64)
-        counts = np.diff(self.ends, prepend=0)
+        self.terms, tf, counts = distinct(docs)
+        self.n, self.ends = len(docs), np.cumsum(counts)
         owners = np.repeat(np.arange(self.n), counts)
-        tf = np.concatenate([np.zeros(0), *(c for _, c in found)])
-        w = weights(self.terms, tf, np.repeat([len(x) for x in docs], counts) if self.n else tf, df, n, mean)
+        w = weights(self.terms, tf, np.repeat(np.array([len(x) for x in docs], np.int64), counts), df, n, mean)
         size = int(self.terms.max(initial=0)) + 1
         here = np.bincount(self.terms, minlength=size)
         # frequent ids by a product of matrices, the others by their postings

@@ -277,6 +277,27 @@ def test_packing_in_many_shards_is_whole_and_keeps_alike_documents_together(spar
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.8
 
 
+def test_distinct_ids_and_content_keys():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50, k).astype("<u2") for k in (0, 1, 30, 0, 7, 200, 0)]
+    terms, tf, counts = packing.distinct(docs)
+    ends = np.cumsum(counts)
+    for x, a, b in zip(docs, ends - counts, ends):
+        want = np.unique(x, return_counts=True)
+        assert terms[a:b].tolist() == want[0].tolist() and tf[a:b].tolist() == want[1].tolist()
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=50)
+    content = packing.Content(df, 7, 30.0, rng.standard_normal((5, packing.DIMENSIONS)))
+    keys, heavy = content.keys(terms, tf, counts, np.array([len(x) for x in docs]))
+    for i, x in enumerate(docs):
+        t, c = np.unique(x, return_counts=True)
+        w = np.log1p((7 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / 30.0))
+        assert heavy[i] == (t[w.argmax()] if len(t) else 0)
+        v = np.zeros(packing.DIMENSIONS)
+        np.add.at(v, content.cell[t], w * content.sign[t])
+        assert keys[i] == (content.centres @ v).argmax()
+    assert all(len(x) == 0 for x in packing.distinct([])) and packing.distinct([docs[0]])[2].tolist() == [0]
+
+
 def test_packing_offers_are_exact_and_whole():
     """The query is all of a document's ids; offers are the best by a full sort, equal scores in turn after the seed."""
     rng = np.random.default_rng(5)
@@ -284,7 +305,7 @@ def test_packing_offers_are_exact_and_whole():
     df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=400)
     index, sizes = packing.Index(docs, df, len(docs), 60.0), np.array([len(x) + 1 for x in docs])
     assert all(set(index.query(i)) == set(docs[i]) for i in range(300))
-    weight = [dict(zip(t.tolist(), packing.weights(t, c, len(x), df, 300, 60.0))) for x in docs for t, c in [np.unique(x, return_counts=True)]]
+    weight = [dict(zip(t.tolist(), packing.weights(t, c, np.full(len(t), len(x)), df, 300, 60.0))) for x in docs for t, c in [np.unique(x, return_counts=True)]]
     seeds = [3, 77, 299, 150]
     chains = packing.Chains(sizes, np.array([0, 75, 150, 225, 300]), 1024)
     for spent in (0.0, 0.3, 0.6):
