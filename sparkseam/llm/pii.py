@@ -1,19 +1,20 @@
 """Personal data by fixed patterns and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns give the base spans. The tagger (embedding, one LSTM each way, linear emissions, CRF transitions with
-start and end scores, BIO tags of four kinds) is trained in numpy by back-propagation through time from labelled
-spans: texts made from a fixed seed that hold personal data in many notations beside look-alikes (hex tokens, keys,
-prices, dates, versions). Training takes seconds, happens on the driver once for each process, and the weights (some
-20 kB) travel with the task.
-
-Texts are tagged in windows of WINDOW characters every STRIDE; a span found by the tagger must hold a digit or an @, so
-windows without either can yield nothing and aren't run. Each window is decoded by Viterbi; spans cut by a window's
-inner edge give way to the neighbour that sees them whole; what overlaps is then reconciled over the whole text by
-weighted interval scheduling on the spans' mean margins. Spans of the tagger that overlap a base span or fail their
-kind's plausibility test are dropped, so base spans always stay.
-
-Defined results: null counts as empty and has no spans. Repeated rows give repeated results. An empty table gives an
-empty result. Spans are in code points, end exclusive. Only the named columns are read.
+start and end scores, BIO tags of five kinds) is trained in numpy by back-propagation through time from labelled
+spans: texts made from a fixed seed that hold personal data and secrets in many notations beside look-alikes (prices,
+dates, versions, handles, long numbers). Training takes seconds, happens on the driver once for each process, and the
+weights (some 10 kB) travel with the task.
+
+Every text is tagged whole, in windows of WINDOW characters every STRIDE. Each window is decoded by Viterbi: a forward
+pass of scores for all, and back pointers for those where the path of O alone isn't the best. Parts of a span that neighbouring windows cut are
+joined, and what overlaps is then reconciled over the whole text by weighted interval scheduling on the spans' summed
+margins. Spans of the tagger that overlap a base span, or can't be of their kind (`plausible`), are dropped, so base
+spans always stay. The kinds are those of the patterns and `secret`, which has no pattern.
+
+Defined results: null counts as empty and has no spans. Repeated rows give repeated results. Ties in the scheduling go
+to the spans that end first. Very long texts are tagged window by window. An empty table gives an empty result. Spans
+are in code points, end exclusive. Only the named columns are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ["email", "ip", "card", "phone"]
-WINDOW, STRIDE = 96, 48
+KINDS = ["email", "ip", "card", "phone", "secret"]
+PATTERNED = 4  # kinds that have a base pattern
+WINDOW, STRIDE = 160, 128
+#: Windows of one block; characters of training windows.
+BLOCK, TRAIN_WINDOW = 1024, 96
 #: Training: seed, texts, passes, sizes of embedding and of each LSTM.
-SEED, TRAIN_TEXTS, PASSES, EMBED, HIDDEN = 7, 1600, 8, 12, 16
+SEED, TRAIN_TEXTS, PASSES, EMBED, HIDDEN = 7, 2000, 8, 10, 8
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -41,7 +45,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_AT, _DOT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*", re.IGNORECASE), re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -80,35 +84,37 @@ def base_spans(text: str) -> list[Span]:
 
 
 def plausible(kind: int, text: str) -> bool:
-    """Whether a span of the tagger can be of its kind at all."""
+    """Whether a span of the tagger can be of its kind at all: address parts, number ranges, checksum, digit counts."""
     digits = "".join(c for c in text if "0" <= c <= "9")
     if kind == 0:
-        local, at, domain = text.partition("@")
-        return bool(at and local.strip() and "." in domain.strip(" .") and "\n" not in text and text.count("@") == 1)
+        local, at, domain = _DOT.sub(".", _AT.sub("@", text)).partition("@")
+        return bool(at and local.strip() and "." in domain.strip(" .") and "\n" not in text and "@" not in domain)
     if kind == 1:
-        parts = re.split(r"\s*\.\s*", text)
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = re.split(r"\s*\.\s*", _DOT.sub(".", text))
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9]+(?:[ .\-/_][0-9]+){1,6}", text) is not None
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"(?:\+|00)?[0-9(][0-9 ().\-/]*[0-9]", text) is not None and len(re.findall(r"[0-9]+", text)) >= 3
+        return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9](?:[ .\-/_]?[0-9])+", text) is not None
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and re.fullmatch(r"(?:\+|00)?[0-9(][0-9 ().\-/]*[0-9]", text) is not None and len(re.findall(r"[0-9]+", text)) >= 3
+    return re.fullmatch(r"[A-Za-z0-9+/=_\-]{12,}", text) is not None and len(digits) >= 3 and sum(c.isalpha() for c in text) >= 3
 
 
 # ---- the tagger
 
 CHARS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 K = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-_TABLE = np.full(128, 6, dtype=np.int64)
+VOCAB = 8 + len(CHARS)  # 0 pads, 6 is any other character, the last are the letters that hexadecimal numbers have
+_TABLE = np.full(128, 6, dtype=np.uint8)
 for _c in range(128):
     _ch = chr(_c)
-    _TABLE[_c] = 1 if _ch.isdigit() else 2 if _ch.islower() else 3 if _ch.isupper() else 4 if _ch == "\n" else 5 if _ch.isspace() else 7 + CHARS.index(_ch) if _ch in CHARS else 6
-VOCAB = 7 + len(CHARS)  # 0 pads, 6 is any other character
+    _TABLE[_c] = 1 if _ch.isdigit() else VOCAB - 1 if _ch in "abcdef" else 2 if _ch.islower() else 3 if _ch.isupper() else 4 if _ch == "\n" else 5 if _ch.isspace() else 7 + CHARS.index(_ch) if _ch in CHARS else 6
 #: BIO order: I follows only B or I of its kind.
 ALLOWED = np.array([[j == 0 or j % 2 == 1 or i in (j, j - 1) for j in range(K)] for i in range(K)])
 
 
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(points < 128, _TABLE[np.minimum(points, 127)], 2)
+    return np.where(points < 128, _TABLE[np.minimum(points, 127)], np.uint8(2))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -204,23 +210,85 @@ class Tagger:
         np.add.at(grad["embed"], windows.T, dx)
         return float((total - gold).mean()), {k: v / n for k, v in grad.items()}
 
-    def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags (batch, time), and each place's margin of its tag over O or the best other."""
-        e, _ = self.emissions(windows)
+    def compiled(self) -> Compiled:
+        return Compiled(self)
+
+
+#: A path must be so much better than that of O alone; rounding of single precision stays below.
+LEAST_GAIN = 1e-2
+
+
+class Compiled:
+    """A tagger's weights as inference wants them: features before windows, embedding and input weights in one table."""
+
+    def __init__(self, model: Tagger):
+        p = model.p
+        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, so that one tanh does all four gates
+        half = np.repeat(np.float32([0.5, 0.5, 0.5, 1.0]), HIDDEN)
+        self.table = [np.ascontiguousarray(((p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) * half).T.astype(np.float32)) for d in "fb"]
+        self.inner = np.stack([(p[f"h{d}"] * half).T for d in "fb"]).astype(np.float32)
+        self.out, self.bias = np.ascontiguousarray(p["out"].T), p["bias"][:, None]
+        self.moves, self.first, self.last = model.moves(), p["first"], p["last"]
+
+    def candidates(self, e: np.ndarray) -> np.ndarray:
+        """Windows whose best path is better than that of O alone, from the scores of Viterbi's forward pass."""
+        begin, inside = np.arange(1, K, 2), np.arange(2, K, 2)
+        open_ = np.append(0, begin)  # O and B follow any tag, I only its own kind's
+        moves, follow, stay = self.moves[:, open_, None], self.moves[begin, inside][:, None], self.moves[inside, inside][:, None]
+        score = self.first[:, None] + e[0]
+        none = score[0].copy()
+        for t in range(1, len(e)):
+            into = (score[:, None, :] + moves).max(0)
+            on = np.maximum(score[begin] + follow, score[inside] + stay)
+            score = np.empty_like(score)
+            score[open_], score[inside] = into, on
+            score += e[t]
+            none += self.moves[0, 0] + e[t, 0]
+        return np.flatnonzero((score + self.last[:, None]).max(0) > none + self.last[0] + LEAST_GAIN)
+
+    def emissions(self, windows: np.ndarray) -> np.ndarray:
+        """(time, tags, batch) of windows (batch, time)."""
+        x = np.ascontiguousarray(windows.T, dtype=np.intp)
+        steps, n = x.shape
+        h, c, t1 = (np.zeros((2, HIDDEN, n), np.float32) for _ in range(3))
+        a, part = (np.empty((2, 4 * HIDDEN, n), np.float32) for _ in range(2))
+        both = np.empty((steps, 2 * HIDDEN, n), np.float32)
+        for t in range(steps):
+            np.take(self.table[0], x[t], axis=1, out=a[0], mode="clip")
+            np.take(self.table[1], x[steps - 1 - t], axis=1, out=a[1], mode="clip")
+            np.matmul(self.inner, h, out=part)
+            a += part
+            np.tanh(a, out=a)
+            gates = a[:, : 3 * HIDDEN]
+            gates *= 0.5
+            gates += 0.5
+            c *= a[:, HIDDEN : 2 * HIDDEN]
+            np.multiply(a[:, :HIDDEN], a[:, 3 * HIDDEN :], out=t1)
+            c += t1
+            np.tanh(c, out=t1)
+            np.multiply(a[:, 2 * HIDDEN : 3 * HIDDEN], t1, out=h)
+            both[t, :HIDDEN], both[steps - 1 - t, HIDDEN:] = h[0], h[1]
+        return np.matmul(self.out, both) + self.bias
+
+    def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that may hold other tags than O, their Viterbi tags (rows, time), and each place's margin of its tag over O."""
+        e = self.emissions(windows)
+        rows = self.candidates(e)
+        e = e[:, :, rows].transpose(0, 2, 1)
         steps, n = e.shape[:2]
-        moves, back = self.moves(), np.empty((steps, n, K), np.int8)
-        score = self.p["first"] + e[0]
+        back = np.empty((steps, n, K), np.int8)
+        score = self.first + e[0]
         for t in range(1, steps):
-            all_ = score[:, :, None] + moves
+            all_ = score[:, :, None] + self.moves
             back[t] = all_.argmax(1)
             score = all_.max(1) + e[t]
         tags = np.empty((steps, n), np.int64)
-        tags[-1] = (score + self.p["last"]).argmax(1)
-        rows = np.arange(n)
+        tags[-1] = (score + self.last).argmax(1)
+        at = np.arange(n)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][rows, tags[t]]
+            tags[t - 1] = back[t][at, tags[t]]
         own = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0]
-        return tags.T, (own - e[:, :, 0]).T
+        return rows, tags.T, (own - e[:, :, 0]).T
 
 
 # ---- labelled training texts
@@ -234,14 +302,16 @@ def _made(rng: np.random.Generator) -> tuple[str, list[Span]]:
 
     def word() -> str:
         w = "".join(pick(["th", "er", "an", "re", "on", "ti", "é", "ou", "ch", "ü", "st", "ea", "os", "ñ", "la", "de"]) for _ in range(int(rng.integers(1, 5))))
-        return pick([w, w, w, w.capitalize(), w + ",", w + ".", w.upper() + "!!", w + "\n"])
+        return pick([w, w, w, w.capitalize(), w + ",", w + ".", w.upper() + "!!", w.upper(), w + "\n"])
 
     def email() -> str:
-        local, domain = pick([letters(5), letters(4) + "." + digits(2), letters(3) + "_" + letters(4), letters(2) + "+" + letters(3)]), pick(["mail", "post", "corp"]) + pick(["", digits(1)]) + "." + pick(["example.com", "example.org", "test.net", "org"])
-        return local + pick(["@", "@", "@", " @ ", "@ "]) + domain
+        local = pick([letters(5), letters(4) + "." + digits(2), letters(3) + "_" + letters(4), letters(2) + "+" + letters(3), letters(4) + "." + letters(5)])
+        host, end = pick(["mail", "post", "corp", letters(6)]) + pick(["", digits(1)]), pick(["example.com", "example.org", "test.net", "org", letters(3)])
+        at, dot = pick([("@", "."), ("@", "."), (" @ ", "."), ("@ ", " . "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), ("[AT]", "[DOT]")])
+        return local + at + (host + "." + end).replace(".", dot)
 
     def ip() -> str:
-        return pick([".", ".", " . ", ". "]).join(str(int(rng.integers(1, 256))) for _ in range(4))
+        return pick([".", ".", " . ", ". ", "[.]"]).join(str(int(rng.integers(1, 256))) for _ in range(4))
 
     def card() -> str:
         body = pick(["4", "51", "37", "6011"])
@@ -251,42 +321,60 @@ def _made(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
     def phone() -> str:
-        return pick(["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "001 {} {} {}", "+44 {} {} {}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))
+        return pick(["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "001 {} {} {}", "+44 {} {} {}", "{}.{}.{}", "0049 {} {} {}"]).format(digits(3), digits(3), digits(4))
+
+    def secret() -> str:
+        drawn = lambda xs, n: "".join(pick(xs) for _ in range(n))
+        hexes, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        out = pick([drawn(hexes, 40), drawn(hexes, 18), drawn(hexes, 32), drawn(hexes, 64), "AKIA" + drawn(both[:26] + "0123456789", 16), drawn(both, 24), drawn(both + "+/", 40), "ghp_" + drawn(both, 36), "sk-" + drawn(both, 32)])
+        return out if plausible(4, out) else secret()
 
     def other() -> str:
-        return pick([lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: "password=" + "".join(pick("0123456789abcdef") for _ in range(18)), lambda: "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}", lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"${digits(3)}.{digits(2)}", lambda: digits(int(rng.integers(1, 9))), lambda: "@" + letters(6), lambda: f"http://www.{letters(6)}.org/LICENSE-2.{digits(1)}", lambda: f"{letters(3)} at {letters(4)}"])()
+        return pick([lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}", lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"${digits(3)}.{digits(2)}", lambda: digits(int(rng.integers(1, 9))), lambda: "@" + letters(6), lambda: f"http://www.{letters(6)}.org/LICENSE-2.{digits(1)}", lambda: f"{letters(3)} at {letters(4)}", lambda: f"{letters(2)} ({letters(2)}) {letters(5)}", lambda: letters(int(rng.integers(12, 40))), lambda: word() + pick(["###", "$$$", "%%%", "&&&", "***"]), lambda: " | ".join(letters(5) for _ in range(3)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{letters(4)}_{letters(6)}-{letters(5)}"])()
+
+    def said(kind: int, made: str) -> tuple[str, str]:
+        """What stands before and after a span."""
+        if kind == 4:
+            return pick([('token = "', '"'), ("password=", ""), ("", ""), ("api_key: ", ""), ("secret: '", "'"), ("key=", ";")])
+        marks = pick(["###", "$$$", "%%%", "&&&", "***", "!!", "!", "?", ";"])
+        return pick([("", ""), ("", ""), ("", marks), ("", "."), ("", ","), ("(", ")"), (letters(4) + ": ", "")]) if made[0] != "(" else ("", "")
 
     out, spans = "", []
     for _ in range(int(rng.integers(6, 16))):
-        kind = int(rng.integers(0, 14))
-        made = [email, ip, card, phone][kind]() if kind < 4 else other() if kind < 7 else word()
-        if kind < 4:
-            spans.append((kind, len(out), len(out) + len(made)))
-        out += made + pick([" ", " ", " ", ", ", ". ", "\n"])
+        kind = int(rng.integers(0, 18))
+        makers = [email, ip, card, phone, secret]
+        if kind < len(makers):
+            made = makers[kind]()
+            before, after = said(kind, made)
+            spans.append((kind, len(out) + len(before), len(out) + len(before) + len(made)))
+            out += before + made + after
+        else:
+            out += other() if kind < 9 else word()
+        out += pick([" ", " ", " ", ", ", ". ", "\n"])
     return out, spans
 
 
 @functools.cache
-def trained(seed: int = SEED, texts: int = TRAIN_TEXTS, passes: int = PASSES) -> Tagger:
+def trained(seed: int = SEED, texts: int = TRAIN_TEXTS, passes: int = PASSES) -> Compiled:
     rng = np.random.default_rng(seed)
     windows, tags = [], []
     for _ in range(texts):
         text, spans = _made(rng)
-        x = np.zeros(max(WINDOW, len(text)), np.int64)
+        x = np.zeros(max(TRAIN_WINDOW, len(text)), np.int64)
         y = np.zeros(len(x), np.int64)
         x[: len(text)] = codes(text)
         for k, s, e in spans:
             y[s], y[s + 1 : e] = 1 + 2 * k, 2 + 2 * k
-        at = int(rng.integers(0, len(x) - WINDOW + 1))
-        windows.append(x[at : at + WINDOW])
-        tags.append(y[at : at + WINDOW])
+        at = int(rng.integers(0, len(x) - TRAIN_WINDOW + 1))
+        windows.append(x[at : at + TRAIN_WINDOW])
+        tags.append(y[at : at + TRAIN_WINDOW])
     x, y = np.stack(windows), np.stack(tags)
     y[:, 0] = np.where((y[:, 0] > 0) & (y[:, 0] % 2 == 0), y[:, 0] - 1, y[:, 0])  # a cut span begins with B
     model = Tagger(rng)
     m, v, step = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2)), None, 0
     m, v = m
     for epoch in range(passes):
-        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
+        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 40)):
             _, grad = model.step(x[part], y[part])
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -294,40 +382,45 @@ def trained(seed: int = SEED, texts: int = TRAIN_TEXTS, passes: int = PASSES) ->
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 model.p[k] = (model.p[k] - 0.02 * 0.8**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return model
+    return model.compiled()
 
 
 # ---- tagging whole texts
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
-    out: set[int] = set()
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        out.update(j for j in (k - 1, k) if 0 <= j <= last)
-    return [j * STRIDE for j in sorted(out)]
+Part = tuple[Span, float, bool, bool]  # span, summed margin, whether its window's inner edge cuts it at the start, at the end
 
 
-def window_spans(tags: np.ndarray, margins: np.ndarray, start: int, size: int, n: int) -> list[tuple[Span, float]]:
-    """Spans of one window with their mean margins; those cut by an inner edge are left to the neighbour."""
+def window_spans(tags: np.ndarray, margins: np.ndarray, start: int, size: int, n: int) -> list[Part]:
+    """Spans of one window of a text of n characters, with their summed margins."""
     out = []
     places = np.flatnonzero(tags[:size])
-    if not len(places):
-        return out
     p = 0
     while p < len(places):
         s = int(places[p])
         kind, e = (int(tags[s]) - 1) // 2, s + 1
         while e < size and tags[e] == 2 + 2 * kind:
             e += 1
-        if not (s == 0 and start > 0) and not (e == size and start + size < n):
-            out.append(((kind, start + s, start + e), float(margins[s:e].mean())))
+        out.append(((kind, start + s, start + e), float(margins[s:e].sum()), s == 0 and start > 0, e == size and start + size < n))
         p = int(np.searchsorted(places, e))
     return out
 
 
+def joined(parts: list[Part]) -> list[tuple[Span, float]]:
+    """Parts of one kind that overlap or adjoin become one span where a window's edge has cut one of them."""
+    out: list[list] = []
+    for (k, s, e), w, before, after in sorted(parts, key=lambda x: (x[0][0], x[0][1], x[0][2])):
+        last = out[-1] if out else None
+        if last and last[0] == k and s <= last[2] and (before or last[4]):
+            share = max(0, last[2] - s) / (e - s)  # what both windows saw counts once
+            last[3] += w * (1 - min(1.0, share))
+            last[4] = after if e >= last[2] else last[4]
+            last[2] = max(last[2], e)
+        else:
+            out.append([k, s, e, w, after])
+    return [((k, s, e), w) for k, s, e, w, _ in out]
+
+
 def reconcile(spans: list[tuple[Span, float]]) -> list[Span]:
     """Non-overlapping spans of the largest total margin over the whole text; equal spans count once, with their best."""
     best: dict[Span, float] = {}
@@ -349,31 +442,46 @@ def reconcile(spans: list[tuple[Span, float]]) -> list[Span]:
     return out[::-1]
 
 
-def find(texts: list[str | None], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
+def tagged(texts: list[str], model: Compiled) -> list[list[Span]]:
+    """The tagger's spans of each text, reconciled."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    # 0 pads between texts and after the last, so that windows never reach into the next text
+    base = np.cumsum(sizes + WINDOW) - sizes - WINDOW
+    flat = np.zeros(int((sizes + WINDOW).sum()), np.uint8)
+    for t, b in zip(texts, base.tolist(), strict=True):
+        flat[b : b + len(t)] = codes(t)
+    count = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), count)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    parts: dict[int, list[Part]] = {}
+    for at in range(0, len(owner), BLOCK):
+        i, s = owner[at : at + BLOCK], start[at : at + BLOCK]
+        rows, tags, margins = model.decode(flat[(base[i] + s)[:, None] + np.arange(WINDOW)])
+        for r, t, g in zip(rows.tolist(), tags, margins, strict=True):
+            if t.any():
+                n = int(sizes[i[r]])
+                parts.setdefault(int(i[r]), []).extend(window_spans(t, g, int(s[r]), min(WINDOW, n - int(s[r])), n))
+    return [reconcile(joined(parts.get(i, []))) for i in range(len(texts))]
+
+
+def find(texts: list[str | None], model: Compiled) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all its spans, by kind and start."""
-    texts = [t or "" for t in texts]
-    base = [sorted(base_spans(t)) for t in texts]
-    jobs = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    found: dict[int, list[tuple[Span, float]]] = {}
-    for at in range(0, len(jobs), 1024):
-        part = jobs[at : at + 1024]
-        block = np.zeros((len(part), WINDOW), np.int64)
-        for row, (i, s) in zip(block, part, strict=True):
-            c = codes(texts[i][s : s + WINDOW])
-            row[: len(c)] = c
-        tags, margins = model.decode(block)
-        for (i, s), t, g in zip(part, tags, margins, strict=True):
-            n = len(texts[i])
-            found.setdefault(i, []).extend(window_spans(t, g, s, min(WINDOW, n - s), n))
-    out = []
-    for i, (t, b) in enumerate(zip(texts, base, strict=True)):
-        extra = []
-        for k, s, e in reconcile(found.get(i, [])):
-            raw = t[s:e]
-            s, e = s + len(raw) - len(raw.lstrip()), e - len(raw) + len(raw.rstrip())
-            if s < e and plausible(k, t[s:e]) and all(e <= x[1] or s >= x[2] for x in b):
-                extra.append((k, s, e))
-        out.append((b, sorted(b + extra)))
+    out, at = [], 0
+    while at < len(texts):  # some millions of characters at once
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < 4_000_000):
+            size += len(texts[end] or "")
+            end += 1
+        part = [t or "" for t in texts[at:end]]
+        for t, found in zip(part, tagged(part, model), strict=True):
+            base, extra = sorted(base_spans(t)), []
+            for k, s, e in found:
+                raw = t[s:e]
+                s, e = s + len(raw) - len(raw.lstrip()), e - len(raw) + len(raw.rstrip())
+                if s < e and plausible(k, t[s:e]) and all(e <= x[1] or s >= x[2] for x in base):
+                    extra.append((k, s, e))
+            out.append((base, sorted(base + extra)))
+        at = end
     return out
 
 
@@ -391,22 +499,22 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
+def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Compiled | None = None) -> DataFrame:
     """id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every row."""
     model = model or trained()
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
+    names = [id_col, *[f"n_{k}" for k in KINDS[:PATTERNED]], "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = find(batch.column(1).to_pylist(), model)
-            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in range(len(KINDS))]
+            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in range(PATTERNED)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(span_text(b).encode()).hexdigest() for b, _ in rows]), pa.array([span_text(a) for _, a in rows], pa.string()), pa.array([len(a) - len(b) for b, a in rows], pa.int64())], names=names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: Tagger | None = None) -> DataFrame:
+def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: Compiled | None = None) -> DataFrame:
     """docs with personal data in text_col replaced by the kind, and length_col set to the new length where it changed."""
     model = model or trained()
 

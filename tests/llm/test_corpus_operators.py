@@ -133,11 +133,61 @@ def test_tagger_adds_and_leaves_clean_texts(spark):
     texts = ["call (269) 555-3296 now please", "+1 (269) 555-3296 4524132264652876 x", "token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" plain words", None, "", "x" * 5000 + " mail a.b@c.de end"]
     got = {r["doc_id"]: r for r in pii.spans_of(docs_of(spark, texts)).collect()}
     assert "phone:" in got[0]["spans"] and got[0]["n_phone"] == 0
-    assert got[2]["spans"] == got[3]["spans"] == got[4]["spans"] == ""
+    assert got[2]["spans"] == "secret:9:49" and got[2]["n_added"] == 1 and got[3]["spans"] == got[4]["spans"] == ""
     assert got[5]["spans"] == "email:5006:5014" and got[5]["base_sha256"] == hashlib.sha256(b"email:5006:5014").hexdigest()
     out = {r["doc_id"]: r for r in pii.masked(docs_of(spark, texts).selectExpr("*", "1 as spans")).collect()}
     assert out[5]["text"].endswith("mail [EMAIL] end") and out[5]["n_chars"] == len(out[5]["text"]) and out[3]["text"] is None
-    assert out[2]["text"] == texts[2] and pii.masked(docs_of(spark, [])).count() == 0
+    assert out[2]["text"] == 'token = "[SECRET]" plain words' and pii.spans_of(docs_of(spark, ["x", "x"], [1, 1])).count() == 2 and pii.masked(docs_of(spark, [])).count() == 0
+
+
+def test_compiled_tagger_equals_the_trained_layout():
+    """Emissions of both layouts agree, and the forward pass drops only windows whose Viterbi path is O alone."""
+    rng = np.random.default_rng(1)
+    model = pii.Tagger(rng)
+    model.p = {k: (v + 0.4 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in model.p.items()}
+    own, x = model.compiled(), rng.integers(0, pii.VOCAB, (300, 12)).astype(np.uint8)
+    e, _ = model.emissions(x.astype(np.int64))
+    assert np.allclose(e, own.emissions(x).transpose(0, 2, 1), atol=1e-4)
+    e[:, :, 0] += 2.0  # makes O likelier, so that both outcomes occur
+    own.bias = own.bias.copy()
+    own.bias[0] += 2.0
+    rows, tags, _ = own.decode(x)
+    found, moves = dict(zip(rows.tolist(), tags)), model.moves()
+    for w in range(len(x)):
+        best = {k: (model.p["first"][k] + e[0, w, k], [k]) for k in range(pii.K)}
+        for t in range(1, 12):
+            best = {k: max(((s + moves[p[-1], k] + e[t, w, k], [*p, k]) for s, p in best.values()), key=lambda v: v[0]) for k in range(pii.K)}
+        score, path = max(((s + model.p["last"][k], p) for k, (s, p) in best.items()), key=lambda v: v[0])
+        none = model.p["first"][0] + e[:, w, 0].sum() + 11 * moves[0, 0] + model.p["last"][0]
+        assert path == found[w].tolist() if w in found else score - none < 2 * pii.LEAST_GAIN
+    assert 0 < len(rows) < len(x)
+
+
+def test_tagger_alone_on_texts_of_the_corpus(spark):
+    """The patterns stand in for labels: texts and labels are none of the training generator's."""
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    model = pii.trained()
+    alone, found = pii.tagged(texts, model), pii.find(texts, model)
+    want = {(i, *s) for i, t in enumerate(texts) for s in pii.base_spans(t)}
+    want |= {(i, 4, *m.span(1)) for i, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    tagger = {(i, k, s, e) for i, own in enumerate(alone) for k, s, e in own if pii.plausible(k, texts[i][s:e])}
+    assert len(tagger & want) / len(want) > 0.9 and len(tagger - want) / len(tagger) < 0.05
+    added = {(i, *s) for i, (b, a) in enumerate(found) for s in a if s not in b}
+    assert len(added) > 8 and len(added & want) / len(added) > 0.9
+
+
+def test_spans_cut_by_windows_are_joined():
+    model = pii.trained()
+    mail = "maria.lopez@post7.example.com"
+    for at in range(pii.WINDOW - 45, pii.WINDOW + 10, 3):
+        for made in (mail.replace("@", " [at] "), "4132-4132-6465-2874", "(269) 555-3296", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"):
+            text = ("word " * 80)[: at - 1] + " " + made + " word" * 40
+            spans = pii.tagged([text], model)[0]
+            assert all(e - s > 5 for _, s, e in spans)
+    long = ("kelani sor " * 30) + "token = \"" + "1a2b3c4d5e6f7a8b" * 20 + "\" end"
+    assert any(k == 4 and e - s > 300 for k, s, e in pii.tagged([long], model)[0])
+    parts = [((0, 100, 160), 5.0, False, True), ((0, 128, 200), 7.0, True, False), ((0, 210, 220), 1.0, False, False), ((1, 150, 160), 1.0, False, False), ((0, 220, 225), 1.0, False, False)]
+    assert [x[0] for x in pii.joined(parts)] == [(0, 100, 200), (0, 210, 220), (0, 220, 225), (1, 150, 160)]
 
 
 def test_windows_are_reconciled_globally():
