@@ -40,22 +40,25 @@ def entropy(text: Column) -> Column:
 
 
 def long_text_entropy(text: Column) -> Column:
-    """The same for long texts: occurrences are found by replacing, so each distinct character costs one scan."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text).cast("double")
+    """The same for long texts: code points are sorted once, and where a run ends the next character's count begins."""
+    codes = F.sort_array(F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.ascii(c)))
 
-    def part(c: Column) -> Column:
-        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
-        return -p * F.log2(p)
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        part = lambda b: F.transform(b, lambda x, i: let((F.coalesce(F.get(b, i + 1), n) - x) / n, lambda p: -p * F.log2(p)))
+        return let(starts, lambda b: F.aggregate(part(b), F.lit(0.0), lambda a, x: a + x))
 
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", F.lit(0.0)).otherwise(part(c))), F.lit(0.0), lambda a, x: a + x))
+    # the empty string splits into one empty part
+    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.lit(0.0)).otherwise(let(codes, of))
 
 
 def repetition(text: Column) -> Column:
     """Share of word pairs that repeat an earlier one; 0 below two words."""
 
     def of(w: Column) -> Column:
-        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        # 64-bit hashes stand for the pairs: a set of longs is found by hashing, one of strings by comparing all with all
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
         return F.when(F.size(w) < 2, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(pairs)) / F.nullif(F.size(w) - 1, F.lit(0)))
 
     return let(words(text), of)

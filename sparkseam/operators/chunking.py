@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import chunk_id, windows, words
+from sparkseam.operators.ranges import row_numbers
 from sparkseam.session import materialise
 
 CHUNK = "chunk_id string, text string, file_path string, file_type string, chunk_index int, tokens int, dependencies array<string>, block_type string, resource_type string, block_name string"
@@ -65,7 +66,7 @@ def tf_dependencies(text: Column) -> Column:
     plain = [each(rf"\b{k}\.[a-zA-Z_]\w*\b") for k in ("var", "local", "module")]
     data = each(r"\bdata\.[a-zA-Z_]\w+\.[a-zA-Z_]\w+\b")
     resources = F.filter(each(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\.[a-zA-Z_]\w*\b"), lambda x: ~F.substring_index(x, ".", 1).isin(TF_NOT_RESOURCES))
-    return F.array_sort(F.array_distinct(F.concat(*plain, data, resources)))
+    return F.sort_array(F.array_distinct(F.concat(*plain, data, resources)))
 
 
 # ---- structured files: brace matching and YAML trees aren't regular, so these run over Arrow batches
@@ -202,7 +203,7 @@ def symbols(chunks: DataFrame, order: str) -> DataFrame:
 def resolve(chunks: DataFrame, order: str) -> DataFrame:
     """chunks with dependencies replaced by the chunks that define them, in their order."""
     refs = chunks.select("chunk_id", F.posexplode("dependencies").alias("pos", "ref"))
-    found = refs.join(symbols(chunks, order), "ref", "left").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("target", "ref").alias("d")))).alias("_d"))
+    found = refs.join(symbols(chunks, order), "ref", "left").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("target", "ref").alias("d")))).alias("_d"))
     return chunks.drop("dependencies").join(found, "chunk_id", "left").withColumn("dependencies", F.coalesce(F.transform("_d", lambda x: x["d"]), F.array().cast("array<string>"))).drop("_d")
 
 
@@ -223,6 +224,6 @@ def expand(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int = 2)
 def append_dependencies(ranked: DataFrame, found: DataFrame) -> DataFrame:
     """Ranked rows (id, score, rank), then what expansion added, with score 0 and later ranks."""
     last = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_last"))
-    extra = found.join(ranked, "id", "left_anti").crossJoin(F.broadcast(last))
-    extra = extra.withColumn("rank", (F.col("_last") + F.row_number().over(Window.orderBy("level", "id"))).cast("int")).select("id", F.lit(0.0).alias("score"), "rank")
+    extra = row_numbers(found.join(ranked, "id", "left_anti"), [F.col("level"), F.col("id")], "_number").crossJoin(F.broadcast(last))
+    extra = extra.select("id", F.lit(0.0).alias("score"), (F.col("_last") + F.col("_number")).cast("int").alias("rank"))
     return ranked.select("id", "score", "rank").unionByName(extra)

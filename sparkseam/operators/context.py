@@ -47,4 +47,4 @@ def pack_rules(rows: DataFrame, budget: int, group: list[str], rank: str = "rank
 
 def prompt(sections: DataFrame, group: list[str], rank: str = "rank") -> DataFrame:
     """group, text: packed entries joined in order; the budget bounds what is gathered."""
-    return sections.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "entry"))), lambda x: x["entry"]), "\n\n").alias("text"))
+    return sections.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, "entry"))), lambda x: x["entry"]), "\n\n").alias("text"))

@@ -1,8 +1,8 @@
 """Over-permission findings of role assignments.
 
 Columns in: ord, identity_name, identity_type, role, scope_type, scope_value, file_path, block_name. The pair rules
-join assignments of one identity on the pieces that make a pair possible (the same scope, or one scope as an ancestor
-path of the other), not every pair of an identity.
+join classes of equal assignments of one identity on the pieces that make a pair possible (the same scope, or one scope
+as an ancestor path of the other), not every pair of an identity's assignments.
 """
 
 from __future__ import annotations
@@ -66,8 +66,14 @@ def rule_chain(rows: DataFrame) -> DataFrame:
 
 
 def multi_role(rows: DataFrame, most: int = 3) -> DataFrame:
-    """Identities with more than `most` assignments; roles in assignment order."""
-    g = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("ord", "role"))).alias("_r"), F.min(F.struct("ord", "scope_type", "file_path")).alias("_f")).filter(F.col("_n") > most)
+    """Identities with more than `most` assignments; roles in assignment order.
+
+    The finding names all roles of an identity, so these are gathered in one row; counting comes first, and only
+    identities above the limit are gathered.
+    """
+    many = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > most).select("identity_name")
+    rows = rows.join(many, "identity_name", "left_semi")
+    g = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("ord", "role"))).alias("_r"), F.min(F.struct("ord", "scope_type", "file_path")).alias("_f")).filter(F.col("_n") > most)
     g = g.select("identity_name", F.array_join(F.transform("_r", lambda x: x["role"]), ", ").alias("role"), F.col("_f.scope_type").alias("scope_type"), F.col("_f.file_path").alias("file_path"), F.lit("").alias("block_name"), F.col("_f.ord").alias("ord"), "_n")
     issue = F.concat(F.lit("Identity '"), F.col("identity_name"), F.lit("' has "), F.col("_n").cast("string"), F.lit(" role assignments"))
     return finding(g, F.lit("IAM-AZ-005"), F.lit("MEDIUM"), issue, F.array(F.lit("Audit and consolidate role assignments")), value=F.lit(""))
@@ -83,37 +89,64 @@ def ancestors(path: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), lambda x: x != "")
 
 
-def nested(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pairs (b, n) of assignments that agree on keys where b's scope is broader in type and contains n's."""
-    wide = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], path_of(F.col("scope_value")).alias("_path"), F.struct(*rows.columns).alias("b")).filter("_path <> ''")
-    deep = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(ancestors(path_of(F.col("scope_value")))).alias("_path"), F.struct(*rows.columns).alias("n"))
-    pairs = wide.join(deep, [f"_{k}" for k in keys] + ["_path"])
-    order = lambda c: number(c, SCOPES, 99)
-    return pairs.filter((F.col("b.ord") != F.col("n.ord")) & (order(F.col("b.scope_type")) < order(F.col("n.scope_type")))).select("b", "n")
+def scope_order(scope: Column) -> Column:
+    return number(scope, SCOPES, 99)
 
 
 def overlap(rows: DataFrame) -> DataFrame:
-    """Pairs of one identity on the same or nested scopes where one role covers the other."""
-    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name")
-    side = lambda n: rows.select(F.col("identity_name").alias("_i"), F.col("scope_value").alias("_v"), F.struct(*rows.columns).alias(n)).filter("_v <> ''")
-    same = side("l").join(side("r"), ["_i", "_v"]).filter("l.ord < r.ord").select("l", "r")
-    deep = nested(rows, "identity_name").select(F.when(F.col("b.ord") < F.col("n.ord"), F.col("b")).otherwise(F.col("n")).alias("l"), F.when(F.col("b.ord") < F.col("n.ord"), F.col("n")).otherwise(F.col("b")).alias("r"))
-    level = lambda c: number(c, PRIVILEGE, 0)
-    a, b = F.col("l.role"), F.col("r.role")
-    pairs = same.unionByName(deep).withColumn("left", (a == b) | (level(a) > level(b))).withColumn("right", level(b) > level(a)).filter(F.col("left") | F.col("right"))
-    d, e = F.when(F.col("left"), F.col("l")).otherwise(F.col("r")), F.when(F.col("left"), F.col("r")).otherwise(F.col("l"))
-    pairs = pairs.select(F.struct(F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).alias("_at"), d.alias("d"), e.alias("e"))
+    """Pairs of one identity on the same or nested scopes where one role covers the other; the first pair of each (identity, roles, scope).
+
+    Assignments that agree on identity, role and scope are one class with its first and last assignment. Pairs are formed
+    between classes, not assignments, so their number doesn't grow with how often a role is assigned. Of a pair of roles
+    of different privilege the first assignments of both classes are the first pair; of one role the first assignment of
+    a class, if one of its partner's comes later, covers the partner's. Where the covering assignment has no file or
+    block, the partner's stand in.
+    """
+    one = F.struct("ord", "file_path", "block_name")
+    classes = rows.groupBy("identity_name", "role", "scope_type", "scope_value").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    classes = classes.withColumns({"_path": path_of(F.col("scope_value")), "_class": F.struct("role", "scope_type", "scope_value", "lo", "hi")})
+    other = classes.select(F.col("identity_name").alias("_i"), F.col("scope_value").alias("_v"), F.col("_class").alias("y"))
+    own = classes.select("identity_name", "scope_value", F.col("_class").alias("x"))
+    order = lambda c: F.struct(F.col(f"{c}.role"), F.col(f"{c}.scope_type"))
+    same = own.filter("scope_value <> ''").join(other, (F.col("identity_name") == F.col("_i")) & (F.col("scope_value") == F.col("_v")) & (order("x") <= order("y"))).select("identity_name", "x", "y")
+    wide = classes.filter("_path <> ''").select("identity_name", "_path", F.col("_class").alias("x"))
+    deep = classes.select("identity_name", F.explode(ancestors(F.col("_path"))).alias("_path"), F.col("_class").alias("y"))
+    below = wide.join(deep, ["identity_name", "_path"]).filter(scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))).select("identity_name", "x", "y")
+    pairs = same.unionByName(below)
+    level = lambda c: number(F.col(f"{c}.role"), PRIVILEGE, 0)
+    gap = level("x") - level("y")
+
+    def covers(pairs: DataFrame, d: str, e: str, later: bool) -> DataFrame:
+        """identity_name, the place of the pair, its covering class, the class it covers and that class's assignment in the pair."""
+        first, second = F.col(f"{d}.lo"), F.col(f"{e}.lo")
+        met = F.when(second["ord"] > first["ord"], second).otherwise(F.col(f"{e}.hi")) if later else second
+        at = F.struct(F.least(first["ord"], met["ord"]).alias("a"), F.greatest(first["ord"], met["ord"]).alias("b"))
+        return pairs.select("identity_name", at.alias("_at"), F.col(d).alias("d"), F.col(e).alias("e"), met.alias("_met"))
+
+    apart, alike = pairs.filter(F.col("x.role") != F.col("y.role")), pairs.filter(F.col("x.role") == F.col("y.role"))
+    found = [covers(apart.filter(gap > 0), "x", "y", False), covers(apart.filter(gap < 0), "y", "x", False)]
+    found += [covers(alike.filter(F.col("x.lo.ord") < F.col("y.hi.ord")), "x", "y", True), covers(alike.filter(F.col("y.lo.ord") < F.col("x.hi.ord")), "y", "x", True)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     value = F.coalesce(F.nullif("d.scope_value", F.lit("")), F.col("e.scope_value"))
-    first = Window.partitionBy("d.identity_name", "d.role", "e.role", "_value").orderBy("_at")
-    pairs = pairs.withColumn("_value", value).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    out = pairs.select(F.col("d.identity_name").alias("identity_name"), F.concat(F.col("d.role"), F.lit(" + "), F.col("e.role")).alias("role"), F.col("d.scope_type").alias("scope_type"), F.col("_value").alias("scope_value"), F.coalesce(F.nullif("d.file_path", F.lit("")), F.col("e.file_path")).alias("file_path"), F.coalesce(F.nullif("d.block_name", F.lit("")), F.col("e.block_name")).alias("block_name"), F.col("_at.a").alias("ord"))
+    fill = lambda c: F.coalesce(F.nullif(f"d.lo.{c}", F.lit("")), F.col(f"_met.{c}"))
+    out = out.select("identity_name", F.col("d.role").alias("_d"), F.col("e.role").alias("_e"), value.alias("scope_value"), F.struct("_at", F.col("d.scope_type").alias("scope_type"), fill("file_path").alias("file_path"), fill("block_name").alias("block_name")).alias("_f"))
+    out = out.groupBy("identity_name", "_d", "_e", "scope_value").agg(F.min("_f").alias("_f"))
+    out = out.select("identity_name", F.concat("_d", F.lit(" + "), "_e").alias("role"), F.col("_f.scope_type").alias("scope_type"), "scope_value", F.col("_f.file_path").alias("file_path"), F.col("_f.block_name").alias("block_name"), F.col("_f._at.a").alias("ord"))
     return finding(out, F.lit("IAM-AZ-007"), F.lit("MEDIUM"), F.lit("Overlapping role assignments for one identity"), F.array(F.lit("Audit and remove overlapping role assignments")))
 
 
 def broad_redundant(rows: DataFrame) -> DataFrame:
-    """Assignments that a narrower one of the same identity and role makes needless."""
-    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name")
-    out = nested(rows, "identity_name", "role").select("b.*").dropDuplicates(["ord"])
+    """Assignments that a narrower one of the same identity and role makes needless.
+
+    What matters of all scopes at or below a path is only how narrow the narrowest type there is, so one row for each
+    (identity, role, path) is joined.
+    """
+    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name").withColumn("_path", path_of(F.col("scope_value")))
+    deep = rows.select("identity_name", "role", F.explode(ancestors(F.col("_path"))).alias("_path"), scope_order(F.col("scope_type")).alias("_o"))
+    deep = deep.groupBy("identity_name", "role", "_path").agg(F.max("_o").alias("_narrowest"))
+    out = rows.filter("_path <> ''").join(deep, ["identity_name", "role", "_path"]).filter(scope_order(F.col("scope_type")) < F.col("_narrowest"))
     severity = F.when(F.col("scope_type") == "subscription", "MEDIUM").otherwise("LOW")
     advice = F.array(F.concat(F.lit("Reduce scope from "), F.col("scope_type"), F.lit(" to "), narrower(F.col("scope_type"))))
     return finding(out, F.lit("IAM-AZ-008"), severity, F.lit("Role assigned at broader scope than necessary"), advice)
@@ -147,4 +180,4 @@ def merge_model(found: DataFrame, extra: DataFrame, keys: list[str], rule: str)
 
 def summary(found: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("severity") == s)
-    return found.agg(F.count(F.lit(1)).alias("total"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.array_join(F.array_sort(F.collect_set("file_path")), ",").alias("files"))
+    return found.agg(F.count(F.lit(1)).alias("total"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.array_join(F.sort_array(F.collect_set("file_path")), ",").alias("files"))

@@ -52,7 +52,7 @@ def focus(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     each = rows.select(key, F.explode(alnum_tokens(F.array_join("context", " "))).alias("t")).filter(~F.col("t").isin(STOPWORDS) & (F.length("t") > 2))
     n = each.groupBy(key, "t").agg(F.count(F.lit(1)).alias("c"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("c"), "t"))).filter(F.col("r") <= k)
-    said = top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " ").alias("_w"))
+    said = top.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " ").alias("_w"))
     return rows.select(key, "query").join(said, key, "left").select(key, F.when(F.col("_w").isNull(), F.col("query")).otherwise(F.concat("query", F.lit(" focus:"), F.col("_w"))).alias("focused"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions.classify import filled
 from sparkseam.functions.text import severity_rank
+from sparkseam.operators.ranges import row_numbers
+from sparkseam.operators.store import first_of_each
 from sparkseam.sources.files import deep_merge, load_config
 
 ISSUE = ["file_path", "rule_id", "issue", "line_number", "severity", "detector"]
@@ -28,8 +30,7 @@ def normalise(issues: DataFrame) -> DataFrame:
 
 def dedup(issues: DataFrame, order: str) -> DataFrame:
     """The first issue of each (file, rule, issue, line, severity)."""
-    w = Window.partitionBy("file_path", "rule_id", "issue", "line_number", "severity").orderBy(order)
-    return issues.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first_of_each(issues, ["file_path", "rule_id", "issue", "line_number", "severity"], order)
 
 
 def rank_of(severity: Column) -> Column:
@@ -38,12 +39,8 @@ def rank_of(severity: Column) -> Column:
 
 def ordered(issues: DataFrame, tie: str) -> DataFrame:
     """issues with position in the report: severity, file, line, then tie. Ranges are numbered apart, so no task sees all rows."""
-    key = F.concat(rank_of(F.col("severity")).cast("string"), F.lit("\x00"), F.substring("file_path", 1, 2))
-    rows = issues.withColumn("_range", key)
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inside = Window.partitionBy("_range").orderBy("file_path", "line_number", tie)
-    return rows.join(F.broadcast(sizes), "_range").withColumn("position", (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_range", "_before")
+    rows = issues.withColumn("_severity", rank_of(F.col("severity")))
+    return row_numbers(rows, [F.col(c) for c in ("_severity", "file_path", "line_number", tie)], "position").drop("_severity")
 
 
 def severity_summary(issues: DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
+from sparkseam.session import exists, materialise, remove
 
-#: Query vectors scored at a time.
-QUERY_BLOCK = 512
+#: Query vectors, and vectors, scored against each other at a time; bytes of query blocks that are broadcast.
+QUERY_BLOCK, VECTOR_BLOCK, BROADCAST_BYTES = 512, 4096, 64 * 2**20
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -59,32 +60,42 @@ def equal_to(rows: DataFrame, where: dict) -> DataFrame:
     return rows
 
 
-def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """query_id, id_col, score, rank: exact cosine top-k for every query, in blocks of QUERY_BLOCK queries."""
-    asked = [(r[0], r[1]) for r in queries.select(id_col, "embedding").orderBy(id_col).toLocalIterator()]
-    parts = []
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        block = asked[at : at + QUERY_BLOCK]
-        ids = np.array([b[0] for b in block], dtype=np.int64)
-        matrix = np.array([b[1] for b in block], dtype=np.float64).reshape(len(block), -1)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = batch.column(0).to_numpy()
-                rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-10)
+def _blocks(rows: DataFrame, id_col: str, size: int, prefix: str) -> DataFrame:
+    """Rows of `size` vectors at most: ids and unit vectors as binary."""
+    names = [f"{prefix}_ids", f"{prefix}_unit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                unit = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-10)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=names)
+
+    return rows.select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
+
+
+def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, id_col, score, rank: exact cosine top-k for every query, block against block; no side reaches the driver.
+
+    A block pair keeps its k best for each query before the shuffle. Query blocks are broadcast while they are small,
+    else the blocks' pairs are dealt out. Null ids or vectors take no part.
+    """
+    usable = lambda rows: rows.filter(F.col(id_col).isNotNull() & F.col("embedding").isNotNull())
+    asked = materialise(_blocks(usable(queries), id_col, QUERY_BLOCK, "q"), "queries")
+    size = asked.agg(F.coalesce(F.sum(F.length("q_unit")), F.lit(0))).first()[0]
+    pairs = _blocks(usable(vectors), id_col, VECTOR_BLOCK, "v").crossJoin(F.broadcast(asked) if size <= broadcast_bytes else asked.hint("shuffle_replicate_nl"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, vu, q, qu in zip(*(batch.column(i) for i in range(4)), strict=True):
+                own, ids = np.frombuffer(v.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)
+                rows, matrix = np.frombuffer(vu.as_buffer()).reshape(len(own), -1), np.frombuffer(qu.as_buffer()).reshape(len(ids), -1)
                 scores = np.round(matrix @ rows.T, 6)
-                for q, s in zip(ids, scores, strict=True):
-                    best = np.lexsort((own, -s))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(own[best]), pa.array(s[best])], names=["query_id", id_col, "score"])
-
-        parts.append(vectors.select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, f"query_id long, {id_col} long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                best = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", id_col, "score"])
+
+    out = pairs.mapInArrow(run, f"query_id long, {id_col} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -93,19 +104,31 @@ def minmax(score: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi == lo, F.when(score > 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise((score - lo) / (hi - lo))
 
 
-def term_table(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl: one row for each document and term."""
-    rows = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
-    return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+TFIDF_TOKEN = r"[a-zA-Z0-9_./-]{2,}"
+
+
+def query_counts(corpus: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:
+    """id, dl (terms of the document), tf (map of the query's terms that it holds): one pass over the texts, written.
+
+    What scoring reads again and again is this table, a few numbers for each document, and not the texts.
+    """
+    asked = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
+    docs = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
+    docs = docs.select("id", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(asked, x)).alias("h"))
+    tf = F.map_from_arrays(F.array_distinct("h"), F.transform(F.array_distinct("h"), lambda x: F.size(F.filter("h", lambda y: y == x))))
+    return materialise(docs.select("id", "dl", tf.alias("tf")), "counts")
 
 
 def bm25(corpus: DataFrame, query: list[str], id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """id, raw, score (min-max over the whole corpus) of the documents with a query term. Only query terms are exploded."""
+    """id, raw, score (min-max over the whole corpus) of the documents with a query term."""
+    counts = query_counts(corpus, query, id_col, text_col)
+    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return bm25_of(counts.select("id", "dl", F.explode("tf").alias("term", "tf")), stats, query, k1, b)
+
+
+def bm25_of(hits: DataFrame, stats: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The same from postings. hits: id, dl, term, tf of the query's terms; stats: one row with n and avgdl."""
     weight = Counter(query)
-    asked = F.array(*[F.lit(t) for t in weight])
-    docs = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    hits = docs.select("id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: F.array_contains(asked, x))).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as query terms
     qtf = F.coalesce(*[F.when(F.col("term") == t, F.lit(float(n))) for t, n in weight.items()])
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -115,35 +138,109 @@ def bm25(corpus: DataFrame, query: list[str], id_col: str, text_col: str, k1: fl
     return raw.crossJoin(F.broadcast(span)).select("id", "raw", minmax(F.col("raw"), F.col("lo"), F.col("hi")).alias("score"))
 
 
+def tfidf_terms(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, term, tf (1 + ln of its count) of every document."""
+    rows = corpus.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(TFIDF_TOKEN), F.lit(0)).alias("t"))
+    return rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg((1 + F.ln(F.count(F.lit(1)))).alias("tf"))
+
+
 def tfidf(corpus: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """id, score: cosine of sublinear tf-idf vectors with smooth idf; query terms the corpus lacks are dropped."""
-    token = r"[a-zA-Z0-9_./-]{2,}"
-    rows = corpus.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(token), F.lit(0)).alias("t"))
+    tf = materialise(tfidf_terms(corpus, id_col, text_col), "tf")
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    tf = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg((1 + F.ln(F.count(F.lit(1)))).alias("tf"))
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    spark = corpus.sparkSession
-    asked = spark.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(token), F.lit(0))).alias("term")).groupBy("term").agg((1 + F.ln(F.count(F.lit(1)))).alias("qtf"))
-    asked = asked.join(idf, "term").select("term", (F.col("qtf") * F.col("idf")).alias("q"))
+    asked = query_weights(idf, query)
+    # norms need all terms of the documents that hold a query term, and of no others
+    hits = tf.join(F.broadcast(asked), "term").select("id", "q", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+    return cosine_scores(hits, norms, asked)
+
+
+def query_weights(idf: DataFrame, query: str) -> DataFrame:
+    """term, idf, q (tf-idf weight) of the query's terms that idf knows; as few rows as the query has terms."""
+    asked = idf.sparkSession.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(TFIDF_TOKEN), F.lit(0))).alias("term")).groupBy("term").agg((1 + F.ln(F.count(F.lit(1)))).alias("qtf"))
+    return materialise(idf.join(F.broadcast(asked), "term").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("q")), "asked")
+
+
+def cosine_scores(hits: DataFrame, norms: DataFrame, asked: DataFrame) -> DataFrame:
     length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("ql"))
-    # the query has few terms, whatever the corpus
-    hits = weights.join(F.broadcast(asked), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
-    return hits.join(norms, "id").crossJoin(F.broadcast(length)).select("id", (F.col("s") / (F.col("norm") * F.col("ql"))).alias("score"))
+    sums = hits.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+    return sums.join(norms, "id").crossJoin(F.broadcast(length)).select("id", (F.col("s") / (F.col("norm") * F.col("ql"))).alias("score"))
 
 
 def idf_overlap(corpus: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:
     """id, score: the sum of idf over distinct terms that the query shares with a document."""
-    asked = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
-    docs = corpus.select(F.col(id_col).alias("id"), F.array_intersect(terms(F.col(text_col)), asked).alias("t"))
-    hits = docs.select("id", F.explode("t").alias("term"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    counts = query_counts(corpus, query, id_col, text_col)
+    hits = counts.select("id", F.explode("tf").alias("term", "tf"))
+    n = counts.agg(F.count(F.lit(1)).alias("n"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("id").agg(F.sum(idf).alias("score"))
 
 
+class KeywordIndex:
+    """A stored keyword index in a folder: postings sorted by term, lengths of documents, and the state they were made from.
+
+    A query reads the postings of its own terms only (the term filter reaches the files, whose row groups are sorted by
+    term) and two numbers over the lengths. add() appends a segment; rows under an id that is there already replace it,
+    as every row carries its segment's number and the latest counts. remove() appends ids without rows.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def _id_type(self) -> str:
+        kind = self.spark.read.parquet(f"{self.folder}/docs").schema["id"].dataType if exists(self.spark, f"{self.folder}/docs") else None
+        return kind.simpleString() if kind else "bigint"
+
+    def segments(self) -> int:
+        return self.docs(all_=True).agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
+
+    def docs(self, all_: bool = False) -> DataFrame:
+        """id, dl, segment of the documents that count (dl is null where the id was removed and all_ is set)."""
+        rows = self._read("docs", f"id {self._id_type()}, dl int, segment int")
+        return rows if all_ else rows.groupBy("id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment")).filter("dl is not null")
+
+    def add(self, corpus: DataFrame, id_col: str, text_col: str) -> None:
+        segment = self.segments()
+        rows = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+        found = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("segment", F.lit(segment))
+        found.select("term", "id", "tf", "segment").repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("append").parquet(f"{self.folder}/postings")
+        # the lengths come last: postings of a segment without lengths count for nothing
+        rows.select("id", "dl", F.lit(segment).alias("segment")).write.mode("append").parquet(f"{self.folder}/docs")
+
+    def remove(self, ids: DataFrame, id_col: str) -> None:
+        ids.select(F.col(id_col).alias("id"), F.lit(None).cast("int").alias("dl"), F.lit(self.segments()).alias("segment")).write.mode("append").parquet(f"{self.folder}/docs")
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+    def sync(self, corpus: DataFrame, id_col: str, text_col: str) -> bool:
+        """Rebuilds the index if the corpus' (count, next id) isn't the one it was built from; says whether it did."""
+        now = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(id_col).cast("string"), F.lit("")).alias("last"))
+        was = self._read("state", "n long, last string")
+        if now.exceptAll(was).isEmpty() and not was.isEmpty():
+            return False
+        now = materialise(now, "state")
+        self.clear()
+        self.add(corpus, id_col, text_col)
+        now.write.mode("overwrite").parquet(f"{self.folder}/state")
+        return True
+
+    def postings(self, query: list[str]) -> DataFrame:
+        """id, dl, term, tf of the query's terms."""
+        found = self._read("postings", f"term string, id {self._id_type()}, tf int, segment int").filter(F.col("term").isin(list(dict.fromkeys(query))))
+        return found.join(self.docs(), ["id", "segment"]).select("id", "dl", "term", "tf")
+
+    def bm25(self, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """id, raw, score as bm25() over the indexed documents."""
+        return bm25_of(self.postings(query), self.docs().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), query, k1, b)
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, w_semantic: float = 0.7, w_keyword: float = 0.3) -> DataFrame:
     """Full outer union of two (id, score) branches; a missing side counts as 0."""
     if not 0 <= w_semantic <= 1 or not 0 <= w_keyword <= 1:

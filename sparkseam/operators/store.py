@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseam.functions.text import terms
+from sparkseam.operators.ranges import row_numbers
+
 FILTER_KEYS = ("file_path", "file_type", "resource_type", "cloud_provider", "repo")
 
 
@@ -26,33 +27,36 @@ def registry_of(files: DataFrame, path: str = "file_path", text: str = "content"
     return files.select(path, content_hash(text).alias("content_hash"))
 
 
-def insert_new(store: DataFrame, batch: DataFrame, order: str, text: str = "text", dedup: bool = True) -> DataFrame:
-    """Rows of batch whose text hash is new to the store and first in the batch, with ids from the store's largest on.
+def first_of_each(rows: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+    """One row for each value of keys: the first (or last) in an order; of equals the one that is read first.
 
-    Ids are dense: ranges of `order` are counted first and each range numbers its own rows, so no task sees all rows.
+    Rows are reduced before the shuffle, so a hot key is no hot task.
     """
+    read = F.monotonically_increasing_id()
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"), (-read if last else read).alias("read"))
+    pick = F.max_by if last else F.min_by
+    best = rows.select("*", place.alias("_place")).groupBy(*keys).agg(pick(F.struct(*rows.columns), "_place").alias("_best"))
+    return best.select(*[F.col("_best")[c].alias(c) for c in rows.columns])
+
+
+def insert_new(store: DataFrame, batch: DataFrame, order: str, text: str = "text", dedup: bool = True) -> DataFrame:
+    """Rows of batch whose text hash is new to the store and first in the batch, with ids from the store's largest on."""
     rows = batch.withColumn("content_hash", content_hash(text))
     if dedup:
         rows = rows.join(store.select("content_hash").distinct(), "content_hash", "left_anti")
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy(order))).filter("_n = 1").drop("_n")
+        rows = first_of_each(rows, ["content_hash"], order)
     return numbered(rows, order, next_id(store))
 
 
 def numbered(rows: DataFrame, order: str, first: DataFrame, name: str = "index_id") -> DataFrame:
     """rows with dense ids in the order of a column, beginning at first (one row, next_id)."""
-    bounds = [b for b in (rows.agg(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000)).first()[0] or [])]
-    edge = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("_range", F.size(F.filter(edge, lambda b: b < F.col(order))))
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))  # 64 rows at most
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    out = rows.join(F.broadcast(sizes), "_range").crossJoin(F.broadcast(first))
-    return out.withColumn(name, (F.col("next_id") + F.col("_before") + within).cast("long")).drop("_range", "_before", "next_id")
+    out = row_numbers(rows, [F.col(order)], "_number").crossJoin(F.broadcast(first))
+    return out.withColumn(name, (F.col("next_id") + F.col("_number") - 1).cast("long")).drop("_number", "next_id")
 
 
 def upsert(store: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """store with the last batch row of each key in place of its own."""
-    last = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n", order)
+    last = first_of_each(batch, [key], order, last=True).drop(order)
     return store.join(last.select(key), key, "left_anti").unionByName(last)
 
 
@@ -60,6 +64,11 @@ def delete(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return store.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def deleted(store: DataFrame, keys: DataFrame, key: str, id_col: str = "index_id") -> DataFrame:
+    """The ids that delete() frees; their count is how many rows it removes."""
+    return store.join(keys.select(key).distinct(), key, "left_semi").select(id_col)
+
+
 def replace(store: DataFrame, batch: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """Delete by key, then insert what is new by hash."""
     rest = delete(store, batch, key)
@@ -119,24 +128,29 @@ def reconcile(spark: SparkSession, store_path: str, registry_path: str) -> bool:
     return all(found)
 
 
-def embed(rows: DataFrame, dimension: int = 64, text: str = "text", encoder: Callable | None = None) -> DataFrame:
-    """rows with `embedding`. Each distinct text is encoded once. The default encoder hashes terms into signed buckets."""
+def hashed(texts: DataFrame, dimension: int, text: str = "text") -> DataFrame:
+    """content_hash, embedding: terms hashed into signed buckets, at length one; zeros for a text without terms. One row for each content_hash in."""
+    hits = texts.select("content_hash", F.explode_outer(F.transform(terms(F.col(text)), lambda t: F.xxhash64(t))).alias("_h"))
+    sign = F.when(F.col("_h") < 0, -1.0).when(F.col("_h").isNotNull(), 1.0).otherwise(0.0)
+    sums = hits.groupBy("content_hash", F.coalesce(F.pmod("_h", F.lit(dimension)), F.lit(0)).cast("int").alias("_at")).agg(F.sum(sign).alias("_w"))
+    vectors = sums.groupBy("content_hash").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_m"), F.greatest(F.sqrt(F.sum(F.col("_w") * F.col("_w"))), F.lit(1e-10)).alias("_n"))
+    place = F.sequence(F.lit(0), F.lit(dimension - 1))
+    return vectors.select("content_hash", F.transform(place, lambda i: (F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).cast("float")).alias("embedding"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import re
 
-        for batch in batches:
-            out = np.zeros((batch.num_rows, dimension), dtype=np.float32)
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for term in re.split(r"[^a-zA-Z0-9./]+", (t or "").lower()):
-                    if len(term) > 1:
-                        h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
-                        out[i, h % dimension] += 1 if h >> 63 else -1
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float32()))], names=["content_hash", "embedding"])
+def embed(rows: DataFrame, dimension: int = 64, text: str = "text", encoder: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
+    """rows with `embedding`. Each distinct text is encoded once, and not at all if `known` (content_hash, embedding) has it.
 
+    The default encoder is native. encoder: Arrow batches of (content_hash, text) to batches of (content_hash, embedding).
+    """
     keyed = rows.withColumn("content_hash", content_hash(text))
     distinct = keyed.select("content_hash", text).dropDuplicates(["content_hash"])
-    coded = distinct.mapInArrow(encoder or hashed, "content_hash string, embedding array<float>")
+    if known is not None:
+        distinct = distinct.join(known.select("content_hash"), "content_hash", "left_anti")
+    if encoder:
+        coded = distinct.mapInArrow(encoder, "content_hash string, embedding array<float>")
+    else:
+        coded = hashed(distinct, dimension, text)
+    if known is not None:
+        coded = coded.unionByName(known.select("content_hash", "embedding").dropDuplicates(["content_hash"]))
     return keyed.join(coded, "content_hash")

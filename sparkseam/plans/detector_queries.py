@@ -77,15 +77,12 @@ def tf_attributes(spark, sf):
 # ---- findings at scale: suppliers hold part roles on scopes of their nations
 
 _ROLES = ["Owner", "Contributor", "Reader", "Storage Blob Data Contributor", "Key Vault Secrets Officer", "Monitoring Contributor", "User Access Administrator"]
-_A = f"""a0 as (select (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey as ord, 'id' || l_suppkey as identity_name, (l_partkey % 7)::int as r, ((l_linenumber + l_partkey) % 4)::int as k, l_suppkey % 5 as n, 'f' || (l_orderkey % 50) as file_path, 'b' || l_linenumber as block_name from lineitem where l_orderkey % 40 = 0),
+_A = f"""a0 as (select (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey as ord, 'id' || l_suppkey as identity_name, (l_partkey % 7)::int as r, ((l_linenumber + l_partkey) % 4)::int as k, l_suppkey % 5 as n, 'f' || (l_orderkey % 50) as file_path, 'b' || l_linenumber as block_name from lineitem),
 a as (select ord, identity_name, [{', '.join(f"'{r}'" for r in _ROLES)}][r + 1] as role, ['subscription', 'resource_group', 'resource', 'unknown'][k + 1] as scope_type, case k when 0 then '/subscriptions/' || n when 1 then '/subscriptions/' || n || '/resourceGroups/g' || (ord % 3) when 2 then '/subscriptions/' || n || '/resourceGroups/g' || (ord % 3) || '/r/' || (ord % 5) else 'var.s' end as scope_value, file_path, block_name from a0)"""
 
 
 def assignments(spark, sf):
-    return assigned(read_table(spark, sf, "lineitem").filter("l_orderkey % 40 = 0"))
-
-
-def assigned(rows):
+    rows = read_table(spark, sf, "lineitem")
     ord_ = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
     n = (F.col("l_suppkey") % 5).cast("string")
     k = ((F.col("l_linenumber") + F.col("l_partkey")) % 4).cast("int")
@@ -117,10 +114,15 @@ _P = f"""p as (select *, {_RANKS} as lvl, case scope_type when 'subscription' th
 _CONTAINS = "(x.so < y.so and (y.pth = x.pth or starts_with(y.pth, x.pth || '/')))"
 
 
-@query("iam_overlap", f"""with {_A}, {_P}, q as (select l.identity_name, l.ord as lo, r.ord as ro, case when l.role = r.role or l.lvl > r.lvl then 1 when r.lvl > l.lvl then 2 end as d, l.role as lr, r.role as rr, l.scope_value as lv, r.scope_value as rv, l.scope_type as lt, r.scope_type as rt
+_PAIRS = f"""{_P}, q as (select l.identity_name, l.ord as lo, r.ord as ro, case when l.role = r.role or l.lvl > r.lvl then 1 when r.lvl > l.lvl then 2 end as d, l.role as lr, r.role as rr, l.scope_value as lv, r.scope_value as rv,
+ l.scope_type as lt, r.scope_type as rt, l.file_path as lf, r.file_path as rf, l.block_name as lb, r.block_name as rb
  from p l join p r on l.identity_name = r.identity_name and l.ord < r.ord where l.scope_value = r.scope_value or {_CONTAINS.replace('x.', 'l.').replace('y.', 'r.')} or {_CONTAINS.replace('x.', 'r.').replace('y.', 'l.')}),
-s as (select identity_name as identity, case d when 1 then lr else rr end as dom, case d when 1 then rr else lr end as red, case d when 1 then lv else rv end as scope_value, case d when 1 then lt else rt end as scope, row_number() over (partition by identity_name, case d when 1 then lr else rr end, case d when 1 then rr else lr end, case d when 1 then lv else rv end order by lo, ro) as n from q where d is not null)
-select identity, dom || ' + ' || red as role, scope, scope_value from s where n = 1""")
+s as (select identity_name as identity, lo, case d when 1 then lr else rr end as dom, case d when 1 then rr else lr end as red, case d when 1 then lv else rv end as scope_value, case d when 1 then lt else rt end as scope,
+ case d when 1 then lf else rf end as file_path, case d when 1 then lb else rb end as block_name,
+ row_number() over (partition by identity_name, case d when 1 then lr else rr end, case d when 1 then rr else lr end, case d when 1 then lv else rv end order by lo, ro) as n from q where d is not null)"""
+
+
+@query("iam_overlap", f"with {_A}, {_PAIRS} select identity, dom || ' + ' || red as role, scope, scope_value from s where n = 1")
 def iam_overlap(spark, sf):
     return iam.overlap(assignments(spark, sf)).select("identity", "role", "scope", "scope_value")
 
@@ -152,23 +154,20 @@ def iam_summary(spark, sf):
     return iam.summary(iam.rule_chain(assignments(spark, sf)))
 
 
-@query("iam_findings_all")
-def iam_findings_all(spark, sf):
-    return iam.analyse(assignments(spark, sf)).drop("recommendations")
+_ONE = "select rule_id, identity, role, scope, scope_value, severity, issue, file_path, block_name, ord, {part} as part, case severity when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end as severity_rank from ({body})"
+_PARTS = [
+    "select rule_id, identity_name as identity, role, scope_type as scope, scope_value, case when rule_id = 'IAM-AZ-003' then 'MEDIUM' else 'HIGH' end as severity, chr(39) || role || chr(39) || ' at ' || scope_type || ' scope' as issue, file_path, block_name, ord from c where rule_id is not null",
+    "select 'IAM-AZ-005' as rule_id, identity_name as identity, string_agg(role, ', ' order by ord) as role, arg_min(scope_type, ord) as scope, '' as scope_value, 'MEDIUM' as severity, 'Identity ' || chr(39) || identity_name || chr(39) || ' has ' || count(*) || ' role assignments' as issue, arg_min(file_path, ord) as file_path, '' as block_name, min(ord) as ord from a group by identity_name having count(*) > 3",
+    "select 'IAM-AZ-007' as rule_id, identity, dom || ' + ' || red as role, scope, scope_value, 'MEDIUM' as severity, 'Overlapping role assignments for one identity' as issue, file_path, block_name, lo as ord from s where n = 1",
+    "select 'IAM-AZ-008' as rule_id, x.identity_name as identity, x.role, x.scope_type as scope, x.scope_value, case when x.scope_type = 'subscription' then 'MEDIUM' else 'LOW' end as severity, 'Role assigned at broader scope than necessary' as issue, x.file_path, x.block_name, x.ord from p x "
+    f"where exists (select 1 from p y where y.identity_name = x.identity_name and y.role = x.role and y.ord <> x.ord and {_CONTAINS})",
+    f"select 'IAM-AZ-009' as rule_id, identity_name as identity, role, scope_type as scope, scope_value, case when scope_type = 'subscription' then 'MEDIUM' else 'LOW' end as severity, 'Broad service-wide access role assignment' as issue, file_path, block_name, ord from a where role in ({_WIDE}) and scope_type in ('subscription', 'resource_group')",
+]
 
 
-# The same over all of lineitem. The seven above and their SQL see one order in 40.
-_FULL = {
-    "iam_rule_chain": lambda a: iam.rule_chain(a).select("ord", "identity", "rule_id", "severity"),
-    "iam_multi_role": lambda a: iam.multi_role(a).select("identity", "role", "scope", "severity"),
-    "iam_overlap": lambda a: iam.overlap(a).select("identity", "role", "scope", "scope_value"),
-    "iam_broad_redundant": lambda a: iam.broad_redundant(a).select("ord", "identity", "role", "scope", "severity"),
-    "iam_service_wide": lambda a: iam.service_wide(a).select("ord", "identity", "role", "severity"),
-    "iam_summary": lambda a: iam.summary(iam.rule_chain(a)),
-    "iam_findings": lambda a: iam.analyse(a).drop("recommendations"),
-}
-for _name, _of in _FULL.items():
-    query(f"{_name}_full", SQL[_name].replace(" where l_orderkey % 40 = 0", "") if _name in SQL else None)(lambda spark, sf, of=_of: of(assigned(read_table(spark, sf, "lineitem"))))
+@query("iam_findings_all", f"with {_A}, {_CHAIN.replace('role, scope_type,', 'role, scope_type, scope_value, block_name,', 1)}, {_PAIRS}\n" + " union all ".join(_ONE.format(part=i, body=body) for i, body in enumerate(_PARTS)))
+def iam_findings_all(spark, sf):
+    return iam.analyse(assignments(spark, sf)).drop("recommendations")
 
 
 MOD = ["ord", "identity", "role", "scope", "severity", "rule_id"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
 from sparkseam.operators import search, store
-from sparkseam.session import read_table
+from sparkseam.plans.fixtures import frame
+from sparkseam.session import folder, read_table
 
 QUERY = ["the", "tion", "thand", "of", "erer", "the"]
 QUERY_TEXT = "the tion thand of erer the"
@@ -64,6 +65,27 @@ def keyword_bm25_topk(spark, sf):
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query("keyword_index_topk", f"with {_BM} select id as doc_id, score, row_number() over (order by score desc, id)::int as rank from bm where score > 0 order by score desc, id limit {K}")
+def keyword_index_topk(spark, sf):
+    """The same from a stored index that was built of half the documents, then extended, shrunk and extended again."""
+    docs, index = read_table(spark, sf, "documents"), search.KeywordIndex(spark, folder(spark, "keywords"))
+    index.add(docs.filter("lang = 'en'"), "doc_id", "text")
+    index.add(docs.filter("lang <> 'en'"), "doc_id", "text")
+    index.remove(docs.filter("lang = 'fr'"), "doc_id")
+    index.add(docs.filter("lang = 'fr'"), "doc_id", "text")
+    rows = index.bm25(QUERY).withColumn("score", F.round("score", 6)).filter("score > 0")
+    return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("keyword_index_sync", "select 1 as turn, true as rebuilt union all select 2, false union all select 3, true")
+def keyword_index_sync(spark, sf):
+    """Whether the index is rebuilt: at first, for the same corpus, and after a document has come."""
+    docs, index = read_table(spark, sf, "documents").select("doc_id", "text"), search.KeywordIndex(spark, folder(spark, "keywords"))
+    more = docs.unionByName(docs.agg((F.max("doc_id") + 1).alias("doc_id"), F.lit("one more").alias("text")))
+    turns = [index.sync(rows, "doc_id", "text") for rows in (docs, docs, more)]
+    return frame(spark, ["turn", "rebuilt"], [(i + 1, t) for i, t in enumerate(turns)]).select(F.col("turn").cast("int").alias("turn"), "rebuilt")
+
+
 @query("minmax_scores", f"with {_BM} select id as doc_id, round(raw, 6) as raw, score from bm")
 def minmax_scores(spark, sf):
     return search.bm25(read_table(spark, sf, "documents"), QUERY, "doc_id", "text").select(F.col("id").alias("doc_id"), F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
@@ -135,24 +157,20 @@ def hybrid_filtered_topk(spark, sf):
     return _hybrid(spark, sf, where={"label": 3}).withColumnRenamed("id", "doc_id")
 
 
-@query("rerank_prefix", f"""with {_HYB}, r as (select *, row_number() over (order by final_score desc, id) as rank from hy), t as (select * from r where rank <= {K}),
-n as (select t.id, final_score as base_score, rank as old, rank <= 6 as inside, round((coalesce({_COS}, 0) + 1) / 2, 6) as fresh from t left join embeddings e on e.vec_id = t.id, (select embedding from embeddings where vec_id = 0) q)
-select id as doc_id, base_score, case when inside then fresh end as rerank_score, case when inside then fresh else base_score end as final_score, row_number() over (order by inside desc, case when inside then fresh else 0 end desc, base_score desc, old)::int as rank from n""")
-def rerank_prefix(spark, sf):
-    return search.rerank(_hybrid(spark, sf), read_table(spark, sf, "embeddings"), vector0(spark, sf), 6, K).withColumnRenamed("id", "doc_id")
-
-
+#: Merged candidates that are reranked before the cut to K.
 _POOL = max(K, search.fetch_size(K))
 
 
-@query("rerank_merged", f"""with {_HYB}, r as (select *, row_number() over (order by final_score desc, id) as old from hy),
+@query("rerank_prefix", f"""with {_HYB}, r as (select *, row_number() over (order by final_score desc, id) as old from hy),
 n as (select r.id, final_score as base_score, old, old <= {_POOL} as inside, round((coalesce({_COS}, 0) + 1) / 2, 6) as fresh from r left join embeddings e on e.vec_id = r.id, (select embedding from embeddings where vec_id = 0) q)
-select id as doc_id, base_score, case when inside then fresh end as rerank_score, case when inside then fresh else base_score end as final_score, row_number() over (order by inside desc, case when inside then fresh else 0 end desc, base_score desc, old)::int as rank from n order by rank limit {K}""")
-def rerank_merged(spark, sf):
-    """Reranks the whole merged list's prefix before the cut to K; rerank_prefix and its SQL cut first."""
+select id as doc_id, base_score, case when inside then fresh end as rerank_score, case when inside then fresh else base_score end as final_score,
+row_number() over (order by inside desc, case when inside then fresh else 0 end desc, base_score desc, old)::int as rank from n order by rank limit {K}""")
+def rerank_prefix(spark, sf):
+    """Reranks the best of the whole merged list, then cuts to K."""
     both = search.hybrid(read_table(spark, sf, "documents"), read_table(spark, sf, "embeddings"), QUERY, vector0(spark, sf), K, keep=2 * search.fetch_size(K))
     return search.rerank(both, read_table(spark, sf, "embeddings"), vector0(spark, sf), _POOL, K).withColumnRenamed("id", "doc_id")
 
+
 @query("postfilter_topk", f"with {_HYB.replace('limit 30', 'limit 90')}, r as (select * from hy order by final_score desc, id limit 30), p as (select r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
 def postfilter_topk(spark, sf):
     rows = _hybrid(spark, sf, search.fetch_size(K)).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
@@ -238,7 +256,7 @@ def chunk_view(spark, sf):
     return rows.select("event_id", F.coalesce(F.try_element_at("metadata", F.lit("k")), F.lit("")).alias("k"))
 
 
-@query("embed_distinct_texts")
+@query("embed_distinct_texts", "select doc_id, sha256(coalesce(text, '')) as content_hash, 64 as dimension from documents")
 def embed_distinct_texts(spark, sf):
     rows = store.embed(read_table(spark, sf, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "content_hash", F.size("embedding").alias("dimension"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,21 +26,64 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local folder where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without; it gets a new local folder."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
-    if not getattr(spark, "_sparkseam_dir", None):
-        spark._sparkseam_dir = tempfile.mkdtemp(prefix="sparkseam-")
-    return spark._sparkseam_dir
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="sparkseam-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return _LOCAL[0]
+
+
+#: The local folder of sessions without a shared one, and the tables written by this process that still stand.
+_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables that an operator keeps; release() deletes it too."""
+    path = f"{shared_dir(spark)}/sparkseam-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkseam-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkseam_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder or file in whatever store it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def written() -> int:
+    """A mark for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables materialised since mark, but for keep, which is one of them. Call it when nothing lazy needs them any more."""
+    kept = keep.__dict__.get("_sparkseam_path") if keep is not None else None
+    for path in _WRITTEN[mark:]:
+        if path != kept:
+            remove(spark, path)
+            _WRITTEN.remove(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
