@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
-columns of docs. run() writes each stage's rows as Parquet into the shared folder and reads them again for the next.
+columns of docs. run() writes each stage's rows as Parquet into the shared folder and reads them again for the next;
+what a stage wrote on its way is deleted once its rows are written.
+
+Defined results: nulls in any column, empty and very long texts, ties, repeated rows and extra columns go as the
+operators' docstrings say. A null or empty text has no words and is rejected by the first stage, and so an empty
+documents table gives an empty result. Repeated rows are copies: one of them stays.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkseam.llm import jaccard_join, line_quality, packing, pii, toxicity
-from sparkseam.session import materialise, read_table
+from sparkseam.session import materialise, read_table, release, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,6 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    mark = written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, mark, keep=docs)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
