@@ -83,7 +83,7 @@ def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     rows = paths.withColumn("tree", F.struct("tree")).join(said, ["tree", "node"])
     each = F.struct("depth", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"), "text", (F.col("role") == "assistant").alias("loss"))
     # a conversation is one output row, so its turns meet in one task; only the chosen paths' turns are gathered
-    rows = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(each)).alias("t"))
+    rows = rows.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(each)).alias("t"))
     formatted = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 

@@ -2,17 +2,20 @@ r"""Quality rules: cross-document line frequency.
 
 Every document's lines are normalised (white space runs to one space, trimmed, lower case) and hashed; for each host
 the distinct documents that hold a line are counted, exact copies of one text counting once. Lines held by more than
-max(MIN_DOCS, MAX_SHARE of the host's documents) are removed, and a document that keeps less than MIN_LEFT of its word
-characters is depleted and rejected. Documents that fail the base rules are rejected as well.
+MIN_DOCS of the host's documents and by more than MAX_SHARE of them, or by more than MAX_DOCS whatever the share, are
+removed, and a document that keeps less than MIN_LEFT of its word characters is depleted and rejected. Documents that
+fail the base rules are rejected as well.
 
 Counting runs as one aggregation of (host, line hash) with map-side combination, so a host with a third of all rows is
-no hot key; lines are counted for all documents and only lines above the limit go back to the documents. Removal marks
-lines by the hashes alone. Those frequent lines per host can be at most 1 / MAX_SHARE times the mean lines per
-document, whatever the corpus size, so they are small enough for one lookup array per host; a host table beyond
-BROADCAST_HOSTS rows is joined by shuffle instead.
+no hot key; lines are counted for all documents and only lines above the limit go back to the documents, as one array
+for each host. Arrays of BROADCAST_LINES hashes together (eight bytes each) are broadcast; beyond that the lines
+themselves meet the frequent ones by shuffle, and the texts that hold any meet what was found for them. A document's own
+lines and the array meet as sets, so its cost is linear in both.
 
 Defined results: null or empty texts have no words, fail the base rules and are not kept. A null host is a host of its
-own. Repeated rows count as copies of one text. An empty table gives an empty result. Only the named columns are read.
+own. Repeated rows count as copies of one text. Counts at a limit exactly (ties) don't pass it. Very long texts and
+lines are read whole. An empty table gives an empty result. Only the named columns are read, so other columns' names
+can't clash; keep_good returns all columns, and sets the length only where that column is there.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line is frequent above this many distinct texts of its host, and above this share of them.
-MIN_DOCS, MAX_SHARE = 20, 0.05
+from sparkseam.session import materialise
+
+#: A line is frequent above this many distinct texts of its host and above this share of them, or above MAX_DOCS.
+MIN_DOCS, MAX_SHARE, MAX_DOCS = 20, 0.05, 1000
 #: A document that keeps less than this share of its word characters is depleted.
 MIN_LEFT = 0.5
-BROADCAST_HOSTS = 10_000
+BROADCAST_LINES = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -63,7 +68,7 @@ def repeat_words(w: Column) -> Column:
     def covered(h: Column) -> Column:
         # a fast sort of plain longs tells whether any window repeats; only such texts look for the places
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-            let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: _covered(F.array_sort(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["i"]))))
+            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: _covered(F.sort_array(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["i"]))))
         )
 
     def twin(s: Column, x: Column, i: Column) -> Column:
@@ -84,55 +89,63 @@ def base(text: Column) -> list[Column]:
     ]
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, keys: the hashes of the lines that too many distinct texts of a host hold."""
+def frequent_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(host, key): the hashes of the lines that too many distinct texts of a host hold; (host, text, key): all lines of all texts."""
     own = docs.select(F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text"), F.array_distinct(F.transform(lines(F.col(text_col)), line_key)).alias("_keys"))
     # copies of a text collapse first: one row for each text and host, combined before the shuffle
     own = own.groupBy("_host", "_text").agg(F.first("_keys").alias("_keys"))
-    texts = own.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
-    counts = own.select("_host", F.explode("_keys").alias("_key")).groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
-    return (
-        counts.join(texts, counts["_host"].eqNullSafe(texts["_host"]))
-        .filter(F.col("_n") > max_share * F.col("_texts"))
-        .groupBy(counts["_host"]).agg(F.collect_set("_key").alias("_frequent"))
-    )
-
-
-def host_lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """frequent_lines, broadcast if there are few hosts."""
-    known = frequent_lines(docs, host_col, text_col)
-    return F.broadcast(known) if docs.select(host_col).distinct().count() <= BROADCAST_HOSTS else known
+    texts = own.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts")).withColumnRenamed("_host", "_of")
+    each = own.select("_host", "_text", F.explode("_keys").alias("_key"))
+    counts = each.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_docs)
+    counts = counts.join(texts, F.col("_host").eqNullSafe(F.col("_of")))
+    return counts.filter((F.col("_n") > max_share * F.col("_texts")) | (F.col("_n") > max_docs)).select("_host", "_key"), each
+
+
+def with_frequent(docs: DataFrame, host_col: str, text_col: str, row: str, broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
+    """row (a struct of all columns of docs) and _frequent: hashes of frequent lines, all of the host's or those of the text."""
+    rows = docs.select(F.struct("*").alias(row))
+    host, text = F.col(row)[host_col], F.xxhash64(F.col(row)[text_col])
+    known, each = frequent_lines(docs, host_col, text_col, **limits)
+    known = materialise(known, "frequent")
+    if known.count() <= broadcast_lines:
+        sets = known.groupBy(F.col("_host").alias("_at")).agg(F.collect_set("_key").alias("_frequent"))
+        return rows.join(F.broadcast(sets), host.eqNullSafe(F.col("_at")), "left").select(row, "_frequent")
+    known = known.withColumnsRenamed({"_host": "_h", "_key": "_k"})
+    held = each.join(known, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_key") == F.col("_k")), "left_semi")
+    sets = held.groupBy(F.col("_host").alias("_at"), F.col("_text").alias("_t")).agg(F.collect_set("_key").alias("_frequent"))
+    return rows.join(sets, host.eqNullSafe(F.col("_at")) & (text == F.col("_t")), "left").select(row, "_frequent")
 
 
 def without(text: Column, keys: Column) -> Column:
     """text without the lines whose hashes are in keys (null: none)."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.size(keys) > 0, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(keys, line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")).otherwise(text)
+    held = F.array_intersect(F.array_distinct(F.transform(lines(text), line_key)), keys)
+    rest = lambda hits: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hits, line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
+    return let(held, lambda hits: F.when(F.size(hits) > 0, rest(hits)).otherwise(text))
 
 
 FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, keep: tuple[str, ...] = ()) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, keep: tuple[str, ...] = (), **limits) -> DataFrame:
     """id_col, keep columns, the base figures, base_failed, left_chars, cleaned (the text without frequent lines), kept."""
-    known = host_lines(docs, host_col, text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_own"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = rows.join(known, rows["_own"].eqNullSafe(known["_host"]), "left")
-    rows = rows.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], *base(F.col("_text")), without(F.col("_text"), F.col("_frequent")).alias("cleaned"))
+    rows = with_frequent(docs.select(*dict.fromkeys([id_col, text_col, host_col, *keep])), host_col, text_col, "_row", **limits)
+    text = F.col("_row")[text_col]
+    rows = rows.select(F.col("_row")[id_col].alias(id_col), *[F.col("_row")[c].alias(c) for c in keep], *base(text), without(text, F.col("_frequent")).alias("cleaned"))
     left = F.length(F.regexp_replace("cleaned", SPACE, "")).cast("long")
     return rows.withColumn("left_chars", left).withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") >= min_left * F.col("word_chars")))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", min_left: float = MIN_LEFT) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", min_left: float = MIN_LEFT, **limits) -> DataFrame:
     """The kept rows with all their columns, text_col without frequent lines and length_col to match where a line went."""
-    known = host_lines(docs, host_col, text_col)
-    rows = docs.select(F.struct("*").alias("_row"))
-    rows = rows.join(known, F.col("_row")[host_col].eqNullSafe(known["_host"]), "left")
+    rows = with_frequent(docs, host_col, text_col, "_row", **limits)
     text = F.col("_row")[text_col]
     rows = rows.select("_row", without(text, F.col("_frequent")).alias("_cleaned"), *base(text)).filter(~F.expr(FAILED))
     rows = rows.filter(F.length(F.regexp_replace("_cleaned", SPACE, "")) >= min_left * F.col("word_chars"))
-    length = F.when(F.col("_cleaned") == text, F.col("_row")[length_col]).otherwise(F.length("_cleaned"))
-    new = {text_col: F.col("_cleaned"), length_col: length.cast(docs.schema[length_col].dataType)}
+    new = {text_col: F.col("_cleaned")}
+    if length_col in docs.columns:
+        length = F.when(F.col("_cleaned") == text, F.col("_row")[length_col]).otherwise(F.length("_cleaned"))
+        new[length_col] = length.cast(docs.schema[length_col].dataType)
     return rows.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
@@ -149,7 +162,7 @@ c as (select r, count(*) as n from (select distinct r, i + k as p from t, (value
 n as (select r, unnest(list_transform(list_distinct(list_transform(l, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))))), lambda x: x)) as line from w),
 u as (select source, raw, min(r) as r from d group by source, raw),
 h as (select source, count(*) as texts from u group by source),
-f as (select u.source, line from u join n using (r) join h on u.source is not distinct from h.source group by u.source, line, texts having count(*) > 20 and count(*) > 0.05 * texts),
+f as (select u.source, line from u join n using (r) join h on u.source is not distinct from h.source group by u.source, line, texts having count(*) > 20 and (count(*) > 0.05 * texts or count(*) > 1000)),
 k as (select d.r, sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) as n
   from d join (select r, unnest(l) as x from w) l on d.r = l.r
   where not exists (select 1 from f where f.source is not distinct from d.source and f.line = lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) group by d.r),

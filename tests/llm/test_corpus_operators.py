@@ -73,6 +73,21 @@ def test_line_quality_removes_frequent_lines_and_rejects_depleted(spark):
     assert set(kept) == {i for i in got if got[i]["kept"]} and kept[0]["n_chars"] == len(kept[0]["text"])
 
 
+def test_line_quality_limits_and_both_joins(spark):
+    """A line above the absolute limit goes whatever its share; a count at a limit stays; broadcast and shuffle give one result."""
+    rng = random.Random(6)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    texts = [f"{own()}\nin thirty of them\n{'x' * 50_000}" if i < 30 else f"{own()}\nin twenty of them" if i < 50 else own() for i in range(700)]
+    rows = docs_of(spark, texts).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("s")))
+    for limits, gone in (({}, 0), ({"min_docs": 5, "max_docs": 14}, 30), ({"min_docs": 5, "max_docs": 15}, 0), ({"min_docs": 5, "max_share": 0.02}, 50)):
+        both = []
+        for most in (10**6, -1):
+            got = {r["doc_id"]: r["cleaned"] for r in line_quality.assess(rows, broadcast_lines=most, **limits).collect()}
+            assert sum(got[i] != t for i, t in enumerate(texts)) == gone
+            both.append((got, {r["doc_id"]: r["text"] for r in line_quality.keep_good(rows.drop("n_chars"), broadcast_lines=most, **limits).collect()}))
+        assert both[0] == both[1]
+
+
 def test_line_quality_extra_columns_and_empty(spark):
     rows = docs_of(spark, made_texts()).selectExpr("*", "1 as kept", "2 as cleaned", "3 as n_words")
     out = line_quality.keep_good(rows)
