@@ -469,6 +469,11 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
         edges = small.select("a", "b").unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of one or two numbers a row, broadcast up to BROADCAST_IDS rows: what it meets then stays where it is, hot keys too."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def merged(comp: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """comp with the components joined that a linking pair connects."""
     side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
@@ -505,12 +510,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     comp = components(verify(first, sets))
     comp = merged(comp, pairs, sets)
     # groups of two are settled by their only pair
-    large = members.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).filter("many > 2")
-    members = materialise(members.join(large, "sig"), "members")
+    large = materialise(members.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).filter("many > 2"), "large")
+    members = materialise(members.join(few(large), "sig"), "members")
     for turn in range(STAR_ROUNDS + 1):
         named = members.join(comp, "node", "left").select("sig", "many", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = named.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("sig")
-        named = materialise(named.join(open_, "sig"), f"open{turn}")
+        open_ = materialise(named.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("sig"), f"sig{turn}")
+        named = materialise(named.join(few(open_), "sig"), f"open{turn}")
         if named.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -565,7 +570,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = first.select(F.col("_f")["id"].alias("_stay"), F.col("_f")["node"].alias("_stay_node"))
     stay = materialise(first.unionByName(rows.filter("_comp is null").select(F.col("_id").alias("_stay"), F.col("_node").alias("_stay_node"))), "stay")
     repeated = materialise(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col("_id").alias("_again")), "repeated")
-    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
     own = few(stay)
     same = docs[id_col].eqNullSafe(stay["_stay"])
     if repeated.isEmpty():
