@@ -127,3 +127,12 @@ def secret_findings(rows: DataFrame, text: str = "text") -> DataFrame:
     """Secrets as issues: rule id, title and advice added."""
     found = secret_lines(rows, text)
     return found.select("*", F.concat(F.lit("SEC-"), F.upper("secret_type")).alias("rule_id"), F.concat(F.lit("Hardcoded "), F.replace("secret_type", F.lit("_"), F.lit(" "))).alias("issue"), F.lit("Move the value into Azure Key Vault or another secret store and rotate it.").alias("fix"))
+
+
+def secret_report(files: DataFrame, text: str = "text") -> DataFrame:
+    """One row: issues by severity, files that were analysed (clean ones too), files with findings, the worst severity."""
+    found = secret_findings(files, text)
+    n = lambda s: F.count_if(F.col("severity") == s)
+    counts = found.agg(F.count(F.lit(1)).alias("total"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.countDistinct("file_path").alias("files_with_findings"))
+    worst = F.when(F.col("high") > 0, "HIGH").when(F.col("medium") > 0, "MEDIUM").when(F.col("low") > 0, "LOW").otherwise("NONE")
+    return counts.crossJoin(F.broadcast(files.agg(F.countDistinct("file_path").alias("files_analysed")))).withColumn("worst", worst)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from sparkseam.functions.text import contains_any, long_text_entropy, repetition, severity_rank
 from sparkseam.operators.detectors import redact
@@ -26,10 +29,18 @@ SEVERITY_HINTS = [("CRITICAL", ["CRIT"]), ("HIGH", ["ERROR"]), ("MEDIUM", ["WARN
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "UNKNOWN")
 ROLE_LEAST = {"viewer": "HIGH", "analyst": "MEDIUM", "engineer": "LOW", "admin": "INFO"}
 GRANTS = {
-    "viewer": "read_report",
-    "analyst": "read_report export_report run_scan read_policy invoke_llm",
-    "engineer": "read_report export_report run_scan schedule_scan manage_index read_policy write_policy invoke_llm approve_finding",
-    "admin": "read_report export_report run_scan schedule_scan manage_index delete_index read_policy write_policy manage_users manage_roles view_audit approve_finding reject_finding invoke_llm",
+    "viewer": [
+        "read_report",
+    ],
+    "analyst": [
+        "read_report", "export_report", "run_scan", "read_policy", "invoke_llm",
+    ],
+    "engineer": [
+        "read_report", "export_report", "run_scan", "schedule_scan", "manage_index", "read_policy", "write_policy", "invoke_llm", "approve_finding",
+    ],
+    "admin": [
+        "read_report", "export_report", "run_scan", "schedule_scan", "manage_index", "delete_index", "read_policy", "write_policy", "manage_users", "manage_roles", "view_audit", "approve_finding", "reject_finding", "invoke_llm",
+    ],
 }
 TOOLS = {
     "iam_analyzer": "run_scan", "workload_identity_analyzer": "run_scan", "prompt_injection_analyzer": "run_scan", "secrets_analyzer": "run_scan", "permission_analyzer": "run_scan",
@@ -85,6 +96,42 @@ def reason(text: Column, most: int = MAX_INPUT, html: bool = False, extra: list[
     return out
 
 
+def map_strings(value: Column, kind: DataType, change: Callable[[Column], Column]) -> Column:
+    """value with `change` applied to every string in it, however deep in structs, arrays and map values; the rest unchanged."""
+    if isinstance(kind, StringType):
+        return change(value)
+    if isinstance(kind, StructType):
+        parts = [map_strings(value[f.name], f.dataType, change).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: map_strings(x, kind.elementType, change))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: map_strings(v, kind.valueType, change))
+    return value
+
+
+def all_strings(value: Column, kind: DataType, at: str) -> Column:
+    """array<struct<at, text>>: every string in value, with the names on the way to it."""
+    none = F.array().cast("array<struct<at:string,text:string>>")
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), F.array(F.struct(F.lit(at).alias("at"), value.alias("text")))).otherwise(none)
+    if isinstance(kind, StructType):
+        return F.concat(none, *[F.when(value.isNotNull(), all_strings(value[f.name], f.dataType, f"{at}.{f.name}")).otherwise(none) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: all_strings(x, kind.elementType, f"{at}[]"))), none)
+    if isinstance(kind, MapType):
+        own = lambda x: F.transform(all_strings(x["value"], kind.valueType, ""), lambda y: F.struct(F.concat(F.lit(f"{at}."), x["key"].cast("string"), y["at"]).alias("at"), y["text"].alias("text")))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), own)), none)
+    return none
+
+
+def sanitised_nested(rows: DataFrame, column: str, most: int = MAX_INPUT, html: bool = False) -> DataFrame:
+    """rows with every string of a nested column sanitised, and `rejected`: where in it which checks fail (at, reason)."""
+    kind = rows.schema[column].dataType
+    found = F.transform(all_strings(F.col(column), kind, column), lambda x: F.struct(x["at"].alias("at"), reason(x["text"], most, html).alias("reason")))
+    return rows.withColumn("rejected", F.filter(found, lambda x: x["reason"].isNotNull())).withColumn(column, map_strings(F.col(column), kind, sanitised))
+
+
 def nfc(rows: DataFrame, text: str) -> DataFrame:
     """rows with text in Unicode NFC; there is no built-in for it."""
     normal = F.pandas_udf(lambda s: s.str.normalize("NFC"), "string")
@@ -141,24 +188,59 @@ def deliver(issues: DataFrame, role: str, most: int, order: list[str], texts: li
     return top.crossJoin(F.broadcast(total))
 
 
-def grants(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(r).alias("role"), F.lit(p).alias("permission")) for r, ps in GRANTS.items() for p in ps.split()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def _rows(spark: SparkSession, names: tuple[str, str], pairs: list[tuple[str, str]]) -> DataFrame:
+    a, b = names
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(x).alias(a), F.lit(y).alias(b)) for x, y in pairs])))
+
+
+def registered(base: DataFrame, extra: DataFrame | None, key: str) -> DataFrame:
+    """base and what was registered beside it; names count in lower case, and a registered one replaces the built-in."""
+    if extra is None:
+        return base
+    extra = extra.select(F.lower(key).alias(key), *[c for c in base.columns if c != key])
+    return base.join(F.broadcast(extra.select(key).distinct()), key, "left_anti").select(*base.columns).unionByName(extra)
+
+
+def grants(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
+    """role, permission. extra: roles to register, a row for each permission."""
+    return registered(_rows(spark, ("role", "permission"), [(r, p) for r, ps in GRANTS.items() for p in ps]), extra, "role")
 
 
-def tools(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(t).alias("tool"), F.lit(p).alias("permission")) for t, p in TOOLS.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def tools(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
+    """tool, permission that it needs. extra: tools to register."""
+    return registered(_rows(spark, ("tool", "permission"), list(TOOLS.items())), extra, "tool")
 
 
-def access(requests: DataFrame) -> DataFrame:
+def access(requests: DataFrame, roles: DataFrame | None = None, extra_tools: DataFrame | None = None) -> DataFrame:
     """requests (role, tool) with allowed: an unknown tool needs run_scan, an unknown role has nothing."""
     spark = requests.sparkSession
-    need = requests.withColumn("_role", F.lower("role")).join(F.broadcast(tools(spark)), "tool", "left").withColumn("permission", F.coalesce("permission", F.lit("run_scan")))
-    have = grants(spark).select(F.col("role").alias("_role"), "permission", F.lit(True).alias("_ok"))
+    known = tools(spark, extra_tools).withColumnRenamed("tool", "_tool")
+    need = requests.withColumns({"_role": F.lower("role"), "_name": F.lower("tool")}).join(F.broadcast(known), F.col("_name") == F.col("_tool"), "left")
+    need = need.drop("_name", "_tool").withColumn("permission", F.coalesce("permission", F.lit("run_scan")))
+    have = grants(spark, roles).select(F.col("role").alias("_role"), "permission", F.lit(True).alias("_ok")).distinct()
     return need.join(F.broadcast(have), ["_role", "permission"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_role", "_ok")
 
 
+def accessible_tools(spark: SparkSession, roles: DataFrame | None = None, extra_tools: DataFrame | None = None) -> DataFrame:
+    """role, tool for every tool that a role may use."""
+    return grants(spark, roles).join(F.broadcast(tools(spark, extra_tools)), "permission").select("role", "tool").distinct()
+
+
+def require(spark: SparkSession, role: str, permission: str = "", tool: str = "", roles: DataFrame | None = None, extra_tools: DataFrame | None = None) -> None:
+    """Raises PermissionError unless the role holds a permission, or may use a tool."""
+    if tool:
+        allowed = access(_rows(spark, ("role", "tool"), [(role, tool)]), roles, extra_tools).first()["allowed"]
+    else:
+        allowed = not grants(spark, roles).filter((F.col("role") == role.lower()) & (F.col("permission") == permission)).isEmpty()
+    if not allowed:
+        raise PermissionError(f"{role} may not {'use ' + tool if tool else permission}")
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Adds events to a folder of JSON lines; what is there stays."""
+    events.write.mode("append").json(path)
+
+
 def audit(events: DataFrame, where: dict, since: Column | None = None, time: str = "ts") -> DataFrame:
     for c, v in where.items():
         if v is not None:

@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import alnum_tokens, words
+from sparkseam.session import materialise
 
 # Filler words and stop words.
-FILLER = "please kindly just actually basically i think maybe possibly can could you help me".split()
-STOPWORDS = "the is a an to of for in on with and or this that it as by be are at from check issue".split()
+FILLER = [
+    "please", "kindly", "just", "actually", "basically", "i", "think", "maybe", "possibly", "can", "could", "you",
+    "help", "me",
+]
+STOPWORDS = [
+    "the", "is", "a", "an", "to", "of", "for", "in", "on", "with", "and", "or",
+    "this", "that", "it", "as", "by", "be", "are", "at", "from", "check", "issue",
+]
 
 
 def signals(rows: DataFrame) -> DataFrame:
@@ -31,6 +38,12 @@ def signals(rows: DataFrame) -> DataFrame:
     return out.withColumn("skill", route(F.col("query"), F.col("_m"), F.col("_g"))).drop("_t", "_d", "_m", "_g", "_s")
 
 
+def doc_texts(docs: Column) -> Column:
+    """array<string>: the texts and the descriptions of an array<struct<text, description>>, empty ones left out."""
+    both = F.flatten(F.transform(docs, lambda d: F.array(d["text"], d["description"])))
+    return F.coalesce(F.filter(both, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.array().cast("array<string>"))
+
+
 def route(query: Column, missing: Column, grounding: Column) -> Column:
     low = F.concat(F.lit(" "), F.lower(F.coalesce(query, F.lit(""))), F.lit(" "))
     many = F.contains(low, F.lit(" and ")) | F.contains(low, F.lit(" or ")) | F.contains(low, F.lit(",")) | F.contains(low, F.lit(";"))
@@ -60,7 +73,8 @@ def improve(rows: DataFrame, answer: Callable[[DataFrame], DataFrame], key: str,
     """key, query, answer, docs, round of the last try. answer adds answer and docs to (key, query); failing rows are asked again, rewritten or focused."""
     todo, out = rows.select(key, "query"), None
     for i in range(1, rounds + 1):
-        tried = signals(answer(todo)).withColumn("round", F.lit(i))
+        # each round is written, so the plan doesn't grow and the answers are asked for once
+        tried = materialise(signals(answer(todo)).withColumn("round", F.lit(i)), f"round{i}")
         done = tried.filter(~F.col("is_failure")) if i < rounds else tried
         part = done.select(key, "query", "answer", "docs", "round")
         out = part if out is None else out.unionByName(part)

@@ -121,6 +121,16 @@ def sarif_rules(issues: DataFrame, order: str) -> DataFrame:
     return issues.groupBy(rule.alias("rule")).agg(F.min(F.struct(order, "issue", "detector")).alias("f")).select("rule", F.col("f.issue").alias("name"), F.col("f.detector").alias("detector"))
 
 
+def sarif_document(issues: DataFrame, order: str) -> DataFrame:
+    """One row, document: a whole SARIF 2.1.0 report, for a report that fits a row; write_sarif writes one of any size."""
+    rules = sarif_rules(issues, order).agg(F.sort_array(F.collect_list(F.struct(F.col("rule").alias("id"), F.col("name"), F.struct(F.col("detector")).alias("properties")))).alias("rules"))
+    place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    found = sarif_results(issues).select(F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations")).alias("r"), "rule", "uri", "start_line", "message")
+    found = found.agg(F.sort_array(F.collect_list(F.struct("rule", "uri", "start_line", "message", "r"))).alias("all")).select(F.transform("all", lambda x: x["r"]).alias("results"))
+    run = F.struct(F.struct(F.struct(F.lit("sparkseam").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
+    return found.crossJoin(rules).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+
+
 def write_sarif(issues: DataFrame, order: str, path: str) -> None:
     """One JSON line for each result and rule, in parts: a report of any size is written where its rows are."""
     sarif_results(issues).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/results")
@@ -129,6 +139,10 @@ def write_sarif(issues: DataFrame, order: str, path: str) -> None:
     issues.sparkSession.range(1).select(F.lit(head).alias("value")).write.mode("overwrite").text(f"{path}/head")
 
 
+def write_sarif_document(issues: DataFrame, order: str, path: str) -> None:
+    sarif_document(issues, order).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
@@ -143,6 +157,26 @@ def console(issues: DataFrame, summary: DataFrame, tie: str, most: int = 5) -> D
     return head.unionByName(listed)
 
 
+def console_policy(issues: DataFrame, summary: DataFrame, verdict: DataFrame, most_files: int = 5) -> DataFrame:
+    """line_number, line: what the report says about the policy. verdict: evaluate()'s rows; with detector errors it isn't judged."""
+    failed = verdict.agg(F.coalesce(F.bool_or("violated"), F.lit(False)).alias("failed")).crossJoin(F.broadcast(summary.select("errors")))
+    judged = F.when(F.col("errors") > 0, "NOT EVALUATED").when(F.col("failed"), "FAIL").otherwise("PASS")
+    head = failed.select(F.lit(1).alias("line_number"), F.concat(F.lit("Build policy: "), judged).alias("line"))
+    place = (rank_of(F.col("severity")) * 2).cast("int")
+    files = violation_files(issues, verdict).withColumn("_n", F.row_number().over(Window.partitionBy("severity").orderBy("file_path"))).filter(F.col("_n") <= most_files)
+    files = files.groupBy("severity").agg(F.array_join(F.sort_array(F.collect_list("file_path")), ", ").alias("files"))
+    bad = verdict.filter("violated").join(files, "severity", "left").crossJoin(F.broadcast(failed.filter("errors = 0").select("errors")))
+    said = bad.select((place + 2).alias("line_number"), F.format_string("- %s: %d found, %d allowed (%s)", "severity", "count", "max_allowed", "reason").alias("line"))
+    where = bad.select((place + 3).alias("line_number"), F.format_string("  in %s", F.coalesce("files", F.lit("no files recorded"))).alias("line"))
+    return head.unionByName(said).unionByName(where)
+
+
+def overrides(fail_on: list[str] = (), max_allowed: dict[str, int] | None = None) -> dict:
+    """What a command line sets over a policy: severities that fail at once, and limits; empty where it sets nothing."""
+    out = {"fail_on": {s.lower(): True for s in fail_on}, "max_allowed": {s.lower(): int(n) for s, n in (max_allowed or {}).items()}}
+    return out if out["fail_on"] or out["max_allowed"] else {}
+
+
 def sources(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct files of retrieved chunks and findings."""
     return chunks.select("file_path").unionByName(found.select("file_path")).filter("file_path <> ''").distinct()

@@ -7,48 +7,50 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions.classify import filled
 from sparkseam.functions.text import contains_any, first_match, severity_rank
+from sparkseam.operators import search, store
+from sparkseam.session import exists, materialise
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 # Id, source category, severity, resource type, provider, category of the built-in rules; titles are our own.
-BUILT_IN = """
-owasp-iac-01|owasp|CRITICAL|secrets|aws|secrets|Credentials written into configuration
-owasp-llm-01|owasp|HIGH|secrets|generic|secrets|Secrets reachable from a model prompt
-owasp-iac-02|owasp|HIGH|azurerm_storage_account|azure|storage|Storage open to anonymous readers
-owasp-iac-03|owasp|HIGH|general|aws|general|Data kept without encryption
-owasp-iac-04|owasp|CRITICAL|identity|aws|identity|Wildcard grants in access policies
-owasp-iac-05|owasp|CRITICAL|azurerm_storage_account|azure|storage|Public containers with sensitive data
-owasp-iac-06|owasp|HIGH|general|azure|general|Logging and monitoring switched off
-cis-aws-01|cis_aws|HIGH|aws_security_group|aws|networking|Administration ports open to the world
-cis-aws-02|cis_aws|HIGH|general|aws|general|Trail of API calls not kept
-cis-aws-03|cis_aws|MEDIUM|aws_s3_bucket|aws|storage|Bucket without access logging
-cis-aws-04|cis_aws|HIGH|general|aws|general|Keys that are never rotated
-cis-aws-05|cis_aws|HIGH|aws_security_group|aws|networking|Default group lets traffic in
-cis-aws-06|cis_aws|MEDIUM|general|aws|general|Flow logs not enabled
-cis-k8s-01|cis_k8s|CRITICAL|kubernetes_pod|kubernetes|compute|Privileged containers
-cis-k8s-02|cis_k8s|CRITICAL|kubernetes_pod|kubernetes|compute|Containers that run as root
-cis-k8s-03|cis_k8s|HIGH|kubernetes_pod|kubernetes|compute|Host namespaces shared with pods
-cis-k8s-04|cis_k8s|HIGH|kubernetes_pod|kubernetes|compute|Capabilities not dropped
-cis-k8s-05|cis_k8s|MEDIUM|kubernetes_pod|kubernetes|compute|Containers without limits
-azure-01|azure|HIGH|azurerm_storage_account|azure|storage|Storage account accepts plain HTTP
-azure-02|azure|HIGH|aws_security_group|azure|networking|Network security rule allows any source
-gcp-01|gcp|CRITICAL|google_storage_bucket|gcp|storage|Bucket open to all users
-gcp-02|gcp|HIGH|google_compute_instance|gcp|compute|Instance with the default service account
-general-01|general|HIGH|secrets|generic|secrets|Passwords in plain text
-general-02|general|MEDIUM|networking|generic|networking|Endpoints without transport encryption
-general-03|general|HIGH|compute|aws|compute|Instances with public addresses
-general-04|general|MEDIUM|general|aws|general|Resources without owner tags
-general-05|general|MEDIUM|aws_security_group|aws|networking|Egress without limits
-general-06|general|HIGH|secrets|aws|secrets|Secrets outside a vault
-general-07|general|HIGH|aws_security_group|aws|networking|Database ports open to the world
-cis-az-iam-01|cis_azure|CRITICAL|azurerm_user_assigned_identity|azure|identity|Managed identity owns a subscription
-cis-az-iam-02|cis_azure|HIGH|azurerm_storage_account|azure|storage|Contributor over a whole storage account
-cis-az-iam-03|cis_azure|HIGH|azurerm_user_assigned_identity|azure|identity|Identity may grant access to others
-cis-az-iam-04|cis_azure|HIGH|azurerm_user_assigned_identity|azure|identity|Identity with several broad roles
-cis-az-iam-05|cis_azure|MEDIUM|azurerm_user_assigned_identity|azure|identity|Role wider than its workload
-cis-az-wi-01|cis_azure|HIGH|secrets|azure|secrets|Federated credential trusts any issuer
-cis-az-wi-02|cis_azure|MEDIUM|kubernetes_pod|azure|compute|Service account shared by workloads
-cis-az-wi-03|cis_azure|HIGH|secrets|azure|secrets|Token audience not restricted
-"""
+BUILT_IN = [
+    ("owasp-iac-01", "owasp", "CRITICAL", "secrets", "aws", "secrets", "Credentials written into configuration"),
+    ("owasp-llm-01", "owasp", "HIGH", "secrets", "generic", "secrets", "Secrets reachable from a model prompt"),
+    ("owasp-iac-02", "owasp", "HIGH", "azurerm_storage_account", "azure", "storage", "Storage open to anonymous readers"),
+    ("owasp-iac-03", "owasp", "HIGH", "general", "aws", "general", "Data kept without encryption"),
+    ("owasp-iac-04", "owasp", "CRITICAL", "identity", "aws", "identity", "Wildcard grants in access policies"),
+    ("owasp-iac-05", "owasp", "CRITICAL", "azurerm_storage_account", "azure", "storage", "Public containers with sensitive data"),
+    ("owasp-iac-06", "owasp", "HIGH", "general", "azure", "general", "Logging and monitoring switched off"),
+    ("cis-aws-01", "cis_aws", "HIGH", "aws_security_group", "aws", "networking", "Administration ports open to the world"),
+    ("cis-aws-02", "cis_aws", "HIGH", "general", "aws", "general", "Trail of API calls not kept"),
+    ("cis-aws-03", "cis_aws", "MEDIUM", "aws_s3_bucket", "aws", "storage", "Bucket without access logging"),
+    ("cis-aws-04", "cis_aws", "HIGH", "general", "aws", "general", "Keys that are never rotated"),
+    ("cis-aws-05", "cis_aws", "HIGH", "aws_security_group", "aws", "networking", "Default group lets traffic in"),
+    ("cis-aws-06", "cis_aws", "MEDIUM", "general", "aws", "general", "Flow logs not enabled"),
+    ("cis-k8s-01", "cis_k8s", "CRITICAL", "kubernetes_pod", "kubernetes", "compute", "Privileged containers"),
+    ("cis-k8s-02", "cis_k8s", "CRITICAL", "kubernetes_pod", "kubernetes", "compute", "Containers that run as root"),
+    ("cis-k8s-03", "cis_k8s", "HIGH", "kubernetes_pod", "kubernetes", "compute", "Host namespaces shared with pods"),
+    ("cis-k8s-04", "cis_k8s", "HIGH", "kubernetes_pod", "kubernetes", "compute", "Capabilities not dropped"),
+    ("cis-k8s-05", "cis_k8s", "MEDIUM", "kubernetes_pod", "kubernetes", "compute", "Containers without limits"),
+    ("azure-01", "azure", "HIGH", "azurerm_storage_account", "azure", "storage", "Storage account accepts plain HTTP"),
+    ("azure-02", "azure", "HIGH", "aws_security_group", "azure", "networking", "Network security rule allows any source"),
+    ("gcp-01", "gcp", "CRITICAL", "google_storage_bucket", "gcp", "storage", "Bucket open to all users"),
+    ("gcp-02", "gcp", "HIGH", "google_compute_instance", "gcp", "compute", "Instance with the default service account"),
+    ("general-01", "general", "HIGH", "secrets", "generic", "secrets", "Passwords in plain text"),
+    ("general-02", "general", "MEDIUM", "networking", "generic", "networking", "Endpoints without transport encryption"),
+    ("general-03", "general", "HIGH", "compute", "aws", "compute", "Instances with public addresses"),
+    ("general-04", "general", "MEDIUM", "general", "aws", "general", "Resources without owner tags"),
+    ("general-05", "general", "MEDIUM", "aws_security_group", "aws", "networking", "Egress without limits"),
+    ("general-06", "general", "HIGH", "secrets", "aws", "secrets", "Secrets outside a vault"),
+    ("general-07", "general", "HIGH", "aws_security_group", "aws", "networking", "Database ports open to the world"),
+    ("cis-az-iam-01", "cis_azure", "CRITICAL", "azurerm_user_assigned_identity", "azure", "identity", "Managed identity owns a subscription"),
+    ("cis-az-iam-02", "cis_azure", "HIGH", "azurerm_storage_account", "azure", "storage", "Contributor over a whole storage account"),
+    ("cis-az-iam-03", "cis_azure", "HIGH", "azurerm_user_assigned_identity", "azure", "identity", "Identity may grant access to others"),
+    ("cis-az-iam-04", "cis_azure", "HIGH", "azurerm_user_assigned_identity", "azure", "identity", "Identity with several broad roles"),
+    ("cis-az-iam-05", "cis_azure", "MEDIUM", "azurerm_user_assigned_identity", "azure", "identity", "Role wider than its workload"),
+    ("cis-az-wi-01", "cis_azure", "HIGH", "secrets", "azure", "secrets", "Federated credential trusts any issuer"),
+    ("cis-az-wi-02", "cis_azure", "MEDIUM", "kubernetes_pod", "azure", "compute", "Service account shared by workloads"),
+    ("cis-az-wi-03", "cis_azure", "HIGH", "secrets", "azure", "secrets", "Token audience not restricted"),
+]
 FIELDS = ["rule_id", "source_category", "severity", "resource_type", "cloud_provider", "category", "title"]
 # Resource type by the first needle group in a rule's text.
 RULE_TYPES = [
@@ -75,7 +77,7 @@ TYPE_CATEGORIES = {
 
 
 def built_in_rows() -> list[tuple]:
-    return [tuple(line.split("|")) for line in BUILT_IN.strip().split("\n")]
+    return list(BUILT_IN)
 
 
 def catalogue(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
@@ -138,9 +140,57 @@ def rule_aware(resources: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     return best.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+DETAILS = ["description", "indicators", "remediation", "references"]
+
+
+def documents(rules: DataFrame) -> DataFrame:
+    """rules with DETAILS filled: what a rule lacks is said from its title, resource and provider."""
+    have = [c if c in rules.columns else None for c in DETAILS]
+    about = F.concat(F.col("title"), F.lit(" ("), F.col("resource_type"), F.lit(", "), F.col("cloud_provider"), F.lit(")."))
+    stand_in = [about, F.concat(F.lit("Settings of "), F.col("resource_type"), F.lit(" that show: "), F.lower("title")), F.concat(F.lit("Change the "), F.col("category"), F.lit(" settings so that this no longer holds.")), F.lit("")]
+    full = [(filled(F.col(c), d) if c else d).alias(name) for name, c, d in zip(DETAILS, have, stand_in, strict=True)]
+    return rules.select(*FIELDS, *full)
+
+
 def rule_text(rules: DataFrame) -> DataFrame:
-    """rule_id, text: the document that rule search embeds."""
-    return rules.select("rule_id", F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), F.col(c)) for name, c in (("Rule", "rule_id"), ("Title", "title"), ("Severity", "severity"), ("Category", "category"), ("Resource", "resource_type"), ("Provider", "cloud_provider"), ("Source", "source_category"))]).alias("text"))
+    """rule_id, text: the document that rule search embeds, of the rule's eight fields."""
+    upper = F.concat(F.lit("["), F.concat_ws(" | ", F.upper("category"), "severity", "cloud_provider", "resource_type"), F.lit("] "), F.col("title"))
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
+    return documents(rules).select("rule_id", F.concat_ws("\n\n", upper, "description", part("Indicators", "indicators"), part("Remediation", "remediation"), part("References", "references")).alias("text"))
+
+
+class KnowledgeBase:
+    """The rules with their texts and embeddings, kept in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, dimension: int = 64):
+        self.spark, self.folder, self.dimension = spark, folder.rstrip("/"), dimension
+
+    def _embedded(self, rules: DataFrame) -> DataFrame:
+        return store.embed(documents(rules).join(rule_text(rules), "rule_id"), self.dimension)
+
+    def rules(self) -> DataFrame:
+        """The latest of each rule id."""
+        rows = self.spark.read.parquet(self.folder)
+        return rows.groupBy("rule_id").agg(F.max_by(F.struct(*rows.columns), "segment").alias("r")).select("r.*")
+
+    def load_or_build(self, extra: DataFrame | None = None) -> int:
+        """How many rules there are, after building the folder if it isn't there."""
+        if not exists(self.spark, self.folder):
+            self._embedded(catalogue(self.spark, extra)).withColumn("segment", F.lit(0)).write.parquet(self.folder)
+        return self.rules().count()
+
+    def add_rules(self, raw: DataFrame) -> int:
+        """Adds raw rules (as normalise() takes them); returns how many. One with a known id replaces it."""
+        rules = normalise(raw).join(raw.select(F.col("id").alias("rule_id"), *[c for c in DETAILS if c in raw.columns]), "rule_id")
+        last = self.spark.read.parquet(self.folder).agg(F.max("segment")).first()[0]
+        new = materialise(self._embedded(rules).withColumn("segment", F.lit(last + 1)), "rules")
+        new.write.mode("append").parquet(self.folder)
+        return new.count()
+
+    def search(self, query: str, k: int = 7, where: dict | None = None) -> DataFrame:
+        """The k nearest rules of a question."""
+        asked = store.embed(self.spark.range(1).select(F.lit(query).alias("text")), self.dimension).select("embedding").first()[0]
+        return search.vector_topk(self.rules(), list(asked), k, "rule_id", where)
 
 
 def enrich(issues: DataFrame, top_rule: DataFrame) -> DataFrame:

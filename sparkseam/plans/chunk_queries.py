@@ -317,7 +317,9 @@ def rule_lookup(spark, sf):
     return _rules(spark).filter("rule_id = 'gcp-01'").select("rule_id", "severity", "title")
 
 
-@query("rule_text_build", f"with {_NORM} select rule_id, 'Rule: ' || rule_id || chr(10) || 'Title: ' || title || chr(10) || 'Severity: ' || severity || chr(10) || 'Category: ' || category || chr(10) || 'Resource: ' || resource_type || chr(10) || 'Provider: ' || cloud_provider || chr(10) || 'Source: ' || source_category as text from cat")
+@query("rule_text_build", f"""with {_NORM} select rule_id, '[' || upper(category) || ' | ' || severity || ' | ' || cloud_provider || ' | ' || resource_type || '] ' || title || chr(10) || chr(10)
+  || title || ' (' || resource_type || ', ' || cloud_provider || ').' || chr(10) || chr(10) || 'Indicators: Settings of ' || resource_type || ' that show: ' || lower(title) || chr(10) || chr(10)
+  || 'Remediation: Change the ' || category || ' settings so that this no longer holds.' || chr(10) || chr(10) || 'References: ' as text from cat""")
 def rule_text_build(spark, sf):
     return rules.rule_text(_rules(spark))
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseam.functions import classify as C
-from sparkseam.operators import chunking, detectors, federation, iam, report, rules, search, store
+from sparkseam.functions.text import terms
+from sparkseam.operators import chunking, context, detectors, federation, iam, prompts, report, rules, search, store
 from sparkseam.sources import files as files_
 from sparkseam.sources import parsers
+from sparkseam.session import materialise, remove
 
 
 def tagged(chunks: DataFrame) -> DataFrame:
@@ -20,17 +26,21 @@ def tagged(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("resource_type", kind).withColumn("cloud_provider", cloud).withColumn("category", C.category(kind, F.col("text")))
 
 
+#: What each detector reads files with; a file that a reader fails on is an error of that detector.
+READERS = {"pipeline": parsers.read_snippets, "iam": parsers.read_roles, "workload_identity": parsers.read_federation}
+READS = {"pipeline": ("yaml",), "iam": ("terraform", "yaml", "json"), "workload_identity": ("terraform", "yaml", "json")}
+
+
 def scan_issues(files: DataFrame) -> DataFrame:
     """Issues (file_path, rule_id, issue, line_number, severity, detector, ord) of all detectors over parsed files (file_path, file_type, content)."""
     text = files.withColumnRenamed("content", "text")
-    trees = files.filter("file_type in ('yaml', 'json')")
-    steps = parsers.pipeline_snippets(files.filter("file_type = 'yaml'"))
+    of = lambda name: files.filter(F.col("file_type").isin(*READS[name]))
     line0 = F.lit(0)
     parts = [
-        detectors.pipeline_findings(steps).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("pipeline").alias("detector")),
+        detectors.pipeline_findings(parsers.pipeline_snippets(of("pipeline"))).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("pipeline").alias("detector")),
         detectors.secret_findings(text).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("secrets").alias("detector")),
-        iam.analyse(parsers.role_assignments(files.filter("file_type = 'terraform'").unionByName(trees))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("iam").alias("detector")),
-        federation.findings(parsers.federation_configs(files)).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("workload_identity").alias("detector")),
+        iam.analyse(parsers.role_assignments(of("iam"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("iam").alias("detector")),
+        federation.findings(parsers.federation_configs(of("workload_identity"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("workload_identity").alias("detector")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -38,85 +48,206 @@ def scan_issues(files: DataFrame) -> DataFrame:
     return out.withColumn("ord", F.xxhash64("file_path", "rule_id", "issue", "line_number", "severity"))
 
 
+def scan_errors(files: DataFrame) -> DataFrame:
+    """file_path, detector, error for every file that a detector can't read; its other files and the other detectors go on."""
+    out = None
+    for name, read in READERS.items():
+        part = parsers.failures(files.filter(F.col("file_type").isin(*READS[name])), {name: read})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@dataclass
+class Cache:
+    """Answers by (question, filter) until their time is over. Holds as many as are asked within that time."""
+
+    seconds: float = 300.0
+    now: Callable[[], float] = time.time
+    entries: dict = field(default_factory=dict)
+
+    def get(self, key):
+        value, expiry = self.entries.get(key, (None, 0.0))
+        return value if self.seconds > 0 and self.now() < expiry else None
+
+    def put(self, key, value) -> None:
+        if self.seconds > 0:
+            self.entries = {k: v for k, v in self.entries.items() if self.now() < v[1]}
+            self.entries[key] = (value, self.now() + self.seconds)
+
+    def stats(self) -> dict[str, int]:
+        live = sum(self.now() < expiry for _, expiry in self.entries.values())
+        return {"total": len(self.entries), "live": live, "expired": len(self.entries) - live}
+
+    def clear(self) -> None:
+        self.entries = {}
+
+
+CHUNK_BUDGET, RULE_BUDGET = 1950, 1050
+
+
 @dataclass
 class Engine:
-    """State lies in two Parquet tables below root: chunks with embeddings, and the registry of file hashes."""
+    """The engine's state in a folder.
+
+    An ingest appends a segment (chunks with embeddings, and the hashes of its files) and then a manifest that names the
+    segments: the manifest with the highest number holds, so a reader sees all of an ingest or nothing of it, and what
+    an ingest that failed has written is named by none. A file's chunks count in its latest segment only. compact()
+    writes what counts into one segment.
+    """
 
     spark: SparkSession
     root: str
     dimension: int = 64
-    _terms: dict = field(default_factory=dict)
-
-    @property
-    def store_path(self) -> str:
-        return f"{self.root}/chunks"
-
-    @property
-    def registry_path(self) -> str:
-        return f"{self.root}/registry"
-
-    def _state(self) -> tuple[DataFrame | None, DataFrame | None]:
-        if not store.reconcile(self.spark, self.store_path, self.registry_path):
-            return None, None
-        return store.load(self.spark, self.store_path, self.dimension), self.spark.read.parquet(self.registry_path)
+    answer: prompts.Answer = prompts.silent
+    cache: Cache = field(default_factory=Cache)
+
+    def _manifests(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()) if fs.exists(path) else []
+
+    def _segments(self) -> list[str]:
+        last = self._manifests()[-1:]
+        return self.spark.read.text(f"{self.root}/manifest/{last[0]}").first()[0].split(",") if last else []
+
+    def _publish(self, segments: list[str]) -> None:
+        """Writes the next manifest aside and renames it; a number that is taken already makes it fail."""
+        number = (self._manifests() or [0])[-1] + 1
+        aside, final = f"{self.root}/aside-{uuid.uuid4().hex}", f"{self.root}/manifest/{number}"
+        self.spark.range(1).select(F.lit(",".join(segments)).alias("value")).coalesce(1).write.text(aside)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = p(final).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p(f"{self.root}/manifest"))
+        if fs.exists(p(final)) or not fs.rename(p(aside), p(final)):
+            raise RuntimeError("another ingest was published meanwhile; ingest again")
+
+    def _read(self, name: str) -> DataFrame | None:
+        paths = [f"{self.root}/segments/{s}/{name}" for s in self._segments()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def registry(self) -> DataFrame | None:
+        """file_path, content_hash, segment: the latest of each file."""
+        rows = self._read("files")
+        return None if rows is None else rows.groupBy("file_path").agg(F.max_by("content_hash", "segment").alias("content_hash"), F.max("segment").alias("segment"))
+
+    def chunks(self) -> DataFrame | None:
+        rows = self._read("chunks")
+        one = None if rows is None else rows.select(F.size("embedding")).first()  # all rows of a store have one dimension
+        if one and one[0] != self.dimension:
+            raise ValueError(f"the stored vectors don't have {self.dimension} dimensions")
+        return None if rows is None else rows.join(self.registry().select("file_path", "segment"), ["file_path", "segment"], "left_semi")
+
+    def _append(self, segments: list[str], chunks: DataFrame, files: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        chunks.write.parquet(f"{self.root}/segments/{name}/chunks")
+        files.write.parquet(f"{self.root}/segments/{name}/files")
+        self._publish([*segments, name])
 
     def ingest(self, files: DataFrame, size: int = 400, overlap: int = 40, strategy: str = "hybrid") -> DataFrame:
         """Adds what changed of parsed files (file_path, file_type, content); chunks of a changed file are replaced."""
-        have, registry = self._state()
+        segments, registry = self._segments(), self.registry()
+        number = len(self._manifests()) + 1
         fresh = store.changed(files, registry) if registry is not None else files.withColumn("content_hash", store.content_hash("content"))
-        chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension)
-        chunks = chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path"))
-        rest = store.delete(have, fresh, "file_path") if have is not None else None
-        empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
-        new = store.insert_new(rest if rest is not None else empty, chunks, "ord")
-        table = new if rest is None else rest.unionByName(new.select(*rest.columns))
-        marks = store.registry_of(files)
-        if registry is not None:
-            marks = store.upsert(registry, marks.withColumn("_o", F.lit(0)), "file_path", "_o")
-        # both tables are rewritten from copies, as they are read while they are made
-        for rows, path in ((table, self.store_path), (marks, self.registry_path)):
-            store.save(rows, path + ".new")
-        for path in (self.store_path, self.registry_path):
-            store.save(self.spark.read.parquet(path + ".new"), path)
-        return self.spark.read.parquet(self.store_path)
-
-    def retrieve(self, query: str, k: int = 12, where: dict | None = None) -> DataFrame:
-        """Hybrid top-k of the stored chunks."""
-        have, _ = self._state()
+        fresh = materialise(fresh, "fresh")
+        if not fresh.isEmpty():
+            rest = store.delete(self.chunks(), fresh, "file_path") if registry is not None else None
+            # a text that is stored already keeps its embedding
+            chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension, known=self._read("chunks"))
+            chunks = chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path"))
+            empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
+            new = store.insert_new(rest if rest is not None else empty, chunks, "ord").withColumn("segment", F.lit(number))
+            self._append(segments, new, fresh.select("file_path", "content_hash", F.lit(number).alias("segment")))
+        self.cache.clear()
+        return self.chunks()
+
+    def compact(self) -> None:
+        """One segment in place of all. The old ones stay on disk until remove_old(), for readers that began before."""
+        chunks, files = self.chunks(), self.registry()
+        if chunks is not None:
+            self._append([], chunks, files)
+
+    def remove_old(self) -> int:
+        """Deletes segments that the manifest doesn't name, and earlier manifests; returns how many segments went."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = p(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        named = set(self._segments())
+        gone = [x.getPath() for x in fs.listStatus(p(f"{self.root}/segments")) if x.getPath().getName() not in named]
+        for number in self._manifests()[:-1]:
+            fs.delete(p(f"{self.root}/manifest/{number}"), True)
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def clear(self) -> None:
+        remove(self.spark, self.root)
+        self.cache.clear()
+
+    def retrieve(self, query: str, k: int = 12, where: dict | None = None, depth: int = 0) -> DataFrame:
+        """Hybrid top-k of the stored chunks; with a depth, then what they depend on within so many levels."""
+        have = self.chunks()
         if have is None:
             raise FileNotFoundError("nothing has been ingested")
         vector = store.embed(self.spark.range(1).select(F.lit(query).alias("text")), self.dimension).select("embedding").first()[0]
-        from sparkseam.functions.text import terms
-
         asked = self.spark.range(1).select(terms(F.lit(query))).first()[0]
-        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where)
-        return found.join(have.select(F.col("index_id").alias("id"), "chunk_id", "file_path", "file_type", "resource_type", "cloud_provider", "category", "text"), "id")
+        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where).select("id", F.col("final_score").alias("score"), "rank", "semantic_score", "keyword_score")
+        if depth > 0:
+            rows = chunking.resolve(have.withColumn("_at", F.col("index_id")), "_at")
+            named = rows.select("index_id", "chunk_id")
+            edges = rows.select(F.col("index_id").alias("src"), F.explode("dependencies").alias("chunk_id")).join(named, "chunk_id").select("src", F.col("index_id").alias("dst"))
+            met = chunking.expand(edges, found.select("id"), named.select(F.col("index_id").alias("id")), depth + 1)
+            found = chunking.append_dependencies(found, met).join(found.select("id", "semantic_score", "keyword_score"), "id", "left")
+        shown = have.select(F.col("index_id").alias("id"), "chunk_id", "file_path", "file_type", "resource_type", "cloud_provider", "category", "text")
+        return found.withColumnRenamed("score", "final_score").join(shown, "id")
 
     def rules_for(self, found: DataFrame, k: int = 7) -> DataFrame:
         resources = found.groupBy("resource_type", "cloud_provider", "category").agg(F.min("rank").alias("rank"))
         return rules.rule_aware(resources, rules.catalogue(self.spark), k)
 
+    def analyze(self, query: str, k: int = 12, k_rules: int = 7, where: dict | None = None, hint: str = "") -> dict:
+        """A question's structured answer: issues and evidence as tables of k rows at most, the model's text, its summary, and how it was found.
+
+        The client's answer is cached by question and filter, whatever k and hint.
+        """
+        key = (query, json.dumps(where or {}, sort_keys=True))
+        if (kept := self.cache.get(key)) is not None:
+            return kept | {"metadata": kept["metadata"] | {"cached": True}}
+        one = F.lit(1).alias("qid")
+        found = materialise(self.retrieve(query, k, where), "retrieved")
+        hold = materialise(self.rules_for(found, k_rules).join(rules.catalogue(self.spark).select("rule_id", "title", "resource_type", "cloud_provider", "category"), "rule_id"), "rules")
+        texts = rules.rule_text(rules.catalogue(self.spark))
+        head = context.header(F.col("rank"), F.col("chunk_id"), F.col("cloud_provider"), F.col("resource_type"), F.col("file_path"), F.col("file_type"))
+        code = context.pack_code(found.select(one, "rank", head.alias("header"), "text"), CHUNK_BUDGET, ["qid"])
+        entries = context.pack_rules(hold.join(texts, "rule_id").select(one, "rank", F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("rule_id")).alias("header"), "text"), RULE_BUDGET, ["qid"])
+        resources = found.groupBy("resource_type", "cloud_provider", "category").agg(F.min("rank").alias("rank")).select(one, "*")
+        asked = self.spark.range(1).select(one, F.lit(query).alias("query"), F.lit(hint).alias("hint"))
+        raw = materialise(prompts.answered(prompts.review(asked, code, entries, resources), self.answer), "answer")
+        said = parsers.model_output(raw)
+        issues = rules.enrich(parsers.normal_issues(said), hold.filter("rank = 1").select("rule_id", "title"))
+        first = raw.join(said.select("qid", "summary"), "qid").first()
+        counts = {"code_count": found.count(), "rule_count": hold.count()}
+        out = {"query": query, "issues": issues, "code": found, "rules": hold, "analysis": first["raw"], "summary": first["summary"], "metadata": {"k_code": k, "k_rules": k_rules, "retrieval": counts, "cached": False}}
+        self.cache.put(key, out)
+        return out
+
     def dispatch(self, query: str, k: int = 12) -> tuple[str, DataFrame]:
-        """The intent of a question, and its answer: findings of a detector over the files that retrieval met, or the rules that hold."""
+        """The intent of a question, and its answer: findings of a detector over the files that retrieval met, or the issues of analyze()."""
         intent = self.spark.range(1).select(C.intent(F.lit(query))).first()[0]
+        if intent not in ("iam", "workload_identity", "secrets", "prompt_injection"):
+            return intent, self.analyze(query, k, hint=intent if intent != "general" else "")["issues"]
         found = self.retrieve(query, k)
-        have, _ = self._state()
-        files = have.join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type", F.col("text").alias("content"))
+        files = self.chunks().join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type", F.col("text").alias("content"))
         if intent == "iam":
             return intent, iam.analyse(parsers.role_assignments(files))
         if intent == "workload_identity":
             return intent, federation.findings(parsers.federation_configs(files))
         if intent == "secrets":
             return intent, detectors.secret_findings(files.withColumnRenamed("content", "text"))
-        if intent == "prompt_injection":
-            return intent, detectors.pipeline_findings(parsers.pipeline_snippets(files))
-        return intent, self.rules_for(found)
+        return intent, detectors.pipeline_findings(parsers.pipeline_snippets(files))
 
     def ci_scan(self, files: DataFrame, policy: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Issues, summary and policy verdict of a repository."""
-        none = files.limit(0).select("file_path")
-        issues, summary = report.run([scan_issues(files)], none, "ord")
+        """Issues, summary (with the number of detector errors) and policy verdict of a repository."""
+        issues, summary = report.run([scan_issues(files)], scan_errors(files), "ord")
         return issues, summary, report.evaluate(issues, report.policy_frame(self.spark, policy or report.DEFAULT_POLICY))
 
     def scan_folder(self, folder: str) -> DataFrame:
-        return files_.parse(files_.scan(self.spark, folder))
+        return files_.parse(files_.scan(self.spark, folder), **files_.provenance(folder))

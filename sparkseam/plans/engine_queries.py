@@ -8,7 +8,7 @@ from sparkseam.operators import report
 from sparkseam.plans import detector_queries as dq
 from sparkseam.plans.engine import Engine, scan_issues
 from sparkseam.plans.fixtures import frame, values
-from sparkseam.session import shared_dir
+from sparkseam.session import folder
 
 Q, SQL = {}, {}
 
@@ -31,18 +31,14 @@ def ci_scan(spark, sf):
 
 def engine_retrieve(spark, sf):
     """Ingests the fixture twice (the second time nothing is new) and searches it."""
-    import uuid
-
-    engine = Engine(spark, f"{shared_dir(spark)}/sparkseam-engine-{uuid.uuid4().hex}")
+    engine = Engine(spark, folder(spark, "engine"))
     engine.ingest(files(spark))
     engine.ingest(files(spark))
     return engine.retrieve("which role assignment makes a managed identity Owner", 5).select("chunk_id", "file_path", "rank", "final_score")
 
 
 def engine_dispatch(spark, sf):
-    import uuid
-
-    engine = Engine(spark, f"{shared_dir(spark)}/sparkseam-engine-{uuid.uuid4().hex}")
+    engine = Engine(spark, folder(spark, "engine"))
     engine.ingest(files(spark))
     intent, found = engine.dispatch("which role assignment is too broad", 10)
     return found.select(F.lit(intent).alias("intent"), "rule_id", "severity", "file_path")

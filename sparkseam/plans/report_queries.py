@@ -355,7 +355,7 @@ def deliver_capped(spark, sf):
 
 RQ = ["role", "tool"]
 RQ_ROWS = [(r[0], t) for r in ROLES for t in [*G.TOOLS, "unlisted"]] + [("ADMIN", "delete_index")]
-_GR = values(["role", "permission"], [(r, p) for r, ps in G.GRANTS.items() for p in ps.split()])
+_GR = values(["role", "permission"], [(r, p) for r, ps in G.GRANTS.items() for p in ps])
 _TO = values(["tool", "permission"], list(G.TOOLS.items()))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+import subprocess
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +75,42 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(url, r"(?<=://)[^/@]*@", "")
 
 
+def provenance(folder: str) -> dict[str, str]:
+    """repo (address without user or token), branch and commit (8 digits) of a working copy, read from its .git folder; empty where unknown."""
+    git = Path(folder) / ".git"
+    head = _text(git / "HEAD").strip()
+    ref = head.removeprefix("ref: ") if head.startswith("ref: ") else ""
+    packed = {r: c for c, _, r in (line.partition(" ") for line in _text(git / "packed-refs").splitlines())}
+    commit = (_text(git / ref).strip() or packed.get(ref, "")) if ref else head
+    url = re.search(r'\[remote "origin"\][^\[]*?url\s*=\s*(\S+)', _text(git / "config"))
+    return {"repo": re.sub(r"(?<=://)[^/@]*@", "", url.group(1)) if url else "", "branch": ref.removeprefix("refs/heads/"), "commit": commit[:8]}
+
+
+def _text(path: Path) -> str:
+    return path.read_text(encoding="utf-8") if path.is_file() else ""
+
+
+def fetch(url: str, folder: str) -> dict[str, str]:
+    """A shallow copy of a repository in folder, brought up to date if it is there already; its provenance. A failing git raises."""
+    there = (Path(folder) / ".git").is_dir()
+    command = ["git", "-C", folder, "pull", "--ff-only"] if there else ["git", "clone", "--depth", "1", url, folder]
+    subprocess.run(command, check=True, capture_output=True, timeout=600)
+    return provenance(folder)
+
+
+def config_path(root: str, name: str = "config.yaml", given: str = "") -> str:
+    """The file that settings come from: one that was named, else root/name, else root/config/name."""
+    if given and given != name:
+        return given
+    own = Path(root) / name
+    return str(own if own.exists() else Path(root) / "config" / name)
+
+
+def read_config(path: str) -> dict:
+    """The mapping in a file; empty if it is missing or invalid."""
+    return load_config(_text(Path(path)))
+
+
 def load_config(text: str | None) -> dict:
     """A YAML or JSON mapping; anything else counts as empty."""
     import yaml

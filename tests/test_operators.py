@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseam.functions import text as T
-from sparkseam.operators import chunking, context, detectors, governance, quality, report, search, store
-from sparkseam.plans.engine import Engine
+from sparkseam.operators import chunking, context, detectors, governance, iam, quality, ranges, report, rules, search, store
+from sparkseam.plans.engine import Cache, Engine
 from sparkseam.plans.fixtures import frame
 from sparkseam.sources import files, parsers
 
@@ -135,7 +135,146 @@ def test_scan_parse_and_engine(spark, tmp_path):
     assert {r["chunk_id"] for r in again.collect()} == {"main_resource_aws_s3_bucket_c", "pod_yaml_Pod_web"}
     assert engine.retrieve("s3 bucket acl", 1).first()["file_path"] == "a/main.tf"
     with pytest.raises(ValueError):
-        store.load(spark, engine.store_path, 3)
+        Engine(spark, str(tmp_path / "state"), dimension=3).chunks()
+    # compaction keeps the state, and old segments can go
+    before = sorted(r["chunk_id"] for r in engine.chunks().collect())
+    engine.compact()
+    assert sorted(r["chunk_id"] for r in engine.chunks().collect()) == before and len(engine._segments()) == 1
+    assert engine.remove_old() >= 2 and sorted(r["chunk_id"] for r in engine.chunks().collect()) == before
+    engine.clear()
+    assert engine.chunks() is None
+
+
+def test_retrieval_follows_dependencies(spark, tmp_path):
+    parsed = frame(spark, ["file_path", "file_type", "content"], [("m.tf", "terraform", 'variable "zone" {\n  default = "x"\n}\nresource "aws_instance" "web" {\n  size = var.zone\n}\n')])
+    engine = Engine(spark, str(tmp_path / "state"))
+    engine.ingest(parsed)
+    near = engine.retrieve("aws_instance web size", 1).collect()
+    far = engine.retrieve("aws_instance web size", 1, depth=1).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in near] == ["m_resource_aws_instance_web"]
+    assert [(r["chunk_id"], r["rank"]) for r in far] == [("m_resource_aws_instance_web", 1), ("m_variable_zone", 2)] and far[1]["final_score"] == 0
+
+
+def test_cache_ends_with_its_time():
+    now = [0.0]
+    cache = Cache(10, lambda: now[0])
+    cache.put("a", 1)
+    now[0] = 5
+    cache.put("b", 2)
+    assert cache.get("a") == 1 and cache.stats() == {"total": 2, "live": 2, "expired": 0}
+    now[0] = 12
+    assert cache.get("a") is None and cache.get("b") == 2 and cache.stats() == {"total": 2, "live": 1, "expired": 1}
+    cache.clear()
+    assert cache.stats()["total"] == 0 and Cache(0).put("a", 1) is None
+
+
+def test_provenance_and_configuration(tmp_path):
+    import subprocess
+
+    run = lambda *c, at: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b.c", *c], cwd=at, check=True, capture_output=True)
+    source = tmp_path / "source"
+    source.mkdir()
+    run("init", "-b", "trunk", at=source)
+    (source / "a.tf").write_text("x")
+    run("add", "a.tf", at=source)
+    run("commit", "-m", "m", at=source)
+    got = files.fetch(f"file://{source}", str(tmp_path / "copy"))
+    assert got["branch"] == "trunk" and len(got["commit"]) == 8 and got["repo"].endswith("/source")
+    assert files.fetch(f"file://{source}", str(tmp_path / "copy")) == got and (tmp_path / "copy" / "a.tf").exists()
+    run("remote", "set-url", "origin", "https://me:secret@host.example/x.git", at=tmp_path / "copy")
+    assert files.provenance(str(tmp_path / "copy"))["repo"] == "https://host.example/x.git"
+    assert files.provenance(str(tmp_path)) == {"repo": "", "branch": "", "commit": ""}
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "config.yaml").write_text("a: 1")
+    assert files.read_config(files.config_path(str(tmp_path))) == {"a": 1}
+    (tmp_path / "config.yaml").write_text("a: 2")
+    assert files.read_config(files.config_path(str(tmp_path))) == {"a": 2} and files.read_config(files.config_path(str(tmp_path), given="other.yaml")) == {}
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    rows = spark.range(997).selectExpr("id * 7919 % 997 as k", "id % 3 as tie")
+    for per in (10**6, 50):
+        got = ranges.row_numbers(rows, [F.col("tie"), F.col("k")], "n", per).collect()
+        assert [r["n"] for r in sorted(got, key=lambda r: (r["tie"], r["k"]))] == list(range(1, 998))
+    assert ranges.row_numbers(rows.filter("false"), [F.col("k")], "n").count() == 0
+
+
+def test_first_of_each_key(spark):
+    rows = frame(spark, ["k", "o", "v"], [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 3, "w"), (None, 1, "n"), (None, 0, "m")]).coalesce(1)
+    assert sorted((str(r["k"]), r["v"]) for r in store.first_of_each(rows, ["k"], "o").collect()) == [("None", "m"), ("a", "y"), ("b", "w")]
+    assert sorted((str(r["k"]), r["v"]) for r in store.first_of_each(rows, ["k"], "o", last=True).collect()) == [("None", "n"), ("a", "x"), ("b", "w")]
+
+
+def test_keyword_index_is_kept(spark, tmp_path):
+    docs = frame(spark, ["id", "text"], [(1, "alpha beta"), (2, "alpha alpha gamma"), (3, "delta")])
+    index = search.KeywordIndex(spark, str(tmp_path / "k"))
+    index.add(docs, "id", "text")
+    same = lambda rows: {r["id"]: (round(r["raw"], 9), round(r["score"], 9)) for r in rows.collect()}
+    assert same(index.bm25(["alpha", "delta"])) == same(search.bm25(docs, ["alpha", "delta"], "id", "text"))
+    index.add(frame(spark, ["id", "text"], [(2, "delta only")]), "id", "text")
+    index.remove(docs.filter("id = 3"), "id")
+    now = frame(spark, ["id", "text"], [(1, "alpha beta"), (2, "delta only")])
+    assert same(index.bm25(["alpha", "delta"])) == same(search.bm25(now, ["alpha", "delta"], "id", "text"))
+    assert search.KeywordIndex(spark, str(tmp_path / "k")).docs().count() == 2
+    index.clear()
+    assert index.docs().count() == 0 and index.sync(now, "id", "text") and not index.sync(now, "id", "text")
+
+
+def test_query_blocks_need_no_broadcast(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(None, [1.0] * 8), (999, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = rows.filter("vec_id % 10 = 0")
+    both = [sorted(map(tuple, search.vector_batch_topk(rows, asked, 4, broadcast_bytes=size).collect())) for size in (10**9, -1)]
+    assert both[0] == both[1] and len(both[0]) == 120
+    assert search.vector_batch_topk(rows, asked.filter("false"), 4).count() == 0
+
+
+def test_knowledge_base(spark, tmp_path):
+    kb = rules.KnowledgeBase(spark, str(tmp_path / "kb"))
+    assert kb.load_or_build() == 37 == kb.load_or_build()
+    raw = ["id", "category", "severity", "title", "description", "indicators", "remediation", "references", "resource_type", "cloud_provider"]
+    own = frame(spark, raw, [("own-1", "storage", "low", "Quiet lagoon", "Lagoon shown to herons", "heron", "close it", "none", "lagoon", "azure"), ("gcp-01", "storage", "low", "Replaced", "", "", "", "", "x", "gcp")])
+    assert kb.add_rules(own) == 2 and kb.load_or_build() == 38
+    first = kb.search("lagoon herons", 1).first()
+    assert first["rule_id"] == "own-1" and "Indicators: heron" in first["text"] and "Lagoon shown to herons" in first["text"]
+    assert kb.rules().filter("rule_id = 'gcp-01'").first()["title"] == "Replaced"
+
+
+def test_permissions_are_required(spark):
+    governance.require(spark, "Admin", permission="manage_users")
+    governance.require(spark, "viewer", tool="ledger", extra_tools=frame(spark, ["tool", "permission"], [("Ledger", "read_report")]))
+    for wrong in ({"permission": "manage_users"}, {"tool": "unheard_of"}):
+        with pytest.raises(PermissionError):
+            governance.require(spark, "viewer", **wrong)
+
+
+def test_overlaps_against_every_pair(spark):
+    """Classes of assignments give the findings of all pairs of assignments."""
+    rng = random.Random(9)
+    roles = ["Owner", "Contributor", "Reader", "Custom A", "Custom B", "Storage Blob Data Contributor"]
+    scopes = [("subscription", "/s/1"), ("resource_group", "/s/1/g"), ("resource", "/s/1/g/r"), ("resource", "/S/1/g/"), ("unknown", "var.x"), ("unknown", ""), ("resource_group", "/s/1"), ("subscription", "/s/2")]
+    data = [(i, rng.choice("ab"), rng.choice(roles), *rng.choice(scopes), f"f{i}", f"b{i}") for i in range(70)]
+    rng.shuffle(data)
+    names = ["ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name"]
+    order, path = (lambda r: {"subscription": 0, "resource_group": 1, "resource": 2, "unknown": 3}[r[3]]), (lambda r: r[4].lower().rstrip("/"))
+    level = lambda r: iam.PRIVILEGE.get(r[2], 0)
+    holds = lambda a, b: order(a) < order(b) and path(a) and (path(b) == path(a) or path(b).startswith(path(a) + "/"))
+    best, needless = {}, set()
+    for x in data:
+        for y in data:
+            if x[1] != y[1]:
+                continue
+            if x[2] == y[2] and x[0] != y[0] and holds(x, y):
+                needless.add(x[0])
+            if x[0] < y[0] and ((x[4] == y[4] != "") or holds(x, y) or holds(y, x)):
+                d, e = (x, y) if x[2] == y[2] or level(x) > level(y) else (y, x) if level(y) > level(x) else (None, None)
+                if d:
+                    key = (d[1], f"{d[2]} + {e[2]}", d[4] or e[4])
+                    best[key] = min(best.get(key, (999, 999, None)), (x[0], y[0], d))
+    rows = frame(spark, names, data)
+    got = {(r["identity"], r["role"], r["scope_value"]): (r["ord"], r["scope"], r["file_path"]) for r in iam.overlap(rows).collect()}
+    assert got == {k: (a, d[3], d[5]) for k, (a, _, d) in best.items()}
+    assert {r["ord"] for r in iam.broad_redundant(rows).collect()} == needless
 
 
 def test_state_is_reconciled(spark, tmp_path):
@@ -160,22 +299,21 @@ def test_sessions_are_isolated(spark):
     assert not spark.catalog.tableExists("only_there") and other.catalog.tableExists("only_there")
 
 
-def test_full_iam_queries_see_every_row(spark, sf):
-    """Roles, rule and overlap findings against brute force over all of lineitem; all findings are the parts' sum."""
+def test_iam_queries_see_every_row(spark, sf):
+    """Roles and service-wide findings against brute force over all of lineitem; all findings are the parts' sum."""
     from sparkseam.plans import detector_queries as Q
 
-    rows = [r.asDict() for r in Q.assigned(spark.read.parquet(f"{sf}/lineitem.parquet")).collect()]
+    rows = [r.asDict() for r in Q.assignments(spark, sf).collect()]
     assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    assert not any("l_orderkey %" in Q.SQL[f"{name}_full"].replace("l_orderkey % 50", "") for name in Q._FULL if name != "iam_findings")
     own = {}
     for r in sorted(rows, key=lambda r: r["ord"]):
         own.setdefault(r["identity_name"], []).append(r["role"])
-    got = {r["identity"]: r["role"] for r in Q.Q["iam_multi_role_full"](spark, sf).collect()}
+    got = {r["identity"]: r["role"] for r in Q.Q["iam_multi_role"](spark, sf).collect()}
     assert got == {k: ", ".join(v) for k, v in own.items() if len(v) > 3}
     wide = ("subscription", "resource_group")
-    assert Q.Q["iam_service_wide_full"](spark, sf).count() == sum(r["role"] in Q.iam.SERVICE_WIDE and r["scope_type"] in wide for r in rows)
-    parts = sum(Q.Q[f"iam_{x}_full"](spark, sf).count() for x in ("rule_chain", "multi_role", "overlap", "broad_redundant", "service_wide"))
-    assert Q.Q["iam_findings_full"](spark, sf).count() == parts
+    assert Q.Q["iam_service_wide"](spark, sf).count() == sum(r["role"] in Q.iam.SERVICE_WIDE and r["scope_type"] in wide for r in rows)
+    parts = sum(Q.Q[f"iam_{x}"](spark, sf).count() for x in ("rule_chain", "multi_role", "overlap", "broad_redundant", "service_wide"))
+    assert Q.Q["iam_findings_all"](spark, sf).count() == parts
 
 
 def test_rerank_reaches_candidates_below_k(spark, tmp_path):
@@ -186,7 +324,7 @@ def test_rerank_reaches_candidates_below_k(spark, tmp_path):
     vectors = [[1.0, 0.0]] + [[0.8, 0.6]] * 12 + [[0.0, 1.0]] * 20
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = [(r["doc_id"], r["rank"]) for r in Q.rerank_merged(spark, str(tmp_path)).orderBy("rank").collect()]
+    got = [(r["doc_id"], r["rank"]) for r in Q.rerank_prefix(spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(0, 1), *((i, i + 1) for i in range(1, 10))]
     assert 0 not in [r["doc_id"] for r in Q.hybrid_topk(spark, str(tmp_path)).collect()]
 
