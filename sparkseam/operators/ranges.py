@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkseam.session import materialise
 
-#: Rows that one task numbers.
-RANGE_ROWS = 200_000
+#: Rows that one task numbers; with more than MOST_RANGES ranges the ranges grow.
+RANGE_ROWS, MOST_RANGES = 20_000, 2_000
 
 
 def row_numbers(rows: DataFrame, order: list[Column], name: str, per_range: int = RANGE_ROWS) -> DataFrame:
@@ -18,6 +18,7 @@ def row_numbers(rows: DataFrame, order: list[Column], name: str, per_range: int
     ranges' sizes (one row for each) are added up before it.
     """
     n = rows.count()
+    per_range = max(per_range, -(-n // MOST_RANGES))
     if n <= per_range:
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     dealt = materialise(rows.repartitionByRange(-(-n // per_range), *order).withColumn("_range", F.spark_partition_id()), "ranges")
