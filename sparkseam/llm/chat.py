@@ -24,6 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkseam.operators.ranges import row_numbers
 from sparkseam.session import materialise
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -106,9 +107,11 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(fixed).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = materialise(rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", "text"), "turns")
-    nodes = rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    # numbered in ranges of the global order, so a conversation with many turns is in several tasks; the number before a
+    # conversation's first turn is no node of it, which makes that turn the root
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn"), F.col("role"), F.col("text")]
+    rows = materialise(row_numbers(rows, order, "node").select(F.col("conv_id").alias("tree"), "node", "role", "text"), "turns")
+    nodes = rows.select("tree", "node", (F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"))
     done = format_paths(root_paths(nodes), rows)
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
     back = done.select(F.col("tree").alias("conv_id"), "formatted", read_back(F.col("formatted")).alias("turns"), loss.alias("loss"))

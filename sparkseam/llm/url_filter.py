@@ -8,7 +8,8 @@ on the first PREFIX_HEX hex digits of their SHA-256; the full digest then confir
 Defined results: a null URL or one without "://" has an empty host and path, no rule and the default verdict. Repeated
 rows keep one result row each. An empty rule table gives every row the default verdict; an empty URL table no rows.
 Rules of equal length: the longer host, then block before allow, then the smaller string. Columns besides the id and the URL are not
-carried, so their names can't clash.
+carried, so their names can't clash. Very long URLs are expanded like others: at most as many expressions as rules have
+label counts times path lengths.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     each = rows.select("_id", "_url", F.explode(suffixes).alias("_suffix"), "_path").select("_id", "_url", F.col("_suffix"), "_path", F.explode(lengths).alias("_n"))
     each = each.select("_id", "_url", F.sha2(F.concat("_suffix", F.left("_path", F.col("_n"))), 256).alias("_digest"))
     each = each.withColumn("_short", F.left("_digest", F.lit(PREFIX_HEX)))
-    hits = each.join(known, (each["_short"] == known["short"]) & (each["_digest"] == known["digest"]))
+    # the digest is confirmed after the join; as an equality it would become part of the join's key
+    hits = each.join(known, each["_short"] == known["short"]).filter(F.nullif("_digest", "digest").isNull())
     order = F.struct(F.length("rule"), F.length("rule_host"), (F.col("action") == "block").cast("int"))
     # a smaller string must win the last tie, so the maximum is taken without it and ties go to the smallest rule
     best = hits.groupBy("_id", "_url").agg(F.max(order).alias("_top"), F.collect_set(F.struct(order.alias("o"), F.col("rule"), F.col("action"))).alias("_all"))

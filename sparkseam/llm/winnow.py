@@ -13,11 +13,15 @@ ids, each in one task, and one row for each range to bridge them. Texts are shuf
 
 Defined results: null counts as empty; a text without words has an empty fingerprint, alike (1.0) only to another
 such. A null id sorts first. Rows that repeat an id share a neighbour; as neighbours themselves, the smallest text
-stands for the id. With one id only, it is its own neighbour. An empty table gives an empty result.
+stands for the id. With one id only, it is its own neighbour. Equal hashes in a window are the ties: the rightmost
+counts. Very long texts are read whole. An empty table gives an empty result. Only the id and the text are read, so other
+columns' names can't clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +33,13 @@ K, WINDOW = 3, 8
 RANGE_IDS, BROADCAST_IDS = 200_000, 1_000_000
 
 
-def gram_hashes(text: Column, k: int = K) -> Column:
-    """array<bigint>: the hash of the k-gram that ends at each word."""
+def characters(text: Column) -> Column:
+    """The code points of a text (nothing for null)."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+
+
+def gram_hashes(text: Column, k: int = K, units: Callable[[Column], Column] = words) -> Column:
+    """array<bigint>: the hash of the k-gram that ends at each word (or other unit)."""
 
     def turn(h: Column, bits: int) -> Column:
         return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
@@ -44,7 +53,7 @@ def gram_hashes(text: Column, k: int = K) -> Column:
 
         return F.transform(h, gram)
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), grams)
+    return let(F.transform(units(text), lambda w: F.xxhash64(w)), grams)
 
 
 def kept(hashes: Column, window: int = WINDOW) -> Column:
@@ -62,9 +71,9 @@ def kept(hashes: Column, window: int = WINDOW) -> Column:
     return F.filter(places, lambda i: let(F.get(hashes, i), lambda x: reach(x, i, -1) + reach(x, i, 1) + 1 >= F.least(n, F.lit(window))))
 
 
-def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """struct<hashes, places> of a text."""
-    return let(gram_hashes(text, k), lambda h: let(kept(h, window), lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hashes"), p.alias("places"))))
+def fingerprint(text: Column, k: int = K, window: int = WINDOW, units: Callable[[Column], Column] = words) -> Column:
+    """struct<hashes, places> of a text. units: words, or characters."""
+    return let(gram_hashes(text, k, units), lambda h: let(kept(h, window), lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hashes"), p.alias("places"))))
 
 
 def fingerprint_string(print_: Column) -> Column:

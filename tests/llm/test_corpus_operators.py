@@ -582,19 +582,50 @@ def test_lookup_table_is_filled_by_turns(spark):
 # ---- 8
 
 
+def plain_print(units, k, w):
+    """Kept (place, hash) of winnowing, from the definition: seeded hashes of units, cyclic polynomial, rightmost minima."""
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    h = [xxhash.xxh64(u.encode(), seed=42).intdigest() for u in units]
+    turn = lambda x, b: ((x << b) | (x >> (64 - b))) & (2**64 - 1)
+    grams = []
+    for i in range(len(h)):
+        x = h[i]
+        for j in range(1, k):
+            x ^= turn(h[i - j], 21 * j % 63 + 1) if i >= j else 0
+        grams.append(signed(xxhash.xxh64(x.to_bytes(8, "little"), seed=42).intdigest()))
+    starts = range(max(1, len(grams) - w + 1)) if grams else []
+    places = sorted({max(range(s, min(s + w, len(grams))), key=lambda p: (-grams[p], p)) for s in starts})
+    return [(p, grams[p]) for p in places]
+
+
 def test_winnowing_against_plain_windows(spark, tmp_path):
     texts = made_texts(7, 30)
-    w = winnow.WINDOW
     got = {r["doc_id"]: r for r in winnow.op8_winnowing(spark, written(docs_of(spark, texts, [3 * i for i in range(len(texts))]), tmp_path)).collect()}
-    hashes = {r["i"]: r["h"] for r in docs_of(spark, texts).select("doc_id", winnow.gram_hashes(F.col("text")).alias("h")).selectExpr("doc_id as i", "h").collect()}
+    prints = [plain_print(WORDS.findall(t or ""), winnow.K, winnow.WINDOW) for t in texts]
+
+    def alike(a, b):
+        x, y = {h for _, h in a}, {h for _, h in b}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
     for i, t in enumerate(texts):
-        t, r, h = t or "", got[3 * i], hashes[i]
+        t, r = t or "", got[3 * i]
         nxt = texts[(i + 1) % len(texts)] or ""
         q = len(t) // 4
-        assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest() and r["n_chars"] == len(t)
-        places = sorted({max(range(s, min(s + w, len(h))), key=lambda p: (-h[p], p)) for s in range(max(1, len(h) - w + 1))}) if h else []
-        assert r["fingerprint"] == ",".join(f"{h[p] % 2**64:X}:{p}" for p in places)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        edited = t[: len(t) - q] + nxt[:q]
+        other = plain_print(WORDS.findall(edited), winnow.K, winnow.WINDOW)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
+        assert r["fingerprint"] == ",".join(f"{h % 2**64:X}:{p}" for p, h in prints[i]) and r["edited_fingerprint"] == ",".join(f"{h % 2**64:X}:{p}" for p, h in other)
+        assert r["near_edited"] == pytest.approx(alike(prints[i], other)) and r["near_next"] == pytest.approx(alike(prints[i], prints[(i + 1) % len(texts)]))
+
+
+def test_winnowing_of_characters_and_long_texts(spark):
+    texts = ["abracadabra", "", None, "é🙂" * 50, "abc" * 4000]
+    print_ = winnow.fingerprint(F.col("text"), 5, 4, winnow.characters)
+    for r in docs_of(spark, texts).select("doc_id", print_.alias("f")).collect():
+        want = plain_print(texts[r["doc_id"]] or "", 5, 4)
+        assert list(zip(r["f"]["places"], r["f"]["hashes"])) == want
 
 
 def test_winnowing_edges(spark, tmp_path):
