@@ -34,7 +34,7 @@ def injection_lines(rows: DataFrame, text: str = "text", base: str | None = None
     hits = lines(rows, text, base).withColumn("_k", F.explode(F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(i)) for i, p in enumerate(OVERRIDES)]))))
     first = Window.partitionBy(*(block or ["file_path"]), "_k", F.lower(F.trim("line"))).orderBy("line_number")
     hits = hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return _found(hits, "prompt_injection", "PIPE-PROMPT-001", "HIGH", "Malicious instruction detected in pipeline YAML")
+    return _found(hits, "prompt_injection", "PIPE-PROMPT-001", "HIGH", "A line tries to override the instructions of a model")
 
 
 def script_lines(rows: DataFrame, text: str = "text", base: str | None = None) -> DataFrame:
@@ -42,14 +42,14 @@ def script_lines(rows: DataFrame, text: str = "text", base: str | None = None) -
     line = F.col("line")
     rule = F.when(line.rlike(REMOTE), 1).when(line.rlike(EVAL), 2).when(line.rlike(EXEC), 3)
     hits = lines(rows, text, base).withColumn("_r", rule).filter("_r is not null")
-    issue = F.element_at(F.array(*map(F.lit, ["Remote script execution in pipeline step", "Dynamic command execution via eval", "Dynamic exec usage in pipeline script"])), F.col("_r"))
+    issue = F.element_at(F.array(*map(F.lit, ["A downloaded script is piped to a shell", "eval runs a command that is put together at run time", "exec runs inside a step"])), F.col("_r"))
     severity = F.when((F.col("_r") == 1) | ((F.col("_r") == 2) & line.rlike(EVAL_TAINTED)), "HIGH").otherwise("MEDIUM")
     return _found(hits, "script_injection", F.concat(F.lit("PIPE-SCRIPT-00"), F.col("_r").cast("string")), severity, issue)
 
 
 def input_trust_lines(rows: DataFrame, text: str = "text", base: str | None = None) -> DataFrame:
     hits = lines(rows, text, base).filter(F.col("line").rlike(UNTRUSTED))
-    return _found(hits, "external_input", "PIPE-INPUT-001", F.when(F.col("line").rlike(SINK), "HIGH").otherwise("MEDIUM"), "Untrusted external input used in pipeline command")
+    return _found(hits, "external_input", "PIPE-INPUT-001", F.when(F.col("line").rlike(SINK), "HIGH").otherwise("MEDIUM"), "Input from outside the repository reaches a command")
 
 
 def pipeline_findings(snippets: DataFrame) -> DataFrame:

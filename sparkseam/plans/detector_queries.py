@@ -332,12 +332,15 @@ SCAN = ["file_path", "length"]
 SCAN_ROWS = [("main.tf", 10), ("a/b.YAML", 5), ("node_modules/x.json", 5), ("a/.git/c.yml", 3), ("big.json", 20 * 1024 * 1024), ("readme.md", 4), ("d/e.json", 1), ("env.tf", 2)]
 
 
-@query("file_scan_filter", f"select file_path, case lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) when 'tf' then 'terraform' when 'json' then 'json' else 'yaml' end as file_type from {values(SCAN, SCAN_ROWS)} where lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('tf', 'yml', 'yaml', 'json') and not list_has_any(string_split(file_path, '/'), [{', '.join(f"'{d}'" for d in files_.IGNORED)}]) and length <= 10485760")
+_SCAN = f"select file_path, case lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) when 'tf' then 'terraform' when 'json' then 'json' else 'yaml' end as file_type from {values(SCAN, SCAN_ROWS)} where lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('tf', 'yml', 'yaml', 'json') and not list_has_any(string_split(file_path, '/'), [{', '.join(f"'{d}'" for d in files_.IGNORED)}]) and length <= 10485760"
+
+
+@query("file_scan_filter", _SCAN)
 def file_scan_filter(spark, sf):
     return frame(spark, SCAN, SCAN_ROWS).filter(files_.selectable(F.col("file_path"), F.col("length"))).select("file_path", files_.file_type(F.col("file_path")).alias("file_type"))
 
 
-@query("file_count", "select count(*) as n from (values (1), (2), (3), (4)) t(x)")
+@query("file_count", f"select count(*) as n from ({_SCAN})")
 def file_count(spark, sf):
     return file_scan_filter(spark, sf).agg(F.count(F.lit(1)).alias("n"))
 
@@ -350,15 +353,21 @@ def file_parse(spark, sf):
     return files_.parse(frame(spark, ["file_path", "content"], PARSE_ROWS), "r", "main", "abcdef1234567").select("file_path", "file_type", "commit")
 
 
-@query("changed_files", "select * from (values ('a/x.tf'), ('b.json')) t(file_path)")
+@query("changed_files", "select 'd' || doc_id || '.tf' as file_path from documents where doc_id in (select doc_id from labels) or doc_id % 7 = 0")
 def changed_files(spark, sf):
-    rows = frame(spark, ["file_path"], [("a/x.tf",), ("b.json",), ("c.yaml",)])
-    return files_.restricted(rows, frame(spark, ["path"], [("/repo/a/x.tf",), ("b.json",), ("gone.tf",), ("b.json",)]), "/repo")
+    """Paths below the root, absolute or relative, twice, and of files that aren't there."""
+    docs = read_table(spark, sf, "documents")
+    name = lambda before: F.concat(F.lit(before), "doc_id", F.lit(".tf")).alias("path")
+    changed = read_table(spark, sf, "labels").select(name("/repo/d")).unionByName(docs.filter("doc_id % 7 = 0").select(name("d"))).unionByName(docs.select(name("/repo/gone/d")))
+    return files_.restricted(docs.select(name("d").alias("file_path")), changed, "/repo/")
 
 
-@query("git_url_cleanup", "select * from (values ('https://host/o/r.git'), ('ssh://host/r')) t(url)")
+@query("git_url_cleanup", "select page_id, url from pages")
 def git_url_cleanup(spark, sf):
-    return frame(spark, ["u"], [("https://user:tok@host/o/r.git",), ("ssh://git@host/r",)]).select(files_.clean_url(F.col("u")).alias("url"))
+    """Users and tokens put into every address go again."""
+    rows = read_table(spark, sf, "pages")
+    with_user = F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit("://"), F.lit("://user:tok@"))).otherwise(F.replace("url", F.lit("://"), F.lit("://git@")))
+    return rows.select("page_id", files_.clean_url(F.when(F.col("page_id") % 5 > 0, with_user).otherwise(F.col("url"))).alias("url"))
 
 
 LLM_ROWS = [("m1", '{"issues": [{"title": "A", "severity": "high", "cwe": "CWE-79"}], "summary": "one"}'), ("m2", 'Sure: {"issues": [{"title": "B"}]} done'), ("m3", "no json at all"), ("m4", '{"summary": "none"}')]

@@ -16,7 +16,7 @@ from sparkseam.functions.text import terms
 from sparkseam.operators import chunking, context, detectors, federation, iam, prompts, report, rules, search, store
 from sparkseam.sources import files as files_
 from sparkseam.sources import parsers
-from sparkseam.session import materialise, remove
+from sparkseam.session import exists, materialise, remove
 
 
 def tagged(chunks: DataFrame) -> DataFrame:
@@ -107,8 +107,17 @@ class Engine:
         return sorted(int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()) if fs.exists(path) else []
 
     def _segments(self) -> list[str]:
-        last = self._manifests()[-1:]
-        return self.spark.read.text(f"{self.root}/manifest/{last[0]}").first()[0].split(",") if last else []
+        """Segments of the newest manifest whose parts all exist; a damaged one gives way to the one before."""
+        for number in reversed(self._manifests()):
+            row = self.spark.read.text(f"{self.root}/manifest/{number}").first()
+            names = row[0].split(",") if row else []
+            if names and all(exists(self.spark, f"{self.root}/segments/{n}/{part}") for n in names for part in ("chunks", "files")):
+                return names
+        return []
+
+    def has_entries(self) -> bool:
+        rows = self._read("files")
+        return rows is not None and not rows.isEmpty()
 
     def _publish(self, segments: list[str]) -> None:
         """Writes the next manifest aside and renames it; a number that is taken already makes it fail."""

@@ -379,13 +379,22 @@ def audit_factories(spark, sf):
     return G.event_rows(frame(spark, ["event_type"], [(k,) for k in G.EVENT_SEVERITY])).select("event_type", "severity")
 
 
-AP = ["aid", "severity", "decision"]
-AP_ROWS = [("a1", "LOW", ""), ("a2", "medium", "approve"), ("a3", "HIGH", "approve"), ("a4", "CRITICAL", "reject"), ("a5", "CRITICAL", ""), ("a6", "odd", "")]
+_AP_SEVERITY, _AP_DECISION = ["LOW", "medium", "HIGH", "CRITICAL", "INFO", "odd", "Unknown", ""], ["", "approve", "reject", "other"]
+AP = ["aid", "severity", "decision", "threshold", "reviewer"]
+AP_ROWS = [(f"{s}/{d}/{t}/{r}", s, d, t, r) for s in _AP_SEVERITY for d in _AP_DECISION for t in ("HIGH", "LOW") for r in (True, False)]
+_AP_RANK = "list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO', 'UNKNOWN'], {})"
 
 
-@query("approval_status", "select * from (values ('a1', 'auto_approved'), ('a2', 'auto_approved'), ('a3', 'approved'), ('a4', 'rejected'), ('a5', 'pending'), ('a6', 'auto_approved')) t(aid, status)")
+@query("approval_status", f"""select aid, case when not reviewer or coalesce({_AP_RANK.format('upper(severity)')}, 6) > {_AP_RANK.format('threshold')} then 'auto_approved'
+ when decision = 'approve' then 'approved' when decision = 'reject' then 'rejected' else 'pending' end as status from {values(AP, AP_ROWS)}""")
 def approval_status(spark, sf):
-    return frame(spark, AP, AP_ROWS).select("aid", G.approval(F.col("severity"), F.col("decision")).alias("status"))
+    rows = frame(spark, AP, AP_ROWS)
+    out = None
+    for t in ("HIGH", "LOW"):
+        for r in (True, False):
+            part = rows.filter((F.col("threshold") == t) & (F.col("reviewer") == F.lit(r))).select("aid", G.approval(F.col("severity"), F.col("decision"), t, r).alias("status"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("approval_states", "with e as (select user_id as approval_id, event_id as ord, case event_type when 'signup' then 'submit' when 'purchase' then 'approve' when 'error' then 'reject' end as event from events), f as (select approval_id, arg_min(event, ord) as event from e where event in ('approve', 'reject') group by 1) select distinct e.approval_id, case f.event when 'approve' then 'approved' when 'reject' then 'rejected' else 'pending' end as status from e left join f using (approval_id) where e.event = 'submit'")

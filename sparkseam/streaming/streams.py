@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseam.session import shared_dir
+from sparkseam.session import folder
 
 
 def source(spark: SparkSession, path: str, times: tuple[str, ...] = ()) -> DataFrame:
@@ -25,7 +23,7 @@ def source(spark: SparkSession, path: str, times: tuple[str, ...] = ()) -> DataF
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all present input into the shared folder and reads the result. Complete mode keeps the last batch's table."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/sparkseam-stream-{name}-{uuid.uuid4().hex}"
+    base = folder(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/out").start()

@@ -141,8 +141,12 @@ def test_scan_parse_and_engine(spark, tmp_path):
     engine.compact()
     assert sorted(r["chunk_id"] for r in engine.chunks().collect()) == before and len(engine._segments()) == 1
     assert engine.remove_old() >= 2 and sorted(r["chunk_id"] for r in engine.chunks().collect()) == before
+    assert engine.has_entries()
+    # a manifest that names a segment which isn't there gives way to the one before
+    spark.range(1).selectExpr("'missing' as value").coalesce(1).write.text(str(tmp_path / "state" / "manifest" / "99"))
+    assert sorted(r["chunk_id"] for r in engine.chunks().collect()) == before
     engine.clear()
-    assert engine.chunks() is None
+    assert engine.chunks() is None and not engine.has_entries()
 
 
 def test_retrieval_follows_dependencies(spark, tmp_path):
