@@ -596,7 +596,7 @@ def plain_print(units, k, w):
             x ^= turn(h[i - j], 21 * j % 63 + 1) if i >= j else 0
         grams.append(signed(xxhash.xxh64(x.to_bytes(8, "little"), seed=42).intdigest()))
     starts = range(max(1, len(grams) - w + 1)) if grams else []
-    places = sorted({max(range(s, min(s + w, len(grams))), key=lambda p: (-grams[p], p)) for s in starts})
+    places = sorted({max(range(s, min(s + w, len(grams))), key=lambda p: (-(grams[p] >> winnow.PLACE_BITS), p)) for s in starts})
     return [(p, grams[p]) for p in places]
 
 
