@@ -28,11 +28,17 @@ CATEGORIES = [
 ]
 # Intent by the first group with a keyword.
 INTENTS = [
-    ("iam", ["managed identity", "managed identities", "role assignment", "contributor", "owner role", "rbac", "service principal", "iam", "permission", "access policy", "privilege escalation", "azurerm_role_assignment", "aws_iam_role", "google_iam_binding"]),
-    ("workload_identity", ["oidc", "workload identity", "federation", "issuer", "audience", "subject claim", "trust policy", "federated credential", "azurerm_federated_identity_credential"]),
-    ("secrets", ["secret", "password", "api key", "api_key", "token", "credential", "hardcoded", "entropy", "private key", "connection string", "connection_string", "sas_token", "oauth_token", "client_secret", "access_key", "pat", "bearer"]),
-    ("prompt_injection", ["prompt injection", "github actions", "azure devops", "ci/cd", "workflow yaml", "run:", "script:", "${{", "actions_runner", "untrusted input", "github.event", "pull_request_target"]),
-    ("network", ["security group", "open port", "0.0.0.0", "ingress", "egress", "firewall", "public access", "acl", "nsg", "azurerm_network_security_rule", "azurerm_network_security_group", "aws_security_group", "allow all", "port 22", "port 3389", "unrestricted", "cidr_blocks", "source_port_ranges"]),
+    ("iam", ["managed identity", "managed identities", "role assignment", "contributor", "owner role", "rbac", "service principal", "iam",
+        "permission", "access policy", "privilege escalation", "azurerm_role_assignment", "aws_iam_role", "google_iam_binding"]),
+    ("workload_identity", ["oidc", "workload identity", "federation", "issuer", "audience", "subject claim", "trust policy", "federated credential",
+        "azurerm_federated_identity_credential"]),
+    ("secrets", ["secret", "password", "api key", "api_key", "token", "credential", "hardcoded", "entropy", "private key", "connection string",
+        "connection_string", "sas_token", "oauth_token", "client_secret", "access_key", "pat", "bearer"]),
+    ("prompt_injection", ["prompt injection", "github actions", "azure devops", "ci/cd", "workflow yaml", "run:", "script:", "${{", "actions_runner",
+        "untrusted input", "github.event", "pull_request_target"]),
+    ("network", ["security group", "open port", "0.0.0.0", "ingress", "egress", "firewall", "public access", "acl", "nsg",
+        "azurerm_network_security_rule", "azurerm_network_security_group", "aws_security_group", "allow all", "port 22", "port 3389", "unrestricted",
+        "cidr_blocks", "source_port_ranges"]),
     ("compliance", ["cis", "compliance", "benchmark", "policy", "standard", "regulation", "pci", "hipaa", "nist", "soc2", "gdpr", "iso27001"]),
 ]
 DEFAULT_INTENT = "general_security"
@@ -123,7 +129,8 @@ def scope_type(expr: Column) -> Column:
     s = unquoted(F.coalesce(expr, F.lit("")))
     low = F.lower(s)
     parts = F.size(F.filter(F.split(low, "/"), lambda x: x != ""))
-    path = F.when(parts <= 2, "subscription").when(F.contains(low, F.lit("resourcegroup")), F.when(parts <= 4, "resource_group").otherwise("resource")).otherwise("resource")
+    path = F.when(parts <= 2, "subscription").when(F.contains(low, F.lit("resourcegroup")), F.when(parts <= 4, "resource_group").otherwise(
+        "resource")).otherwise("resource")
     return (
         F.when(F.coalesce(expr, F.lit("")) == "", "unknown")
         .when(F.startswith(low, F.lit("/subscriptions/")), path)

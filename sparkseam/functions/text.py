@@ -58,7 +58,8 @@ def repetition(text: Column) -> Column:
 
     def of(w: Column) -> Column:
         # 64-bit hashes stand for the pairs: a set of longs is found by hashing, one of strings by comparing all with all
-        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
+            lambda a, b: F.xxhash64(a, b))
         return F.when(F.size(w) < 2, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(pairs)) / F.nullif(F.size(w) - 1, F.lit(0)))
 
     return let(words(text), of)

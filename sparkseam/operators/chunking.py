@@ -17,7 +17,8 @@ from sparkseam.session import materialise
 CHUNK = "chunk_id string, text string, file_path string, file_type string, chunk_index int, tokens int, dependencies array<string>, block_type string, resource_type string, block_name string"
 # Terraform blocks and names that are never resource references.
 TF_HEADER = re.compile(r'^(resource|module|variable|output|data|provider|locals|terraform)\b(?:\s+"([^"]*)")?(?:\s+"([^"]*)")?\s*\{', re.MULTILINE)
-TF_NOT_RESOURCES = ["var", "local", "module", "data", "path", "terraform", "self", "each", "count", "toset", "tolist", "tomap", "merge", "concat", "lookup", "length", "format", "join", "split", "trimspace"]
+TF_NOT_RESOURCES = ["var", "local", "module", "data", "path", "terraform", "self", "each", "count", "toset", "tolist", "tomap", "merge", "concat",
+    "lookup", "length", "format", "join", "split", "trimspace"]
 
 
 def fixed_windows(rows: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
@@ -29,7 +30,8 @@ def split_tokens(text: Column, size: int, overlap: int) -> Column:
     """The text itself if it has at most `size` words, else its windows; nothing for the empty string."""
     step = max(1, size - overlap)
     n = F.size(words(text))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(windows(text, size, size - step))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(windows(text,
+        size, size - step))
 
 
 def split_by(text: Column, size: int, overlap: int, strategy: str) -> Column:
@@ -52,8 +54,10 @@ def fallback_chunks(files: DataFrame, size: int, overlap: int) -> DataFrame:
     rows = files.select("*", F.posexplode(split_tokens(F.col("content"), size, overlap)).alias("chunk_index", "text"))
     base = F.concat_ws("_", stem(F.col("file_path")), F.col("file_type"), F.lit("fixed"), F.col("chunk_index").cast("string"))
     return rows.select(
-        chunk_id(base).alias("chunk_id"), "text", "file_path", "file_type", F.col("chunk_index").cast("int"), token_count(F.col("text")).cast("int").alias("tokens"),
-        F.array().cast("array<string>").alias("dependencies"), F.lit("fixed_window").alias("block_type"), F.lit("").alias("resource_type"), F.lit("").alias("block_name"),
+        chunk_id(base).alias("chunk_id"), "text", "file_path", "file_type", F.col("chunk_index").cast("int"),
+            token_count(F.col("text")).cast("int").alias("tokens"),
+        F.array().cast("array<string>").alias("dependencies"), F.lit("fixed_window").alias("block_type"), F.lit("").alias("resource_type"),
+            F.lit("").alias("block_name"),
     )
 
 
@@ -93,7 +97,8 @@ def tf_blocks(content: str) -> list[dict]:
     for m in TF_HEADER.finditer(content):
         kind, one, two = m.group(1), m.group(2) or "", m.group(3) or ""
         typed = kind in ("resource", "data")
-        out.append({"block_type": kind, "resource_type": one if typed else "", "block_name": two if typed else one, "text": content[m.start() : block_end(content, m.end() - 1) + 1]})
+        out.append({"block_type": kind, "resource_type": one if typed else "", "block_name": two if typed else one,
+            "text": content[m.start() : block_end(content, m.end() - 1) + 1]})
     return out
 
 
@@ -161,16 +166,20 @@ def structured_chunks(files: DataFrame, size: int = 400, overlap: int = 40, stra
                     rows.append((path, kind, -1, content, None, None, None, None, False))
             yield pd.DataFrame(rows, columns=["file_path", "file_type", "at", "body", "block_type", "resource_type", "block_name", "refs", "whole"])
 
-    blocks = files.select("file_path", "file_type", "content").mapInPandas(run, "file_path string, file_type string, at int, body string, block_type string, resource_type string, block_name string, refs array<string>, whole boolean")
+    blocks = files.select("file_path", "file_type", "content").mapInPandas(run,
+        "file_path string, file_type string, at int, body string, block_type string, resource_type string, block_name string, refs array<string>, "
+        "whole boolean")
     alone = fallback_chunks(blocks.filter("at < 0").select("file_path", "file_type", F.col("body").alias("content")), size, overlap)
     own = blocks.filter("at >= 0")
     parts = F.when(F.col("whole"), F.array("body")).otherwise(split_by(F.col("body"), size, overlap, strategy))
     own = own.select("*", F.size(parts).alias("n"), F.posexplode(parts).alias("part", "text"))
-    name = F.concat_ws("_", stem(F.col("file_path")), F.when(F.col("file_type") == "terraform", F.col("block_type")).otherwise(F.col("file_type")), F.nullif("resource_type", F.lit("")), F.nullif("block_name", F.lit("")))
+    name = F.concat_ws("_", stem(F.col("file_path")), F.when(F.col("file_type") == "terraform", F.col("block_type")).otherwise(F.col("file_type")),
+        F.nullif("resource_type", F.lit("")), F.nullif("block_name", F.lit("")))
     base = F.concat(chunk_id(name), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("part").cast("string"))).otherwise(""))
     order = Window.partitionBy("file_path").orderBy("at", "part")
     refs = F.when(F.col("file_type") == "terraform", tf_dependencies(F.col("body"))).otherwise(F.coalesce("refs", F.array().cast("array<string>")))
-    own = own.select(base.alias("chunk_id"), "text", "file_path", "file_type", (F.row_number().over(order) - 1).cast("int").alias("chunk_index"), token_count(F.col("text")).cast("int").alias("tokens"), refs.alias("dependencies"), "block_type", "resource_type", "block_name")
+    own = own.select(base.alias("chunk_id"), "text", "file_path", "file_type", (F.row_number().over(order) - 1).cast("int").alias("chunk_index"),
+        token_count(F.col("text")).cast("int").alias("tokens"), refs.alias("dependencies"), "block_type", "resource_type", "block_name")
     return own.unionByName(alone)
 
 
@@ -203,8 +212,10 @@ def symbols(chunks: DataFrame, order: str) -> DataFrame:
 def resolve(chunks: DataFrame, order: str) -> DataFrame:
     """chunks with dependencies replaced by the chunks that define them, in their order."""
     refs = chunks.select("chunk_id", F.posexplode("dependencies").alias("pos", "ref"))
-    found = refs.join(symbols(chunks, order), "ref", "left").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("target", "ref").alias("d")))).alias("_d"))
-    return chunks.drop("dependencies").join(found, "chunk_id", "left").withColumn("dependencies", F.coalesce(F.transform("_d", lambda x: x["d"]), F.array().cast("array<string>"))).drop("_d")
+    found = refs.join(symbols(chunks, order), "ref", "left").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("target",
+        "ref").alias("d")))).alias("_d"))
+    return chunks.drop("dependencies").join(found, "chunk_id", "left").withColumn("dependencies", F.coalesce(F.transform("_d", lambda x: x["d"]),
+        F.array().cast("array<string>"))).drop("_d")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:

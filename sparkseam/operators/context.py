@@ -17,7 +17,8 @@ def truncated(text: Column, most: Column) -> Column:
 
 def header(rank: Column, chunk_id: Column, provider: Column, resource: Column, path: Column, kind: Column) -> Column:
     part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}="), c))
-    return F.concat_ws(" | ", F.concat(F.lit("["), rank.cast("string"), F.lit("]")), part("id", chunk_id), part("cloud", provider), part("resource", resource), part("file", path), part("type", kind))
+    return F.concat_ws(" | ", F.concat(F.lit("["), rank.cast("string"), F.lit("]")), part("id", chunk_id), part("cloud", provider), part("resource",
+        resource), part("file", path), part("type", kind))
 
 
 def pack_code(rows: DataFrame, budget: int, group: list[str], rank: str = "rank", head: str = "header", text: str = "text") -> DataFrame:
@@ -31,7 +32,8 @@ def pack_code(rows: DataFrame, budget: int, group: list[str], rank: str = "rank"
     last = (F.col("_over") == 1) & (F.col("_used") + F.col("_cost") > budget)
     left = F.lit(budget) - F.col("_used")
     rows = rows.filter((F.col("_over") == 0) | (last & (left >= 50)))
-    return rows.select(*group, rank, F.when(last, entry(truncated(F.col(text), left - 20))).otherwise(entry(F.col(text))).alias("entry"), (~last).alias("whole"))
+    return rows.select(*group, rank, F.when(last, entry(truncated(F.col(text), left - 20))).otherwise(entry(F.col(text))).alias("entry"),
+        (~last).alias("whole"))
 
 
 def pack_rules(rows: DataFrame, budget: int, group: list[str], rank: str = "rank", head: str = "header", text: str = "text") -> DataFrame:
@@ -39,7 +41,8 @@ def pack_rules(rows: DataFrame, budget: int, group: list[str], rank: str = "rank
     w = Window.partitionBy(*group).orderBy(rank)
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     share = F.greatest(F.lit(200), F.floor(F.lit(budget) / F.greatest("_n", F.lit(1)))).cast("int")
-    rows = rows.withColumn("entry", F.concat(F.col(head), F.lit("\n"), truncated(F.coalesce(text, F.lit("")), share))).withColumn("_cost", token_estimate(F.col("entry")))
+    rows = rows.withColumn("entry", F.concat(F.col(head), F.lit("\n"), truncated(F.coalesce(text, F.lit("")), share))).withColumn("_cost",
+        token_estimate(F.col("entry")))
     rows = rows.withColumn("_sum", F.sum("_cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_over", F.max(F.when(F.col("_sum") > budget, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.filter("_over = 0").select(*group, rank, "entry")
@@ -47,4 +50,5 @@ def pack_rules(rows: DataFrame, budget: int, group: list[str], rank: str = "rank
 
 def prompt(sections: DataFrame, group: list[str], rank: str = "rank") -> DataFrame:
     """group, text: packed entries joined in order; the budget bounds what is gathered."""
-    return sections.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, "entry"))), lambda x: x["entry"]), "\n\n").alias("text"))
+    return sections.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, "entry"))), lambda x: x["entry"]),
+        "\n\n").alias("text"))

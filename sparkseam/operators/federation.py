@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkseam.functions import classify as C
 
 # Rule, severity, finding.
-RULES = [("WID-AZ-001", "HIGH", "Invalid or missing federation issuer"), ("WID-AZ-002", "HIGH", "Missing or overly broad audience restriction"), ("WID-AZ-003", "MEDIUM", "Overly broad subject claim"), ("WID-AZ-004", "HIGH", "External or cross-tenant trust without restriction")]
+RULES = [("WID-AZ-001", "HIGH", "Invalid or missing federation issuer"), ("WID-AZ-002", "HIGH", "Missing or overly broad audience restriction"),
+    ("WID-AZ-003", "MEDIUM", "Overly broad subject claim"), ("WID-AZ-004", "HIGH", "External or cross-tenant trust without restriction")]
 
 
 def findings(configs: DataFrame) -> DataFrame:
@@ -24,5 +25,6 @@ def findings(configs: DataFrame) -> DataFrame:
         F.col("explicit_subject") & C.broad_subject(subject),
         ~(k8s & ~F.col("explicit_issuer")) & (host != "") & ~C.trusted_host(host) & (loose | (F.coalesce("tenant_id", F.lit("")) == "")),
     ]
-    each = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(i).alias("issue"))) for h, (r, s, i) in zip(holds, RULES, strict=True)]))
+    each = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(i).alias("issue"))) for h,
+        (r, s, i) in zip(holds, RULES, strict=True)]))
     return configs.select("identity", "issuer", "subject", F.array_join("audiences", ",").alias("audiences"), "file_path", "block_name", F.inline(each))

@@ -14,7 +14,8 @@ from sparkseam.operators.detectors import redact
 # Patterns and tiers.
 INJECTION = [
     r"(?i)(?:ignore|forget|disregard|override|bypass)\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|prompts?|rules?|context)",
-    r"(?i)system\s*:\s*you\s+are", r"(?i)<\s*/?system\s*>", r"(?i)\|\s*im_(?:start|end)\s*\|", r"(?i)<<\s*(?:INST|SYS)\s*>>", r"(?i)\[INST\]|\[/INST\]", r"(?i)\bdo\s+anything\s+now\b", r"(?i)\bjailbreak\b",
+    r"(?i)system\s*:\s*you\s+are", r"(?i)<\s*/?system\s*>", r"(?i)\|\s*im_(?:start|end)\s*\|", r"(?i)<<\s*(?:INST|SYS)\s*>>",
+        r"(?i)\[INST\]|\[/INST\]", r"(?i)\bdo\s+anything\s+now\b", r"(?i)\bjailbreak\b",
 ]
 EXFILTRATION = [r"(?i)(?:curl|wget|fetch|http\.get)\s+['\"]?https?://[^\s'\"]{10,}", r"(?i)base64\s*\(", r"(?i)eval\s*\("]
 TRUST = {"git": 0.95, "internal": 0.90, "file": 0.80, "external": 0.50, "unknown": 0.40}
@@ -39,16 +40,21 @@ GRANTS = {
         "read_report", "export_report", "run_scan", "schedule_scan", "manage_index", "read_policy", "write_policy", "invoke_llm", "approve_finding",
     ],
     "admin": [
-        "read_report", "export_report", "run_scan", "schedule_scan", "manage_index", "delete_index", "read_policy", "write_policy", "manage_users", "manage_roles", "view_audit", "approve_finding", "reject_finding", "invoke_llm",
+        "read_report", "export_report", "run_scan", "schedule_scan", "manage_index", "delete_index", "read_policy", "write_policy", "manage_users",
+            "manage_roles", "view_audit", "approve_finding", "reject_finding", "invoke_llm",
     ],
 }
 TOOLS = {
-    "iam_analyzer": "run_scan", "workload_identity_analyzer": "run_scan", "prompt_injection_analyzer": "run_scan", "secrets_analyzer": "run_scan", "permission_analyzer": "run_scan",
-    "vector_store_manager": "manage_index", "rag_pipeline_ingest": "manage_index", "delete_index": "delete_index", "policy_engine_write": "write_policy", "policy_engine_read": "read_policy",
-    "llm_client": "invoke_llm", "rag_orchestrator": "invoke_llm", "audit_log_export": "view_audit", "user_management": "manage_users", "approve_finding": "approve_finding", "reject_finding": "reject_finding",
+    "iam_analyzer": "run_scan", "workload_identity_analyzer": "run_scan", "prompt_injection_analyzer": "run_scan", "secrets_analyzer": "run_scan",
+        "permission_analyzer": "run_scan",
+    "vector_store_manager": "manage_index", "rag_pipeline_ingest": "manage_index", "delete_index": "delete_index",
+        "policy_engine_write": "write_policy", "policy_engine_read": "read_policy",
+    "llm_client": "invoke_llm", "rag_orchestrator": "invoke_llm", "audit_log_export": "view_audit", "user_management": "manage_users",
+        "approve_finding": "approve_finding", "reject_finding": "reject_finding",
 }
 EVENT_SEVERITY = {
-    "access_denied": "WARNING", "input_rejected": "WARNING", "rag_poisoning": "ERROR", "llm_guardrail": "WARNING", "tool_invoked": "INFO", "scan_start": "INFO", "scan_complete": "INFO", "approval_request": "WARNING", "approval_decision": "INFO",
+    "access_denied": "WARNING", "input_rejected": "WARNING", "rag_poisoning": "ERROR", "llm_guardrail": "WARNING", "tool_invoked": "INFO",
+        "scan_start": "INFO", "scan_complete": "INFO", "approval_request": "WARNING", "approval_decision": "INFO",
 }
 
 
@@ -62,15 +68,18 @@ def any_of(text: Column, patterns: list[str]) -> Column:
 def validate(rows: DataFrame, text: str = "text", reject: bool = True, entropy_above: float = 5.5, repetition_above: float = 0.6) -> DataFrame:
     """rows with accepted, validation_score and flags."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumns({"_i": any_of(t, INJECTION), "_x": any_of(t, EXFILTRATION), "_e": long_text_entropy(t) > entropy_above, "_r": repetition(t) > repetition_above})
+    rows = rows.withColumns({"_i": any_of(t, INJECTION), "_x": any_of(t, EXFILTRATION), "_e": long_text_entropy(t) > entropy_above,
+        "_r": repetition(t) > repetition_above})
     off = lambda c, w: F.when(F.col(c), F.lit(w)).otherwise(0.0)
     score = F.round(F.greatest(F.lit(0.0), 1.0 - off("_i", 0.5) - off("_x", 0.3) - off("_e", 0.2) - off("_r", 0.2)), 3)
-    flags = F.array_compact(F.array(F.when(F.col("_i"), "injection_pattern"), F.when(F.col("_x"), "exfil_pattern"), F.when(F.col("_e"), "high_entropy"), F.when(F.col("_r"), "high_repetition")))
+    flags = F.array_compact(F.array(F.when(F.col("_i"), "injection_pattern"), F.when(F.col("_x"), "exfil_pattern"), F.when(F.col("_e"),
+        "high_entropy"), F.when(F.col("_r"), "high_repetition")))
     return rows.withColumns({"accepted": ~F.col("_i") if reject else F.lit(True), "validation_score": score, "flags": flags}).drop("_i", "_x", "_e", "_r")
 
 
 def trust_score(source: Column, author: Column, validation: Column) -> Column:
-    tier = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.lower(F.coalesce(source, F.lit("")))), F.lit(TRUST["unknown"]))
+    tier = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.lower(F.coalesce(source, F.lit("")))),
+        F.lit(TRUST["unknown"]))
     return F.round(F.least(F.lit(1.0), tier + F.when(F.coalesce(author, F.lit("")) != "", 0.05).otherwise(0.0)) * F.coalesce(validation, F.lit(1.0)), 3)
 
 
@@ -120,7 +129,8 @@ def all_strings(value: Column, kind: DataType, at: str) -> Column:
     if isinstance(kind, ArrayType):
         return F.coalesce(F.flatten(F.transform(value, lambda x: all_strings(x, kind.elementType, f"{at}[]"))), none)
     if isinstance(kind, MapType):
-        own = lambda x: F.transform(all_strings(x["value"], kind.valueType, ""), lambda y: F.struct(F.concat(F.lit(f"{at}."), x["key"].cast("string"), y["at"]).alias("at"), y["text"].alias("text")))
+        own = lambda x: F.transform(all_strings(x["value"], kind.valueType, ""), lambda y: F.struct(F.concat(F.lit(f"{at}."), x["key"].cast("string"),
+            y["at"]).alias("at"), y["text"].alias("text")))
         return F.coalesce(F.flatten(F.transform(F.map_entries(value), own)), none)
     return none
 
@@ -180,7 +190,8 @@ def visible(issues: DataFrame, role: str | Column) -> DataFrame:
     return issues.filter(at(F.upper("severity")) <= at(least))
 
 
-def deliver(issues: DataFrame, role: str, most: int, order: list[str], texts: list[str], internal: tuple[str, ...] = ("_validation", "trust_score", "trust_source", "_cache_key", "_embedding")) -> DataFrame:
+def deliver(issues: DataFrame, role: str, most: int, order: list[str], texts: list[str], internal: tuple[str, ...] = ("_validation", "trust_score",
+    "trust_source", "_cache_key", "_embedding")) -> DataFrame:
     """Redact, filter by role, keep the first `most`, drop internal columns; `truncated` tells whether any went."""
     rows = visible(issues.withColumns({c: redact(F.col(c)) for c in texts}), role).drop(*internal)
     total = rows.agg((F.count(F.lit(1)) > most).alias("truncated"))
@@ -255,7 +266,8 @@ def last_events(events: DataFrame, n: int, time: str = "ts", tie: str = "event_i
 
 def event_rows(kinds: DataFrame) -> DataFrame:
     """kinds (event_type, actor, resource) with the severity of the type."""
-    return kinds.withColumn("severity", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_SEVERITY.items() for x in kv]), F.col("event_type")), F.lit("INFO")))
+    return kinds.withColumn("severity", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_SEVERITY.items() for x in kv]),
+        F.col("event_type")), F.lit("INFO")))
 
 
 def approval(severity: Column, decision: Column, threshold: str = "HIGH", reviewer: bool = True) -> Column:
@@ -269,7 +281,8 @@ def approval_states(events: DataFrame) -> DataFrame:
     """approval_id, status: the first decision after submission counts. events: approval_id, ord, event."""
     first = events.filter("event in ('approve', 'reject')").groupBy("approval_id").agg(F.min(F.struct("ord", "event")).alias("f"))
     asked = events.filter("event = 'submit'").select("approval_id").distinct()
-    return asked.join(first, "approval_id", "left").select("approval_id", F.when(F.col("f.event") == "approve", "approved").when(F.col("f.event") == "reject", "rejected").otherwise("pending").alias("status"))
+    return asked.join(first, "approval_id", "left").select("approval_id", F.when(F.col("f.event") == "approve",
+        "approved").when(F.col("f.event") == "reject", "rejected").otherwise("pending").alias("status"))
 
 
 def isolated(spark: SparkSession) -> SparkSession:

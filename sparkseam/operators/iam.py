@@ -14,10 +14,13 @@ from sparkseam.functions.text import severity_rank
 
 # Role sets, privilege and scope orders, alternatives.
 HIGH_ROLES = ["Owner", "User Access Administrator", "Co-Administrator"]
-SERVICE_WIDE = ["Storage Account Contributor", "Storage Blob Data Contributor", "Storage Queue Data Contributor", "Virtual Machine Contributor", "Network Contributor", "Key Vault Secrets Officer", "Monitoring Contributor", "SQL DB Contributor"]
+SERVICE_WIDE = ["Storage Account Contributor", "Storage Blob Data Contributor", "Storage Queue Data Contributor", "Virtual Machine Contributor",
+    "Network Contributor", "Key Vault Secrets Officer", "Monitoring Contributor", "SQL DB Contributor"]
 PRIVILEGE = {
-    "Owner": 4, "User Access Administrator": 4, "Co-Administrator": 4, "Contributor": 3, "Storage Account Contributor": 3, "Virtual Machine Contributor": 3, "Network Contributor": 3, "Security Admin": 3,
-    "Key Vault Secrets Officer": 3, "Storage Blob Data Contributor": 2, "Storage Queue Data Contributor": 2, "Reader": 1, "Storage Blob Data Reader": 1, "Key Vault Reader": 1,
+    "Owner": 4, "User Access Administrator": 4, "Co-Administrator": 4, "Contributor": 3, "Storage Account Contributor": 3,
+        "Virtual Machine Contributor": 3, "Network Contributor": 3, "Security Admin": 3,
+    "Key Vault Secrets Officer": 3, "Storage Blob Data Contributor": 2, "Storage Queue Data Contributor": 2, "Reader": 1,
+        "Storage Blob Data Reader": 1, "Key Vault Reader": 1,
 }
 SCOPES = {"subscription": 0, "resource_group": 1, "resource": 2, "unknown": 3}
 NARROWER = {"subscription": "resource_group", "resource_group": "resource", "resource": "resource", "unknown": "resource_group"}
@@ -25,7 +28,8 @@ ALTERNATIVES = {
     "Owner": ["Contributor", "Reader", "User Access Administrator"],
     "User Access Administrator": ["Reader", "Contributor"],
     "Co-Administrator": ["Contributor", "Reader"],
-    "Contributor": ["Reader", "Storage Blob Data Contributor", "Virtual Machine Contributor", "Key Vault Secrets User", "Network Contributor", "SQL DB Contributor"],
+    "Contributor": ["Reader", "Storage Blob Data Contributor", "Virtual Machine Contributor", "Key Vault Secrets User", "Network Contributor",
+        "SQL DB Contributor"],
     "Network Contributor": ["Reader", "Network Watcher Contributor"],
     "Storage Account Contributor": ["Storage Blob Data Contributor", "Storage Blob Data Reader", "Storage Queue Data Contributor"],
     "Virtual Machine Administrator Login": ["Virtual Machine User Login", "Virtual Machine Contributor"],
@@ -53,16 +57,20 @@ def suggested_roles(role: Column, hint: Column) -> Column:
 
 def finding(rows: DataFrame, rule, severity, issue, recommendations, role="role", scope="scope_type", value="scope_value") -> DataFrame:
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    return rows.select(c(rule).alias("rule_id"), F.col("identity_name").alias("identity"), c(role).alias("role"), c(scope).alias("scope"), c(value).alias("scope_value"), c(severity).alias("severity"), c(issue).alias("issue"), c(recommendations).alias("recommendations"), "file_path", "block_name", F.col("ord").cast("long").alias("ord"))
+    return rows.select(c(rule).alias("rule_id"), F.col("identity_name").alias("identity"), c(role).alias("role"), c(scope).alias("scope"),
+        c(value).alias("scope_value"), c(severity).alias("severity"), c(issue).alias("issue"), c(recommendations).alias("recommendations"),
+        "file_path", "block_name", F.col("ord").cast("long").alias("ord"))
 
 
 def rule_chain(rows: DataFrame) -> DataFrame:
     """At most one finding for each assignment: the first rule that holds."""
     high, wide = F.col("role").isin(HIGH_ROLES), F.col("scope_type").isin("subscription", "unknown")
-    rule = F.when(high & wide, "IAM-AZ-001").when((F.col("role") == "Contributor") & wide, "IAM-AZ-002").when((F.col("role") == "Contributor") & (F.col("scope_type") == "resource_group"), "IAM-AZ-003").when(high, "IAM-AZ-004")
+    rule = F.when(high & wide, "IAM-AZ-001").when((F.col("role") == "Contributor") & wide, "IAM-AZ-002").when((F.col("role") == "Contributor") & (
+        F.col("scope_type") == "resource_group"), "IAM-AZ-003").when(high, "IAM-AZ-004")
     rows = rows.withColumn("_rule", rule).filter("_rule is not null")
     issue = F.concat(F.lit("'"), F.col("role"), F.lit("' at "), F.col("scope_type"), F.lit(" scope"))
-    return finding(rows, "_rule", F.when(F.col("_rule") == "IAM-AZ-003", "MEDIUM").otherwise("HIGH"), issue, suggested_roles(F.col("role"), F.col("identity_name")))
+    return finding(rows, "_rule", F.when(F.col("_rule") == "IAM-AZ-003", "MEDIUM").otherwise("HIGH"), issue, suggested_roles(F.col("role"),
+        F.col("identity_name")))
 
 
 def multi_role(rows: DataFrame, most: int = 3) -> DataFrame:
@@ -73,8 +81,10 @@ def multi_role(rows: DataFrame, most: int = 3) -> DataFrame:
     """
     many = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > most).select("identity_name")
     rows = rows.join(many, "identity_name", "left_semi")
-    g = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("ord", "role"))).alias("_r"), F.min(F.struct("ord", "scope_type", "file_path")).alias("_f")).filter(F.col("_n") > most)
-    g = g.select("identity_name", F.array_join(F.transform("_r", lambda x: x["role"]), ", ").alias("role"), F.col("_f.scope_type").alias("scope_type"), F.col("_f.file_path").alias("file_path"), F.lit("").alias("block_name"), F.col("_f.ord").alias("ord"), "_n")
+    g = rows.groupBy("identity_name").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("ord", "role"))).alias("_r"),
+        F.min(F.struct("ord", "scope_type", "file_path")).alias("_f")).filter(F.col("_n") > most)
+    g = g.select("identity_name", F.array_join(F.transform("_r", lambda x: x["role"]), ", ").alias("role"),
+        F.col("_f.scope_type").alias("scope_type"), F.col("_f.file_path").alias("file_path"), F.lit("").alias("block_name"), F.col("_f.ord").alias("ord"), "_n")
     issue = F.concat(F.lit("Identity '"), F.col("identity_name"), F.lit("' has "), F.col("_n").cast("string"), F.lit(" role assignments"))
     return finding(g, F.lit("IAM-AZ-005"), F.lit("MEDIUM"), issue, F.array(F.lit("Audit and consolidate role assignments")), value=F.lit(""))
 
@@ -108,10 +118,12 @@ def overlap(rows: DataFrame) -> DataFrame:
     other = classes.select(F.col("identity_name").alias("_i"), F.col("scope_value").alias("_v"), F.col("_class").alias("y"))
     own = classes.select("identity_name", "scope_value", F.col("_class").alias("x"))
     order = lambda c: F.struct(F.col(f"{c}.role"), F.col(f"{c}.scope_type"))
-    same = own.filter("scope_value <> ''").join(other, (F.col("identity_name") == F.col("_i")) & (F.col("scope_value") == F.col("_v")) & (order("x") <= order("y"))).select("identity_name", "x", "y")
+    same = own.filter("scope_value <> ''").join(other, (F.col("identity_name") == F.col("_i")) & (F.col("scope_value") == F.col("_v")) & (
+        order("x") <= order("y"))).select("identity_name", "x", "y")
     wide = classes.filter("_path <> ''").select("identity_name", "_path", F.col("_class").alias("x"))
     deep = classes.select("identity_name", F.explode(ancestors(F.col("_path"))).alias("_path"), F.col("_class").alias("y"))
-    below = wide.join(deep, ["identity_name", "_path"]).filter(scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))).select("identity_name", "x", "y")
+    below = wide.join(deep, ["identity_name", "_path"]).filter(scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))).select(
+        "identity_name", "x", "y")
     pairs = same.unionByName(below)
     level = lambda c: number(F.col(f"{c}.role"), PRIVILEGE, 0)
     gap = level("x") - level("y")
@@ -125,16 +137,20 @@ def overlap(rows: DataFrame) -> DataFrame:
 
     apart, alike = pairs.filter(F.col("x.role") != F.col("y.role")), pairs.filter(F.col("x.role") == F.col("y.role"))
     found = [covers(apart.filter(gap > 0), "x", "y", False), covers(apart.filter(gap < 0), "y", "x", False)]
-    found += [covers(alike.filter(F.col("x.lo.ord") < F.col("y.hi.ord")), "x", "y", True), covers(alike.filter(F.col("y.lo.ord") < F.col("x.hi.ord")), "y", "x", True)]
+    found += [covers(alike.filter(F.col("x.lo.ord") < F.col("y.hi.ord")), "x", "y", True), covers(alike.filter(F.col("y.lo.ord") < F.col("x.hi.ord")),
+        "y", "x", True)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     value = F.coalesce(F.nullif("d.scope_value", F.lit("")), F.col("e.scope_value"))
     fill = lambda c: F.coalesce(F.nullif(f"d.lo.{c}", F.lit("")), F.col(f"_met.{c}"))
-    out = out.select("identity_name", F.col("d.role").alias("_d"), F.col("e.role").alias("_e"), value.alias("scope_value"), F.struct("_at", F.col("d.scope_type").alias("scope_type"), fill("file_path").alias("file_path"), fill("block_name").alias("block_name")).alias("_f"))
+    out = out.select("identity_name", F.col("d.role").alias("_d"), F.col("e.role").alias("_e"), value.alias("scope_value"), F.struct("_at",
+        F.col("d.scope_type").alias("scope_type"), fill("file_path").alias("file_path"), fill("block_name").alias("block_name")).alias("_f"))
     out = out.groupBy("identity_name", "_d", "_e", "scope_value").agg(F.min("_f").alias("_f"))
-    out = out.select("identity_name", F.concat("_d", F.lit(" + "), "_e").alias("role"), F.col("_f.scope_type").alias("scope_type"), "scope_value", F.col("_f.file_path").alias("file_path"), F.col("_f.block_name").alias("block_name"), F.col("_f._at.a").alias("ord"))
-    return finding(out, F.lit("IAM-AZ-007"), F.lit("MEDIUM"), F.lit("Overlapping role assignments for one identity"), F.array(F.lit("Audit and remove overlapping role assignments")))
+    out = out.select("identity_name", F.concat("_d", F.lit(" + "), "_e").alias("role"), F.col("_f.scope_type").alias("scope_type"), "scope_value",
+        F.col("_f.file_path").alias("file_path"), F.col("_f.block_name").alias("block_name"), F.col("_f._at.a").alias("ord"))
+    return finding(out, F.lit("IAM-AZ-007"), F.lit("MEDIUM"), F.lit("Overlapping role assignments for one identity"),
+        F.array(F.lit("Audit and remove overlapping role assignments")))
 
 
 def broad_redundant(rows: DataFrame) -> DataFrame:
@@ -143,7 +159,8 @@ def broad_redundant(rows: DataFrame) -> DataFrame:
     What matters of all scopes at or below a path is only how narrow the narrowest type there is, so one row for each
     (identity, role, path) is joined.
     """
-    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name").withColumn("_path", path_of(F.col("scope_value")))
+    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name").withColumn("_path",
+        path_of(F.col("scope_value")))
     deep = rows.select("identity_name", "role", F.explode(ancestors(F.col("_path"))).alias("_path"), scope_order(F.col("scope_type")).alias("_o"))
     deep = deep.groupBy("identity_name", "role", "_path").agg(F.max("_o").alias("_narrowest"))
     out = rows.filter("_path <> ''").join(deep, ["identity_name", "role", "_path"]).filter(scope_order(F.col("scope_type")) < F.col("_narrowest"))
@@ -180,4 +197,5 @@ def merge_model(found: DataFrame, extra: DataFrame, keys: list[str], rule: str)
 
 def summary(found: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("severity") == s)
-    return found.agg(F.count(F.lit(1)).alias("total"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.array_join(F.sort_array(F.collect_set("file_path")), ",").alias("files"))
+    return found.agg(F.count(F.lit(1)).alias("total"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"),
+        F.array_join(F.sort_array(F.collect_set("file_path")), ",").alias("files"))

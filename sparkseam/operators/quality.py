@@ -31,10 +31,13 @@ def signals(rows: DataFrame) -> DataFrame:
     ground = F.when(n == 0, F.lit(0.0)).otherwise(shared / F.nullif(n, F.lit(0)))
     low = F.lower(F.coalesce("answer", F.lit("")))
     off = lambda phrase, w: F.when(F.contains(low, F.lit(phrase)), F.lit(w)).otherwise(0.0)
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(1.0 - off("i think", 0.3) - off("maybe", 0.2) - off("possibly", 0.2) - F.when(F.size(words(F.col("answer"))) < 5, F.lit(0.4)).otherwise(0.0), 6)))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(1.0 - off("i think", 0.3) - off("maybe", 0.2) - off("possibly",
+        0.2) - F.when(F.size(words(F.col("answer"))) < 5, F.lit(0.4)).otherwise(0.0), 6)))
     rows = rows.withColumns({"_m": miss, "_g": ground, "_s": sure})
-    why = F.array_compact(F.array(F.when(F.col("_m") > 0.5, "hallucination_score > 0.5"), F.when(F.col("_g") < 0.3, "grounding_score < 0.3"), F.when(F.col("_s") < 0.5, "confidence_score < 0.5")))
-    out = rows.withColumns({"hallucination_score": F.round("_m", 3), "grounding_score": F.round("_g", 3), "confidence_score": F.round("_s", 3), "is_failure": F.size(why) > 0, "reason": F.when(F.size(why) > 0, F.array_join(why, "; ")).otherwise("quality acceptable")})
+    why = F.array_compact(F.array(F.when(F.col("_m") > 0.5, "hallucination_score > 0.5"), F.when(F.col("_g") < 0.3, "grounding_score < 0.3"),
+        F.when(F.col("_s") < 0.5, "confidence_score < 0.5")))
+    out = rows.withColumns({"hallucination_score": F.round("_m", 3), "grounding_score": F.round("_g", 3), "confidence_score": F.round("_s", 3),
+        "is_failure": F.size(why) > 0, "reason": F.when(F.size(why) > 0, F.array_join(why, "; ")).otherwise("quality acceptable")})
     return out.withColumn("skill", route(F.col("query"), F.col("_m"), F.col("_g"))).drop("_t", "_d", "_m", "_g", "_s")
 
 
@@ -66,7 +69,8 @@ def focus(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     n = each.groupBy(key, "t").agg(F.count(F.lit(1)).alias("c"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("c"), "t"))).filter(F.col("r") <= k)
     said = top.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " ").alias("_w"))
-    return rows.select(key, "query").join(said, key, "left").select(key, F.when(F.col("_w").isNull(), F.col("query")).otherwise(F.concat("query", F.lit(" focus:"), F.col("_w"))).alias("focused"))
+    return rows.select(key, "query").join(said, key, "left").select(key, F.when(F.col("_w").isNull(), F.col("query")).otherwise(F.concat("query",
+        F.lit(" focus:"), F.col("_w"))).alias("focused"))
 
 
 def improve(rows: DataFrame, answer: Callable[[DataFrame], DataFrame], key: str, rounds: int = 3) -> DataFrame:
@@ -81,5 +85,6 @@ def improve(rows: DataFrame, answer: Callable[[DataFrame], DataFrame], key: str,
         if i < rounds:
             again = tried.filter("is_failure")
             focused = focus(again.select(key, "query", F.col("docs").alias("context")), key)
-            todo = again.join(focused, key).select(key, F.when(F.col("skill") == "rewrite", rewrite(F.col("query"))).when(F.col("skill") == "focus", F.col("focused")).when(F.col("skill") == "decompose", F.get(decompose(F.col("query")), F.lit(0))).otherwise(F.col("query")).alias("query"))
+            todo = again.join(focused, key).select(key, F.when(F.col("skill") == "rewrite", rewrite(F.col("query"))).when(F.col("skill") == "focus",
+                F.col("focused")).when(F.col("skill") == "decompose", F.get(decompose(F.col("query")), F.lit(0))).otherwise(F.col("query")).alias("query"))
     return out

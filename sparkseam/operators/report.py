@@ -24,7 +24,8 @@ def normalise(issues: DataFrame) -> DataFrame:
     """Missing severity is LOW, a missing rule the detector's name, a missing line 0."""
     return issues.withColumns({
         "file_path": F.coalesce("file_path", F.lit("")), "severity": F.upper(filled(F.col("severity"), F.lit("LOW"))),
-        "rule_id": filled(F.col("rule_id"), F.upper(F.coalesce("detector", F.lit("")))), "line_number": F.coalesce(F.col("line_number").cast("int"), F.lit(0)), "issue": F.coalesce("issue", F.lit("")),
+        "rule_id": filled(F.col("rule_id"), F.upper(F.coalesce("detector", F.lit("")))), "line_number": F.coalesce(F.col("line_number").cast("int"),
+            F.lit(0)), "issue": F.coalesce("issue", F.lit("")),
     })
 
 
@@ -45,7 +46,8 @@ def ordered(issues: DataFrame, tie: str) -> DataFrame:
 
 def severity_summary(issues: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("severity") == s)
-    return issues.agg(F.count(F.lit(1)).alias("total"), n("CRITICAL").alias("critical"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.countDistinct("file_path").alias("files"))
+    return issues.agg(F.count(F.lit(1)).alias("total"), n("CRITICAL").alias("critical"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"),
+        n("LOW").alias("low"), F.countDistinct("file_path").alias("files"))
 
 
 def five_buckets(issues: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def policy_frame(spark: SparkSession, policy: dict) -> DataFrame:
     rows = []
     for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"):
         most = policy.get("max_allowed", {}).get(s.lower(), 0 if s in ("CRITICAL", "HIGH") else 999999)
-        rows.append(F.struct(F.lit(s).alias("severity"), F.lit(bool(policy.get("fail_on", {}).get(s.lower(), False))).alias("fail_on"), F.lit(int(most or 0)).cast("long").alias("max_allowed")))
+        rows.append(F.struct(F.lit(s).alias("severity"), F.lit(bool(policy.get("fail_on", {}).get(s.lower(), False))).alias("fail_on"),
+            F.lit(int(most or 0)).cast("long").alias("max_allowed")))
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -91,13 +94,15 @@ def evaluate(issues: DataFrame, policy: DataFrame) -> DataFrame:
     """severity, count, max_allowed, violated, reason for every severity of the policy."""
     counts = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("_c"))
     rows = policy.join(counts, "severity", "left").withColumn("count", F.coalesce("_c", F.lit(0))).drop("_c")
-    reason = F.when(F.col("count") <= 0, "").when(F.col("fail_on"), "zero tolerance").when(F.col("count") > F.col("max_allowed"), "over the limit").otherwise("")
+    reason = F.when(F.col("count") <= 0, "").when(F.col("fail_on"), "zero tolerance").when(F.col("count") > F.col("max_allowed"),
+        "over the limit").otherwise("")
     return rows.withColumn("reason", reason).select("severity", "count", "max_allowed", (F.col("reason") != "").alias("violated"), "reason")
 
 
 def violation_files(issues: DataFrame, verdict: DataFrame) -> DataFrame:
     """severity, file_path of violated severities, each once."""
-    return issues.filter(F.col("file_path") != "").select("severity", "file_path").distinct().join(F.broadcast(verdict.filter("violated").select("severity")), "severity", "left_semi")
+    return issues.filter(F.col("file_path") != "").select("severity", "file_path").distinct().join(F.broadcast(verdict.filter("violated").select(
+        "severity")), "severity", "left_semi")
 
 
 def exit_code(errors: Column, failed: Column, high: Column, fail_on_high: bool = False) -> Column:
@@ -112,21 +117,27 @@ def sarif_results(issues: DataFrame, critical_as_note: bool = False) -> DataFram
     levels = SARIF_LEVEL | ({"CRITICAL": "note"} if critical_as_note else {})
     level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]), F.upper("severity")), F.lit("note"))
     rule = filled(F.col("rule_id"), filled(F.col("detector"), F.lit("SPARKSEAM")))
-    return issues.select(rule.alias("rule"), level.alias("level"), F.replace("file_path", F.lit("\\"), F.lit("/")).alias("uri"), F.greatest(F.coalesce(F.col("line_number").cast("int"), F.lit(1)), F.lit(1)).alias("start_line"), F.col("issue").alias("message"))
+    return issues.select(rule.alias("rule"), level.alias("level"), F.replace("file_path", F.lit("\\"), F.lit("/")).alias("uri"),
+        F.greatest(F.coalesce(F.col("line_number").cast("int"), F.lit(1)), F.lit(1)).alias("start_line"), F.col("issue").alias("message"))
 
 
 def sarif_rules(issues: DataFrame, order: str) -> DataFrame:
     """rule, name, detector: the first issue of each rule."""
     rule = filled(F.col("rule_id"), filled(F.col("detector"), F.lit("SPARKSEAM")))
-    return issues.groupBy(rule.alias("rule")).agg(F.min(F.struct(order, "issue", "detector")).alias("f")).select("rule", F.col("f.issue").alias("name"), F.col("f.detector").alias("detector"))
+    return issues.groupBy(rule.alias("rule")).agg(F.min(F.struct(order, "issue", "detector")).alias("f")).select("rule",
+        F.col("f.issue").alias("name"), F.col("f.detector").alias("detector"))
 
 
 def sarif_document(issues: DataFrame, order: str) -> DataFrame:
     """One row, document: a whole SARIF 2.1.0 report, for a report that fits a row; write_sarif writes one of any size."""
-    rules = sarif_rules(issues, order).agg(F.sort_array(F.collect_list(F.struct(F.col("rule").alias("id"), F.col("name"), F.struct(F.col("detector")).alias("properties")))).alias("rules"))
-    place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
-    found = sarif_results(issues).select(F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations")).alias("r"), "rule", "uri", "start_line", "message")
-    found = found.agg(F.sort_array(F.collect_list(F.struct("rule", "uri", "start_line", "message", "r"))).alias("all")).select(F.transform("all", lambda x: x["r"]).alias("results"))
+    rules = sarif_rules(issues, order).agg(F.sort_array(F.collect_list(F.struct(F.col("rule").alias("id"), F.col("name"),
+        F.struct(F.col("detector")).alias("properties")))).alias("rules"))
+    place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias(
+        "physicalLocation"))
+    found = sarif_results(issues).select(F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
+        F.array(place).alias("locations")).alias("r"), "rule", "uri", "start_line", "message")
+    found = found.agg(F.sort_array(F.collect_list(F.struct("rule", "uri", "start_line", "message", "r"))).alias("all")).select(F.transform("all",
+        lambda x: x["r"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("sparkseam").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return found.crossJoin(rules).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
@@ -151,9 +162,11 @@ def console(issues: DataFrame, summary: DataFrame, tie: str, most: int = 5) -> D
     """line_number, line: the head of the report and the first issues (a top-k)."""
     top = issues.orderBy(rank_of(F.col("severity")), "file_path", "line_number", tie).limit(most)
     w = Window.orderBy(rank_of(F.col("severity")), "file_path", "line_number", tie)
-    listed = top.select((F.row_number().over(w) + 2).alias("line_number"), F.format_string("- [%s] %s (%s)", "severity", "issue", filled(F.col("file_path"), F.lit("unknown file"))).alias("line"))
+    listed = top.select((F.row_number().over(w) + 2).alias("line_number"), F.format_string("- [%s] %s (%s)", "severity", "issue",
+        filled(F.col("file_path"), F.lit("unknown file"))).alias("line"))
     head = summary.select(F.lit(1).alias("line_number"), F.format_string("Total issues: %d", "total").alias("line")).unionByName(
-        summary.select(F.lit(2).alias("line_number"), F.format_string("CRITICAL: %d  HIGH: %d  MEDIUM: %d  LOW: %d", "critical", "high", "medium", "low").alias("line")))
+        summary.select(F.lit(2).alias("line_number"), F.format_string("CRITICAL: %d  HIGH: %d  MEDIUM: %d  LOW: %d", "critical", "high", "medium",
+            "low").alias("line")))
     return head.unionByName(listed)
 
 
@@ -163,10 +176,12 @@ def console_policy(issues: DataFrame, summary: DataFrame, verdict: DataFrame, mo
     judged = F.when(F.col("errors") > 0, "NOT EVALUATED").when(F.col("failed"), "FAIL").otherwise("PASS")
     head = failed.select(F.lit(1).alias("line_number"), F.concat(F.lit("Build policy: "), judged).alias("line"))
     place = (rank_of(F.col("severity")) * 2).cast("int")
-    files = violation_files(issues, verdict).withColumn("_n", F.row_number().over(Window.partitionBy("severity").orderBy("file_path"))).filter(F.col("_n") <= most_files)
+    files = violation_files(issues, verdict).withColumn("_n", F.row_number().over(Window.partitionBy("severity").orderBy("file_path"))).filter(
+        F.col("_n") <= most_files)
     files = files.groupBy("severity").agg(F.array_join(F.sort_array(F.collect_list("file_path")), ", ").alias("files"))
     bad = verdict.filter("violated").join(files, "severity", "left").crossJoin(F.broadcast(failed.filter("errors = 0").select("errors")))
-    said = bad.select((place + 2).alias("line_number"), F.format_string("- %s: %d found, %d allowed (%s)", "severity", "count", "max_allowed", "reason").alias("line"))
+    said = bad.select((place + 2).alias("line_number"), F.format_string("- %s: %d found, %d allowed (%s)", "severity", "count", "max_allowed",
+        "reason").alias("line"))
     where = bad.select((place + 3).alias("line_number"), F.format_string("  in %s", F.coalesce("files", F.lit("no files recorded"))).alias("line"))
     return head.unionByName(said).unionByName(where)
 

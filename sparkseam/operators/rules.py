@@ -70,8 +70,10 @@ RULE_TYPES = [
 ]
 # Category of a resource type, then by needle.
 TYPE_CATEGORIES = {
-    "azurerm_storage_account": "storage", "aws_s3_bucket": "storage", "google_storage_bucket": "storage", "aws_security_group": "networking", "azurerm_network_security_group": "networking", "google_compute_firewall": "networking",
-    "kubernetes_pod": "compute", "google_compute_instance": "compute", "aws_instance": "compute", "azurerm_linux_virtual_machine": "compute", "azurerm_user_assigned_identity": "identity", "service_account": "identity",
+    "azurerm_storage_account": "storage", "aws_s3_bucket": "storage", "google_storage_bucket": "storage", "aws_security_group": "networking",
+        "azurerm_network_security_group": "networking", "google_compute_firewall": "networking",
+    "kubernetes_pod": "compute", "google_compute_instance": "compute", "aws_instance": "compute", "azurerm_linux_virtual_machine": "compute",
+        "azurerm_user_assigned_identity": "identity", "service_account": "identity",
     "storage": "storage", "networking": "networking", "compute": "compute", "identity": "identity", "secrets": "secrets", "general": "general",
 }
 
@@ -94,18 +96,23 @@ def normalise(rules: DataFrame) -> DataFrame:
     raw = [F.coalesce(c, F.lit("")) for c in ("title", "description", "indicators", "references", "category")]
     probe, source = F.lower(F.concat_ws(" ", *raw)), F.lower(F.coalesce("category", F.lit("")))
     found = first_match(probe, RULE_TYPES, "general")
-    kind = filled(F.col("resource_type"), F.when(found == "*storage", F.when(F.contains(probe, F.lit("azure")), "azurerm_storage_account").otherwise("storage")).otherwise(found))
+    kind = filled(F.col("resource_type"), F.when(found == "*storage", F.when(F.contains(probe, F.lit("azure")), "azurerm_storage_account").otherwise(
+        "storage")).otherwise(found))
     both = F.concat(source, F.lit("\n"), probe)
     cloud = (
         F.when(F.contains(both, F.lit("azure")), "azure").when(contains_any(both, ["aws"]) | F.contains(probe, F.lit("s3")), "aws")
-        .when(F.contains(source, F.lit("gcp")) | F.contains(probe, F.lit("google")), "gcp").when(F.contains(source, F.lit("k8s")) | F.contains(probe, F.lit("kubernetes")), "kubernetes").otherwise("generic")
+        .when(F.contains(source, F.lit("gcp")) | F.contains(probe, F.lit("google")), "gcp").when(F.contains(source, F.lit("k8s")) | F.contains(probe,
+            F.lit("kubernetes")), "kubernetes").otherwise("generic")
     )
     by_type = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_CATEGORIES.items() for x in kv]), kind)
-    by_text = first_match(probe, [("storage", ["storage", "bucket", "blob"]), ("secrets", ["secret", "password", "token"]), ("networking", ["network", "firewall", "security group"]), ("identity", ["identity", "iam", "role"]), ("compute", ["compute", "vm", "pod", "container"])], "general")
+    by_text = first_match(probe, [("storage", ["storage", "bucket", "blob"]), ("secrets", ["secret", "password", "token"]), ("networking",
+        ["network", "firewall", "security group"]), ("identity", ["identity", "iam", "role"]), ("compute", ["compute", "vm", "pod", "container"])], "general")
     group = F.when(source.isin("identity", "networking", "secrets", "compute", "storage"), source).otherwise(F.coalesce(by_type, by_text))
     return rules.select(
-        F.col("id").alias("rule_id"), F.coalesce("category", F.lit("general")).alias("source_category"), F.upper(F.coalesce("severity", F.lit("INFO"))).alias("severity"),
-        kind.alias("resource_type"), filled(F.col("cloud_provider"), cloud).alias("cloud_provider"), group.alias("category"), F.coalesce("title", F.lit("")).alias("title"),
+        F.col("id").alias("rule_id"), F.coalesce("category", F.lit("general")).alias("source_category"), F.upper(F.coalesce("severity",
+            F.lit("INFO"))).alias("severity"),
+        kind.alias("resource_type"), filled(F.col("cloud_provider"), cloud).alias("cloud_provider"), group.alias("category"), F.coalesce("title",
+            F.lit("")).alias("title"),
     )
 
 
@@ -123,12 +130,14 @@ def applicable(resources: DataFrame, rules: DataFrame) -> DataFrame:
     kind = F.lower(F.coalesce("_r_resource_type", F.lit("general")))
     own, cat = F.lower(F.coalesce("resource_type", F.lit(""))), F.lower(F.coalesce(F.nullif("category", F.lit("")), F.lit("general")))
     provider = F.lower(filled(F.col("cloud_provider"), F.lit("generic")))
-    fits = ((cloud == provider) | cloud.isin("generic", "all", "unknown")) & (((own != "") & (kind == own)) | (kind == cat) | ((own == "") & (kind == "general")))
+    fits = ((cloud == provider) | cloud.isin("generic", "all", "unknown")) & (((own != "") & (kind == own)) | (kind == cat) | ((own == "") & (
+        kind == "general")))
     return resources.join(F.broadcast(r), fits)
 
 
 def rule_score(rule_type: Column, resource_type: Column, rule_id: Column) -> Column:
-    return F.when(F.lower(rule_type) == F.lower(resource_type), F.lit(0.95)).otherwise(F.lit(0.85)) + F.when(F.startswith(rule_id, F.lit("custom-")), F.lit(0.2)).otherwise(F.lit(0.0))
+    return F.when(F.lower(rule_type) == F.lower(resource_type), F.lit(0.95)).otherwise(F.lit(0.85)) + F.when(F.startswith(rule_id, F.lit("custom-")),
+        F.lit(0.2)).otherwise(F.lit(0.0))
 
 
 def rule_aware(resources: DataFrame, rules: DataFrame, k: int) -> DataFrame:
@@ -147,7 +156,8 @@ def documents(rules: DataFrame) -> DataFrame:
     """rules with DETAILS filled: what a rule lacks is said from its title, resource and provider."""
     have = [c if c in rules.columns else None for c in DETAILS]
     about = F.concat(F.col("title"), F.lit(" ("), F.col("resource_type"), F.lit(", "), F.col("cloud_provider"), F.lit(")."))
-    stand_in = [about, F.concat(F.lit("Settings of "), F.col("resource_type"), F.lit(" that show: "), F.lower("title")), F.concat(F.lit("Change the "), F.col("category"), F.lit(" settings so that this no longer holds.")), F.lit("")]
+    stand_in = [about, F.concat(F.lit("Settings of "), F.col("resource_type"), F.lit(" that show: "), F.lower("title")),
+        F.concat(F.lit("Change the "), F.col("category"), F.lit(" settings so that this no longer holds.")), F.lit("")]
     full = [(filled(F.col(c), d) if c else d).alias(name) for name, c, d in zip(DETAILS, have, stand_in, strict=True)]
     return rules.select(*FIELDS, *full)
 
@@ -156,7 +166,8 @@ def rule_text(rules: DataFrame) -> DataFrame:
     """rule_id, text: the document that rule search embeds, of the rule's eight fields."""
     upper = F.concat(F.lit("["), F.concat_ws(" | ", F.upper("category"), "severity", "cloud_provider", "resource_type"), F.lit("] "), F.col("title"))
     part = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
-    return documents(rules).select("rule_id", F.concat_ws("\n\n", upper, "description", part("Indicators", "indicators"), part("Remediation", "remediation"), part("References", "references")).alias("text"))
+    return documents(rules).select("rule_id", F.concat_ws("\n\n", upper, "description", part("Indicators", "indicators"), part("Remediation",
+        "remediation"), part("References", "references")).alias("text"))
 
 
 class KnowledgeBase:
@@ -197,4 +208,5 @@ def enrich(issues: DataFrame, top_rule: DataFrame) -> DataFrame:
     """Issues whose empty rule_id and rule_description are filled from the best rule (rule_id, title; one row or none)."""
     one = top_rule.select(F.col("rule_id").alias("_id"), F.col("title").alias("_title")).limit(1)
     rows = issues.join(F.broadcast(one), F.lit(True), "left")
-    return rows.withColumn("rule_id", filled(F.col("rule_id"), F.coalesce("_id", F.lit("")))).withColumn("rule_description", filled(F.col("rule_description"), F.coalesce("_title", F.lit("")))).drop("_id", "_title")
+    return rows.withColumn("rule_id", filled(F.col("rule_id"), F.coalesce("_id", F.lit("")))).withColumn("rule_description",
+        filled(F.col("rule_description"), F.coalesce("_title", F.lit("")))).drop("_id", "_title")

@@ -70,7 +70,8 @@ def _blocks(rows: DataFrame, id_col: str, size: int, prefix: str) -> DataFrame:
                 part = batch.slice(at, size)
                 unit = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-10)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()],
+                    pa.binary())], names=names)
 
     return rows.select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
 
@@ -93,7 +94,8 @@ def vector_batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
                 rows, matrix = np.frombuffer(vu.as_buffer()).reshape(len(own), -1), np.frombuffer(qu.as_buffer()).reshape(len(ids), -1)
                 scores = np.round(matrix @ rows.T, 6)
                 best = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()),
+                    pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", id_col, "score"])
 
     out = pairs.mapInArrow(run, f"query_id long, {id_col} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
@@ -148,7 +150,8 @@ def tfidf(corpus: DataFrame, query: str, id_col: str, text_col: str) -> DataFram
     """id, score: cosine of sublinear tf-idf vectors with smooth idf; query terms the corpus lacks are dropped."""
     tf = materialise(tfidf_terms(corpus, id_col, text_col), "tf")
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term",
+        (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = query_weights(idf, query)
     # norms need all terms of the documents that hold a query term, and of no others
     hits = tf.join(F.broadcast(asked), "term").select("id", "q", (F.col("tf") * F.col("idf")).alias("w"))
@@ -158,7 +161,8 @@ def tfidf(corpus: DataFrame, query: str, id_col: str, text_col: str) -> DataFram
 
 def query_weights(idf: DataFrame, query: str) -> DataFrame:
     """term, idf, q (tf-idf weight) of the query's terms that idf knows; as few rows as the query has terms."""
-    asked = idf.sparkSession.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(TFIDF_TOKEN), F.lit(0))).alias("term")).groupBy("term").agg((1 + F.ln(F.count(F.lit(1)))).alias("qtf"))
+    asked = idf.sparkSession.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(TFIDF_TOKEN), F.lit(0))).alias(
+        "term")).groupBy("term").agg((1 + F.ln(F.count(F.lit(1)))).alias("qtf"))
     return materialise(idf.join(F.broadcast(asked), "term").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("q")), "asked")
 
 
@@ -208,13 +212,16 @@ class KeywordIndex:
     def add(self, corpus: DataFrame, id_col: str, text_col: str) -> None:
         segment = self.segments()
         rows = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
-        found = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("segment", F.lit(segment))
-        found.select("term", "id", "tf", "segment").repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("append").parquet(f"{self.folder}/postings")
+        found = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn(
+            "segment", F.lit(segment))
+        found.select("term", "id", "tf", "segment").repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("append").parquet(
+            f"{self.folder}/postings")
         # the lengths come last: postings of a segment without lengths count for nothing
         rows.select("id", "dl", F.lit(segment).alias("segment")).write.mode("append").parquet(f"{self.folder}/docs")
 
     def remove(self, ids: DataFrame, id_col: str) -> None:
-        ids.select(F.col(id_col).alias("id"), F.lit(None).cast("int").alias("dl"), F.lit(self.segments()).alias("segment")).write.mode("append").parquet(f"{self.folder}/docs")
+        ids.select(F.col(id_col).alias("id"), F.lit(None).cast("int").alias("dl"), F.lit(self.segments()).alias("segment")).write.mode(
+            "append").parquet(f"{self.folder}/docs")
 
     def clear(self) -> None:
         remove(self.spark, self.folder)
@@ -254,7 +261,8 @@ def fetch_size(k: int, factor: int = 3) -> int:
     return max(k * factor, 10)
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None) -> DataFrame:
+def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text",
+    vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None) -> DataFrame:
     """id, the two scores, final_score, rank of the k best, or of the `keep` best of the merged list. A metadata filter holds for the vector branch, and for keywords only with filter_both."""
     n = fetch_size(k)
     semantic = vector_topk(vectors, vector, n, vec_id, where).select(F.col(vec_id).alias("id"), "score")
@@ -270,9 +278,11 @@ def rerank(rows: DataFrame, vectors: DataFrame, query: list[float], pool: int, k
     joined = rows.join(vectors.select(F.col(vec_id).alias("id"), "embedding"), "id", "left")
     inside = F.col("rank") <= pool
     fresh = F.round((F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0)) + 1) / 2, 6)
-    out = joined.select("id", F.col("final_score").alias("base_score"), F.when(inside, fresh).alias("rerank_score"), F.when(inside, fresh).otherwise(F.col("final_score")).alias("final_score"), inside.cast("int").alias("_in"), F.col("rank").alias("_old"))
+    out = joined.select("id", F.col("final_score").alias("base_score"), F.when(inside, fresh).alias("rerank_score"), F.when(inside,
+        fresh).otherwise(F.col("final_score")).alias("final_score"), inside.cast("int").alias("_in"), F.col("rank").alias("_old"))
     order = [F.desc("_in"), F.when(F.col("_in") == 1, F.col("final_score")).otherwise(F.lit(0.0)).desc(), F.desc("base_score"), "_old", "id"]
-    return out.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", "base_score", "rerank_score", "final_score", "rank")
+    return out.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", "base_score", "rerank_score",
+        "final_score", "rank")
 
 
 def post_filtered(rows: DataFrame, where: Column, k: int, score: str = "final_score", id_col: str = "id") -> DataFrame:

@@ -91,7 +91,8 @@ def metadata_filter(rows: DataFrame, where: dict, ids: list | None = None, id_co
 def exists_by_hash(rows: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
     """rows with `present`: whether the store holds their text."""
     known = store.select("content_hash").distinct().withColumn("_p", F.lit(True))
-    return rows.withColumn("content_hash", content_hash(text)).join(known, "content_hash", "left").withColumn("present", F.coalesce("_p", F.lit(False))).drop("_p")
+    return rows.withColumn("content_hash", content_hash(text)).join(known, "content_hash", "left").withColumn("present", F.coalesce("_p",
+        F.lit(False))).drop("_p")
 
 
 def chunk_view(store: DataFrame) -> DataFrame:
@@ -133,9 +134,11 @@ def hashed(texts: DataFrame, dimension: int, text: str = "text") -> DataFrame:
     hits = texts.select("content_hash", F.explode_outer(F.transform(terms(F.col(text)), lambda t: F.xxhash64(t))).alias("_h"))
     sign = F.when(F.col("_h") < 0, -1.0).when(F.col("_h").isNotNull(), 1.0).otherwise(0.0)
     sums = hits.groupBy("content_hash", F.coalesce(F.pmod("_h", F.lit(dimension)), F.lit(0)).cast("int").alias("_at")).agg(F.sum(sign).alias("_w"))
-    vectors = sums.groupBy("content_hash").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_m"), F.greatest(F.sqrt(F.sum(F.col("_w") * F.col("_w"))), F.lit(1e-10)).alias("_n"))
+    vectors = sums.groupBy("content_hash").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_m"),
+        F.greatest(F.sqrt(F.sum(F.col("_w") * F.col("_w"))), F.lit(1e-10)).alias("_n"))
     place = F.sequence(F.lit(0), F.lit(dimension - 1))
-    return vectors.select("content_hash", F.transform(place, lambda i: (F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).cast("float")).alias("embedding"))
+    return vectors.select("content_hash", F.transform(place, lambda i: (F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).cast(
+        "float")).alias("embedding"))
 
 
 def embed(rows: DataFrame, dimension: int = 64, text: str = "text", encoder: Callable | None = None, known: DataFrame | None = None) -> DataFrame:

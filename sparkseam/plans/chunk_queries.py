@@ -35,7 +35,8 @@ def chunk_fixed_windows(spark, sf):
     return chunking.fixed_windows(read_table(spark, sf, "documents").select("doc_id", "text"), 200, 50).select("doc_id", "chunk_index", "chunk")
 
 
-@query("chunk_hybrid_split", f"select doc_id, 0 as chunk_index, text as chunk from documents where text <> '' and len({W}) <= 300 union all select * from ({window_sql(300, 30)}) where doc_id in (select doc_id from documents where len({W}) > 300)")
+@query("chunk_hybrid_split", f"select doc_id, 0 as chunk_index, text as chunk from documents where text <> '' and len({W}) <= 300 union all select * "
+    f"from ({window_sql(300, 30)}) where doc_id in (select doc_id from documents where len({W}) > 300)")
 def chunk_hybrid_split(spark, sf):
     rows = read_table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_by(F.col("text"), 300, 30, "hybrid")).alias("chunk_index", "chunk"))
     return rows
@@ -49,9 +50,14 @@ def chunk_semantic_whole(spark, sf):
 _ID = "substr(regexp_replace(regexp_replace(regexp_replace(x, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g'), 1, 120)"
 
 
-@query("chunk_fallback_records", f"select {_ID.replace('x,', chr(39) + 'd' + chr(39) + ' || doc_id || ' + chr(39) + '_yaml_fixed_' + chr(39) + ' || chunk_index,')} as chunk_id, chunk_index, 'fixed_window' as block_type, chunk as text, greatest(1, len(regexp_extract_all(chunk, '\\S+')))::int as tokens from (select doc_id, 0 as chunk_index, text as chunk from documents where text <> '' and len({W}) <= 300 union all select * from ({window_sql(300, 30)}) where doc_id in (select doc_id from documents where len({W}) > 300))")
+@query("chunk_fallback_records",
+    f"select {_ID.replace('x,', chr(39) + 'd' + chr(39) + ' || doc_id || ' + chr(39) + '_yaml_fixed_' + chr(39) + ' || chunk_index,')} as chunk_id, "
+    f"chunk_index, 'fixed_window' as block_type, chunk as text, greatest(1, len(regexp_extract_all(chunk, '\\S+')))::int as tokens from (select "
+    f"doc_id, 0 as chunk_index, text as chunk from documents where text <> '' and len({W}) <= 300 union all select * from ({window_sql(300, 30)}) "
+    f"where doc_id in (select doc_id from documents where len({W}) > 300))")
 def chunk_fallback_records(spark, sf):
-    files = read_table(spark, sf, "documents").select(F.concat(F.lit("a/b/d"), F.col("doc_id"), F.lit(".yaml")).alias("file_path"), F.lit("yaml").alias("file_type"), F.col("text").alias("content"))
+    files = read_table(spark, sf, "documents").select(F.concat(F.lit("a/b/d"), F.col("doc_id"), F.lit(".yaml")).alias("file_path"),
+        F.lit("yaml").alias("file_type"), F.col("text").alias("content"))
     return chunking.fallback_chunks(files, 300, 30).select("chunk_id", "chunk_index", "block_type", "text", "tokens")
 
 
@@ -62,12 +68,16 @@ def chunk_id_sanitize(spark, sf):
 
 @query("token_count", f"select doc_id, greatest(1, len({W}))::int as tokens, greatest(1, floor(len({W}) * 0.75))::int as estimate from documents")
 def token_count(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", chunking.token_count(F.col("text")).cast("int").alias("tokens"), T.token_estimate(F.col("text")).alias("estimate"))
+    return read_table(spark, sf, "documents").select("doc_id", chunking.token_count(F.col("text")).cast("int").alias("tokens"),
+        T.token_estimate(F.col("text")).alias("estimate"))
 
 
 TF = ["file_path", "content"]
 TF_ROWS = [
-    ("net/main.tf", 'resource "aws_vpc" "main" {\n  cidr = var.cidr\n  tags = { note = "a } brace" }\n}\n\nvariable "cidr" {\n  default = "10.0.0.0/16"\n}\n\nmodule "peer" {\n  source = "./peer"\n  vpc = aws_vpc.main.id\n  zone = data.aws_zone.z.id\n  l = local.tags\n}\n\ndata "aws_zone" "z" {\n  name = module.peer.name\n}\n\nlocals {\n  tags = join(",", [var.cidr, var.cidr])\n}\n\noutput "id" {\n  value = aws_vpc.main.id\n}\n'),
+    ("net/main.tf", 'resource "aws_vpc" "main" {\n  cidr = var.cidr\n  tags = { note = "a } brace" }\n}\n\nvariable "cidr" {\n  default = '
+        '"10.0.0.0/16"\n}\n\nmodule "peer" {\n  source = "./peer"\n  vpc = aws_vpc.main.id\n  zone = data.aws_zone.z.id\n  l = local.tags\n}\n\ndata '
+        '"aws_zone" "z" {\n  name = module.peer.name\n}\n\nlocals {\n  tags = join(",", [var.cidr, var.cidr])\n}\n\noutput "id" {\n  value = '
+        'aws_vpc.main.id\n}\n'),
     ("net/broken.tf", 'resource "aws_s3_bucket" "b" {\n  acl = "public-read"\n'),
     ("net/none.tf", "# only a comment here\n"),
 ]
@@ -90,7 +100,8 @@ def _chunks(spark, rows, kind):
 
 
 def _flat(chunks):
-    return chunks.select("chunk_id", "block_type", "resource_type", "block_name", F.col("chunk_index").cast("long"), F.array_join("dependencies", ",").alias("dependencies"))
+    return chunks.select("chunk_id", "block_type", "resource_type", "block_name", F.col("chunk_index").cast("long"), F.array_join("dependencies",
+        ",").alias("dependencies"))
 
 
 @query("tf_block_split", f"select * from {values(_BLOCK, TF_EXPECTED)}")
@@ -98,7 +109,8 @@ def tf_block_split(spark, sf):
     return _flat(_chunks(spark, TF_ROWS, "terraform"))
 
 
-@query("tf_dependencies", """with c as (select * from """ + values(TF, TF_ROWS) + """), r as (select file_path, unnest(list_concat(regexp_extract_all(content, '\\bvar\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\blocal\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bmodule\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bdata\\.[a-zA-Z_]\\w+\\.[a-zA-Z_]\\w+\\b'), regexp_extract_all(content, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\.[a-zA-Z_]\\w*\\b'))) as ref from c) select distinct file_path, ref from r""")
+@query("tf_dependencies", """with c as (select * from """ + values(TF,
+    TF_ROWS) + """), r as (select file_path, unnest(list_concat(regexp_extract_all(content, '\\bvar\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\blocal\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bmodule\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bdata\\.[a-zA-Z_]\\w+\\.[a-zA-Z_]\\w+\\b'), regexp_extract_all(content, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\.[a-zA-Z_]\\w*\\b'))) as ref from c) select distinct file_path, ref from r""")
 def tf_dependencies(spark, sf):
     return frame(spark, TF, TF_ROWS).select("file_path", F.explode(chunking.tf_dependencies(F.col("content"))).alias("ref"))
 
@@ -109,7 +121,9 @@ YAML_ROWS = [
     ("k/list.yaml", "- x: 1\n- y: 2\n"),
     ("k/bad.yaml", "a: [1\nb: }\n"),
 ]
-YAML_EXPECTED = [("pod_yaml_Pod_web", "kind", "Pod", "web", 0, "IMAGE"), ("pod_yaml_Service_svc", "kind", "Service", "svc", 1, ""), ("values_yaml_a", "key", "", "a", 0, ""), ("values_yaml_b", "key", "", "b", 1, "region"), ("list_yaml_0", "item", "", "0", 0, ""), ("list_yaml_1", "item", "", "1", 1, ""), ("bad_yaml_fixed_0", "fixed_window", "", "", 0, "")]
+YAML_EXPECTED = [("pod_yaml_Pod_web", "kind", "Pod", "web", 0, "IMAGE"), ("pod_yaml_Service_svc", "kind", "Service", "svc", 1, ""), ("values_yaml_a",
+    "key", "", "a", 0, ""), ("values_yaml_b", "key", "", "b", 1, "region"), ("list_yaml_0", "item", "", "0", 0, ""), ("list_yaml_1", "item", "", "1",
+    1, ""), ("bad_yaml_fixed_0", "fixed_window", "", "", 0, "")]
 
 
 @query("yaml_block_split", f"select * from {values(_BLOCK, YAML_EXPECTED)}")
@@ -117,7 +131,8 @@ def yaml_block_split(spark, sf):
     return _flat(_chunks(spark, YAML_ROWS, "yaml"))
 
 
-@query("yaml_doc_split", "with c as (select file_path, unnest(list_filter(regexp_split_to_array(content, '(?m)^---[ \\t]*$'), lambda x: regexp_matches(x, '\\S'))) as document from " + values(TF, YAML_ROWS) + ") select file_path, document from c")
+@query("yaml_doc_split", "with c as (select file_path, unnest(list_filter(regexp_split_to_array(content, '(?m)^---[ \\t]*$'), lambda x: "
+    "regexp_matches(x, '\\S'))) as document from " + values(TF, YAML_ROWS) + ") select file_path, document from c")
 def yaml_doc_split(spark, sf):
     return frame(spark, TF, YAML_ROWS).select("file_path", F.explode(chunking.yaml_documents(F.col("content"))).alias("document"))
 
@@ -128,7 +143,9 @@ JSON_ROWS = [
     ("p/list.json", "[1, {\"k\": 2}]"),
     ("p/bad.json", "{not json"),
 ]
-JSON_EXPECTED = [("policy_json_header", "policy_header", "", "header", 0, ""), ("policy_json_Read", "statement", "", "Read", 1, "arn:aws:s3:::b"), ("policy_json_1", "statement", "", "1", 2, "Bucket"), ("map_json_a", "key", "", "a", 0, "Env"), ("map_json_b", "key", "", "b", 1, ""), ("list_json_0", "item", "", "0", 0, ""), ("list_json_1", "item", "", "1", 1, ""), ("bad_json_fixed_0", "fixed_window", "", "", 0, "")]
+JSON_EXPECTED = [("policy_json_header", "policy_header", "", "header", 0, ""), ("policy_json_Read", "statement", "", "Read", 1, "arn:aws:s3:::b"),
+    ("policy_json_1", "statement", "", "1", 2, "Bucket"), ("map_json_a", "key", "", "a", 0, "Env"), ("map_json_b", "key", "", "b", 1, ""),
+    ("list_json_0", "item", "", "0", 0, ""), ("list_json_1", "item", "", "1", 1, ""), ("bad_json_fixed_0", "fixed_window", "", "", 0, "")]
 
 
 @query("json_statement_split", f"select * from {values(_BLOCK, JSON_EXPECTED)}")
@@ -136,7 +153,8 @@ def json_statement_split(spark, sf):
     return _flat(_chunks(spark, JSON_ROWS, "json"))
 
 
-@query("chunk_router", f"select * from (select * from {values(_BLOCK, TF_EXPECTED)} union all select * from {values(_BLOCK, YAML_EXPECTED)} union all select * from {values(_BLOCK, JSON_EXPECTED)})")
+@query("chunk_router", f"select * from (select * from {values(_BLOCK, TF_EXPECTED)} union all select * from {values(_BLOCK, YAML_EXPECTED)} union all "
+    f"select * from {values(_BLOCK, JSON_EXPECTED)})")
 def chunk_router(spark, sf):
     files = frame(spark, TF, TF_ROWS + YAML_ROWS + JSON_ROWS)
     kind = F.when(F.col("file_path").endswith(".tf"), "terraform").when(F.col("file_path").endswith(".json"), "json").otherwise("yaml")
@@ -158,7 +176,8 @@ g as (select chunk_id as src, i, coalesce((select target from s where ref = d),
 
 
 def _deps(spark):
-    return frame(spark, DEP, [(*r[:5], "|".join(r[5])) for r in DEP_ROWS]).withColumn("dependencies", F.filter(F.split("dependencies", r"\|"), lambda x: x != ""))
+    return frame(spark, DEP, [(*r[:5], "|".join(r[5])) for r in DEP_ROWS]).withColumn("dependencies", F.filter(F.split("dependencies", r"\|"),
+        lambda x: x != ""))
 
 
 @query("dependency_symbols", f"with {_SYM} select ref, target from s")
@@ -166,7 +185,8 @@ def dependency_symbols(spark, sf):
     return chunking.symbols(_deps(spark), "ord")
 
 
-@query("dependency_resolve", f"with {_SYM} select e.chunk_id, coalesce((select string_agg(dst, ',' order by i) from g where src = e.chunk_id), '') as dependencies from e")
+@query("dependency_resolve", f"with {_SYM} select e.chunk_id, coalesce((select string_agg(dst, ',' order by i) from g where src = e.chunk_id), '') as "
+    f"dependencies from e")
 def dependency_resolve(spark, sf):
     return chunking.resolve(_deps(spark), "ord").select("chunk_id", F.array_join("dependencies", ",").alias("dependencies"))
 
@@ -184,18 +204,21 @@ def dependency_bfs(spark, sf):
     return chunking.expand(_edges(spark), seeds, _deps(spark).select(F.col("chunk_id").alias("id")), 3)
 
 
-@query("dependency_append", f"{_BFS} select 'c_out' as id, 0.9::double as score, 1 as rank union all select id, 0::double, (1 + row_number() over (order by level, id))::int from m where id <> 'c_out'")
+@query("dependency_append", f"{_BFS} select 'c_out' as id, 0.9::double as score, 1 as rank union all select id, 0::double, (1 + row_number() over "
+    f"(order by level, id))::int from m where id <> 'c_out'")
 def dependency_append(spark, sf):
     ranked = spark.range(1).select(F.lit("c_out").alias("id"), F.lit(0.9).alias("score"), F.lit(1).alias("rank"))
     return chunking.append_dependencies(ranked, dependency_bfs(spark, sf))
 
 
-@query("dependency_graph", f"with {_SYM} select e.chunk_id, (select count(*) from g where src = e.chunk_id) as n_out, (select count(*) from g where dst = e.chunk_id) as n_in from e")
+@query("dependency_graph", f"with {_SYM} select e.chunk_id, (select count(*) from g where src = e.chunk_id) as n_out, (select count(*) from g where "
+    f"dst = e.chunk_id) as n_in from e")
 def dependency_graph(spark, sf):
     edges = _edges(spark)
     out, into = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
     rows = _deps(spark).select("chunk_id")
-    return rows.join(out, rows["chunk_id"] == out["src"], "left").join(into, rows["chunk_id"] == into["dst"], "left").select("chunk_id", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
+    return rows.join(out, rows["chunk_id"] == out["src"], "left").join(into, rows["chunk_id"] == into["dst"], "left").select("chunk_id",
+        F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
 # ---- classification
@@ -207,11 +230,13 @@ def case_sql(probe: str, groups: list[tuple[str, list[str]]], default: str) -> s
 
 
 PROV = ["resource_type", "content", "file_path"]
-PROV_ROWS = [("aws_vpc", "", ""), ("azurerm_x", "aws-", ""), ("google_a_b", "", ""), ("helm_release", "", ""), ("", "uses us-east-1 and azure", ""), ("", "x", "deploy/azure.tf"), ("", "gcloud run", ""), ("", "kind: Pod", ""), ("odd_type", "", ""), ("", "", "")]
+PROV_ROWS = [("aws_vpc", "", ""), ("azurerm_x", "aws-", ""), ("google_a_b", "", ""), ("helm_release", "", ""), ("", "uses us-east-1 and azure", ""),
+    ("", "x", "deploy/azure.tf"), ("", "gcloud run", ""), ("", "kind: Pod", ""), ("odd_type", "", ""), ("", "", "")]
 _PROV = f"""case split_part(lower(resource_type), '_', 1) {' '.join(f"when '{k}' then '{v}'" for k, v in C.PROVIDER_PREFIXES.items())} else {case_sql("lower(content || ' ' || file_path)", C.PROVIDER_KEYWORDS, 'unknown')} end"""
 
 
-@query("provider_detect", f"with a as (select * from {values(PROV, PROV_ROWS)} union all select '', text, source from documents union all select '', html, url from pages) select {_PROV} as provider, count(*) as n from a group by 1")
+@query("provider_detect", f"with a as (select * from {values(PROV, PROV_ROWS)} union all select '', text, source from documents union all select '', "
+    f"html, url from pages) select {_PROV} as provider, count(*) as n from a group by 1")
 def provider_detect(spark, sf):
     docs = read_table(spark, sf, "documents").select(F.lit("").alias("resource_type"), F.col("text").alias("content"), F.col("source").alias("file_path"))
     pages = read_table(spark, sf, "pages").select(F.lit("").alias("resource_type"), F.col("html").alias("content"), F.col("url").alias("file_path"))
@@ -236,7 +261,8 @@ tagged as (select chunk_id, rt as resource_type, case pr when 'google' then 'gcp
 def tag(rows):
     kind = C.filled(F.col("resource_type"), C.resource_type(F.col("file_type"), F.col("text")))
     cloud = C.provider_alias(C.filled(F.col("cloud_provider"), C.provider(kind, F.col("text"), F.col("file_path"))))
-    return rows.select("chunk_id", kind.alias("resource_type"), cloud.alias("cloud_provider"), C.filled(F.col("category"), C.category(kind, F.col("text"))).alias("category"))
+    return rows.select("chunk_id", kind.alias("resource_type"), cloud.alias("cloud_provider"), C.filled(F.col("category"), C.category(kind,
+        F.col("text"))).alias("category"))
 
 
 @query("resource_tag", f"with {_TAGGED} select * from tagged")
@@ -256,10 +282,15 @@ def category_infer(spark, sf):
 
 
 INT = ["qid", "text", "label"]
-INT_ROWS = [("1", "Who has the Owner role assignment?", ""), ("2", "check OIDC issuer", ""), ("3", "find hardcoded password", ""), ("4", "github actions workflow", ""), ("5", "open port 22 ingress", ""), ("6", "are we nist compliant", ""), ("7", "hello", ""), ("8", "path of files", ""), ("9", "anything", "network"), ("10", "anything iam", "nonsense")]
+INT_ROWS = [("1", "Who has the Owner role assignment?", ""), ("2", "check OIDC issuer", ""), ("3", "find hardcoded password", ""),
+    ("4", "github actions workflow", ""), ("5", "open port 22 ingress", ""), ("6", "are we nist compliant", ""), ("7", "hello", ""),
+    ("8", "path of files", ""), ("9", "anything", "network"), ("10", "anything iam", "nonsense")]
 
 
-@query("intent_route", f"with a as (select qid, text, label from {values(INT, INT_ROWS)} union all select 'b' || item_id, text, '' from benchmark) select qid, case when label <> '' then case when label in ('iam','workload_identity','secrets','prompt_injection','network','compliance','general_security') then label else 'general_security' end else {case_sql('lower(text)', C.INTENTS, C.DEFAULT_INTENT)} end as intent from a")
+@query("intent_route", f"with a as (select qid, text, label from {values(INT, INT_ROWS)} union all select 'b' || item_id, text, '' from benchmark) "
+    f"select qid, case when label <> '' then case when label in "
+    f"('iam','workload_identity','secrets','prompt_injection','network','compliance','general_security') then label else 'general_security' end "
+    f"else {case_sql('lower(text)', C.INTENTS, C.DEFAULT_INTENT)} end as intent from a")
 def intent_route(spark, sf):
     bench = read_table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("qid"), "text", F.lit("").alias("label"))
     return frame(spark, INT, INT_ROWS).unionByName(bench).select("qid", C.routed(F.col("text"), F.col("label")).alias("intent"))
@@ -297,16 +328,19 @@ def rules_normalized(spark, sf):
 
 
 RES = ["rank", "resource_type", "cloud_provider", "category"]
-RES_ROWS = [(1, "azurerm_storage_account", "azure", "storage"), (2, "kubernetes_pod", "kubernetes", "compute"), (3, "", "aws", ""), (4, "typed_thing", "generic", "secrets")]
+RES_ROWS = [(1, "azurerm_storage_account", "azure", "storage"), (2, "kubernetes_pod", "kubernetes", "compute"), (3, "", "aws", ""), (4, "typed_thing",
+    "generic", "secrets")]
 _FIT = f"""f as (select s.*, r.rule_id, r.severity, r.resource_type as rule_type from {values(RES, RES_ROWS)} s join cat r on (lower(r.cloud_provider) = lower(coalesce(nullif(s.cloud_provider, ''), 'generic')) or lower(r.cloud_provider) in ('generic','all','unknown')) and ((s.resource_type <> '' and lower(r.resource_type) = lower(s.resource_type)) or lower(r.resource_type) = lower(coalesce(nullif(s.category, ''), 'general')) or (s.resource_type = '' and lower(r.resource_type) = 'general')))"""
 
 
 @query("rule_filter_join", f"with {_NORM}, {_FIT} select rank, rule_id, severity from f")
 def rule_filter_join(spark, sf):
-    return rules.applicable(frame(spark, RES, RES_ROWS), _rules(spark)).select("rank", F.col("_r_rule_id").alias("rule_id"), F.col("_r_severity").alias("severity"))
+    return rules.applicable(frame(spark, RES, RES_ROWS), _rules(spark)).select("rank", F.col("_r_rule_id").alias("rule_id"),
+        F.col("_r_severity").alias("severity"))
 
 
-@query("rule_aware_topk", f"""with {_NORM}, {_FIT}, s as (select rule_id, any_value(severity) as severity, max(round(case when lower(rule_type) = lower(resource_type) then 0.95 else 0.85 end + case when starts_with(rule_id, 'custom-') then 0.2 else 0 end, 6)::double) as score from f group by rule_id),
+@query("rule_aware_topk",
+    f"""with {_NORM}, {_FIT}, s as (select rule_id, any_value(severity) as severity, max(round(case when lower(rule_type) = lower(resource_type) then 0.95 else 0.85 end + case when starts_with(rule_id, 'custom-') then 0.2 else 0 end, 6)::double) as score from f group by rule_id),
 o as (select *, row_number() over (order by score desc, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 when 'INFO' then 4 else 9 end, rule_id)::int as rank from s) select rule_id, severity, score, rank from o where rank <= 7""")
 def rule_aware_topk(spark, sf):
     return rules.rule_aware(frame(spark, RES, RES_ROWS), _rules(spark), 7)
@@ -317,7 +351,8 @@ def rule_lookup(spark, sf):
     return _rules(spark).filter("rule_id = 'gcp-01'").select("rule_id", "severity", "title")
 
 
-@query("rule_text_build", f"""with {_NORM} select rule_id, '[' || upper(category) || ' | ' || severity || ' | ' || cloud_provider || ' | ' || resource_type || '] ' || title || chr(10) || chr(10)
+@query("rule_text_build",
+    f"""with {_NORM} select rule_id, '[' || upper(category) || ' | ' || severity || ' | ' || cloud_provider || ' | ' || resource_type || '] ' || title || chr(10) || chr(10)
   || title || ' (' || resource_type || ', ' || cloud_provider || ').' || chr(10) || chr(10) || 'Indicators: Settings of ' || resource_type || ' that show: ' || lower(title) || chr(10) || chr(10)
   || 'Remediation: Change the ' || category || ' settings so that this no longer holds.' || chr(10) || chr(10) || 'References: ' as text from cat""")
 def rule_text_build(spark, sf):
@@ -338,6 +373,7 @@ ISS = ["iid", "rule_id", "rule_description"]
 ISS_ROWS = [(1, "", ""), (2, "own-1", ""), (3, "own-2", "said")]
 
 
-@query("issue_enrich", f"with {_NORM} select iid, coalesce(nullif(i.rule_id, ''), 'gcp-01') as rule_id, coalesce(nullif(rule_description, ''), (select title from cat where rule_id = 'gcp-01')) as rule_description from {values(ISS, ISS_ROWS)} i")
+@query("issue_enrich", f"with {_NORM} select iid, coalesce(nullif(i.rule_id, ''), 'gcp-01') as rule_id, coalesce(nullif(rule_description, ''), "
+    f"(select title from cat where rule_id = 'gcp-01')) as rule_description from {values(ISS, ISS_ROWS)} i")
 def issue_enrich(spark, sf):
     return rules.enrich(frame(spark, ISS, ISS_ROWS), _rules(spark).filter("rule_id = 'gcp-01'"))

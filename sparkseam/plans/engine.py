@@ -37,10 +37,13 @@ def scan_issues(files: DataFrame) -> DataFrame:
     of = lambda name: files.filter(F.col("file_type").isin(*READS[name]))
     line0 = F.lit(0)
     parts = [
-        detectors.pipeline_findings(parsers.pipeline_snippets(of("pipeline"))).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("pipeline").alias("detector")),
+        detectors.pipeline_findings(parsers.pipeline_snippets(of("pipeline"))).select("file_path", "rule_id", "issue", "line_number", "severity",
+            F.lit("pipeline").alias("detector")),
         detectors.secret_findings(text).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("secrets").alias("detector")),
-        iam.analyse(parsers.role_assignments(of("iam"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("iam").alias("detector")),
-        federation.findings(parsers.federation_configs(of("workload_identity"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity", F.lit("workload_identity").alias("detector")),
+        iam.analyse(parsers.role_assignments(of("iam"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity",
+            F.lit("iam").alias("detector")),
+        federation.findings(parsers.federation_configs(of("workload_identity"))).select("file_path", "rule_id", "issue", line0.alias("line_number"),
+            "severity", F.lit("workload_identity").alias("detector")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -137,7 +140,8 @@ class Engine:
     def registry(self) -> DataFrame | None:
         """file_path, content_hash, segment: the latest of each file."""
         rows = self._read("files")
-        return None if rows is None else rows.groupBy("file_path").agg(F.max_by("content_hash", "segment").alias("content_hash"), F.max("segment").alias("segment"))
+        return None if rows is None else rows.groupBy("file_path").agg(F.max_by("content_hash", "segment").alias("content_hash"),
+            F.max("segment").alias("segment"))
 
     def chunks(self) -> DataFrame | None:
         rows = self._read("chunks")
@@ -198,11 +202,13 @@ class Engine:
             raise FileNotFoundError("nothing has been ingested")
         vector = store.embed(self.spark.range(1).select(F.lit(query).alias("text")), self.dimension).select("embedding").first()[0]
         asked = self.spark.range(1).select(terms(F.lit(query))).first()[0]
-        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where).select("id", F.col("final_score").alias("score"), "rank", "semantic_score", "keyword_score")
+        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where).select("id",
+            F.col("final_score").alias("score"), "rank", "semantic_score", "keyword_score")
         if depth > 0:
             rows = chunking.resolve(have.withColumn("_at", F.col("index_id")), "_at")
             named = rows.select("index_id", "chunk_id")
-            edges = rows.select(F.col("index_id").alias("src"), F.explode("dependencies").alias("chunk_id")).join(named, "chunk_id").select("src", F.col("index_id").alias("dst"))
+            edges = rows.select(F.col("index_id").alias("src"), F.explode("dependencies").alias("chunk_id")).join(named, "chunk_id").select("src",
+                F.col("index_id").alias("dst"))
             met = chunking.expand(edges, found.select("id"), named.select(F.col("index_id").alias("id")), depth + 1)
             found = chunking.append_dependencies(found, met).join(found.select("id", "semantic_score", "keyword_score"), "id", "left")
         shown = have.select(F.col("index_id").alias("id"), "chunk_id", "file_path", "file_type", "resource_type", "cloud_provider", "category", "text")
@@ -222,11 +228,13 @@ class Engine:
             return kept | {"metadata": kept["metadata"] | {"cached": True}}
         one = F.lit(1).alias("qid")
         found = materialise(self.retrieve(query, k, where), "retrieved")
-        hold = materialise(self.rules_for(found, k_rules).join(rules.catalogue(self.spark).select("rule_id", "title", "resource_type", "cloud_provider", "category"), "rule_id"), "rules")
+        hold = materialise(self.rules_for(found, k_rules).join(rules.catalogue(self.spark).select("rule_id", "title", "resource_type",
+            "cloud_provider", "category"), "rule_id"), "rules")
         texts = rules.rule_text(rules.catalogue(self.spark))
         head = context.header(F.col("rank"), F.col("chunk_id"), F.col("cloud_provider"), F.col("resource_type"), F.col("file_path"), F.col("file_type"))
         code = context.pack_code(found.select(one, "rank", head.alias("header"), "text"), CHUNK_BUDGET, ["qid"])
-        entries = context.pack_rules(hold.join(texts, "rule_id").select(one, "rank", F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("rule_id")).alias("header"), "text"), RULE_BUDGET, ["qid"])
+        entries = context.pack_rules(hold.join(texts, "rule_id").select(one, "rank", F.concat(F.lit("["), F.col("rank"), F.lit("] "),
+            F.col("rule_id")).alias("header"), "text"), RULE_BUDGET, ["qid"])
         resources = found.groupBy("resource_type", "cloud_provider", "category").agg(F.min("rank").alias("rank")).select(one, "*")
         asked = self.spark.range(1).select(one, F.lit(query).alias("query"), F.lit(hint).alias("hint"))
         raw = materialise(prompts.answered(prompts.review(asked, code, entries, resources), self.answer), "answer")
@@ -234,7 +242,8 @@ class Engine:
         issues = rules.enrich(parsers.normal_issues(said), hold.filter("rank = 1").select("rule_id", "title"))
         first = raw.join(said.select("qid", "summary"), "qid").first()
         counts = {"code_count": found.count(), "rule_count": hold.count()}
-        out = {"query": query, "issues": issues, "code": found, "rules": hold, "analysis": first["raw"], "summary": first["summary"], "metadata": {"k_code": k, "k_rules": k_rules, "retrieval": counts, "cached": False}}
+        out = {"query": query, "issues": issues, "code": found, "rules": hold, "analysis": first["raw"], "summary": first["summary"],
+            "metadata": {"k_code": k, "k_rules": k_rules, "retrieval": counts, "cached": False}}
         self.cache.put(key, out)
         return out
 
@@ -244,7 +253,8 @@ class Engine:
         if intent not in ("iam", "workload_identity", "secrets", "prompt_injection"):
             return intent, self.analyze(query, k, hint=intent if intent != "general" else "")["issues"]
         found = self.retrieve(query, k)
-        files = self.chunks().join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type", F.col("text").alias("content"))
+        files = self.chunks().join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type",
+            F.col("text").alias("content"))
         if intent == "iam":
             return intent, iam.analyse(parsers.role_assignments(files))
         if intent == "workload_identity":

@@ -12,9 +12,11 @@ from sparkseam.session import folder
 
 Q, SQL = {}, {}
 
-FILES = [(p, k, c) for p, k, c in [*dq.FED_FILES, *dq.ROLE_FILES[:3]]] + [(p, "yaml", c) for p, c in dq.CI_FILES] + [("s/secret.yaml", "yaml", "db:\n  password: Sup3rS3cr3tP@ssword!\n")]
+FILES = [(p, k, c) for p, k, c in [*dq.FED_FILES, *dq.ROLE_FILES[:3]]] + [(p, "yaml", c) for p, c in dq.CI_FILES] + [("s/secret.yaml", "yaml",
+    "db:\n  password: Sup3rS3cr3tP@ssword!\n")]
 ISSUES = (
-    [(f, r, s) for f, r, s in [("w/a.tf", "WID-AZ-001", "HIGH"), ("w/a.tf", "WID-AZ-003", "MEDIUM"), ("w/a.tf", "WID-AZ-004", "HIGH"), ("w/a.tf", "WID-AZ-002", "HIGH"), ("w/b.yaml", "WID-AZ-002", "HIGH"), ("w/b.yaml", "WID-AZ-003", "MEDIUM"), ("w/c.json", "WID-AZ-004", "HIGH")]]
+    [(f, r, s) for f, r, s in [("w/a.tf", "WID-AZ-001", "HIGH"), ("w/a.tf", "WID-AZ-003", "MEDIUM"), ("w/a.tf", "WID-AZ-004", "HIGH"),
+        ("w/a.tf", "WID-AZ-002", "HIGH"), ("w/b.yaml", "WID-AZ-002", "HIGH"), ("w/b.yaml", "WID-AZ-003", "MEDIUM"), ("w/c.json", "WID-AZ-004", "HIGH")]]
     + [("iam/main.tf", "IAM-AZ-001", "HIGH"), ("iam/main.tf", "IAM-AZ-003", "MEDIUM"), ("iam/arm.yaml", "IAM-AZ-003", "MEDIUM")]
     + [(f, r, s) for f, r, s, _ in dq.CI_FIND] + [("s/secret.yaml", "SEC-PASSWORD", "HIGH")]
 )

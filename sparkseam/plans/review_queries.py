@@ -55,14 +55,16 @@ def heads(spark, sf):
     return rows.select("qid", "doc_id", rank.alias("rank"), "source", "n_chars", F.substring_index("text", "\n", 1).alias("line"))
 
 
-@query("prompt_review", f"""with {_HEADS}, {_ENTRY}, {_TAGS} select qid, {text(prompts.ROLE)} || {NL} || {NL} || case when hint <> '' then 'Focus your analysis on: ' || hint || ' security issues.' || {NL} || {NL} else '' end
+@query("prompt_review",
+    f"""with {_HEADS}, {_ENTRY}, {_TAGS} select qid, {text(prompts.ROLE)} || {NL} || {NL} || case when hint <> '' then 'Focus your analysis on: ' || hint || ' security issues.' || {NL} || {NL} else '' end
  || {heading(prompts.QUERY, 'query')} || {NL} || coalesce({heading(prompts.RESOURCES, 'g.body')} || {NL}, '') || coalesce({heading(prompts.CODE, 'e.body')} || {NL}, '') || coalesce({heading(prompts.RULES, 's.body')} || {NL}, '')
  || {text(prompts.TASK)} || {NL} || {text(prompts.ANSWER)} as prompt from {_ASK} left join e using (qid) left join s using (qid) left join g using (qid)""")
 def prompt_review(spark, sf):
     h = heads(spark, sf)
     code = h.filter("rank <= 4").select("qid", "rank", F.format_string("[%d] %s", "rank", "line").alias("entry"))
     rules = h.filter("rank <= 2").select("qid", "rank", F.format_string("[r%d] %s", "rank", "source").alias("entry"))
-    tags = h.filter("rank <= 3").select("qid", "rank", F.col("source").alias("resource_type"), F.lit(None).cast("string").alias("cloud_provider"), F.lit("general").alias("category"))
+    tags = h.filter("rank <= 3").select("qid", "rank", F.col("source").alias("resource_type"), F.lit(None).cast("string").alias("cloud_provider"),
+        F.lit("general").alias("category"))
     return prompts.review(frame(spark, ASK, ASKED).select("qid", "query", "hint"), code, rules, tags)
 
 
@@ -72,19 +74,22 @@ c as (select qid, string_agg('### [Code ' || rank || '] ' || source || {NL} || '
 r as (select qid, string_agg('### [Rule ' || rank || '] ' || source || ' (HIGH)' || {NL} || substr(line, 1, 600), {NL} || {NL} order by rank) as body from h where rank <= 5 group by qid)"""
 
 
-@query("prompt_access", f"""with {_HEADS}, {_ACCESS} select qid, {text(prompts.ROLE)} || {NL} || {NL} || coalesce({heading(prompts.ASSIGNMENTS, 'own.body')} || {NL}, '')
+@query("prompt_access",
+    f"""with {_HEADS}, {_ACCESS} select qid, {text(prompts.ROLE)} || {NL} || {NL} || coalesce({heading(prompts.ASSIGNMENTS, 'own.body')} || {NL}, '')
  || case when n > 15 then '(' || (n - 15) || ' more assignments not shown)' || {NL} || {NL} else '' end || coalesce({heading(prompts.RETRIEVED, 'c.body')} || {NL}, '') || coalesce({heading(prompts.RULES, 'r.body')} || {NL}, '')
  || {heading(prompts.QUERY, 'query')} || {NL} || {text(prompts.INSTRUCTIONS)} || {NL} || {text(prompts.ANSWER)} as prompt from {_ASK} left join own using (qid) left join n using (qid) left join c using (qid) left join r using (qid)""")
 def prompt_access(spark, sf):
     h = heads(spark, sf)
     name = lambda p: F.concat(F.lit(p), F.col("doc_id"))
-    own = h.select("qid", "rank", name("b").alias("block_name"), F.col("source").alias("file_path"), F.col("line").alias("source_text"), name("i").alias("identity_name"), F.lit("Reader").alias("role"), F.lit("unknown").alias("scope_type"), F.lit("").alias("scope_value"))
+    own = h.select("qid", "rank", name("b").alias("block_name"), F.col("source").alias("file_path"), F.col("line").alias("source_text"),
+        name("i").alias("identity_name"), F.lit("Reader").alias("role"), F.lit("unknown").alias("scope_type"), F.lit("").alias("scope_value"))
     code = h.select("qid", "rank", F.col("source").alias("file_path"), F.col("line").alias("text"))
     rules = h.select("qid", "rank", F.col("source").alias("title"), F.lit("HIGH").alias("severity"), F.col("line").alias("text"))
     return prompts.access_review(frame(spark, ASK, ASKED).select("qid", "query"), own, code, rules)
 
 
-@query("prompt_snippet", f"""with {_HEADS}, f as (select qid, string_agg('{{"rank":' || rank || '}}', ',' || {NL} order by rank) as body from h where rank <= 10 group by qid),
+@query("prompt_snippet",
+    f"""with {_HEADS}, f as (select qid, string_agg('{{"rank":' || rank || '}}', ',' || {NL} order by rank) as body from h where rank <= 10 group by qid),
 r as (select qid, string_agg('### [Rule ' || rank || '] ' || source || {NL} || substr(line, 1, 500), {NL} || {NL} order by rank) as body from h where rank <= 5 group by qid)
 select qid, {text(prompts.ROLE)} || {NL} || {NL} || {heading(prompts.FILE, "'ci.yml'")} || {NL} || {heading(prompts.SNIPPET, f"'```' || {NL} || substr(repeat(lang, 1000), 1, 1200) || {NL} || '```'")} || {NL}
  || {heading(prompts.FOUND, "'[' || coalesce(f.body, '') || ']'")} || {NL} || coalesce({heading(prompts.RULES, 'r.body')} || {NL}, '') || {heading(prompts.QUERY, 'query')} || {NL} || {text(prompts.INSTRUCTIONS)} || {NL} || {text(prompts.ANSWER)} as prompt
@@ -111,9 +116,11 @@ def model_answers(spark, sf):
 
 # ---- scans
 
-BROKEN = [("deep/a.json", "json", "[" * 100_000), ("deep/b.yaml", "yaml", "steps: " + "[" * 5_000 + "]" * 5_000), ("fine/c.tf", "terraform", 'resource "x" "y" {}\n'), ("none/d.tf", "terraform", None)]
+BROKEN = [("deep/a.json", "json", "[" * 100_000), ("deep/b.yaml", "yaml", "steps: " + "[" * 5_000 + "]" * 5_000), ("fine/c.tf", "terraform",
+    'resource "x" "y" {}\n'), ("none/d.tf", "terraform", None)]
 FILE = ["file_path", "file_type", "content"]
-ERRORS = [("deep/a.json", "iam"), ("deep/a.json", "workload_identity"), ("deep/b.yaml", "iam"), ("deep/b.yaml", "pipeline"), ("deep/b.yaml", "workload_identity"), ("none/d.tf", "iam"), ("none/d.tf", "workload_identity")]
+ERRORS = [("deep/a.json", "iam"), ("deep/a.json", "workload_identity"), ("deep/b.yaml", "iam"), ("deep/b.yaml", "pipeline"), ("deep/b.yaml",
+    "workload_identity"), ("none/d.tf", "iam"), ("none/d.tf", "workload_identity")]
 
 
 @query("scan_errors", f"select * from {values(['file_path', 'detector'], ERRORS)}")
@@ -128,12 +135,14 @@ _SECRET_OUT = values(["file_path", "line_number", "secret_type"], dq.SEC_OUT)
 @query("scan_exit", f"select {len(ERRORS)}::bigint as errors, (select count(*) from {_SECRET_OUT}) as total, 2 as code")
 def scan_exit(spark, sf):
     """A scan with detector errors ends with 2, whatever it found."""
-    files = frame(spark, FILE, BROKEN).unionByName(frame(spark, ["file_path", "text"], dq.SEC_ROWS).select("file_path", F.lit("other").alias("file_type"), F.col("text").alias("content")))
+    files = frame(spark, FILE, BROKEN).unionByName(frame(spark, ["file_path", "text"], dq.SEC_ROWS).select("file_path",
+        F.lit("other").alias("file_type"), F.col("text").alias("content")))
     issues, summary = report.run([scan_issues(files)], scan_errors(files), "ord")
     return summary.select("errors", "total", report.exit_code(F.col("errors"), F.lit(False), F.col("high"), True).alias("code"))
 
 
-@query("secret_summary", f"""with p as (select unnest({[k for k, _, _ in detectors.SECRETS]}) as secret_type, unnest({[s for _, _, s in detectors.SECRETS]}) as severity union all select 'high_entropy', 'MEDIUM'),
+@query("secret_summary",
+    f"""with p as (select unnest({[k for k, _, _ in detectors.SECRETS]}) as secret_type, unnest({[s for _, _, s in detectors.SECRETS]}) as severity union all select 'high_entropy', 'MEDIUM'),
 f as (select file_path, severity from {_SECRET_OUT} join p using (secret_type))
 select count(*) as total, count(*) filter (where severity = 'HIGH') as high, count(*) filter (where severity = 'MEDIUM') as medium, count(*) filter (where severity = 'LOW') as low, count(distinct file_path) as files_with_findings,
 (select count(*) from {values(['file_path', 'text'], dq.SEC_ROWS)}) as files_analysed, case when count(*) filter (where severity = 'HIGH') > 0 then 'HIGH' else 'other' end as worst from f""")
@@ -167,17 +176,20 @@ def console_policy_unjudged(spark, sf):
     return _policy_lines(spark, sf, 1)
 
 
-@query("sarif_document", f"with {rq._ISS}, r as (select distinct rule_id from d) select '2.1.0' as version, (select count(*) from d) as results, (select count(*) from r) as rules, (select rule_id from d order by rule_id limit 1) as first_rule")
+@query("sarif_document", f"with {rq._ISS}, r as (select distinct rule_id from d) select '2.1.0' as version, (select count(*) from d) as results, "
+    f"(select count(*) from r) as rules, (select rule_id from d order by rule_id limit 1) as first_rule")
 def sarif_document(spark, sf):
     """What a reader finds in the document."""
     doc = report.sarif_document(rq.issues_of(spark, sf)[0], "ord")
     schema = "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string>>>>"
     d = doc.select(F.from_json("document", schema).alias("d")).select("d.version", F.get("d.runs", F.lit(0)).alias("run"))
-    return d.select("version", F.size("run.results").cast("long").alias("results"), F.size("run.tool.driver.rules").cast("long").alias("rules"), F.get("run.results", F.lit(0))["ruleId"].alias("first_rule"))
+    return d.select("version", F.size("run.results").cast("long").alias("results"), F.size("run.tool.driver.rules").cast("long").alias("rules"),
+        F.get("run.results", F.lit(0))["ruleId"].alias("first_rule"))
 
 
 POL = ["fails", "most", "text"]
-POL_ROWS = [("", -1, "{}"), ("HIGH", -1, '{"fail_on": {"high": true}, "max_allowed": {}}'), ("", 3, '{"fail_on": {}, "max_allowed": {"low": 3}}'), ("low", 0, '{"fail_on": {"low": true}, "max_allowed": {"low": 0}}')]
+POL_ROWS = [("", -1, "{}"), ("HIGH", -1, '{"fail_on": {"high": true}, "max_allowed": {}}'), ("", 3, '{"fail_on": {}, "max_allowed": {"low": 3}}'),
+    ("low", 0, '{"fail_on": {"low": true}, "max_allowed": {"low": 0}}')]
 
 
 @query("policy_overrides", f"select fails, most, text from {values(POL, POL_ROWS)}")
@@ -188,7 +200,8 @@ def policy_overrides(spark, sf):
     return frame(spark, POL, rows)
 
 
-@query("engine_analyze", f"select * from {values(['title', 'severity', 'cached', 'summary'], [('Broad role', 'HIGH', False, 'one'), ('Broad role', 'HIGH', True, 'one')])}")
+@query("engine_analyze",
+    f"select * from {values(['title', 'severity', 'cached', 'summary'], [('Broad role', 'HIGH', False, 'one'), ('Broad role', 'HIGH', True, 'one')])}")
 def engine_analyze(spark, sf):
     """A question asked twice: the second answer comes from the cache."""
     from sparkseam.plans.engine_queries import files
@@ -204,7 +217,8 @@ def engine_analyze(spark, sf):
 # ---- roles
 
 NEW_ROLES, NEW_TOOLS = [("Auditor", "view_audit"), ("VIEWER", "run_scan")], [("Ledger", "view_audit"), ("llm_client", "view_audit")]
-RQ_ROWS = [(r, t) for r in ("auditor", "AUDITOR", "viewer", "admin", "nobody") for t in ("ledger", "LEDGER", "llm_client", "iam_analyzer", "unheard_of", "user_management")]
+RQ_ROWS = [(r, t) for r in ("auditor", "AUDITOR", "viewer", "admin", "nobody") for t in ("ledger", "LEDGER", "llm_client", "iam_analyzer",
+    "unheard_of", "user_management")]
 _NEW_R, _NEW_T = values(["role", "permission"], [(r.lower(), p) for r, p in NEW_ROLES]), values(["tool", "permission"], [(t.lower(), p) for t, p in NEW_TOOLS])
 _G2 = f"g as (select * from {rq._GR} where role not in (select role from {_NEW_R}) union all select * from {_NEW_R}), tl as (select * from {rq._TO} where tool not in (select tool from {_NEW_T}) union all select * from {_NEW_T})"
 
@@ -213,7 +227,9 @@ def _new(spark):
     return frame(spark, ["role", "permission"], NEW_ROLES), frame(spark, ["tool", "permission"], NEW_TOOLS)
 
 
-@query("rbac_registered", f"with {_G2}, n as (select q.role, q.tool, coalesce(tl.permission, 'run_scan') as permission from {values(['role', 'tool'], RQ_ROWS)} q left join tl on tl.tool = lower(q.tool)) select *, exists (select 1 from g where g.role = lower(n.role) and g.permission = n.permission) as allowed from n")
+@query("rbac_registered", f"with {_G2}, n as (select q.role, q.tool, coalesce(tl.permission, 'run_scan') as permission "
+    f"from {values(['role', 'tool'], RQ_ROWS)} q left join tl on tl.tool = lower(q.tool)) select *, exists (select 1 from g where g.role = "
+    f"lower(n.role) and g.permission = n.permission) as allowed from n")
 def rbac_registered(spark, sf):
     roles, tools = _new(spark)
     return G.access(frame(spark, ["role", "tool"], RQ_ROWS), roles, tools).select("role", "tool", "permission", "allowed")
@@ -235,20 +251,25 @@ def rbac_permissions(spark, sf):
 _BAD = f"case when length(text) > 32768 then 'length' when regexp_matches(text, '{G.HTML_TAG}') then 'html' when regexp_matches(text, '{G.TRAVERSAL}') then 'path_traversal' when regexp_matches(text, '{G.PROMPT_INJECTION}') then 'prompt_injection' end"
 
 
-@query("sanitize_nested", f"with {rq._SAN}, b as (select sid, text, {_BAD} as bad from cl) select sid, text, text as inner_text, 'ok' as tag, text as entry, case when bad is null then '' else 'payload.text:' || bad || ',payload.deep[].text:' || bad || ',payload.named.k:' || bad end as rejected from b")
+@query("sanitize_nested", f"with {rq._SAN}, b as (select sid, text, {_BAD} as bad from cl) select sid, text, text as inner_text, 'ok' as tag, text as "
+    f"entry, case when bad is null then '' else 'payload.text:' || bad || ',payload.deep[].text:' || bad || ',payload.named.k:' || bad end as rejected from b")
 def sanitize_nested(spark, sf):
     rows = rq.to_sanitise(spark, sf)
     inner = F.struct(F.col("text"), F.lit(1).alias("n"))
-    rows = rows.select("sid", F.struct(F.col("text"), F.array(inner).alias("deep"), F.array(F.lit("ok")).alias("tags"), F.create_map(F.lit("k"), F.col("text")).alias("named"), F.lit(True).alias("flag")).alias("payload"))
+    rows = rows.select("sid", F.struct(F.col("text"), F.array(inner).alias("deep"), F.array(F.lit("ok")).alias("tags"), F.create_map(F.lit("k"),
+        F.col("text")).alias("named"), F.lit(True).alias("flag")).alias("payload"))
     out = G.sanitised_nested(rows, "payload")
     said = F.array_join(F.transform("rejected", lambda x: F.concat(x["at"], F.lit(":"), x["reason"])), ",")
-    return out.select("sid", "payload.text", F.get("payload.deep", F.lit(0))["text"].alias("inner_text"), F.get("payload.tags", F.lit(0)).alias("tag"), F.try_element_at("payload.named", F.lit("k")).alias("entry"), said.alias("rejected"))
+    return out.select("sid", "payload.text", F.get("payload.deep", F.lit(0))["text"].alias("inner_text"), F.get("payload.tags",
+        F.lit(0)).alias("tag"), F.try_element_at("payload.named", F.lit("k")).alias("entry"), said.alias("rejected"))
 
 
-@query("doc_texts", "with t as (select conv_id, unnest([text, role]) as x, unnest([0, 1]) as p, turn, role, text from conversations) select conv_id, string_agg(x, '|' order by turn, role, text, p) filter (where x is not null and trim(x) <> '') as texts from t group by conv_id")
+@query("doc_texts", "with t as (select conv_id, unnest([text, role]) as x, unnest([0, 1]) as p, turn, role, text from conversations) select conv_id, "
+    "string_agg(x, '|' order by turn, role, text, p) filter (where x is not null and trim(x) <> '') as texts from t group by conv_id")
 def doc_texts(spark, sf):
     docs = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    rows = read_table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(docs, lambda x: F.struct(x["text"].alias("text"), x["role"].alias("description"))).alias("docs"))
+    rows = read_table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(docs, lambda x: F.struct(x["text"].alias("text"),
+        x["role"].alias("description"))).alias("docs"))
     return rows.select("conv_id", F.array_join(quality.doc_texts(F.col("docs")), "|").alias("texts"))
 
 

@@ -48,10 +48,12 @@ bm as (select id, raw, round(case when hi = lo then (raw > 0)::int else (raw - l
 
 @query("tokenize_terms", f"select doc_id, len({TERMS_SQL})::int as n_terms, array_to_string({TERMS_SQL}, ' ') as terms from documents")
 def tokenize_terms(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", F.size(terms(F.col("text"))).alias("n_terms"), F.array_join(terms(F.col("text")), " ").alias("terms"))
+    return read_table(spark, sf, "documents").select("doc_id", F.size(terms(F.col("text"))).alias("n_terms"), F.array_join(terms(F.col("text")),
+        " ").alias("terms"))
 
 
-@query("idf_table", f"with d as (select distinct doc_id, unnest({TERMS_SQL}) as term from documents) select term, count(*) as df, round(ln(((select count(*) from documents) + 1) / (count(*) + 1)) + 1, 6) as idf from d group by term")
+@query("idf_table", f"with d as (select distinct doc_id, unnest({TERMS_SQL}) as term from documents) select term, count(*) as df, round(ln(((select "
+    f"count(*) from documents) + 1) / (count(*) + 1)) + 1, 6) as idf from d group by term")
 def idf_table(spark, sf):
     docs = read_table(spark, sf, "documents")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -59,13 +61,15 @@ def idf_table(spark, sf):
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-@query("keyword_bm25_topk", f"with {_BM} select id as doc_id, score, row_number() over (order by score desc, id)::int as rank from bm where score > 0 order by score desc, id limit {K}")
+@query("keyword_bm25_topk", f"with {_BM} select id as doc_id, score, row_number() over (order by score desc, id)::int as rank from bm where score > 0 "
+    f"order by score desc, id limit {K}")
 def keyword_bm25_topk(spark, sf):
     rows = search.bm25(read_table(spark, sf, "documents"), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6)).filter("score > 0")
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
-@query("keyword_index_topk", f"with {_BM} select id as doc_id, score, row_number() over (order by score desc, id)::int as rank from bm where score > 0 order by score desc, id limit {K}")
+@query("keyword_index_topk", f"with {_BM} select id as doc_id, score, row_number() over (order by score desc, id)::int as rank from bm where score > "
+    f"0 order by score desc, id limit {K}")
 def keyword_index_topk(spark, sf):
     """The same from a stored index that was built of half the documents, then extended, shrunk and extended again."""
     docs, index = read_table(spark, sf, "documents"), search.KeywordIndex(spark, folder(spark, "keywords"))
@@ -88,17 +92,20 @@ def keyword_index_sync(spark, sf):
 
 @query("minmax_scores", f"with {_BM} select id as doc_id, round(raw, 6) as raw, score from bm")
 def minmax_scores(spark, sf):
-    return search.bm25(read_table(spark, sf, "documents"), QUERY, "doc_id", "text").select(F.col("id").alias("doc_id"), F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
+    return search.bm25(read_table(spark, sf, "documents"), QUERY, "doc_id", "text").select(F.col("id").alias("doc_id"), F.round("raw",
+        6).alias("raw"), F.round("score", 6).alias("score"))
 
 
-@query("keyword_idf_overlap_topk", f"""with h as (select doc_id, unnest(list_distinct(list_filter({TERMS_SQL}, lambda x: x in ('the','tion','thand','of','erer')))) as term from documents), f as (select term, count(*) as df from h group by term),
+@query("keyword_idf_overlap_topk",
+    f"""with h as (select doc_id, unnest(list_distinct(list_filter({TERMS_SQL}, lambda x: x in ('the','tion','thand','of','erer')))) as term from documents), f as (select term, count(*) as df from h group by term),
 s as (select doc_id, round(sum(ln(((select count(*) from documents) + 1) / (df + 1)) + 1), 6) as score from h join f using (term) group by doc_id) select doc_id, score, row_number() over (order by score desc, doc_id)::int as rank from s order by score desc, doc_id limit {K}""")
 def keyword_idf_overlap_topk(spark, sf):
     rows = search.idf_overlap(read_table(spark, sf, "documents"), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
-@query("keyword_tfidf_topk", f"""with t as (select doc_id, term, 1 + ln(count(*)) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9_./-]{{2,}}')) as term from documents) group by all),
+@query("keyword_tfidf_topk",
+    f"""with t as (select doc_id, term, 1 + ln(count(*)) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9_./-]{{2,}}')) as term from documents) group by all),
 i as (select term, ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1 as idf from t group by term), w as (select doc_id, term, tf * idf as w from t join i using (term)),
 n as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id), q as (select term, (1 + ln(count(*))) * any_value(idf) as q from (select unnest(string_split('{QUERY_TEXT}', ' ')) as term) join i using (term) group by term),
 s as (select doc_id, round(sum(w * q) / any_value(norm) / (select sqrt(sum(q * q)) from q), 6) as score from w join q using (term) join n using (doc_id) group by doc_id)
@@ -108,23 +115,29 @@ def keyword_tfidf_topk(spark, sf):
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
-@query("l2_normalize", "with n as (select vec_id, list_transform(embedding::double[], lambda x: x / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10)) as v from embeddings) select vec_id, round(v[1], 6) as first, round(list_sum(v), 6) as total from n")
+@query("l2_normalize", "with n as (select vec_id, list_transform(embedding::double[], lambda x: x / "
+    "greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10)) as v from embeddings) select vec_id, round(v[1], 6) as "
+    "first, round(list_sum(v), 6) as total from n")
 def l2_normalize(spark, sf):
     v = read_table(spark, sf, "embeddings").select("vec_id", search.l2_normalize(F.col("embedding")).alias("v"))
     return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("vector_topk", f"with s as ({_VEC}) select vec_id, score, row_number() over (order by score desc, vec_id)::int as rank from s order by score desc, vec_id limit {K}")
+@query("vector_topk", f"with s as ({_VEC}) select vec_id, score, row_number() over (order by score desc, vec_id)::int as rank from s order by score "
+    f"desc, vec_id limit {K}")
 def vector_topk(spark, sf):
     return search.vector_topk(read_table(spark, sf, "embeddings"), vector0(spark, sf), K).select("vec_id", "score", "rank")
 
 
-@query("vector_filtered_topk", f"with s as (select * from ({_VEC}) where label = 3) select vec_id, score, row_number() over (order by score desc, vec_id)::int as rank from s order by score desc, vec_id limit {K}")
+@query("vector_filtered_topk", f"with s as (select * from ({_VEC}) where label = 3) select vec_id, score, row_number() over (order by score desc, "
+    f"vec_id)::int as rank from s order by score desc, vec_id limit {K}")
 def vector_filtered_topk(spark, sf):
-    return search.vector_topk(read_table(spark, sf, "embeddings"), vector0(spark, sf), K, where={"label": 3, "unknown_key": "x"}).select("vec_id", "score", "rank")
+    return search.vector_topk(read_table(spark, sf, "embeddings"), vector0(spark, sf), K, where={"label": 3, "unknown_key": "x"}).select("vec_id",
+        "score", "rank")
 
 
-@query("vector_nonnegative_topk", f"with s as (select vec_id, greatest(0, score) as score from ({_VEC})) select vec_id, score, row_number() over (order by score desc, vec_id)::int as rank from s order by score desc, vec_id limit {K}")
+@query("vector_nonnegative_topk", f"with s as (select vec_id, greatest(0, score) as score from ({_VEC})) select vec_id, score, row_number() over "
+    f"(order by score desc, vec_id)::int as rank from s order by score desc, vec_id limit {K}")
 def vector_nonnegative_topk(spark, sf):
     """The second backend's score: 1 - distance, never negative, without hash dedup."""
     q = F.array(*[F.lit(x) for x in vector0(spark, sf)])
@@ -132,7 +145,9 @@ def vector_nonnegative_topk(spark, sf):
     return search.ranked(rows, "score", K, "vec_id").select("vec_id", "score", "rank")
 
 
-@query("vector_batch_topk", f"with s as (select q.vec_id as query_id, e.vec_id, round({_COS}, 6) as score from embeddings e, embeddings q where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) select query_id, vec_id, score, rank from r where rank <= 5")
+@query("vector_batch_topk", f"with s as (select q.vec_id as query_id, e.vec_id, round({_COS}, 6) as score from embeddings e, embeddings q where "
+    f"q.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) select query_id, "
+    f"vec_id, score, rank from r where rank <= 5")
 def vector_batch_topk(spark, sf):
     rows = read_table(spark, sf, "embeddings")
     return search.vector_batch_topk(rows, rows.filter("vec_id % 50 = 0"), 5)
@@ -147,12 +162,15 @@ def _hybrid(spark, sf, k=K, where=None):
     return search.hybrid(read_table(spark, sf, "documents"), read_table(spark, sf, "embeddings"), QUERY, vector0(spark, sf), k, where=where)
 
 
-@query("hybrid_topk", f"with {_HYB} select id as doc_id, semantic_score, keyword_score, final_score, row_number() over (order by final_score desc, id)::int as rank from hy order by final_score desc, id limit {K}")
+@query("hybrid_topk", f"with {_HYB} select id as doc_id, semantic_score, keyword_score, final_score, row_number() over (order by final_score desc, "
+    f"id)::int as rank from hy order by final_score desc, id limit {K}")
 def hybrid_topk(spark, sf):
     return _hybrid(spark, sf).withColumnRenamed("id", "doc_id")
 
 
-@query("hybrid_filtered_topk", f"with {_HYB.replace('v as (' + _VEC + ')', 'v as (select * from (' + _VEC + ') where label = 3)')} select id as doc_id, semantic_score, keyword_score, final_score, row_number() over (order by final_score desc, id)::int as rank from hy order by final_score desc, id limit {K}")
+@query("hybrid_filtered_topk", f"with {_HYB.replace('v as (' + _VEC + ')', 'v as (select * from (' + _VEC + ') where label = 3)')} select id as "
+    f"doc_id, semantic_score, keyword_score, final_score, row_number() over (order by final_score desc, id)::int as rank from hy order by final_score "
+    f"desc, id limit {K}")
 def hybrid_filtered_topk(spark, sf):
     return _hybrid(spark, sf, where={"label": 3}).withColumnRenamed("id", "doc_id")
 
@@ -171,13 +189,16 @@ def rerank_prefix(spark, sf):
     return search.rerank(both, read_table(spark, sf, "embeddings"), vector0(spark, sf), _POOL, K).withColumnRenamed("id", "doc_id")
 
 
-@query("postfilter_topk", f"with {_HYB.replace('limit 30', 'limit 90')}, r as (select * from hy order by final_score desc, id limit 30), p as (select r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
+@query("postfilter_topk", f"with {_HYB.replace('limit 30', 'limit 90')}, r as (select * from hy order by final_score desc, id limit 30), p as (select "
+    f"r.id, final_score from r join documents on doc_id = id where lang = 'en') select id as doc_id, final_score, row_number() over (order by "
+    f"final_score desc, id)::int as rank from p order by final_score desc, id limit {K}")
 def postfilter_topk(spark, sf):
     rows = _hybrid(spark, sf, search.fetch_size(K)).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
     return search.post_filtered(rows, F.col("lang") == "en", K).select(F.col("id").alias("doc_id"), "final_score", "rank")
 
 
-@query("same_group_expand", f"with {_HYB}, r as (select id from hy order by final_score desc, id limit {K}) select doc_id, source, lang from documents where source in (select source from documents where doc_id in (select id from r)) and lang = 'en'")
+@query("same_group_expand", f"with {_HYB}, r as (select id from hy order by final_score desc, id limit {K}) select doc_id, source, lang from "
+    f"documents where source in (select source from documents where doc_id in (select id from r)) and lang = 'en'")
 def same_group_expand(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "source", "lang")
     hits = _hybrid(spark, sf).select("id").join(docs, F.col("id") == F.col("doc_id")).select("id", "source")
@@ -187,7 +208,8 @@ def same_group_expand(spark, sf):
 # ---- store
 
 
-@query("content_hash_dedup", "with h as (select doc_id, sha256(coalesce(text, '')) as content_hash from documents) select min(doc_id) as doc_id, content_hash, row_number() over (order by min(doc_id)) - 1 as index_id from h group by content_hash")
+@query("content_hash_dedup", "with h as (select doc_id, sha256(coalesce(text, '')) as content_hash from documents) select min(doc_id) as doc_id, "
+    "content_hash, row_number() over (order by min(doc_id)) - 1 as index_id from h group by content_hash")
 def content_hash_dedup(spark, sf):
     docs = read_table(spark, sf, "documents")
     empty = docs.limit(0).select(F.lit("").alias("content_hash"), F.lit(0).cast("long").alias("index_id"))
@@ -203,17 +225,23 @@ def insert_new_rows(spark, sf):
     return store.insert_new(have, docs, "doc_id").select("doc_id", "content_hash", "index_id")
 
 
-@query("incremental_changed", "with r as (select 'd' || doc_id as file_path, sha256(case when doc_id % 7 = 0 then text || '!' else text end) as h from documents where lang <> 'de') select 'd' || doc_id as file_path, sha256(text) as content_hash from documents where not exists (select 1 from r where r.file_path = 'd' || doc_id and r.h = sha256(text))")
+@query("incremental_changed", "with r as (select 'd' || doc_id as file_path, sha256(case when doc_id % 7 = 0 then text || '!' else text end) as h "
+    "from documents where lang <> 'de') select 'd' || doc_id as file_path, sha256(text) as content_hash from documents where not exists (select 1 "
+    "from r where r.file_path = 'd' || doc_id and r.h = sha256(text))")
 def incremental_changed(spark, sf):
-    files = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file_path"), F.col("text").alias("content"), "doc_id", "lang")
+    files = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file_path"), F.col("text").alias("content"),
+        "doc_id", "lang")
     old = files.filter("lang <> 'de'").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return store.changed(files, store.registry_of(old)).select("file_path", "content_hash")
 
 
-@query("upsert_last_wins", "with b as (select l_orderkey as k, max_by(l_quantity, l_linenumber) as v from lineitem where l_returnflag = 'R' group by l_orderkey) select o_orderkey as k, coalesce(v, o_totalprice) as v from orders left join b on k = o_orderkey union all select k, v from b where k not in (select o_orderkey from orders)")
+@query("upsert_last_wins", "with b as (select l_orderkey as k, max_by(l_quantity, l_linenumber) as v from lineitem where l_returnflag = 'R' group by "
+    "l_orderkey) select o_orderkey as k, coalesce(v, o_totalprice) as v from orders left join b on k = o_orderkey union all select k, v from b where "
+    "k not in (select o_orderkey from orders)")
 def upsert_last_wins(spark, sf):
     have = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    batch = read_table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"), F.col("l_linenumber").alias("ord"))
+    batch = read_table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"),
+        F.col("l_linenumber").alias("ord"))
     return store.upsert(have, batch, "k", "ord")
 
 
@@ -223,7 +251,8 @@ def delete_by_key(spark, sf):
     return store.delete(read_table(spark, sf, "orders"), gone, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("update_replace", """with s as (select doc_id, sha256(coalesce(text, '')) as content_hash, doc_id as index_id from documents where lang in ('en', 'fr')), b as (select doc_id, sha256(coalesce(text, '')) as content_hash from documents where lang in ('fr', 'es')),
+@query("update_replace",
+    """with s as (select doc_id, sha256(coalesce(text, '')) as content_hash, doc_id as index_id from documents where lang in ('en', 'fr')), b as (select doc_id, sha256(coalesce(text, '')) as content_hash from documents where lang in ('fr', 'es')),
 k as (select * from s where doc_id not in (select doc_id from b)), n as (select min(doc_id) as doc_id, content_hash from b where content_hash not in (select content_hash from k) group by content_hash)
 select * from k union all select doc_id, content_hash, (select coalesce(max(index_id) + 1, 0) from k) + row_number() over (order by doc_id) - 1 from n""")
 def update_replace(spark, sf):

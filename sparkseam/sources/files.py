@@ -37,13 +37,15 @@ def scan(spark: SparkSession, root: str, max_mb: float = MAX_MB) -> DataFrame:
     """file_path, length, content (binary) of the files under root. A missing folder raises. Folders are judged below root."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").replace("file://", ""), "")
-    return rows.withColumn("file_path", F.regexp_replace(below, "^/", "")).filter(selectable(F.col("file_path"), F.col("length"), max_mb)).select("file_path", "length", "content")
+    return rows.withColumn("file_path", F.regexp_replace(below, "^/", "")).filter(selectable(F.col("file_path"), F.col("length"), max_mb)).select(
+        "file_path", "length", "content")
 
 
 def parse(files: DataFrame, repo: str = "", branch: str = "", commit: str = "") -> DataFrame:
     """file_path, file_type, content, repo, branch, commit of files that aren't blank and whose YAML or JSON is valid."""
     text = F.decode(F.col("content"), "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    rows = files.select("file_path", file_type(F.col("file_path")).alias("file_type"), text.alias("content")).filter("file_type is not null and content rlike '\\\\S'")
+    rows = files.select("file_path", file_type(F.col("file_path")).alias("file_type"), text.alias("content")).filter(
+        "file_type is not null and content rlike '\\\\S'")
 
     def valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml

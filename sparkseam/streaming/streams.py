@@ -40,4 +40,5 @@ def ingest_dedup(stream: DataFrame, text: str = "text") -> DataFrame:
 
 def audit_windows(stream: DataFrame, width: str = "1 day", late: str = "2 days", time: str = "ts") -> DataFrame:
     """Events for each window and type; rows later than `late` are dropped by the watermark."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("value"), 2).alias("total"))

@@ -52,7 +52,8 @@ def test_trust_and_policy_limits(spark):
     rows = frame(spark, ["i", "trust_score"], [("a", 0.7), ("b", 0.69), ("c", None)])
     assert {r["i"]: r["trusted"] for r in governance.trusted(rows, 0.7).collect()} == {"a": True, "b": False, "c": True}
     issues = frame(spark, ["severity", "file_path"], [("MEDIUM", "f")] * 5)
-    verdict = lambda n: {r["severity"]: r["violated"] for r in report.evaluate(issues, report.policy_frame(spark, {"max_allowed": {"medium": n}})).collect()}["MEDIUM"]
+    verdict = lambda n: {r["severity"]: r["violated"] for r in report.evaluate(issues, report.policy_frame(spark,
+        {"max_allowed": {"medium": n}})).collect()}["MEDIUM"]
     assert not verdict(5) and verdict(4)
     with pytest.raises(ValueError):
         report.policy_of("environments: {}", "prod")
@@ -150,7 +151,8 @@ def test_scan_parse_and_engine(spark, tmp_path):
 
 
 def test_retrieval_follows_dependencies(spark, tmp_path):
-    parsed = frame(spark, ["file_path", "file_type", "content"], [("m.tf", "terraform", 'variable "zone" {\n  default = "x"\n}\nresource "aws_instance" "web" {\n  size = var.zone\n}\n')])
+    parsed = frame(spark, ["file_path", "file_type", "content"],
+        [("m.tf", "terraform", 'variable "zone" {\n  default = "x"\n}\nresource "aws_instance" "web" {\n  size = var.zone\n}\n')])
     engine = Engine(spark, str(tmp_path / "state"))
     engine.ingest(parsed)
     near = engine.retrieve("aws_instance web size", 1).collect()
@@ -226,7 +228,8 @@ def test_keyword_index_is_kept(spark, tmp_path):
 
 def test_query_blocks_need_no_broadcast(spark):
     rng = random.Random(2)
-    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(None, [1.0] * 8), (999, None)], "vec_id long, embedding array<double>").repartition(5)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(None, [1.0] * 8), (999, None)],
+        "vec_id long, embedding array<double>").repartition(5)
     asked = rows.filter("vec_id % 10 = 0")
     both = [sorted(map(tuple, search.vector_batch_topk(rows, asked, 4, broadcast_bytes=size).collect())) for size in (10**9, -1)]
     assert both[0] == both[1] and len(both[0]) == 120
@@ -237,7 +240,8 @@ def test_knowledge_base(spark, tmp_path):
     kb = rules.KnowledgeBase(spark, str(tmp_path / "kb"))
     assert kb.load_or_build() == 37 == kb.load_or_build()
     raw = ["id", "category", "severity", "title", "description", "indicators", "remediation", "references", "resource_type", "cloud_provider"]
-    own = frame(spark, raw, [("own-1", "storage", "low", "Quiet lagoon", "Lagoon shown to herons", "heron", "close it", "none", "lagoon", "azure"), ("gcp-01", "storage", "low", "Replaced", "", "", "", "", "x", "gcp")])
+    own = frame(spark, raw, [("own-1", "storage", "low", "Quiet lagoon", "Lagoon shown to herons", "heron", "close it", "none", "lagoon", "azure"),
+        ("gcp-01", "storage", "low", "Replaced", "", "", "", "", "x", "gcp")])
     assert kb.add_rules(own) == 2 and kb.load_or_build() == 38
     first = kb.search("lagoon herons", 1).first()
     assert first["rule_id"] == "own-1" and "Indicators: heron" in first["text"] and "Lagoon shown to herons" in first["text"]
@@ -256,7 +260,8 @@ def test_overlaps_against_every_pair(spark):
     """Classes of assignments give the findings of all pairs of assignments."""
     rng = random.Random(9)
     roles = ["Owner", "Contributor", "Reader", "Custom A", "Custom B", "Storage Blob Data Contributor"]
-    scopes = [("subscription", "/s/1"), ("resource_group", "/s/1/g"), ("resource", "/s/1/g/r"), ("resource", "/S/1/g/"), ("unknown", "var.x"), ("unknown", ""), ("resource_group", "/s/1"), ("subscription", "/s/2")]
+    scopes = [("subscription", "/s/1"), ("resource_group", "/s/1/g"), ("resource", "/s/1/g/r"), ("resource", "/S/1/g/"), ("unknown", "var.x"),
+        ("unknown", ""), ("resource_group", "/s/1"), ("subscription", "/s/2")]
     data = [(i, rng.choice("ab"), rng.choice(roles), *rng.choice(scopes), f"f{i}", f"b{i}") for i in range(70)]
     rng.shuffle(data)
     names = ["ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name"]
@@ -288,7 +293,8 @@ def test_state_is_reconciled(spark, tmp_path):
 
 
 def test_reports_are_written(spark, tmp_path):
-    issues = frame(spark, ["ord", "file_path", "rule_id", "issue", "line_number", "severity", "detector"], [(1, "a\\b.tf", "R1", "bad", 0, "CRITICAL", "d"), (2, "c.tf", "", "worse", 3, "odd", "d")])
+    issues = frame(spark, ["ord", "file_path", "rule_id", "issue", "line_number", "severity", "detector"], [(1, "a\\b.tf", "R1", "bad", 0, "CRITICAL",
+        "d"), (2, "c.tf", "", "worse", 3, "odd", "d")])
     report.write_sarif(issues, "ord", str(tmp_path / "sarif"))
     levels = {r["level"]: r["start_line"] for r in spark.read.json(str(tmp_path / "sarif" / "results")).collect()}
     assert levels == {"error": 1, "note": 3}
