@@ -227,7 +227,8 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(at, 500)
                 rows = enc.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2].encode("utf-8", "surrogatepass")).hexdigest() for r in rows], pa.string())],
+                    [part.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
+                        pa.string()), pa.array([hashlib.sha256(r[2].encode("utf-8", "surrogatepass")).hexdigest() for r in rows], pa.string())],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
@@ -244,7 +245,8 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in r[0].split(",")] if r[0] else [] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], names=[id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in r[0].split(",")] if r[0] else [] for r in rows],
+                    pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -59,9 +59,12 @@ def root_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     while not jumps[-1].filter("up is not null").isEmpty() and 2 ** len(jumps) <= 2 * bound:
         # nodes whose jump has passed the root are done and leave the rounds
         live = jumps[-1].filter("up is not null")
-        done = rooted.select("tree", F.col("node").alias("up"), F.lit(None).cast(nodes.schema["node"].dataType).alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        next_ = live.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps")).unionByName(done)
-        step = live.join(next_, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps"))
+        done = rooted.select("tree", F.col("node").alias("up"), F.lit(None).cast(nodes.schema["node"].dataType).alias("_up"),
+            F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        next_ = live.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"),
+            F.col("steps").alias("_steps")).unionByName(done)
+        step = live.join(next_, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("steps") + F.col("_steps")).alias("steps"))
         jumps.append(materialise(step, f"jump{len(jumps)}"))
         rooted = rooted.unionByName(jumps[-1].filter("up is null"))
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
@@ -79,8 +82,10 @@ def root_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
 
 def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     """tree, leaf, rank, formatted, loss_spans (start, end in code points of formatted). turns: tree, node, role, text."""
-    said = turns.filter("node is not null").select(F.struct("tree").alias("tree"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("_said")).select("tree", "node", F.col("_said")["role"].alias("role"), escape(F.col("_said")["text"]).alias("text"))
+    said = turns.filter("node is not null").select(F.struct("tree").alias("tree"), "node", F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    said = said.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("_said")).select("tree", "node",
+        F.col("_said")["role"].alias("role"), escape(F.col("_said")["text"]).alias("text"))
     rows = paths.withColumn("tree", F.struct("tree")).join(said, ["tree", "node"])
     each = F.struct("depth", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"), "text", (F.col("role") == "assistant").alias("loss"))
     # a conversation is one output row, so its turns meet in one task; only the chosen paths' turns are gathered
@@ -91,21 +96,25 @@ def format_paths(paths: DataFrame, turns: DataFrame) -> DataFrame:
     def walk(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["head"])
         e = s + F.length(x["text"])
-        return F.struct((e + len(END)).alias("at"), F.when(x["loss"], F.concat(a["spans"], F.array(F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"))))).otherwise(a["spans"]).alias("spans"))
+        return F.struct((e + len(END)).alias("at"), F.when(x["loss"], F.concat(a["spans"], F.array(F.struct(s.cast("long").alias("start"),
+            e.cast("long").alias("end"))))).otherwise(a["spans"]).alias("spans"))
 
-    return rows.select(F.col("tree")["tree"].alias("tree"), "leaf", "rank", formatted.alias("formatted"), F.aggregate("t", zero, walk, lambda a: a["spans"]).alias("loss_spans"))
+    return rows.select(F.col("tree")["tree"].alias("tree"), "leaf", "rank", formatted.alias("formatted"), F.aggregate("t", zero, walk,
+        lambda a: a["spans"]).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation."""
     turns = F.filter(F.split(formatted, re.escape(START)), lambda x, i: i > 0)
-    return F.transform(turns, lambda x: F.struct(unescape(F.substring_index(x, SEP, 1)).alias("role"), unescape(F.substring_index(F.substring_index(x, SEP, -1), END, 1)).alias("text")))
+    return F.transform(turns, lambda x: F.struct(unescape(F.substring_index(x, SEP, 1)).alias("role"), unescape(F.substring_index(F.substring_index(x,
+        SEP, -1), END, 1)).alias("text")))
 
 
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chains: each turn replies to the turn before it."""
     fixed = "</s>[INST] ok [/INST]"
-    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(fixed).alias("text"))
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0,
+        "user").otherwise("assistant").alias("role"), F.lit(fixed).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
     # numbered in ranges of the global order, so a conversation with many turns is in several tasks; the number before a
     # conversation's first turn is no node of it, which makes that turn the root
@@ -113,12 +122,14 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(row_numbers(rows, order, "node").select(F.col("conv_id").alias("tree"), "node", "role", "text"), "turns")
     nodes = rows.select("tree", "node", (F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"))
     done = format_paths(root_paths(nodes), rows)
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1,
+        (s["end"] - s["start"]).cast("int")))), "")
     back = done.select(F.col("tree").alias("conv_id"), "formatted", read_back(F.col("formatted")).alias("turns"), loss.alias("loss"))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias(
+            "formatted_chars"),
     )
 
 

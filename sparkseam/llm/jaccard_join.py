@@ -200,7 +200,8 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray,
     starts = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys, owners = [], []
-    for band, rows in ((b, np.flatnonzero((own == b) if second == 0 else (upper == b) & (own < b) & (sizes >= 4))) for b in range(len(plan)) for second in (0, 1)):
+    for band, rows in ((b, np.flatnonzero((own == b) if second == 0 else (upper == b) & (own < b) & (sizes >= 4))) for b in range(len(plan))
+        for second in (0, 1)):
         if not len(rows):
             continue
         spec = plan[band]
@@ -245,7 +246,8 @@ def _rows(kind: int, key: np.ndarray, a, b: np.ndarray, n: np.ndarray | None = N
     size = len(key)
     a = a if isinstance(a, pa.Array) else pa.array(a.view(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(np.full(size, kind, np.int8)), a, pa.array(b.view(np.int64)), pa.array(n if n is not None else np.zeros(size, np.int64))],
+        [pa.array(key.view(np.int64)), pa.array(np.full(size, kind, np.int8)), a, pa.array(b.view(np.int64)),
+            pa.array(n if n is not None else np.zeros(size, np.int64))],
         names=["key", "kind", "a", "b", "n"],
     )
 
@@ -290,7 +292,8 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, frequent) -> DataFra
         for batch in batches:
             for row, end, sets, sizes in chunks(batch, 1):
                 nodes = node_ids(sets, sizes)
-                yield _rows(DOC, mix(nodes ^ mix(np.arange(row, end, dtype=np.uint64), 11), 12), batch.column(0).slice(row, end - row).cast(pa.int64()), nodes, sizes)
+                yield _rows(DOC, mix(nodes ^ mix(np.arange(row, end, dtype=np.uint64), 11), 12), batch.column(0).slice(row,
+                    end - row).cast(pa.int64()), nodes, sizes)
                 # equal sets of a flush have equal signatures: one of them is enough
                 new = np.zeros(len(sizes), dtype=bool)
                 for i, x in enumerate(nodes.tolist()):
@@ -361,14 +364,16 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) ->
                 bucket = (mix(sets, 13) % U(ODD_BITS)).astype(np.int64) + np.repeat(np.arange(len(sizes)) * ODD_BITS, sizes)
                 odd = np.packbits(np.bincount(bucket, minlength=len(sizes) * ODD_BITS) & 1).view(np.int64).reshape(len(sizes), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(list(odd), pa.list_(pa.int64())), pa.array([sets[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
+                    [pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(list(odd), pa.list_(pa.int64())),
+                        pa.array([sets[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
                     names=["node", "n", "odd", "shingles"],
                 )
 
     n = reps.count()
     reps = reps.select("_rep", F.col("node").alias("_node"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    got = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, texts["_id"].eqNullSafe(reps["_rep"])).select("_text").mapInArrow(run, "node long, n long, odd array<long>, shingles binary")
+    got = texts.join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, texts["_id"].eqNullSafe(reps["_rep"])).select("_text").mapInArrow(run,
+        "node long, n long, odd array<long>, shingles binary")
     # repeated ids may bring other texts along
     return got.dropDuplicates(["node"])
 
@@ -396,7 +401,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     slim = sets.select("node", "n", "odd")
-    pairs = pairs.join(slim.withColumnsRenamed({"node": "b", "n": "_qn", "odd": "_qodd"}), "b").join(slim.withColumnsRenamed({"node": "a", "n": "_pn", "odd": "_podd"}), "a").filter(may_link()).select("a", "b")
+    pairs = pairs.join(slim.withColumnsRenamed({"node": "b", "n": "_qn", "odd": "_qodd"}), "b").join(slim.withColumnsRenamed({"node": "a", "n": "_pn",
+        "odd": "_podd"}), "a").filter(may_link()).select("a", "b")
     pairs = materialise(pairs, "likely")
     # only sets of likely pairs are moved
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -460,7 +466,8 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
         large = materialise(large, "large")  # here a > b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(low, "a").select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"),
+            F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         small = materialise(small, "small")  # a > b
         state = small.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == before:
@@ -521,7 +528,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if turn < STAR_ROUNDS:
             # salted stars: in every group each node meets a few others by chance, so a group of near copies soon is one component
             salted = named.withColumn("_s", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("many") / STAR_SIZE)))
-            hubs = salted.groupBy("sig", "_s").agg(F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)).alias("h"), F.col("node").alias("_p"), F.col("comp").alias("_own"))).alias("_hub"))
+            hubs = salted.groupBy("sig", "_s").agg(F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)).alias("h"), F.col("node").alias("_p"),
+                F.col("comp").alias("_own"))).alias("_hub"))
             more = salted.join(hubs, ["sig", "_s"]).filter(F.col("comp") != F.col("_hub._own")).select(F.col("_hub._p").alias("_p"), F.col("node").alias("_q"))
         else:
             more = across(named, sets)
@@ -532,7 +540,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = names.join(least, "comp").select("node", "component_id", "comp")
     # a row without shingles is a component of its own; its node is none
     out = of_doc.select("_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n").join(names, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(
+        F.col("_id")).alias("component_id"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
 
 
 def _linked_by_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -542,7 +551,8 @@ def _linked_by_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = linked(rows, "_hash", "_text").join(names, "_hash")
     least = out.filter("_comp is not null").groupBy("_comp").agg(F.min("_name").alias("_least"))
     out = out.join(least, "_comp", "left")
-    return out.select(F.col("_name").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("_name")).alias("component_id"), "_node", "_comp")
+    return out.select(F.col("_name").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("_name")).alias(
+        "component_id"), "_node", "_comp")
 
 
 def with_nodes(docs: DataFrame, text_col: str) -> DataFrame:
@@ -566,7 +576,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     smallest other columns) stays.
     """
     rows = materialise(linked(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "_node", "_comp"), "linked")
-    first = rows.filter("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node"))).alias("_f"))
+    first = rows.filter("_comp is not null").groupBy("_comp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"),
+        F.col("_node").alias("node"))).alias("_f"))
     first = first.select(F.col("_f")["id"].alias("_stay"), F.col("_f")["node"].alias("_stay_node"))
     stay = materialise(first.unionByName(rows.filter("_comp is null").select(F.col("_id").alias("_stay"), F.col("_node").alias("_stay_node"))), "stay")
     repeated = materialise(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col("_id").alias("_again")), "repeated")

@@ -54,7 +54,8 @@ def line_key(line: Column) -> Column:
 
 def _covered(starts: Column) -> Column:
     """Words in 3-word windows that begin at these ascending places."""
-    return F.aggregate(starts, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")), lambda a: a["n"])
+    return F.aggregate(starts, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("at"),
+        (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")), lambda a: a["n"])
 
 
 def repeat_words(w: Column) -> Column:
@@ -68,7 +69,8 @@ def repeat_words(w: Column) -> Column:
     def covered(h: Column) -> Column:
         # a fast sort of plain longs tells whether any window repeats; only such texts look for the places
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: _covered(F.sort_array(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["i"]))))
+            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+                lambda s: _covered(F.sort_array(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["i"]))))
         )
 
     def twin(s: Column, x: Column, i: Column) -> Column:
@@ -89,9 +91,11 @@ def base(text: Column) -> list[Column]:
     ]
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """(host, key): the hashes of the lines that too many distinct texts of a host hold; (host, text, key): all lines of all texts."""
-    own = docs.select(F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text"), F.array_distinct(F.transform(lines(F.col(text_col)), line_key)).alias("_keys"))
+    own = docs.select(F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text"), F.array_distinct(F.transform(lines(F.col(text_col)),
+        line_key)).alias("_keys"))
     # copies of a text collapse first: one row for each text and host, combined before the shuffle
     own = own.groupBy("_host", "_text").agg(F.first("_keys").alias("_keys"))
     texts = own.groupBy("_host").agg(F.count(F.lit(1)).alias("_texts")).withColumnRenamed("_host", "_of")
@@ -120,23 +124,28 @@ def without(text: Column, keys: Column) -> Column:
     """text without the lines whose hashes are in keys (null: none)."""
     text = F.coalesce(text, F.lit(""))
     held = F.array_intersect(F.array_distinct(F.transform(lines(text), line_key)), keys)
-    rest = lambda hits: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hits, line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
+    rest = lambda hits: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hits, line_key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")),
+        "\n")
     return let(held, lambda hits: F.when(F.size(hits) > 0, rest(hits)).otherwise(text))
 
 
 FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, keep: tuple[str, ...] = (), **limits) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_left: float = MIN_LEFT, keep: tuple[str,
+    ...] = (), **limits) -> DataFrame:
     """id_col, keep columns, the base figures, base_failed, left_chars, cleaned (the text without frequent lines), kept."""
     rows = with_frequent(docs.select(*dict.fromkeys([id_col, text_col, host_col, *keep])), host_col, text_col, "_row", **limits)
     text = F.col("_row")[text_col]
-    rows = rows.select(F.col("_row")[id_col].alias(id_col), *[F.col("_row")[c].alias(c) for c in keep], *base(text), without(text, F.col("_frequent")).alias("cleaned"))
+    rows = rows.select(F.col("_row")[id_col].alias(id_col), *[F.col("_row")[c].alias(c) for c in keep], *base(text), without(text,
+        F.col("_frequent")).alias("cleaned"))
     left = F.length(F.regexp_replace("cleaned", SPACE, "")).cast("long")
-    return rows.withColumn("left_chars", left).withColumn("base_failed", F.expr(FAILED)).withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") >= min_left * F.col("word_chars")))
+    return rows.withColumn("left_chars", left).withColumn("base_failed", F.expr(FAILED)).withColumn("kept",
+        ~F.col("base_failed") & (F.col("left_chars") >= min_left * F.col("word_chars")))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", min_left: float = MIN_LEFT,
+    **limits) -> DataFrame:
     """The kept rows with all their columns, text_col without frequent lines and length_col to match where a line went."""
     rows = with_frequent(docs, host_col, text_col, "_row", **limits)
     text = F.col("_row")[text_col]
@@ -150,7 +159,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars")
+    return assess(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "left_chars")
 
 
 ORACLE = r"""

@@ -179,7 +179,8 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, separator:
                 yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(keys), pa.array(heavy), pa.array(np.zeros(len(ids), bool))], names=names)
         at = np.flatnonzero(df)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]), pa.array(np.ones(len(at), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]),
+                pa.array(np.ones(len(at), bool))], names=names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, {KEYED}")
 
@@ -379,7 +380,8 @@ def fill(ids: list[np.ndarray], df: np.ndarray, n: int, mean: float, window: int
     return chains.pieces()
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, window: int = WINDOW,
+    shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     own = tokens(path)
     dtype, kind = own.dtype, docs.schema[id_col].dataType.simpleString()
@@ -429,7 +431,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ranges = max(1, -(-total // (RANGE_SHARDS * shard_tokens)))
     dealt = rows.filter("not _stat").select("_id", "_ids", "_key", "_term", F.monotonically_increasing_id().alias("_row"))
     dealt = dealt.repartitionByRange(ranges, "_key", "_term", "_row").sortWithinPartitions("_key", "_term", "_row")
-    return dealt.select("_id", "_ids").mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("_id", "_ids").mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id "
+        f"long, offset long")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

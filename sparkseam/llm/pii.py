@@ -107,7 +107,8 @@ VOCAB = 8 + len(CHARS)  # 0 pads, 6 is any other character, the last are the let
 _TABLE = np.full(128, 6, dtype=np.uint8)
 for _c in range(128):
     _ch = chr(_c)
-    _TABLE[_c] = 1 if _ch.isdigit() else VOCAB - 1 if _ch in "abcdef" else 2 if _ch.islower() else 3 if _ch.isupper() else 4 if _ch == "\n" else 5 if _ch.isspace() else 7 + CHARS.index(_ch) if _ch in CHARS else 6
+    _TABLE[_c] = 1 if _ch.isdigit() else VOCAB - 1 if _ch in "abcdef" else 2 if _ch.islower() else 3 if _ch.isupper(
+        ) else 4 if _ch == "\n" else 5 if _ch.isspace() else 7 + CHARS.index(_ch) if _ch in CHARS else 6
 #: BIO order: I follows only B or I of its kind.
 ALLOWED = np.array([[j == 0 or j % 2 == 1 or i in (j, j - 1) for j in range(K)] for i in range(K)])
 
@@ -133,7 +134,8 @@ class Tagger:
         def w(*shape: int) -> np.ndarray:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-        self.p = {"embed": w(VOCAB, EMBED), "out": w(2 * HIDDEN, K), "bias": np.zeros(K, np.float32), "trans": np.zeros((K, K), np.float32), "first": np.zeros(K, np.float32), "last": np.zeros(K, np.float32)}
+        self.p = {"embed": w(VOCAB, EMBED), "out": w(2 * HIDDEN, K), "bias": np.zeros(K, np.float32), "trans": np.zeros((K, K), np.float32),
+            "first": np.zeros(K, np.float32), "last": np.zeros(K, np.float32)}
         for d in "fb":
             self.p |= {f"x{d}": w(EMBED, 4 * HIDDEN), f"h{d}": w(HIDDEN, 4 * HIDDEN), f"c{d}": np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)}
 
@@ -321,16 +323,23 @@ def _made(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
     def phone() -> str:
-        return pick(["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "001 {} {} {}", "+44 {} {} {}", "{}.{}.{}", "0049 {} {} {}"]).format(digits(3), digits(3), digits(4))
+        return pick(["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "001 {} {} {}", "+44 {} {} {}", "{}.{}.{}", "0049 {} {} {}"]).format(
+            digits(3), digits(3), digits(4))
 
     def secret() -> str:
         drawn = lambda xs, n: "".join(pick(xs) for _ in range(n))
         hexes, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-        out = pick([drawn(hexes, 40), drawn(hexes, 18), drawn(hexes, 32), drawn(hexes, 64), "AKIA" + drawn(both[:26] + "0123456789", 16), drawn(both, 24), drawn(both + "+/", 40), "ghp_" + drawn(both, 36), "sk-" + drawn(both, 32)])
+        out = pick([drawn(hexes, 40), drawn(hexes, 18), drawn(hexes, 32), drawn(hexes, 64), "AKIA" + drawn(both[:26] + "0123456789", 16),
+            drawn(both, 24), drawn(both + "+/", 40), "ghp_" + drawn(both, 36), "sk-" + drawn(both, 32)])
         return out if plausible(4, out) else secret()
 
     def other() -> str:
-        return pick([lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}", lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"${digits(3)}.{digits(2)}", lambda: digits(int(rng.integers(1, 9))), lambda: "@" + letters(6), lambda: f"http://www.{letters(6)}.org/LICENSE-2.{digits(1)}", lambda: f"{letters(3)} at {letters(4)}", lambda: f"{letters(2)} ({letters(2)}) {letters(5)}", lambda: letters(int(rng.integers(12, 40))), lambda: word() + pick(["###", "$$$", "%%%", "&&&", "***"]), lambda: " | ".join(letters(5) for _ in range(3)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{letters(4)}_{letters(6)}-{letters(5)}"])()
+        return pick([lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}",
+            lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"${digits(3)}.{digits(2)}", lambda: digits(int(rng.integers(1, 9))),
+            lambda: "@" + letters(6), lambda: f"http://www.{letters(6)}.org/LICENSE-2.{digits(1)}", lambda: f"{letters(3)} at {letters(4)}",
+            lambda: f"{letters(2)} ({letters(2)}) {letters(5)}", lambda: letters(int(rng.integers(12, 40))), lambda: word() + pick(["###", "$$$",
+            "%%%", "&&&", "***"]), lambda: " | ".join(letters(5) for _ in range(3)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
+            lambda: f"{letters(4)}_{letters(6)}-{letters(5)}"])()
 
     def said(kind: int, made: str) -> tuple[str, str]:
         """What stands before and after a span."""
@@ -509,9 +518,11 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         for batch in batches:
             rows = find(batch.column(1).to_pylist(), model)
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in range(PATTERNED)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(span_text(b).encode()).hexdigest() for b, _ in rows]), pa.array([span_text(a) for _, a in rows], pa.string()), pa.array([len(a) - len(b) for b, a in rows], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(span_text(b).encode()).hexdigest() for b,
+                _ in rows]), pa.array([span_text(a) for _, a in rows], pa.string()), pa.array([len(a) - len(b) for b, a in rows], pa.int64())], names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, "
+        f"base_sha256 string, spans string, n_added long")
 
 
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: Compiled | None = None) -> DataFrame:

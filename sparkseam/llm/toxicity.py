@@ -278,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found: Counter = Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.update((w, y) for w in entries(text))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "y", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()),
+                pa.array(list(found.values()), pa.int64())], names=["entry", "y", "n"])
 
     single = sample.dropDuplicates(["_text", "_y"])  # copies of a text count once in the lexicon
     total = {r["_y"]: r["n"] for r in single.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -289,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)],
+                names=["x", "y"])
 
     pairs = sorted((r["x"], r["y"]) for r in sample.mapInArrow(weigh, "x double, y int").collect())  # at most `rows` pairs of numbers
     return calibrate(model, np.array([x for x, _ in pairs]), np.array([y for _, y in pairs], dtype=float))
@@ -303,7 +305,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = [model.clauses(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score_of(c) for c in found], pa.float64()), pa.array([len(c) for c in found], pa.int64())], names=[id_col, "score", "clauses"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score_of(c) for c in found], pa.float64()),
+                pa.array([len(c) for c in found], pa.int64())], names=[id_col, "score", "clauses"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, clauses long")
 

@@ -38,7 +38,8 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow",
+    broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """id_col, host, path, rule, verdict for every row of urls. rules: (action, rule), a rule as host/path-prefix."""
     host, path = host_path(F.col("_url"))
     rows = urls.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("_id", "_url", host.alias("_host"), path.alias("_path"))
@@ -56,14 +57,16 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
         F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"),
     ).first()
     if not seen["n"]:
-        return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"),
+            F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     known = F.broadcast(known) if seen["n"] <= broadcast_rules else known
 
     parts = F.split("_host", r"\.")
     labels = F.filter(F.array(*map(F.lit, sorted(seen["labels"]))), lambda n: n <= F.size(parts))
     suffixes = F.transform(labels, lambda n: F.call_function("substring_index", F.col("_host"), F.lit("."), -n))
     lengths = F.filter(F.array(*map(F.lit, sorted(seen["lengths"]))), lambda n: n <= F.length("_path"))
-    each = rows.select("_id", "_url", F.explode(suffixes).alias("_suffix"), "_path").select("_id", "_url", F.col("_suffix"), "_path", F.explode(lengths).alias("_n"))
+    each = rows.select("_id", "_url", F.explode(suffixes).alias("_suffix"), "_path").select("_id", "_url", F.col("_suffix"), "_path",
+        F.explode(lengths).alias("_n"))
     each = each.select("_id", "_url", F.sha2(F.concat("_suffix", F.left("_path", F.col("_n"))), 256).alias("_digest"))
     each = each.withColumn("_short", F.left("_digest", F.lit(PREFIX_HEX)))
     # the digest is confirmed after the join; as an equality it would become part of the join's key
@@ -71,7 +74,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     order = F.struct(F.length("rule"), F.length("rule_host"), (F.col("action") == "block").cast("int"))
     # a smaller string must win the last tie, so the maximum is taken without it and ties go to the smallest rule
     best = hits.groupBy("_id", "_url").agg(F.max(order).alias("_top"), F.collect_set(F.struct(order.alias("o"), F.col("rule"), F.col("action"))).alias("_all"))
-    best = best.select(F.col("_id").alias("_bid"), F.col("_url").alias("_burl"), F.array_min(F.transform(F.filter("_all", lambda x: x["o"] == F.col("_top")), lambda x: F.struct(x["rule"], x["action"]))).alias("_best"))
+    best = best.select(F.col("_id").alias("_bid"), F.col("_url").alias("_burl"), F.array_min(F.transform(F.filter("_all",
+        lambda x: x["o"] == F.col("_top")), lambda x: F.struct(x["rule"], x["action"]))).alias("_best"))
     return rows.join(best, rows["_id"].eqNullSafe(best["_bid"]) & (rows["_url"] == best["_burl"]), "left").select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"),
         F.col("_best")["rule"].alias("rule"), F.coalesce(F.col("_best")["action"], F.lit(default)).alias("verdict"),

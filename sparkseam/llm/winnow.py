@@ -74,7 +74,8 @@ def kept(hashes: Column, window: int = WINDOW) -> Column:
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW, units: Callable[[Column], Column] = words) -> Column:
     """struct<hashes, places> of a text. units: words, or characters."""
-    return let(gram_hashes(text, k, units), lambda h: let(kept(h, window), lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hashes"), p.alias("places"))))
+    return let(gram_hashes(text, k, units), lambda h: let(kept(h, window), lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hashes"),
+        p.alias("places"))))
 
 
 def fingerprint_string(print_: Column) -> Column:
@@ -111,7 +112,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent = rows.join(before, rows["_id"].eqNullSafe(before["_key"]))
     once = sent.filter("_rows = 1").select("_before", "_before_chars", "_text")
     more = sent.filter("_rows > 1").groupBy("_key", "_before", "_before_chars").agg(F.min("_text").alias("_text")).select("_before", "_before_chars", "_text")
-    sent = once.unionByName(more).select("_before", F.left("_text", F.floor(F.col("_before_chars") / 4).cast("int")).alias("_next_text"), fingerprint(F.col("_text"))["hashes"].alias("_next_hashes"))
+    sent = once.unionByName(more).select("_before", F.left("_text", F.floor(F.col("_before_chars") / 4).cast("int")).alias("_next_text"),
+        fingerprint(F.col("_text"))["hashes"].alias("_next_hashes"))
     return rows.join(sent, rows["_id"].eqNullSafe(sent["_before"])).select("_id", "_text", "_next_text", "_next_hashes")
 
 
@@ -123,6 +125,8 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), fingerprint(F.col("_text")).alias("_own"), "_next_hashes")
     rows = rows.select("_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "_own", fingerprint(F.col("_edited")).alias("_other"), "_next_hashes")
     return rows.select(
-        F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint_string(F.col("_own")).alias("fingerprint"), fingerprint_string(F.col("_other")).alias("edited_fingerprint"),
-        likeness(F.col("_own")["hashes"], F.col("_other")["hashes"]).alias("near_edited"), likeness(F.col("_own")["hashes"], F.col("_next_hashes")).alias("near_next"),
+        F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint_string(F.col("_own")).alias("fingerprint"),
+            fingerprint_string(F.col("_other")).alias("edited_fingerprint"),
+        likeness(F.col("_own")["hashes"], F.col("_other")["hashes"]).alias("near_edited"), likeness(F.col("_own")["hashes"],
+            F.col("_next_hashes")).alias("near_next"),
     )

@@ -100,7 +100,8 @@ def test_line_quality_extra_columns_and_empty(spark):
 
 
 def test_base_spans_match_plain_patterns():
-    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]"]
 
     def plain(t):
         out = []
@@ -145,14 +146,16 @@ def test_tagger_held_out_accuracy():
 
 
 def test_tagger_adds_and_leaves_clean_texts(spark):
-    texts = ["call (269) 555-3296 now please", "+1 (269) 555-3296 4524132264652876 x", "token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" plain words", None, "", "x" * 5000 + " mail a.b@c.de end"]
+    texts = ["call (269) 555-3296 now please", "+1 (269) 555-3296 4524132264652876 x",
+        "token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" plain words", None, "", "x" * 5000 + " mail a.b@c.de end"]
     got = {r["doc_id"]: r for r in pii.spans_of(docs_of(spark, texts)).collect()}
     assert "phone:" in got[0]["spans"] and got[0]["n_phone"] == 0
     assert got[2]["spans"] == "secret:9:49" and got[2]["n_added"] == 1 and got[3]["spans"] == got[4]["spans"] == ""
     assert got[5]["spans"] == "email:5006:5014" and got[5]["base_sha256"] == hashlib.sha256(b"email:5006:5014").hexdigest()
     out = {r["doc_id"]: r for r in pii.masked(docs_of(spark, texts).selectExpr("*", "1 as spans")).collect()}
     assert out[5]["text"].endswith("mail [EMAIL] end") and out[5]["n_chars"] == len(out[5]["text"]) and out[3]["text"] is None
-    assert out[2]["text"] == 'token = "[SECRET]" plain words' and pii.spans_of(docs_of(spark, ["x", "x"], [1, 1])).count() == 2 and pii.masked(docs_of(spark, [])).count() == 0
+    assert out[2]["text"] == 'token = "[SECRET]" plain words' and pii.spans_of(docs_of(spark, ["x", "x"], [1, 1])).count() == 2 and pii.masked(
+        docs_of(spark, [])).count() == 0
 
 
 def test_compiled_tagger_equals_the_trained_layout():
@@ -201,7 +204,8 @@ def test_spans_cut_by_windows_are_joined():
             assert all(e - s > 5 for _, s, e in spans)
     long = ("kelani sor " * 30) + "token = \"" + "1a2b3c4d5e6f7a8b" * 20 + "\" end"
     assert any(k == 4 and e - s > 300 for k, s, e in pii.tagged([long], model)[0])
-    parts = [((0, 100, 160), 5.0, False, True), ((0, 128, 200), 7.0, True, False), ((0, 210, 220), 1.0, False, False), ((1, 150, 160), 1.0, False, False), ((0, 220, 225), 1.0, False, False)]
+    parts = [((0, 100, 160), 5.0, False, True), ((0, 128, 200), 7.0, True, False), ((0, 210, 220), 1.0, False, False), ((1, 150, 160), 1.0, False,
+        False), ((0, 220, 225), 1.0, False, False)]
     assert [x[0] for x in pii.joined(parts)] == [(0, 100, 200), (0, 210, 220), (0, 220, 225), (1, 150, 160)]
 
 
@@ -214,7 +218,8 @@ def test_windows_are_reconciled_globally():
 
 
 def test_reply_tree_paths(spark):
-    nodes = [("t", 1, None, 1.0), ("t", 2, 1, 2.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 3, None), ("u", 1, None, 0.0), ("u", 2, 99, 1.0), ("c", 1, 2, 1.0), ("c", 2, 1, 1.0)]
+    nodes = [("t", 1, None, 1.0), ("t", 2, 1, 2.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 3, None), ("u", 1, None, 0.0), ("u", 2, 99, 1.0),
+        ("c", 1, 2, 1.0), ("c", 2, 1, 1.0)]
     frame = spark.createDataFrame(nodes, "tree string, node long, parent long, score double")
     paths = {}
     for r in chat.root_paths(frame, 2).collect():
@@ -232,7 +237,8 @@ def test_reply_trees_with_null_trees_repeats_and_other_columns(spark):
     assert sorted((str(r["tree"]), r["depth"], r["node"]) for r in paths.collect()) == [("5", 0, 1), ("5", 1, 2), ("None", 0, 1), ("None", 1, 2)]
     long = "word " * 50_000
     turns = [(None, 1, "user", "hi"), (None, 2, "assistant", long), (5, 1, "user", "b"), (5, 1, "user", "a"), (5, 2, None, None)]
-    got = {r["tree"]: r for r in chat.format_paths(paths, spark.createDataFrame(turns, "tree long, node long, role string, text string").selectExpr("*", "1 as leaf")).collect()}
+    got = {r["tree"]: r for r in chat.format_paths(paths, spark.createDataFrame(turns, "tree long, node long, role string, text string").selectExpr(
+        "*", "1 as leaf")).collect()}
     assert got[None]["formatted"] == f"<|im_start|>user<|im_sep|>hi<|im_end|><|im_start|>assistant<|im_sep|>{long}<|im_end|>"
     assert got[5]["formatted"] == "<|im_start|>user<|im_sep|>a<|im_end|><|im_start|><|im_sep|><|im_end|>" and got[5]["loss_spans"] == []
 
@@ -246,7 +252,8 @@ def test_chat_keeps_conversations_without_an_id(spark, tmp_path):
 
 def test_chat_round_trip(spark, tmp_path):
     rng, bits = random.Random(2), [*chat.CONTROLS, "\\", "\n", "a", "é", "<", "[", ">", "|", " "]
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "odd\nrole", None]), None if rng.random() < 0.1 else "".join(rng.choices(bits, k=rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 9))]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "odd\nrole", None]), None if rng.random() < 0.1 else "".join(rng.choices(bits,
+        k=rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 9))]
     rows += [rows[0]]  # a repeated row
     written(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -256,7 +263,8 @@ def test_chat_round_trip(spark, tmp_path):
         said = "".join(f"{r}\n{x}\n" for _, r, x in own)
         loss = "".join(x for _, r, x in own if r == "assistant")
         r = got[c]
-        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest(),
+            len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 # ---- 4
@@ -415,7 +423,8 @@ def test_toxicity_held_out(spark):
 def test_toxicity_scores_against_plain_rules():
     """A second reading of the grammar, without transducers: every clause's best word by the rules of the docstring."""
     model = toxicity.Model({"idiot": 1.0, "ox": 0.4}, {"trott": 0.7, "trottelig": 0.9}, -4.0, 3.0)
-    words = ["idiot", "ox", "oxen", "trottel", "trotteliger", "trot", "you", "them", "kill", "hurt", "not", "never", "said", "the", "a", "cat", "don't", "you're"]
+    words = ["idiot", "ox", "oxen", "trottel", "trotteliger", "trot", "you", "them", "kill", "hurt", "not", "never", "said", "the", "a", "cat",
+        "don't", "you're"]
     kind = {**dict.fromkeys(["you", "them"], "G"), **dict.fromkeys(["kill", "hurt"], "T"), **dict.fromkeys(["not", "never", "don't"], "N"), "said": "R"}
     lexical = {"idiot": 1.0, "ox": 0.4, "trottel": 0.7, "trotteliger": 0.9}
 
@@ -504,7 +513,8 @@ def test_jaccard_join_is_exact(spark, seed):
             texts.append(" ".join(w[rng.randint(0, 2) :]))
     texts += [f"{passage} {' '.join(rng.choices('abcdefghijk', k=rng.randint(3, 30)))}" for _ in range(40)]
     texts += ["one", "ONE", "two words", "x y z w v u"]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(docs_of(spark, texts).selectExpr("*", "1 as node", "2 as n")).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(docs_of(spark, texts).selectExpr("*", "1 as node",
+        "2 as n")).collect()}
     assert got == brute_links(texts)
 
 
@@ -532,7 +542,8 @@ def test_keep_one_of_each_component(spark):
     docs = docs.drop("_node")
     out = jaccard_join.keep_one(docs)
     assert out.columns == docs.columns
-    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, [(1, a), (5, b), (7, "SOLO text"), (8, None), (8, ""), (None, "null owns this")]))
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, [(1, a), (5, b), (7, "SOLO text"), (8, None),
+        (8, ""), (None, "null owns this")]))
     assert jaccard_join.keep_one(docs.filter("doc_id in (1, 6)")).count() == 2 and jaccard_join.keep_one(docs.filter("false")).count() == 0
 
 
@@ -572,7 +583,8 @@ def test_lookup_table_is_filled_by_turns(spark):
     placed = shard_table.place(rows, "key", names, slots)
     assert placed.columns == ["key", "shard", "_slot_of_row", "slot", "_slot", "_shard"] and placed.filter("slot = 8 and _slot_of_row = 9").count() == 3
     assert shard_table.place(rows.filter("false"), "key", names, slots).count() == 0
-    assert shard_table.place(spark.range(1).selectExpr("repeat('x', 1000000) as key", "1 as _shard", "2 as _slot"), "key", names, slots).first()["shard"] in names
+    assert shard_table.place(spark.range(1).selectExpr("repeat('x', 1000000) as key", "1 as _shard", "2 as _slot"), "key", names,
+        slots).first()["shard"] in names
     got = {r["shard"]: r["_shard"] for r in placed.collect()}
     assert got[1] == got[3] == want[h("k1") % slots] and got[2] == want[h("") % slots]
     with pytest.raises(ValueError):
@@ -616,7 +628,8 @@ def test_winnowing_against_plain_windows(spark, tmp_path):
         edited = t[: len(t) - q] + nxt[:q]
         other = plain_print(WORDS.findall(edited), winnow.K, winnow.WINDOW)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
-        assert r["fingerprint"] == ",".join(f"{h % 2**64:X}:{p}" for p, h in prints[i]) and r["edited_fingerprint"] == ",".join(f"{h % 2**64:X}:{p}" for p, h in other)
+        assert r["fingerprint"] == ",".join(f"{h % 2**64:X}:{p}" for p, h in prints[i]) and r["edited_fingerprint"] == ",".join(f"{h % 2**64:X}:{p}"
+            for p, h in other)
         assert r["near_edited"] == pytest.approx(alike(prints[i], other)) and r["near_next"] == pytest.approx(alike(prints[i], prints[(i + 1) % len(texts)]))
 
 
@@ -644,7 +657,8 @@ def plain_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     m = re.match(r"([^/?#]*)([^?#]*)", rest)
     host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
-    fits = [(len(r), len(r.split("/")[0]), a == "block", r) for a, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    fits = [(len(r), len(r.split("/")[0]), a == "block", r) for a, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
+        and path.startswith(r[r.index("/") :])]
     best = max((f[:3] for f in fits), default=None)
     rule = min((f[3] for f in fits if f[:3] == best), default=None)
     return host, path, rule, next((a for a, r in rules if r == rule), "allow")
@@ -653,8 +667,10 @@ def plain_verdict(url, rules):
 def test_url_rules(spark):
     rng = random.Random(1)
     rules = [*url_filter.RULES, ("block", "a.org/x"), ("allow", "b.a.org/"), ("block", "net/")]
-    urls = [None, "", "http:/x", "http://org", "http://ORG/", "https://ex.EXAMPLE.org/en/12?q=/es/", "x://example.org/es/", "http://notexample.org/es/", "http://a.org?x/", "é://Éa.org/x", "://com/de/#a", "http://a..org/x"]
-    urls += ["http://" + ".".join(rng.choices(["a", "b", "org", "com", "example", "net"], k=rng.randint(1, 4))) + rng.choice(["/", "/x", "/fr/1", "/de/", "", "?a"]) for _ in range(200)]
+    urls = [None, "", "http:/x", "http://org", "http://ORG/", "https://ex.EXAMPLE.org/en/12?q=/es/", "x://example.org/es/",
+        "http://notexample.org/es/", "http://a.org?x/", "é://Éa.org/x", "://com/de/#a", "http://a..org/x"]
+    urls += ["http://" + ".".join(rng.choices(["a", "b", "org", "com", "example", "net"], k=rng.randint(1, 4))) + rng.choice(["/", "/x", "/fr/1",
+        "/de/", "", "?a"]) for _ in range(200)]
     urls += urls[5:8]
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as rule", "2 as _id")
     for limit in (url_filter.BROADCAST_RULES, 0):
@@ -683,7 +699,8 @@ def test_sentencepiece_equals_the_library():
 def test_sentencepiece_rows(spark):
     rows = docs_of(spark, [None, "", "hello world", "hello world"]).selectExpr("*", "1 as n_tokens")
     got = {r["doc_id"]: r for r in bpe.digest(rows, P.path("piece_bpe_32k.model")).collect()}
-    assert got[0]["n_tokens"] == got[1]["n_tokens"] == 0 and got[2]["ids_sha256"] == got[3]["ids_sha256"] and got[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[0]["n_tokens"] == got[1]["n_tokens"] == 0 and got[2]["ids_sha256"] == got[3]["ids_sha256"] and got[0]["ids_sha256"] == hashlib.sha256(
+        b"").hexdigest()
     assert [r["decoded"] for r in bpe.encode_column(rows, P.path("piece_bpe_32k.model")).orderBy("doc_id").collect()] == ["", "", "hello world", "hello world"]
 
 

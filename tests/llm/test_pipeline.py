@@ -98,8 +98,10 @@ def tables(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     first = [r.asDict() for r in docs.orderBy("doc_id").limit(12).collect()]
     insult = "you stupid worthless idiot, what a pathetic moron. "
-    extra = [(None, " ".join(f"alone{k}" for k in range(80)), None, None, None), (5000, None, "en", "s", None), (5001, "", "en", "s", 0), (5002, insult + first[5]["text"] + "\n" + insult, "en", "s", 1)]
-    extra += [(first[7]["doc_id"], first[8]["text"], "en", "s", 7), (first[9]["doc_id"], first[9]["text"], *[first[9][n] for n in NAMES[2:]]), (5003, first[10]["text"] + " tail", "en", "s", 9)]
+    extra = [(None, " ".join(f"alone{k}" for k in range(80)), None, None, None), (5000, None, "en", "s", None), (5001, "", "en", "s", 0),
+        (5002, insult + first[5]["text"] + "\n" + insult, "en", "s", 1)]
+    extra += [(first[7]["doc_id"], first[8]["text"], "en", "s", 7), (first[9]["doc_id"], first[9]["text"], *[first[9][n] for n in NAMES[2:]]),
+        (5003, first[10]["text"] + " tail", "en", "s", 9)]
     extra += [(5004, first[11]["text"] + " write to someone.else77@corp3.example.org now", "en", "s", 11)]
     docs.select(*NAMES).unionByName(spark.createDataFrame(extra, docs.select(*NAMES).schema)).coalesce(3).write.parquet(f"{where}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{where}/labels.parquet")
