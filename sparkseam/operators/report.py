@@ -192,6 +192,13 @@ def overrides(fail_on: list[str] = (), max_allowed: dict[str, int] | None = None
     return out if out["fail_on"] or out["max_allowed"] else {}
 
 
+def listing(issues: DataFrame, tie: str, most_chars: int = 200) -> DataFrame:
+    """position, line: every issue as a printed line in the report's order, its text clipped."""
+    place = F.concat(filled(F.col("file_path"), F.lit("unknown file")), F.when(F.col("line_number") > 0, F.concat(F.lit(":"), F.col("line_number").cast("string"))).otherwise(""))
+    clip = F.when(F.length("issue") > most_chars, F.concat(F.substring("issue", 1, most_chars), F.lit("..."))).otherwise(F.col("issue"))
+    return ordered(issues, tie).select("position", F.concat_ws(" ", F.concat(F.lit("["), F.col("severity"), F.lit("]")), F.col("rule_id"), place, F.lit("-"), clip).alias("line"))
+
+
 def sources(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct files of retrieved chunks and findings."""
     return chunks.select("file_path").unionByName(found.select("file_path")).filter("file_path <> ''").distinct()

@@ -101,6 +101,15 @@ def chunk_view(store: DataFrame) -> DataFrame:
     return store.withColumn("metadata", F.coalesce(meta, F.expr("map()").cast("map<string,string>"))).drop("metadata_json")
 
 
+def legacy_rows(texts: DataFrame, schema: str, text: str = "value", name: str = "index_id") -> DataFrame:
+    """Rows of stores that were kept as one JSON array: their place in it, from 0, is their id. texts: one array for each row.
+
+    Pickled stores aren't read: loading one runs whatever code it holds.
+    """
+    each = texts.select(F.posexplode(F.from_json(text, f"array<struct<{schema}>>")).alias(name, "_row"))
+    return each.select(F.col(name).cast("long").alias(name), "_row.*")
+
+
 def save(store: DataFrame, path: str) -> None:
     store.write.mode("overwrite").parquet(path)
 

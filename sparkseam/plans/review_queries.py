@@ -176,6 +176,21 @@ def console_policy_unjudged(spark, sf):
     return _policy_lines(spark, sf, 1)
 
 
+@query("issue_listing", f"""with {rq._ISS}, o as (select *, row_number() over (order by {rq._RANK}, file_path, line_number, ord) as position from d)
+select position, '[' || severity || '] ' || rule_id || ' ' || case when file_path = '' then 'unknown file' else file_path end || case when line_number > 0 then ':' || line_number else '' end || ' - '
+ || case when length(issue) > 10 then substr(issue, 1, 10) || '...' else issue end as line from o""")
+def issue_listing(spark, sf):
+    return report.listing(rq.issues_of(spark, sf)[0], "ord", 10)
+
+
+@query("legacy_ids", "select row_number() over (order by doc_id) - 1 as index_id, doc_id as chunk_id, lang as file_type from documents where lang = 'es'")
+def legacy_ids(spark, sf):
+    """One JSON array of rows in their order: places become ids."""
+    docs = read_table(spark, sf, "documents").filter("lang = 'es'").select("doc_id", "lang")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("file_type"))))
+    return store.legacy_rows(docs.agg(F.to_json(ordered).alias("value")), "chunk_id: long, file_type: string")
+
+
 @query("sarif_document", f"with {rq._ISS}, r as (select distinct rule_id from d) select '2.1.0' as version, (select count(*) from d) as results, "
     f"(select count(*) from r) as rules, (select rule_id from d order by rule_id limit 1) as first_rule")
 def sarif_document(spark, sf):
