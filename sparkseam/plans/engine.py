@@ -36,11 +36,13 @@ def scan_issues(files: DataFrame) -> DataFrame:
     text = files.withColumnRenamed("content", "text")
     of = lambda name: files.filter(F.col("file_type").isin(*READS[name]))
     line0 = F.lit(0)
+    # each detector reads what was parsed several times; it is parsed once
+    steps, roles = materialise(parsers.pipeline_snippets(of("pipeline")), "steps"), materialise(parsers.role_assignments(of("iam")), "roles")
     parts = [
-        detectors.pipeline_findings(parsers.pipeline_snippets(of("pipeline"))).select("file_path", "rule_id", "issue", "line_number", "severity",
+        detectors.pipeline_findings(steps).select("file_path", "rule_id", "issue", "line_number", "severity",
             F.lit("pipeline").alias("detector")),
         detectors.secret_findings(text).select("file_path", "rule_id", "issue", "line_number", "severity", F.lit("secrets").alias("detector")),
-        iam.analyse(parsers.role_assignments(of("iam"))).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity",
+        iam.analyse(roles).select("file_path", "rule_id", "issue", line0.alias("line_number"), "severity",
             F.lit("iam").alias("detector")),
         federation.findings(parsers.federation_configs(of("workload_identity"))).select("file_path", "rule_id", "issue", line0.alias("line_number"),
             "severity", F.lit("workload_identity").alias("detector")),
@@ -256,12 +258,12 @@ class Engine:
         files = self.chunks().join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type",
             F.col("text").alias("content"))
         if intent == "iam":
-            return intent, iam.analyse(parsers.role_assignments(files))
+            return intent, iam.analyse(materialise(parsers.role_assignments(files), "roles"))
         if intent == "workload_identity":
             return intent, federation.findings(parsers.federation_configs(files))
         if intent == "secrets":
             return intent, detectors.secret_findings(files.withColumnRenamed("content", "text"))
-        return intent, detectors.pipeline_findings(parsers.pipeline_snippets(files))
+        return intent, detectors.pipeline_findings(materialise(parsers.pipeline_snippets(files), "steps"))
 
     def ci_scan(self, files: DataFrame, policy: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Issues, summary (with the number of detector errors) and policy verdict of a repository."""
