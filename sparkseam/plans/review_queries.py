@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkseam.operators import detectors, prompts, quality, report, store
+from sparkseam.operators import detectors, prompts, quality, report, search, store
 from sparkseam.operators import governance as G
+from sparkseam.operators import rules as rules_
 from sparkseam.plans import detector_queries as dq
 from sparkseam.plans import report_queries as rq
 from sparkseam.plans.engine import Engine, scan_errors, scan_issues
@@ -301,3 +302,93 @@ def audit_append(spark, sf):
     for _ in range(2):
         G.append_audit(events, path)
     return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- state: what is kept in folders and sessions
+
+
+@query("json_sink", "select doc_id, lang, n_chars from documents")
+def json_sink(spark, sf):
+    """Rows written as JSON and read again; written twice, the second time replaces the first."""
+    path, rows = folder(spark, "json"), read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    report.write_json(rows.limit(3), path)
+    report.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+STATE = ["step", "chunks", "files", "entries"]
+STATE_OUT = [("empty", 0, 0, False), ("first", 2, 2, True), ("same", 2, 2, True), ("changed", 3, 2, True), ("copied", 3, 3, True), ("compacted", 3, 3,
+    True), ("damaged", 3, 3, True), ("other dimension", -1, -1, True), ("cleared", 0, 0, False)]
+
+
+@query("store_state", f"select * from {values(STATE, STATE_OUT)}")
+def store_state(spark, sf):
+    """Chunks and files of the store after each step: ingests, a changed file, a copy of a file's text, a manifest without its segments."""
+    engine, seen = Engine(spark, folder(spark, "engine")), []
+    one, two = 'variable "a" {\n  default = 1\n}\n', 'variable "b" {\n  default = 2\n}\n'
+
+    def look(step: str, at: Engine = engine) -> None:
+        try:
+            chunks, files = at.chunks(), at.registry()
+            seen.append((step, chunks.count() if chunks is not None else 0, files.count() if files is not None else 0, at.has_entries()))
+        except ValueError:
+            seen.append((step, -1, -1, at.has_entries()))
+
+    def ingest(step: str, *files: tuple[str, str]) -> None:
+        engine.ingest(frame(spark, FILE, [(p, "terraform", c) for p, c in files]))
+        look(step)
+
+    look("empty")
+    ingest("first", ("a.tf", one), ("b.tf", two))
+    ingest("same", ("a.tf", one), ("b.tf", two))
+    ingest("changed", ("b.tf", two + 'variable "c" {\n  default = 3\n}\n'))
+    ingest("copied", ("d.tf", one))  # equal chunks are stored once
+    engine.compact()
+    look("compacted")
+    spark.range(1).select(F.lit("missing").alias("value")).coalesce(1).write.text(f"{engine.root}/manifest/999")
+    look("damaged")
+    look("other dimension", Engine(spark, engine.root, dimension=3))
+    engine.clear()
+    look("cleared")
+    return frame(spark, STATE, seen)
+
+
+@query("session_isolated", f"select * from {values(['session', 'view', 'partitions'], [('own', False, 'same'), ('other', True, 'changed')])}")
+def session_isolated(spark, sf):
+    """A view and a setting of one session aren't seen in another."""
+    other, before = G.isolated(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "12345")
+    other.range(1).createOrReplaceTempView("only_there")
+    rows = [(name, s.catalog.tableExists("only_there"), "changed" if s.conf.get("spark.sql.autoBroadcastJoinThreshold") != before else "same")
+        for name, s in (("own", spark), ("other", other))]
+    other.catalog.dropTempView("only_there")
+    return frame(spark, ["session", "view", "partitions"], rows)
+
+
+CONF = ["text", "env", "high", "low", "kept"]
+CONF_ROWS = [("", "", 0, 10, 0), ("max_allowed: {low: 3}", "", 0, 3, 0), ("- a list", "", 0, 10, 0), ("{bad", "", 0, 10, 0),
+    ('{"max_allowed": {"high": 1}, "other": {"kept": 4}}', "", 1, 10, 4), ("environments: {dev: {max_allowed: {low: 99}}}", "dev", 0, 99, 0)]
+
+
+@query("config_merge", f"select * from {values(CONF, CONF_ROWS)}")
+def config_merge(spark, sf):
+    """Settings over their defaults: YAML, JSON, an environment's, and what isn't a mapping."""
+    merged = [(t, e, report.policy_of(t, e)) for t, e, *_ in CONF_ROWS]
+    return frame(spark, CONF, [(t, e, p["max_allowed"]["high"], p["max_allowed"]["low"], p.get("other", {}).get("kept", 0)) for t, e, p in merged])
+
+
+WORDS = ["storage", "public", "identity", "network", "secret", "azure"]
+_HAS = lambda c: "[" + ", ".join(f"contains(lower({c}), '{w}')::int::double" for w in WORDS) + "]"
+ASKED_RULE = "public storage of an Azure identity"
+
+
+@query("rule_feature_topk",
+    f"""with r as (select * from {values(['rule_id', 'title'], [(r[0], r[6]) for r in rules_.BUILT_IN])}), v as (select rule_id, {_HAS('title')} as e, {_HAS(text(ASKED_RULE))} as q from r),
+s as (select rule_id, round(list_inner_product(e, q) / greatest(sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)), 1e-10), 6) as score from v)
+select rule_id, score, row_number() over (order by score desc, rule_id)::int as rank from s order by score desc, rule_id limit 7""")
+def rule_feature_topk(spark, sf):
+    """Rules ranked for a question by an encoder of six features."""
+    has = lambda c: F.array(*[F.contains(F.lower(c), F.lit(w)).cast("int").cast("float") for w in WORDS])
+    asked = [float(w in ASKED_RULE.lower()) for w in WORDS]
+    return search.vector_topk(rules_.catalogue(spark).select("rule_id", has(F.col("title")).alias("embedding")), asked, 7,
+        "rule_id").select("rule_id", "score", "rank")
