@@ -5,8 +5,7 @@ that minima fall evenly. Grams that begin before the text take zeros, so even a
 WINDOW consecutive grams the smallest hash is kept, the rightmost among equals, with its position (the index of the
 gram's last word). Two texts that share K + WINDOW - 1 words in a row share a kept hash.
 
-A gram is kept if its window-wide reach to the left over hashes not smaller, and to the right over hashes larger,
-holds a whole window: that is the same as being the rightmost minimum of some window, and needs no array of windows.
+Hashes are compared by their upper 64 - PLACE_BITS bits; ones that agree there count as equal.
 
 The query's neighbour (next id in ascending order, the last's is the first) comes from a table of ids alone: ranges of
 ids, each in one task, and one row for each range to bridge them. Texts are shuffled once.
@@ -29,6 +28,8 @@ from sparkseam.llm.line_quality import let, words
 from sparkseam.session import materialise
 
 K, WINDOW = 3, 8
+#: Bits of a place: a row holds two billion bytes at most, so no text has more words than this counts.
+PLACE_BITS = 30
 #: Ids in one range, and ids that are broadcast as a whole (about 50 bytes each); beyond it that join shuffles.
 RANGE_IDS, BROADCAST_IDS = 200_000, 1_000_000
 
@@ -57,18 +58,29 @@ def gram_hashes(text: Column, k: int = K, units: Callable[[Column], Column] = wo
 
 
 def kept(hashes: Column, window: int = WINDOW) -> Column:
-    """Ascending places of hashes (a bound array) that winnowing keeps."""
-
-    def reach(x: Column, i: Column, step: int) -> Column:
-        out = F.lit(window - 1)
-        for j in range(window - 1, 0, -1):
-            other = F.get(hashes, i + step * j)
-            out = F.when(other > x if step > 0 else other >= x, out).otherwise(F.lit(j - 1))
-        return out
-
-    n = F.size(hashes)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: let(F.get(hashes, i), lambda x: reach(x, i, -1) + reach(x, i, 1) + 1 >= F.least(n, F.lit(window))))
+    """Ascending places of hashes (a bound array) that winnowing keeps.
+
+    A number with the hash's upper bits above and the place, counted backwards, below: the smallest of a window then is
+    its smallest hash, the rightmost among equals, with its place. Smallest numbers of 2, 4, 8... grams come from those
+    of half as many, and of `window` grams from two such stretches. Kept places never go back from window to window, so
+    a place that is kept again is kept by the window before.
+    """
+    low, n = F.lit(2**PLACE_BITS - 1).cast("long"), F.size(hashes)
+    packed = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS) + low - i)
+
+    def places(least: Column) -> Column:
+        whole = F.slice(least, F.lit(1), F.greatest(n - window + 1, F.lit(1)))
+        fresh = let(whole, lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1))))
+        return F.transform(fresh, lambda x: (low - x.bitwiseAND(low)).cast("int"))
+
+    def widened(m: Column, reach: int) -> Column:
+        """m: smallest numbers of the `reach` grams from each place on; what lies behind the end is null, which least() skips."""
+        if reach == window:
+            return places(m)
+        step = min(reach, window - reach)
+        return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + step))), lambda wider: widened(wider, reach + step))
+
+    return F.when(n > 0, let(packed, lambda p: widened(p, 1))).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW, units: Callable[[Column], Column] = words) -> Column:

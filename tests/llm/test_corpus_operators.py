@@ -608,7 +608,7 @@ def plain_print(units, k, w):
             x ^= turn(h[i - j], 21 * j % 63 + 1) if i >= j else 0
         grams.append(signed(xxhash.xxh64(x.to_bytes(8, "little"), seed=42).intdigest()))
     starts = range(max(1, len(grams) - w + 1)) if grams else []
-    places = sorted({max(range(s, min(s + w, len(grams))), key=lambda p: (-grams[p], p)) for s in starts})
+    places = sorted({max(range(s, min(s + w, len(grams))), key=lambda p: (-(grams[p] >> winnow.PLACE_BITS), p)) for s in starts})
     return [(p, grams[p]) for p in places]
 
 
@@ -635,10 +635,11 @@ def test_winnowing_against_plain_windows(spark, tmp_path):
 
 def test_winnowing_of_characters_and_long_texts(spark):
     texts = ["abracadabra", "", None, "é🙂" * 50, "abc" * 4000]
-    print_ = winnow.fingerprint(F.col("text"), 5, 4, winnow.characters)
-    for r in docs_of(spark, texts).select("doc_id", print_.alias("f")).collect():
-        want = plain_print(texts[r["doc_id"]] or "", 5, 4)
-        assert list(zip(r["f"]["places"], r["f"]["hashes"])) == want
+    for window in (4, 7, 1):
+        print_ = winnow.fingerprint(F.col("text"), 5, window, winnow.characters)
+        for r in docs_of(spark, texts).select("doc_id", print_.alias("f")).collect():
+            want = plain_print(texts[r["doc_id"]] or "", 5, window)
+            assert list(zip(r["f"]["places"], r["f"]["hashes"])) == want
 
 
 def test_winnowing_edges(spark, tmp_path):
