@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sparkseam.llm.batches import give_back
 from sparkseam.session import materialise
 
 SHINGLE = 5
@@ -308,6 +309,7 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, frequent) -> DataFra
                     yield from flush()
                     held, size, met = [], 0, set()
         yield from flush()
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ROW)
 
@@ -326,6 +328,8 @@ def candidates(rows: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(~own))
         if sig and sum(map(len, sig)):
             yield from grouped(np.concatenate(sig), np.concatenate(node))[2]
+        del sig, node
+        give_back()
 
     return rows.repartition("key").mapInArrow(run, ROW)
 
@@ -368,6 +372,7 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) ->
                         pa.array([sets[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
                     names=["node", "n", "odd", "shingles"],
                 )
+        give_back()
 
     n = reps.count()
     reps = reps.select("_rep", F.col("node").alias("_node"))
@@ -399,6 +404,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.sort(kind="stable")
                 keep[i] = 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     slim = sets.select("node", "n", "odd")
     pairs = pairs.join(slim.withColumnsRenamed({"node": "b", "n": "_qn", "odd": "_qodd"}), "b").join(slim.withColumnsRenamed({"node": "a", "n": "_pn",

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseam.llm.batches import give_back
 from sparkseam.session import materialise
 
 WINDOW, SHARD_TOKENS, CHAIN_WINDOWS = 1024, 2_000_000, 32
@@ -177,6 +178,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, separator:
                 keys, heavy = content.keys(terms, tf, counts, sizes) if content else (np.zeros(len(ids), np.int64),) * 2
                 raw = pa.array([x.tobytes() + tail for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(keys), pa.array(heavy), pa.array(np.zeros(len(ids), bool))], names=names)
+        give_back()
         at = np.flatnonzero(df)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), null), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(df[at]),
@@ -426,6 +428,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 names.append(batch.column(0).slice(first))
         if ids:
             yield shard()
+        give_back()
 
     # the row number parts equal keys and repeated rows; the table is written, so it numbers alike when a task is run again
     ranges = max(1, -(-total // (RANGE_SHARDS * shard_tokens)))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseam.llm.batches import parts
+
 KINDS = ["email", "ip", "card", "phone", "secret"]
 PATTERNED = 4  # kinds that have a base pattern
 WINDOW, STRIDE = 160, 128
@@ -515,7 +517,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     names = [id_col, *[f"n_{k}" for k in KINDS[:PATTERNED]], "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = find(batch.column(1).to_pylist(), model)
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in range(PATTERNED)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(span_text(b).encode()).hexdigest() for b,
@@ -530,7 +532,7 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text_col).to_pylist()
             new = [t if t is None or not s else mask(t, s) for t, (_, s) in zip(texts, find(texts, model), strict=True)]
             at = batch.schema.get_field_index(text_col)

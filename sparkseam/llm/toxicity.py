@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseam.llm.batches import parts
 from sparkseam.session import materialise
 
 #: Labelled rows the grammar is fitted on.
@@ -274,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = materialise(training_rows(docs, labels, id_col, text_col, label_col, rows), "training")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found: Counter = Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.update((w, y) for w in entries(text))
@@ -289,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = lexicon({r["entry"]: (r["clean"], r["toxic"]) for r in counts}, (total.get(0, 0), total.get(1, 0)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)],
                 names=["x", "y"])
 
@@ -302,7 +303,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             found = [model.clauses(t or "") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score_of(c) for c in found], pa.float64()),
@@ -315,7 +316,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows that the model doesn't call toxic, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             clean = [model.score(t) < 0.5 for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean))
 
