@@ -106,8 +106,9 @@ def legacy_rows(texts: DataFrame, schema: str, text: str = "value", name: str =
 
     Pickled stores aren't read: loading one runs whatever code it holds.
     """
-    each = texts.select(F.posexplode(F.from_json(text, f"array<struct<{schema}>>")).alias(name, "_row"))
-    return each.select(F.col(name).cast("long").alias(name), "_row.*")
+    rest = [c for c in texts.columns if c != text]
+    each = texts.select(*rest, F.posexplode(F.from_json(text, f"array<struct<{schema}>>")).alias(name, "_row"))
+    return each.select(*rest, F.col(name).cast("long").alias(name), "_row.*")
 
 
 def save(store: DataFrame, path: str) -> None:

@@ -423,12 +423,12 @@ def file_parse(spark, sf):
     return files_.parse(frame(spark, ["file_path", "content"], PARSE_ROWS), "r", "main", "abcdef1234567").select("file_path", "file_type", "commit")
 
 
-@query("changed_files", "select 'd' || doc_id || '.tf' as file_path from documents where doc_id in (select doc_id from labels) or doc_id % 7 = 0")
+@query("changed_files", "select 'd' || doc_id || '.tf' as file_path from documents where doc_id in (select doc_id from labels) or lang = 'fr'")
 def changed_files(spark, sf):
     """Paths below the root, absolute or relative, twice, and of files that aren't there."""
     docs = read_table(spark, sf, "documents")
     name = lambda before: F.concat(F.lit(before), "doc_id", F.lit(".tf")).alias("path")
-    changed = read_table(spark, sf, "labels").select(name("/repo/d")).unionByName(docs.filter("doc_id % 7 = 0").select(name("d"))).unionByName(
+    changed = read_table(spark, sf, "labels").select(name("/repo/d")).unionByName(docs.filter("lang = 'fr'").select(name("d"))).unionByName(
         docs.select(name("/repo/gone/d")))
     return files_.restricted(docs.select(name("d").alias("file_path")), changed, "/repo/")
 

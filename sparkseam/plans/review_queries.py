@@ -40,20 +40,30 @@ def heading(name: str, body: str) -> str:
     return f"{text(name)} || {NL} || {body} || {NL}"
 
 
-# ---- prompts: one question for each language, the documents' first lines as code
+# ---- prompts: a question for every conversation, its turns as code
 
-ASK = ["qid", "lang", "query", "hint"]
-ASKED = [(1, "en", "Which storage is public?", "storage"), (2, "fr", "Who may write?", ""), (3, "xx", "Is anything open?", None)]
-_ASK = values(ASK, ASKED)
-_HEADS = f"h as (select qid, doc_id, row_number() over (partition by qid order by doc_id) as rank, source, n_chars, string_split(text, {NL})[1] as line from documents join {_ASK} using (lang) where doc_id < 40)"
-_ENTRY = f"e as (select qid, string_agg('[' || rank || '] ' || line, {NL} || {NL} order by rank) as body from h where rank <= 4 group by qid), s as (select qid, string_agg('[r' || rank || '] ' || source, {NL} || {NL} order by rank) as body from h where rank <= 2 group by qid)"
-_TAGS = f"g as (select qid, string_agg('- resource_type=' || source || ', cloud_provider=, category=general', {NL} order by rank) as body from h where rank <= 3 group by qid)"
+ASK = ["qid", "query", "hint"]
+ASKED = [(1, "Which storage is public?", "storage"), (2, "Who may write?", ""), (3, "Is anything open?", None)]
+_ASK = "(select distinct conv_id as qid, 'What of ' || conv_id || '?' as query, case conv_id % 3 when 0 then 'storage' when 1 then '' end as hint from conversations)"
+_HEADS = f"""h as (select conv_id as qid, turn as doc_id, row_number() over (partition by conv_id order by turn, role, text) as rank, role as source,
+ string_split(text, {NL})[1] as line from conversations)"""
+_ENTRY = f"""e as (select qid, string_agg('[' || rank || '] ' || line, {NL} || {NL} order by rank) as body from h where rank <= 4 group by qid),
+s as (select qid, string_agg('[r' || rank || '] ' || source, {NL} || {NL} order by rank) as body from h where rank <= 2 group by qid)"""
+_TAGS = f"""g as (select qid, string_agg('- resource_type=' || source || ', cloud_provider=, category=general', {NL} order by rank) as body
+ from h where rank <= 3 group by qid)"""
+
+
+def questions(spark, sf):
+    hint = F.when(F.col("qid") % 3 == 0, "storage").when(F.col("qid") % 3 == 1, "")
+    rows = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("qid")).distinct()
+    return rows.select("qid", F.concat(F.lit("What of "), "qid", F.lit("?")).alias("query"), hint.alias("hint"))
 
 
 def heads(spark, sf):
-    rows = read_table(spark, sf, "documents").filter("doc_id < 40").join(F.broadcast(frame(spark, ASK, ASKED)), "lang")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))
-    return rows.select("qid", "doc_id", rank.alias("rank"), "source", "n_chars", F.substring_index("text", "\n", 1).alias("line"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    line = F.substring_index("text", "\n", 1).alias("line")
+    return read_table(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("doc_id"), rank.alias("rank"),
+        F.col("role").alias("source"), line)
 
 
 @query("prompt_review",
@@ -66,7 +76,7 @@ def prompt_review(spark, sf):
     rules = h.filter("rank <= 2").select("qid", "rank", F.format_string("[r%d] %s", "rank", "source").alias("entry"))
     tags = h.filter("rank <= 3").select("qid", "rank", F.col("source").alias("resource_type"), F.lit(None).cast("string").alias("cloud_provider"),
         F.lit("general").alias("category"))
-    return prompts.review(frame(spark, ASK, ASKED).select("qid", "query", "hint"), code, rules, tags)
+    return prompts.review(questions(spark, sf), code, rules, tags)
 
 
 _ACCESS = f"""a as (select qid, doc_id, rank, '### [' || rank || '] b' || doc_id || ' (' || source || ')' || {NL} || '```' || {NL} || substr(line, 1, 500) || {NL} || '```' || {NL} || 'identity: `i' || doc_id || '`, role: `Reader`, scope: `unknown` (`reference`)' as entry from h),
@@ -86,18 +96,18 @@ def prompt_access(spark, sf):
         name("i").alias("identity_name"), F.lit("Reader").alias("role"), F.lit("unknown").alias("scope_type"), F.lit("").alias("scope_value"))
     code = h.select("qid", "rank", F.col("source").alias("file_path"), F.col("line").alias("text"))
     rules = h.select("qid", "rank", F.col("source").alias("title"), F.lit("HIGH").alias("severity"), F.col("line").alias("text"))
-    return prompts.access_review(frame(spark, ASK, ASKED).select("qid", "query"), own, code, rules)
+    return prompts.access_review(questions(spark, sf).drop("hint"), own, code, rules)
 
 
 @query("prompt_snippet",
     f"""with {_HEADS}, f as (select qid, string_agg('{{"rank":' || rank || '}}', ',' || {NL} order by rank) as body from h where rank <= 10 group by qid),
 r as (select qid, string_agg('### [Rule ' || rank || '] ' || source || {NL} || substr(line, 1, 500), {NL} || {NL} order by rank) as body from h where rank <= 5 group by qid)
-select qid, {text(prompts.ROLE)} || {NL} || {NL} || {heading(prompts.FILE, "'ci.yml'")} || {NL} || {heading(prompts.SNIPPET, f"'```' || {NL} || substr(repeat(lang, 1000), 1, 1200) || {NL} || '```'")} || {NL}
+select qid, {text(prompts.ROLE)} || {NL} || {NL} || {heading(prompts.FILE, "'ci.yml'")} || {NL} || {heading(prompts.SNIPPET, f"'```' || {NL} || substr(repeat('ab', 1000), 1, 1200) || {NL} || '```'")} || {NL}
  || {heading(prompts.FOUND, "'[' || coalesce(f.body, '') || ']'")} || {NL} || coalesce({heading(prompts.RULES, 'r.body')} || {NL}, '') || {heading(prompts.QUERY, 'query')} || {NL} || {text(prompts.INSTRUCTIONS)} || {NL} || {text(prompts.ANSWER)} as prompt
  from {_ASK} left join f using (qid) left join r using (qid)""")
 def prompt_snippet(spark, sf):
     h = heads(spark, sf)
-    asked = frame(spark, ASK, ASKED).select("qid", F.lit("ci.yml").alias("file_path"), F.repeat("lang", F.lit(1000)).alias("snippet"), "query")
+    asked = questions(spark, sf).select("qid", F.lit("ci.yml").alias("file_path"), F.repeat(F.lit("ab"), F.lit(1000)).alias("snippet"), "query")
     found = h.select("qid", "rank", F.to_json(F.struct("rank")).alias("finding"))
     return prompts.snippet_review(asked, found, h.select("qid", "rank", F.col("source").alias("title"), F.col("line").alias("text")))
 
@@ -184,12 +194,12 @@ def issue_listing(spark, sf):
     return report.listing(rq.issues_of(spark, sf)[0], "ord", 10)
 
 
-@query("legacy_ids", "select row_number() over (order by doc_id) - 1 as index_id, doc_id as chunk_id, lang as file_type from documents where lang = 'es'")
+@query("legacy_ids", "select conv_id, row_number() over (partition by conv_id order by turn, role) - 1 as index_id, turn as chunk_id, role as file_type from conversations")
 def legacy_ids(spark, sf):
-    """One JSON array of rows in their order: places become ids."""
-    docs = read_table(spark, sf, "documents").filter("lang = 'es'").select("doc_id", "lang")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("file_type"))))
-    return store.legacy_rows(docs.agg(F.to_json(ordered).alias("value")), "chunk_id: long, file_type: string")
+    """A JSON array for each conversation: places in it become ids."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("chunk_id"), F.col("role").alias("file_type"))))
+    kept = read_table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(ordered).alias("value"))
+    return store.legacy_rows(kept, "chunk_id: long, file_type: string")
 
 
 @query("sarif_document", f"with {rq._ISS}, r as (select distinct rule_id from d) select '2.1.0' as version, (select count(*) from d) as results, "
