@@ -345,3 +345,25 @@ def test_secrets_over_documents_hold_every_kind(spark, tmp_path):
     spark.createDataFrame([(i, text) for i, (_, text) in enumerate(Q.SEC_ROWS, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["file_path"], r["line_number"], r["secret_type"]) for r in Q.Q["secrets_lines_all"](spark, str(tmp_path)).collect())
     assert got == sorted((p + k[1:], n, kind) for k, n, kind in Q.SEC_OUT for p in "ds") and "high_entropy" in [g[2] for g in got]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sparkseam import session
+
+    def fake(master, there=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: there), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(fake(master))
+        assert session.shared_dir(fake(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert session.shared_dir(fake("local[2]")) == session.shared_dir(fake("local[2]"))
+    mark, kept = session.written(), session.materialise(spark.range(3), "kept")
+    gone = session.materialise(spark.range(4), "gone")
+    assert gone.count() == 4
+    session.release(spark, mark, keep=kept)
+    assert kept.count() == 3 and session.written() == mark + 1
+    with pytest.raises(Exception):
+        gone.count()
