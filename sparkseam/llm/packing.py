@@ -15,8 +15,8 @@ has padding.
 
 The content key is (nearest of CLUSTERS centres, heaviest token id). Centres are fitted by spherical k-means on hashed
 tf-idf vectors of a sample of about SAMPLE_DOCS documents; they choose the neighbourhood, and
-every document is indexed whatever its key. A seed meets its own shard only: the work grows in proportion to the corpus,
-and what share of the corpus-wide best neighbours and of their scores that reaches is measured in the README.
+every document is indexed whatever its key. A seed meets its own shard only: the work grows in proportion to the corpus. What
+share of the corpus-wide best neighbours that reaches isn't measured.
 
 Defined results: null counts as empty; every document ends with the separator id, so an empty one has one token.
 Repeated rows are packed each. Ties in score go to the next place after the window's first document, in the shard's
