@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkseam.llm import bpe, chat, jaccard_join, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
+from sparkseam.llm import (
+    bpe, chat, jaccard_join, language_id, line_quality, packing, pii, resampling, shard_table, toxicity, url_filter, winnow, word_runs)
 
 
 def queries() -> dict:
@@ -17,6 +18,9 @@ def queries() -> dict:
         "op8_winnowing": winnow.op8_winnowing,
         "op9_url_filters": url_filter.op9_url_filters,
         "op10_sentencepiece": bpe.op10_sentencepiece,
+        "op11_periodic_runs": word_runs.op11_periodic_runs,
+        "op12_language_id": language_id.op12_language_id,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
@@ -27,4 +31,5 @@ def oracle_sql() -> dict:
         "op6_ngram_join": jaccard_join.ORACLE,
         "op7_shard_table": shard_table.ORACLE,
         "op9_url_filters": url_filter.ORACLE,
+        "op13_importance_resampling": resampling.ORACLE,
     }
