@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
-from sparkseam.operators import search, store
+from sparkseam.operators import search, store, vector_index
 from sparkseam.plans.fixtures import frame
 from sparkseam.session import folder, read_table
 
@@ -153,6 +153,31 @@ def vector_batch_topk(spark, sf):
     return search.vector_batch_topk(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
+@query("vector_index_topk", SQL["vector_topk"])
+def vector_index_topk(spark, sf):
+    """One query's cells of an index that was built of two thirds of the vectors, then extended, shrunk and extended again."""
+    rows, index = read_table(spark, sf, "embeddings"), vector_index.VectorIndex(spark, folder(spark, "vectors"))
+    index.build(rows.filter("label % 3 <> 0"))
+    index.add(rows.filter("label % 3 = 0"))
+    index.remove(rows.filter("label = 1"))
+    index.add(rows.filter("label = 1"))
+    return index.topk(vector0(spark, sf), K).select("vec_id", "score", "rank")
+
+
+@query("vector_index_filtered_topk", SQL["vector_filtered_topk"])
+def vector_index_filtered_topk(spark, sf):
+    index = vector_index.VectorIndex(spark, folder(spark, "vectors"))
+    index.build(read_table(spark, sf, "embeddings"))
+    return index.topk(vector0(spark, sf), K, {"label": 3}).select("vec_id", "score", "rank")
+
+
+@query("vector_index_batch_topk", SQL["vector_batch_topk"])
+def vector_index_batch_topk(spark, sf):
+    rows, index = read_table(spark, sf, "embeddings"), vector_index.VectorIndex(spark, folder(spark, "vectors"))
+    index.build(rows)
+    return index.batch_topk(rows.filter("vec_id % 50 = 0"), 5)
+
+
 _HYB = f"""{_BM}, v as ({_VEC}), sem as (select vec_id as id, score from v order by score desc, vec_id limit 30), kw as (select id, score from bm where score > 0 order by score desc, id limit 30),
 fu as (select id, coalesce(sem.score, 0) as semantic_score, coalesce(kw.score, 0) as keyword_score from sem full join kw using (id)),
 hy as (select id, semantic_score, keyword_score, round(semantic_score * 0.7 + keyword_score * 0.3, 6) as final_score from fu)"""
