@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
-from sparkseam.session import exists, materialise, remove
+from sparkseam.session import materialise
+
+if TYPE_CHECKING:
+    from sparkseam.operators.keyword_index import KeywordIndex
+    from sparkseam.operators.vector_index import VectorIndex
 
 #: Query vectors, and vectors, scored against each other at a time; bytes of query blocks that are broadcast.
 QUERY_BLOCK, VECTOR_BLOCK, BROADCAST_BYTES = 512, 4096, 64 * 2**20
@@ -153,9 +158,9 @@ def tfidf(corpus: DataFrame, query: str, id_col: str, text_col: str) -> DataFram
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term",
         (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = query_weights(idf, query)
-    # norms need all terms of the documents that hold a query term, and of no others
     hits = tf.join(F.broadcast(asked), "term").select("id", "q", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
+    # norms need all terms of the documents that hold a query term, and of no others
+    norms = tf.join(hits.select("id").distinct(), "id", "left_semi").join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2)))).alias("norm"))
     return cosine_scores(hits, norms, asked)
 
 
@@ -182,72 +187,6 @@ def idf_overlap(corpus: DataFrame, query: list[str], id_col: str, text_col: str)
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("id").agg(F.sum(idf).alias("score"))
 
 
-class KeywordIndex:
-    """A stored keyword index in a folder: postings sorted by term, lengths of documents, and the state they were made from.
-
-    A query reads the postings of its own terms only (the term filter reaches the files, whose row groups are sorted by
-    term) and two numbers over the lengths. add() appends a segment; rows under an id that is there already replace it,
-    as every row carries its segment's number and the latest counts. remove() appends ids without rows.
-    """
-
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
-
-    def _id_type(self) -> str:
-        kind = self.spark.read.parquet(f"{self.folder}/docs").schema["id"].dataType if exists(self.spark, f"{self.folder}/docs") else None
-        return kind.simpleString() if kind else "bigint"
-
-    def segments(self) -> int:
-        return self.docs(all_=True).agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
-
-    def docs(self, all_: bool = False) -> DataFrame:
-        """id, dl, segment of the documents that count (dl is null where the id was removed and all_ is set)."""
-        rows = self._read("docs", f"id {self._id_type()}, dl int, segment int")
-        return rows if all_ else rows.groupBy("id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment")).filter("dl is not null")
-
-    def add(self, corpus: DataFrame, id_col: str, text_col: str) -> None:
-        segment = self.segments()
-        rows = corpus.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
-        found = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn(
-            "segment", F.lit(segment))
-        found.select("term", "id", "tf", "segment").repartitionByRange("term", "id").sortWithinPartitions("term").write.mode("append").parquet(
-            f"{self.folder}/postings")
-        # the lengths come last: postings of a segment without lengths count for nothing
-        rows.select("id", "dl", F.lit(segment).alias("segment")).write.mode("append").parquet(f"{self.folder}/docs")
-
-    def remove(self, ids: DataFrame, id_col: str) -> None:
-        ids.select(F.col(id_col).alias("id"), F.lit(None).cast("int").alias("dl"), F.lit(self.segments()).alias("segment")).write.mode(
-            "append").parquet(f"{self.folder}/docs")
-
-    def clear(self) -> None:
-        remove(self.spark, self.folder)
-
-    def sync(self, corpus: DataFrame, id_col: str, text_col: str) -> bool:
-        """Rebuilds the index if the corpus' (count, next id) isn't the one it was built from; says whether it did."""
-        now = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(id_col).cast("string"), F.lit("")).alias("last"))
-        was = self._read("state", "n long, last string")
-        if now.exceptAll(was).isEmpty() and not was.isEmpty():
-            return False
-        now = materialise(now, "state")
-        self.clear()
-        self.add(corpus, id_col, text_col)
-        now.write.mode("overwrite").parquet(f"{self.folder}/state")
-        return True
-
-    def postings(self, query: list[str]) -> DataFrame:
-        """id, dl, term, tf of the query's terms."""
-        found = self._read("postings", f"term string, id {self._id_type()}, tf int, segment int").filter(F.col("term").isin(list(dict.fromkeys(query))))
-        return found.join(self.docs(), ["id", "segment"]).select("id", "dl", "term", "tf")
-
-    def bm25(self, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-        """id, raw, score as bm25() over the indexed documents."""
-        return bm25_of(self.postings(query), self.docs().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), query, k1, b)
-
-
 def fuse(semantic: DataFrame, keyword: DataFrame, w_semantic: float = 0.7, w_keyword: float = 0.3) -> DataFrame:
     """Full outer union of two (id, score) branches; a missing side counts as 0."""
     if not 0 <= w_semantic <= 1 or not 0 <= w_keyword <= 1:
@@ -262,12 +201,18 @@ def fetch_size(k: int, factor: int = 3) -> int:
 
 
 def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text",
-    vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None) -> DataFrame:
-    """id, the two scores, final_score, rank of the k best, or of the `keep` best of the merged list. A metadata filter holds for the vector branch, and for keywords only with filter_both."""
+    vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None, keywords: KeywordIndex | None = None,
+    cells: VectorIndex | None = None) -> DataFrame:
+    """id, the two scores, final_score, rank of the k best, or of the `keep` best of the merged list. A metadata filter holds for the vector branch, and for keywords only with filter_both.
+
+    keywords, cells: stored indexes of the corpus and the vectors, searched in place of them (keywords not with filter_both, which changes the corpus).
+    """
     n = fetch_size(k)
-    semantic = vector_topk(vectors, vector, n, vec_id, where).select(F.col(vec_id).alias("id"), "score")
+    found = cells.topk(vector, n, where) if cells else vector_topk(vectors, vector, n, vec_id, where)
+    semantic = found.select(F.col(vec_id).alias("id"), "score")
     base = equal_to(corpus, where or {}) if filter_both else corpus
-    words = bm25(base, query, id_col, text_col).withColumn("score", F.round("score", 6)).filter("score > 0")
+    words = keywords.bm25_topk(query, n) if keywords and not filter_both else bm25(base, query, id_col, text_col)
+    words = words.withColumn("score", F.round("score", 6)).filter("score > 0")
     keyword = ranked(words, "score", n, "id").select("id", "score")
     return ranked(fuse(semantic, keyword).withColumn("final_score", F.round("final_score", 6)), "final_score", keep or k, "id")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseam.operators.search import QUERY_BLOCK, ranked
-from sparkseam.session import exists, materialise, remove
+from sparkseam.session import exists, materialise, published, remove
 
 #: Cells at most, vectors that pivots are fitted on, rounds of the fit, vectors scored at once.
 MOST_CELLS, SAMPLE, ROUNDS, BLOCK = 1024, 8192, 6, 4096
@@ -105,8 +105,9 @@ class VectorIndex:
 
     def remove(self, ids: DataFrame) -> None:
         rows = ids.select(F.col(self.id_col).cast("long").alias(self.id_col)).distinct()
-        rows.withColumn("since", F.lit(self.segments())).write.mode("append").parquet(f"{self.folder}/gone")
-        self._cells([(-1, 0, 0.0, 0.0, self.segments())])
+        segment = self.segments()
+        rows.write.mode("overwrite").parquet(f"{self.folder}/gone/segment={segment}")
+        self._cells([], segment)
 
     def clear(self) -> None:
         remove(self.spark, self.folder)
@@ -127,27 +128,27 @@ class VectorIndex:
         chosen = rows.select(F.col(self.id_col).cast("long").alias(self.id_col), F.col(self.vector_col).cast("array<double>").alias(self.vector_col), *others)
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
         path = f"{self.folder}/vectors/segment={segment}"
+        remove(self.spark, f"{self.folder}/gone/segment={segment}")  # of a removal that broke off
         # a large cell is dealt over many tasks, as the ids' hash takes part
         cells = max(1, len(pivots))
-        chosen.mapInArrow(place, f"{kind}, cell int, dot double").repartition("cell", F.pmod(F.xxhash64(self.id_col), F.lit(max(1, 64 // cells)))).write.mode("overwrite").partitionBy(
-            "cell").parquet(path)
+        dealt = chosen.mapInArrow(place, f"{kind}, cell int, dot double").repartition("cell", F.pmod(F.xxhash64(self.id_col), F.lit(max(1, 64 // cells))))
+        dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
         stats = self.spark.read.parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dot").alias("least"), F.max("dot").alias("largest"))
-        self._cells([(r["cell"], r["n"], r["least"], r["largest"], segment) for r in stats.collect()] or [(-1, 0, 0.0, 0.0, segment)])
+        self._cells([(r["cell"], r["n"], r["least"], r["largest"]) for r in stats.collect()], segment)
 
-    def _cells(self, rows: list[tuple]) -> None:
+    def _cells(self, rows: list[tuple], segment: int) -> None:
         """The last step of a change: vectors of a segment that isn't named here count for nothing."""
-        self.spark.createDataFrame(rows, "cell int, n long, least double, largest double, segment int").coalesce(1).write.mode("append").parquet(
-            f"{self.folder}/cells")
+        self.spark.createDataFrame(rows, "cell int, n long, least double, largest double").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.folder}/cells/segment={segment}")
 
     # ---- reading
 
     def segments(self) -> int:
-        rows = self._stats()
-        return 0 if rows is None else rows.agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
+        return published(self.spark, f"{self.folder}/cells")
 
     def _stats(self) -> DataFrame | None:
         path = f"{self.folder}/cells"
-        return self.spark.read.parquet(path) if exists(self.spark, path) else None
+        return self.spark.read.schema("cell int, n long, least double, largest double, segment int").parquet(path) if self.segments() else None
 
     def _pivots(self) -> np.ndarray:
         path = f"{self.folder}/pivots"
@@ -157,7 +158,7 @@ class VectorIndex:
     def cells(self) -> tuple[np.ndarray, ...]:
         """Numbers, pivots, rows, least and largest dot product of the cells that hold vectors."""
         stats, pivots = self._stats(), self._pivots()
-        rows = [] if stats is None else stats.filter("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"),
+        rows = [] if stats is None else stats.groupBy("cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"),
             F.max("largest").alias("largest")).orderBy("cell").collect()
         number = np.array([r["cell"] for r in rows], dtype=np.int64)
         return number, pivots[number] if len(number) else pivots, *(np.array([r[c] for r in rows], dtype=np.float64) for c in ("n", "least", "largest"))
@@ -172,7 +173,8 @@ class VectorIndex:
             last = every.groupBy(self.id_col).agg(F.max("segment").alias("segment"))
             rows = rows.join(last, [self.id_col, "segment"], "left_semi")
             if exists(self.spark, f"{self.folder}/gone"):
-                gone = self.spark.read.parquet(f"{self.folder}/gone").groupBy(F.col(self.id_col).alias("_gone")).agg(F.max("since").alias("since"))
+                gone = self.spark.read.parquet(f"{self.folder}/gone").filter(F.col("segment") < self.segments())
+                gone = gone.groupBy(F.col(self.id_col).alias("_gone")).agg(F.max("segment").alias("since"))
                 rows = rows.join(gone, (F.col(self.id_col) == F.col("_gone")) & (F.col("segment") < F.col("since")), "left_anti")
         return rows
 

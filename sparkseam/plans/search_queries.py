@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
 from sparkseam.operators import search, store, vector_index
+from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.plans.fixtures import frame
 from sparkseam.session import folder, read_table
 
@@ -72,19 +73,31 @@ def keyword_bm25_topk(spark, sf):
     f"0 order by score desc, id limit {K}")
 def keyword_index_topk(spark, sf):
     """The same from a stored index that was built of half the documents, then extended, shrunk and extended again."""
-    docs, index = read_table(spark, sf, "documents"), search.KeywordIndex(spark, folder(spark, "keywords"))
+    docs, index = read_table(spark, sf, "documents"), KeywordIndex(spark, folder(spark, "keywords"))
     index.add(docs.filter("lang = 'en'"), "doc_id", "text")
     index.add(docs.filter("lang <> 'en'"), "doc_id", "text")
     index.remove(docs.filter("lang = 'fr'"), "doc_id")
     index.add(docs.filter("lang = 'fr'"), "doc_id", "text")
-    rows = index.bm25(QUERY).withColumn("score", F.round("score", 6)).filter("score > 0")
+    rows = index.bm25_topk(QUERY, K).withColumn("score", F.round("score", 6)).filter("score > 0")
+    return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("keyword_index_follow", SQL["keyword_bm25_topk"])
+def keyword_index_follow(spark, sf):
+    """An index of other texts under some ids, without some documents and with some that are gone by now, brought to the documents."""
+    docs, index = read_table(spark, sf, "documents").select("doc_id", "text"), KeywordIndex(spark, folder(spark, "keywords"))
+    was = docs.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" the of erer"))).otherwise(F.col("text")))
+    was = was.unionByName(docs.filter("doc_id % 13 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    index.sync(was, "doc_id", "text")
+    index.sync(docs, "doc_id", "text")
+    rows = index.bm25_topk(QUERY, K).withColumn("score", F.round("score", 6)).filter("score > 0")
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("keyword_index_sync", "select 1 as turn, true as rebuilt union all select 2, false union all select 3, true")
 def keyword_index_sync(spark, sf):
     """Whether the index is rebuilt: at first, for the same corpus, and after a document has come."""
-    docs, index = read_table(spark, sf, "documents").select("doc_id", "text"), search.KeywordIndex(spark, folder(spark, "keywords"))
+    docs, index = read_table(spark, sf, "documents").select("doc_id", "text"), KeywordIndex(spark, folder(spark, "keywords"))
     more = docs.unionByName(docs.agg((F.max("doc_id") + 1).alias("doc_id"), F.lit("one more").alias("text")))
     turns = [index.sync(rows, "doc_id", "text") for rows in (docs, docs, more)]
     return frame(spark, ["turn", "rebuilt"], [(i + 1, t) for i, t in enumerate(turns)]).select(F.col("turn").cast("int").alias("turn"), "rebuilt")
@@ -115,6 +128,18 @@ def keyword_tfidf_topk(spark, sf):
     return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query("keyword_index_tfidf_topk", SQL["keyword_tfidf_topk"])
+def keyword_index_tfidf_topk(spark, sf):
+    """The same from an index whose document frequencies and norms followed an add, a replacement, a removal and an add again."""
+    docs, index = read_table(spark, sf, "documents").select("doc_id", "text", "lang"), KeywordIndex(spark, folder(spark, "norms"), norms=True)
+    index.add(docs.filter("lang <> 'de'").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.reverse("text")).otherwise(F.col("text"))), "doc_id", "text")
+    index.add(docs.filter("doc_id % 7 = 0 or lang = 'de'"), "doc_id", "text")
+    index.remove(docs.filter("lang = 'es'"), "doc_id")
+    index.add(docs.filter("lang = 'es'"), "doc_id", "text")
+    rows = index.tfidf(QUERY_TEXT).withColumn("score", F.round("score", 6))
+    return search.ranked(rows, "score", K, "id").select(F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query("l2_normalize", "with n as (select vec_id, list_transform(embedding::double[], lambda x: x / "
     "greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-10)) as v from embeddings) select vec_id, round(v[1], 6) as "
     "first, round(list_sum(v), 6) as total from n")
@@ -193,6 +218,16 @@ def hybrid_topk(spark, sf):
     return _hybrid(spark, sf).withColumnRenamed("id", "doc_id")
 
 
+@query("hybrid_index_topk", SQL["hybrid_topk"])
+def hybrid_index_topk(spark, sf):
+    """The same rows from stored indexes of both branches."""
+    docs, rows = read_table(spark, sf, "documents"), read_table(spark, sf, "embeddings")
+    keywords, cells = KeywordIndex(spark, folder(spark, "keywords")), vector_index.VectorIndex(spark, folder(spark, "vectors"))
+    keywords.add(docs, "doc_id", "text")
+    cells.build(rows)
+    return search.hybrid(docs, rows, QUERY, vector0(spark, sf), K, keywords=keywords, cells=cells).withColumnRenamed("id", "doc_id")
+
+
 @query("hybrid_filtered_topk", f"with {_HYB.replace('v as (' + _VEC + ')', 'v as (select * from (' + _VEC + ') where label = 3)')} select id as "
     f"doc_id, semantic_score, keyword_score, final_score, row_number() over (order by final_score desc, id)::int as rank from hy order by final_score "
     f"desc, id limit {K}")

@@ -72,6 +72,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def published(spark: SparkSession, path: str) -> int:
+    """The number after the last folder segment=N in path that was written to its end (0: none)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    found = [int(n[8:]) for n in names if n.startswith("segment=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max(found, default=-1) + 1
+
+
 def written() -> int:
     """A mark for release()."""
     return len(_WRITTEN)

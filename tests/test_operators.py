@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions import text as T
 from sparkseam.operators import chunking, context, detectors, governance, iam, quality, ranges, report, rules, search, store
+from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.plans.engine import Cache, Engine
 from sparkseam.plans.fixtures import frame
 from sparkseam.sources import files, parsers
@@ -213,7 +214,7 @@ def test_first_of_each_key(spark):
 
 def test_keyword_index_is_kept(spark, tmp_path):
     docs = frame(spark, ["id", "text"], [(1, "alpha beta"), (2, "alpha alpha gamma"), (3, "delta")])
-    index = search.KeywordIndex(spark, str(tmp_path / "k"))
+    index = KeywordIndex(spark, str(tmp_path / "k"))
     index.add(docs, "id", "text")
     same = lambda rows: {r["id"]: (round(r["raw"], 9), round(r["score"], 9)) for r in rows.collect()}
     assert same(index.bm25(["alpha", "delta"])) == same(search.bm25(docs, ["alpha", "delta"], "id", "text"))
@@ -221,7 +222,7 @@ def test_keyword_index_is_kept(spark, tmp_path):
     index.remove(docs.filter("id = 3"), "id")
     now = frame(spark, ["id", "text"], [(1, "alpha beta"), (2, "delta only")])
     assert same(index.bm25(["alpha", "delta"])) == same(search.bm25(now, ["alpha", "delta"], "id", "text"))
-    assert search.KeywordIndex(spark, str(tmp_path / "k")).docs().count() == 2
+    assert KeywordIndex(spark, str(tmp_path / "k")).docs().count() == 2
     index.clear()
     assert index.docs().count() == 0 and index.sync(now, "id", "text") and not index.sync(now, "id", "text")
 
