@@ -208,19 +208,19 @@ class KeywordIndex:
         bar = best[-1]["raw"] - 2e-6 * top if len(best) == k else -1.0
         self.scored_blocks = (bounds.filter(F.col("bound") >= bar).count(), all_)
         raw = scored(bounds.filter(F.col("bound") >= bar))
-        low = 0.0 if self._some_without(bounds, sum(df.values()), n) else self.bm25(query, k1, b).agg(F.min("raw")).first()[0]
+        low = 0.0 if self._some_without(lists, bounds, sum(df.values()), n) else self.bm25(query, k1, b).agg(F.min("raw")).first()[0]
         raw = materialise(raw, "raw")
         high = raw.agg(F.max("raw")).first()[0]
         return raw.select("id", "raw", minmax(F.col("raw"), F.lit(low), F.lit(high)).alias("score"))
 
-    def _some_without(self, bounds: DataFrame, total: int, n: int) -> bool:
+    def _some_without(self, lists: DataFrame, bounds: DataFrame, total: int, n: int) -> bool:
         """Whether a document holds none of the query's terms: by the sums of df, else by a block's, else by counting."""
         if total < n:
             return True
         live = self.docs().groupBy("segment", "block").agg(F.count(F.lit(1)).alias("n"))
         if not live.join(bounds, ["segment", "block"], "left").filter("n > coalesce(held, 0)").isEmpty():
             return True
-        return self._live(self.blocks().join(bounds, ["segment", "block"], "left_semi")).select("id").distinct().count() < n
+        return self._live(lists).select("id").distinct().count() < n
 
     # ---- tf-idf
 

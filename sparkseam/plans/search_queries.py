@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions.text import terms
 from sparkseam.operators import search, store, vector_index
+from sparkseam.operators.keyed_table import KeyedTable
 from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.plans.fixtures import frame
 from sparkseam.session import folder, read_table
@@ -305,6 +306,41 @@ def upsert_last_wins(spark, sf):
     return store.upsert(have, batch, "k", "ord")
 
 
+@query("keyed_table_versions", """with a as (select 1 as version, o_orderkey, o_totalprice, o_orderstatus from orders),
+l as (select l_orderkey as o_orderkey, max_by(l_quantity, l_linenumber * 1000 + l_quantity) as q from lineitem where l_returnflag = 'R' and l_orderkey % 10 = 3 group by l_orderkey),
+b as (select 2 as version, o_orderkey, coalesce(q, o_totalprice) as o_totalprice, case when q is null then o_orderstatus else 'R' end as o_orderstatus from a left join l using (o_orderkey)
+  union all select 2, o_orderkey, q, 'R' from l where o_orderkey not in (select o_orderkey from orders)),
+c as (select 3 as version, o_orderkey, o_totalprice, o_orderstatus from b where o_orderkey not in (select o_orderkey from orders where o_custkey % 100 = 7))
+select version, count(*) as n, sum(o_orderkey)::bigint as keys, round(sum(o_totalprice), 2) as total, sum((o_orderstatus = 'R')::int)::bigint as returned from (from a union all from b union all from c) group by version""")
+def keyed_table_versions(spark, sf):
+    """orders as a keyed table: an upsert of returned quantities, replayed once, then a deletion; all three versions are read."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    table = KeyedTable(spark, folder(spark, "orders"), "o_orderkey", orders.drop("o_custkey").schema)
+    table.upsert(orders.drop("o_custkey"), name="load")
+    back = read_table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_orderkey % 10 = 3")
+    back = back.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("o_totalprice"), F.lit("R").alias("o_orderstatus"),
+        (F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("ord"))
+    table.upsert(back, order="ord", name="returns")
+    table.upsert(back, order="ord", name="returns")
+    table.delete(orders.filter("o_custkey % 100 = 7"))
+    each = [table.read(v).withColumn("version", F.lit(v)) for v in table.versions()]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    return rows.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.sum((F.col("o_orderstatus") == "R").cast("long")).alias("returned"))
+
+
+@query("keyed_table_upsert", SQL["upsert_last_wins"])
+def keyed_table_upsert(spark, sf):
+    """The rows of upsert_last_wins from a keyed table."""
+    have = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    batch = read_table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"),
+        F.col("l_linenumber").alias("ord"))
+    table = KeyedTable(spark, folder(spark, "keyed"), "k", have.schema)
+    table.upsert(have)
+    table.upsert(batch, order="ord")
+    return table.read()
+
+
 @query("delete_by_key", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def delete_by_key(spark, sf):
     gone = read_table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))

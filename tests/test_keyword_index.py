@@ -64,6 +64,14 @@ def test_scores_where_every_document_holds_a_term(spark, small_blocks):
     assert top(index.bm25_topk(["oak"], 7), 7) == top(search.bm25(more, ["oak"], "id", "text"), 7)
 
 
+def test_one_document_without_a_term_among_many_with_two(spark):
+    """Sums of document frequencies prove nothing here, so documents are counted."""
+    rows = frame(spark, [(i, "oak elm " * (i % 4 + 1)) for i in range(40)] + [(50, "ash ash ash")])
+    index = KeywordIndex(spark, folder(spark, "kw"))
+    index.add(rows, "id", "text")
+    assert top(index.bm25_topk(["oak", "elm"], 7), 7) == top(search.bm25(rows, ["oak", "elm"], "id", "text"), 7)
+
+
 @pytest.mark.parametrize("norms", [False, True])
 def test_changes_equal_a_rebuild(spark, small_blocks, norms):
     before, after = dict(made(2, 120)), dict(made(3, 120, first=80))
