@@ -13,8 +13,8 @@ batch whose name is in the history already does nothing, so a replayed batch cou
 until remove_old().
 
 In a batch the last row of a key in the given order counts; of rows that are equal in it, the one read first (without
-an order: the one read last). Null keys are refused. Deleting a key that isn't there does nothing, and a change that touches nothing makes no version unless
-its batch is named.
+an order: the one read last). Null keys are refused. Deleting a key that isn't there does nothing, and a change that
+touches nothing makes no version unless its batch is named.
 """
 
 from __future__ import annotations
@@ -120,8 +120,20 @@ class KeyedTable:
     def delete(self, keys: DataFrame, name: str | None = None) -> int:
         return self._change(keys.select(self.key), None, name, keep=False)
 
-    def _change(self, batch: DataFrame, order: str | None, name: str | None, keep: bool) -> int:
+    def accumulate(self, batch: DataFrame, name: str | None = None) -> int:
+        """Adds the batch's numbers to those of their keys: all columns but the key are summed, nulls counting as 0."""
         version = self.version()
+        if name is not None and name in self.batches():
+            return version
+        sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in self.schema.names if c != self.key]
+        total = lambda rows: rows.groupBy(self.key).agg(*sums)
+        new = materialise(total(batch.select(*self.schema.names)), "sums")
+        paths = [r[0] for r in self._touched(self.manifest(version).filter("path is not null"), new).select("path").collect()]
+        old = self._files(paths).join(new.select(self.key), self.key, "left_semi")
+        return self._change(total(old.unionByName(new)), None, name, keep=True, began=version)
+
+    def _change(self, batch: DataFrame, order: str | None, name: str | None, keep: bool, began: int | None = None) -> int:
+        version = self.version() if began is None else began
         if name is not None and name in self.batches():
             return version
         place = order or "_read"
@@ -131,7 +143,7 @@ class KeyedTable:
         rows = materialise(rows.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in columns]), "batch")
         if not rows.filter(F.col(self.key).isNull()).isEmpty():
             raise ValueError(f"{self.key} is null in the batch")
-        files = self.manifest().filter("path is not null")
+        files = self.manifest(version).filter("path is not null")
         touched = materialise(self._touched(files, rows), "touched")
         paths = [r[0] for r in touched.select("path").collect()]
         rest = self._files(paths).join(rows.select(self.key), self.key, "left_anti")

@@ -8,8 +8,9 @@ from sparkseam.operators import context, quality, report
 from sparkseam.operators import governance as G
 from sparkseam.functions import text as T
 from sparkseam.plans.fixtures import frame, values
-from sparkseam.session import read_table
-from sparkseam.streaming import streams
+from sparkseam.operators.keyed_table import KeyedTable
+from sparkseam.session import folder, read_table
+from sparkseam.streaming import ingest, stateful, streams
 
 Q, SQL = {}, {}
 
@@ -467,3 +468,61 @@ def stream_ingest_dedup(spark, sf):
 def stream_audit_window(spark, sf):
     out = streams.drain(streams.audit_windows(streams.source(spark, f"{sf}/events.parquet", ("ts",))), "audit", "complete")
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+@query("stream_exactly_once", "select sha256(coalesce(text, '')) as content_hash, count(*) as n from documents group by 1")
+def stream_exactly_once(spark, sf):
+    """documents in three batches, the second of which is published, breaks off before its checkpoint, and comes again."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    rows = streams.source(spark, streams.in_order(docs, "doc_id", 3, "texts"), files=1)
+    schema = docs.limit(0).select(F.lit("").alias("content_hash"), F.lit(0).cast("long").alias("n")).schema
+    table, state = KeyedTable(spark, folder(spark, "texts"), "content_hash", schema), folder(spark, "ingest")
+    lost = []
+
+    def once(batch, name):
+        table.accumulate(batch, name)
+        if name.endswith("/1") and not lost:
+            lost.append(name)
+            raise ConnectionError("the driver is lost after the batch was published")
+
+    hashes = rows.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("content_hash"), F.lit(1).cast("long").alias("n"))
+    try:
+        ingest.merge(hashes, "documents", state, once)
+    except Exception:
+        if not lost:
+            raise
+    ingest.ingest_texts(rows, table, "documents", state)
+    return table.read()
+
+
+_ACTS = {"signup": "submit", "purchase": "approve", "error": "reject"}
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+@query("stream_approvals", f"""with a as (select event_id, user_id, ts, case event_type when 'signup' then 'submit' when 'purchase' then 'approve' else 'reject' end as act, coalesce(value < 20, false) as low
+  from events where event_type in ('signup', 'purchase', 'error')),
+x as (select *, lead(ts) over w as nts, lead(act) over w as nact, ts + interval 18 hour as till from a where act <> 'submit' or not low window w as (partition by user_id order by ts, event_id)),
+l as (select user_id, max(ts) as last from a group by user_id), m as (select max(ts) - interval 2 day as mark from a),
+r as (select user_id, event_id as request, ts as submitted, 'auto_approved' as status, ts as decided from a where act = 'submit' and low
+  union all select user_id, event_id, ts, case when nts is null or nts > till then 'expired' when nact = 'submit' then 'superseded' when nact = 'approve' then 'approved' else 'rejected' end,
+    case when nts is null or nts > till then till else nts end from x join l using (user_id), m where act = 'submit' and (nts is not null or last > till or mark > till))
+select user_id, request, {_STAMP.format('submitted')} as submitted, status, {_STAMP.format('decided')} as decided from r""")
+def stream_approvals(spark, sf):
+    """Requests of users over events: signups submit, purchases approve, errors reject; values below 20 need no reviewer; 18 hours to live."""
+    events = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    rows = streams.source(spark, streams.in_order(events, "ts", 4, "events"), files=1)
+    action = F.create_map(*[F.lit(x) for kv in _ACTS.items() for x in kv])[F.col("event_type")]
+    out = streams.drain(stateful.approvals(rows, "user_id", action, F.col("value") < 20, "18 hours", "2 days"), "approvals")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("user_id", "request", stamp("submitted"), "status", stamp("decided"))
+
+
+@query("stream_cache_lookups", """with recursive s as (select user_id, event_type, min(ts) as at, true as first from events group by all
+  union all select s.user_id, s.event_type, min(e.ts), false from s join events e on e.user_id = s.user_id and e.event_type = s.event_type and e.ts >= s.at + interval 3 day group by all)
+select e.user_id, e.event_type, e.event_id, case when s.at is null then 'hit' when s.first then 'miss' else 'expired' end as outcome
+from events e left join s on e.user_id = s.user_id and e.event_type = s.event_type and e.ts = s.at""")
+def stream_cache_lookups(spark, sf):
+    """Every event as a lookup in a cache by user and type whose entries live for three days."""
+    events = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    rows = streams.source(spark, streams.in_order(events, "ts", 4, "events"), files=1)
+    return streams.drain(stateful.lookups(rows, ["user_id", "event_type"], "3 days", "2 days"), "lookups")

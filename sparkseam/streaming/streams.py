@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseam.session import folder
+from sparkseam.session import folder, remove
 
 
-def source(spark: SparkSession, path: str, times: tuple[str, ...] = ()) -> DataFrame:
-    """A stream of the Parquet files at path (a folder, or one file: the stream then watches its folder for that name). times: columns cast to timestamps."""
+def in_order(rows: DataFrame, column: str, files: int, name: str) -> str:
+    """Writes a table as files that follow each other in a column (equal counts, about), one written after the other; returns their folder.
+
+    A stream of it with one file for each batch sees the rows in batches of that order.
+    """
+    spark = rows.sparkSession
+    path = folder(spark, f"input-{name}")
+    cuts = rows.select(F.expr(f"percentile_approx(`{column}`, array({', '.join(str(i / files) for i in range(1, files))}))")).first()[0] if files > 1 else []
+    edges = [None, *(cuts or []), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.filter(F.col(column) > F.lit(low))
+        part = part if high is None else part.filter((F.col(column) <= F.lit(high)) | (F.col(column).isNull() if low is None else F.lit(False)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def source(spark: SparkSession, path: str, times: tuple[str, ...] = (), files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files at path (a folder, or one file: the stream then watches its folder for that name). times: columns cast to timestamps; files: of one batch at most."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         reader, path = reader.option("pathGlobFilter", name), folder
     rows = reader.parquet(path)
@@ -21,16 +39,24 @@ def source(spark: SparkSession, path: str, times: tuple[str, ...] = ()) -> DataF
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all present input into the shared folder and reads the result. Complete mode keeps the last batch's table."""
+    """Runs a stream over all present input into the shared folder and reads the result. In complete mode each batch has a folder of its own, and the last one's is read."""
     spark = stream.sparkSession
     base = folder(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/out").start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    last = [-1]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch-{number}")  # a batch that comes again writes the same
+        if last[0] >= 0 and last[0] != number:
+            remove(spark, f"{base}/batch-{last[0]}")
+        last[0] = number
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/batch-{last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
 
 
 def ingest_dedup(stream: DataFrame, text: str = "text") -> DataFrame:
