@@ -64,7 +64,7 @@ def scan_errors(files: DataFrame) -> DataFrame:
 
 @dataclass
 class Cache:
-    """Answers by (question, filter) until their time is over. Holds as many as are asked within that time."""
+    """Answers by all parameters of a question until their time is over. Holds as many as are asked within that time."""
 
     seconds: float = 300.0
     now: Callable[[], float] = time.time
@@ -111,14 +111,21 @@ class Engine:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return sorted(int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()) if fs.exists(path) else []
 
-    def _segments(self) -> list[str]:
-        """Segments of the newest manifest whose parts all exist; a damaged one gives way to the one before."""
+    def _newest(self) -> tuple[int, list[str]]:
+        """Number and segments of the newest manifest whose parts all exist; a damaged one gives way to the one before."""
         for number in reversed(self._manifests()):
             row = self.spark.read.text(f"{self.root}/manifest/{number}").first()
             names = row[0].split(",") if row else []
             if names and all(exists(self.spark, f"{self.root}/segments/{n}/{part}") for n in names for part in ("chunks", "files")):
-                return names
-        return []
+                return number, names
+        return 0, []
+
+    def _segments(self) -> list[str]:
+        return self._newest()[1]
+
+    def _next(self) -> int:
+        """A number above those of all manifests there are, and so above all segments'."""
+        return (self._manifests() or [0])[-1] + 1
 
     def has_entries(self) -> bool:
         rows = self._read("files")
@@ -126,7 +133,7 @@ class Engine:
 
     def _publish(self, segments: list[str]) -> None:
         """Writes the next manifest aside and renames it; a number that is taken already makes it fail."""
-        number = (self._manifests() or [0])[-1] + 1
+        number = self._next()
         aside, final = f"{self.root}/aside-{uuid.uuid4().hex}", f"{self.root}/manifest/{number}"
         self.spark.range(1).select(F.lit(",".join(segments)).alias("value")).coalesce(1).write.text(aside)
         p = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -146,6 +153,12 @@ class Engine:
             F.max("segment").alias("segment"))
 
     def chunks(self) -> DataFrame | None:
+        """The chunks of the latest version of each file; a text that several files hold is there once, under its smallest id."""
+        rows = self._live()
+        return None if rows is None else store.first_of_each(rows, ["content_hash"], "index_id")
+
+    def _live(self) -> DataFrame | None:
+        """The same with a row for each file that holds a text, so that a text outlives its first file."""
         rows = self._read("chunks")
         one = None if rows is None else rows.select(F.size("embedding")).first()  # all rows of a store have one dimension
         if one and one[0] != self.dimension:
@@ -161,23 +174,23 @@ class Engine:
     def ingest(self, files: DataFrame, size: int = 400, overlap: int = 40, strategy: str = "hybrid") -> DataFrame:
         """Adds what changed of parsed files (file_path, file_type, content); chunks of a changed file are replaced."""
         segments, registry = self._segments(), self.registry()
-        number = len(self._manifests()) + 1
+        number = self._next()
         fresh = store.changed(files, registry) if registry is not None else files.withColumn("content_hash", store.content_hash("content"))
         fresh = materialise(fresh, "fresh")
         if not fresh.isEmpty():
-            rest = store.delete(self.chunks(), fresh, "file_path") if registry is not None else None
+            had = self._read("chunks")  # of all segments, so that no id is given twice
             # a text that is stored already keeps its embedding
-            chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension, known=self._read("chunks"))
+            chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension, known=had)
             chunks = chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path"))
             empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
-            new = store.insert_new(rest if rest is not None else empty, chunks, "ord").withColumn("segment", F.lit(number))
+            new = store.insert_new(had if had is not None else empty, chunks, "ord", dedup=False).withColumn("segment", F.lit(number))
             self._append(segments, new, fresh.select("file_path", "content_hash", F.lit(number).alias("segment")))
         self.cache.clear()
         return self.chunks()
 
     def compact(self) -> None:
         """One segment in place of all. The old ones stay on disk until remove_old(), for readers that began before."""
-        chunks, files = self.chunks(), self.registry()
+        chunks, files = self._live(), self.registry()
         if chunks is not None:
             self._append([], chunks, files)
 
@@ -185,10 +198,12 @@ class Engine:
         """Deletes segments that the manifest doesn't name, and earlier manifests; returns how many segments went."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = p(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        named = set(self._segments())
+        newest, names = self._newest()
+        named = set(names)
         gone = [x.getPath() for x in fs.listStatus(p(f"{self.root}/segments")) if x.getPath().getName() not in named]
-        for number in self._manifests()[:-1]:
-            fs.delete(p(f"{self.root}/manifest/{number}"), True)
+        for number in self._manifests():
+            if number < newest:
+                fs.delete(p(f"{self.root}/manifest/{number}"), True)
         for path in gone:
             fs.delete(path, True)
         return len(gone)
@@ -223,9 +238,9 @@ class Engine:
     def analyze(self, query: str, k: int = 12, k_rules: int = 7, where: dict | None = None, hint: str = "") -> dict:
         """A question's structured answer: issues and evidence as tables of k rows at most, the model's text, its summary, and how it was found.
 
-        The client's answer is cached by question and filter, whatever k and hint.
+        The answer is cached by all parameters.
         """
-        key = (query, json.dumps(where or {}, sort_keys=True))
+        key = (query, k, k_rules, json.dumps(where or {}, sort_keys=True), hint)
         if (kept := self.cache.get(key)) is not None:
             return kept | {"metadata": kept["metadata"] | {"cached": True}}
         one = F.lit(1).alias("qid")

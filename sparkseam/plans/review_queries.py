@@ -363,6 +363,24 @@ def store_state(spark, sf):
     return frame(spark, STATE, seen)
 
 
+@query("store_documents", """with v as (select case when doc_id % 5 = 0 then reverse(text) else text end as t from documents)
+select sha256(t) as content_hash, count(*) as files, 1::bigint as shown from v where length(t) > 0 group by t""")
+def store_documents(spark, sf):
+    """documents as files of the store: an earlier version, the tables' own, compacted, old segments gone, then changed texts. How many files hold
+    a text, and how often it is shown."""
+    docs = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("file_path"), F.lit("text").alias("file_type"),
+        F.col("text").alias("content"), "doc_id", "lang")
+    put = lambda rows: engine.ingest(rows.select("file_path", "file_type", "content"), size=10_000_000)
+    engine = Engine(spark, folder(spark, "engine"))
+    put(docs.filter("lang <> 'de'").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
+    put(docs)
+    engine.compact()
+    engine.remove_old()
+    put(docs.filter("doc_id % 5 = 0").withColumn("content", F.reverse("content")))
+    shown = engine.chunks().groupBy("content_hash").agg(F.count(F.lit(1)).alias("shown"))
+    return engine.registry().groupBy("content_hash").agg(F.count(F.lit(1)).alias("files")).join(shown, "content_hash").select("content_hash", "files", "shown")
+
+
 @query("session_isolated", f"select * from {values(['session', 'view', 'partitions'], [('own', False, 'same'), ('other', True, 'changed')])}")
 def session_isolated(spark, sf):
     """A view and a setting of one session aren't seen in another."""

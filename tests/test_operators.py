@@ -151,6 +151,54 @@ def test_scan_parse_and_engine(spark, tmp_path):
     assert engine.chunks() is None and not engine.has_entries()
 
 
+def held(engine):
+    return sorted(r["text"] for r in engine.chunks().collect())
+
+
+def tf(name, value):
+    return f'variable "{name}" {{\n  default = {value}\n}}\n'
+
+
+def test_store_after_old_versions_went(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "state"))
+    put = lambda *rows: engine.ingest(frame(spark, ["file_path", "file_type", "content"], [(p, "terraform", c) for p, c in rows]))
+    for value in (1, 2):
+        put(("a.tf", tf("a", value)), ("b.tf", tf("b", value)))
+    engine.compact()
+    assert engine.remove_old() == 2
+    put(("a.tf", tf("a", 3)))
+    assert held(engine) == [tf("a", 3).strip(), tf("b", 2).strip()]
+    # a damaged manifest on top doesn't cost the one that counts
+    spark.range(1).selectExpr("'missing' as value").coalesce(1).write.text(str(tmp_path / "state" / "manifest" / "99"))
+    engine.remove_old()
+    put(("a.tf", tf("a", 4)))
+    assert held(engine) == [tf("a", 4).strip(), tf("b", 2).strip()]
+
+
+def test_a_text_outlives_its_first_file(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "state"))
+    put = lambda p, c: engine.ingest(frame(spark, ["file_path", "file_type", "content"], [(p, "terraform", c)]))
+    put("a.tf", tf("same", 1))
+    put("d.tf", tf("same", 1))
+    assert held(engine) == [tf("same", 1).strip()]
+    put("a.tf", tf("other", 1))
+    assert held(engine) == [tf("other", 1).strip(), tf("same", 1).strip()]
+    engine.compact()
+    put("a.tf", tf("same", 1))
+    put("d.tf", tf("third", 1))
+    assert held(engine) == [tf("same", 1).strip(), tf("third", 1).strip()]
+    ids = [r["index_id"] for r in engine._read("chunks").collect()]
+    assert len(set(ids)) == len(ids)
+
+
+def test_answers_are_kept_by_all_parameters(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "state"))
+    engine.ingest(frame(spark, ["file_path", "file_type", "content"], [(f"{i}.tf", "terraform", tf(f"v{i}", i)) for i in range(4)]))
+    one, more = engine.analyze("variable default", 1, 1), engine.analyze("variable default", 3, 2)
+    assert one["metadata"]["k_code"] == 1 and more["metadata"]["k_code"] == 3 and not more["metadata"]["cached"] and more["code"].count() == 3
+    assert engine.analyze("variable default", 3, 2)["metadata"]["cached"]
+
+
 def test_retrieval_follows_dependencies(spark, tmp_path):
     parsed = frame(spark, ["file_path", "file_type", "content"],
         [("m.tf", "terraform", 'variable "zone" {\n  default = "x"\n}\nresource "aws_instance" "web" {\n  size = var.zone\n}\n')])
