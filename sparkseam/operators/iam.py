@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import severity_rank
+from sparkseam.session import materialise
 
 # Role sets, privilege and scope orders, alternatives.
 HIGH_ROLES = ["Owner", "User Access Administrator", "Co-Administrator"]
@@ -115,6 +116,7 @@ def overlap(rows: DataFrame) -> DataFrame:
     one = F.struct("ord", "file_path", "block_name")
     classes = rows.groupBy("identity_name", "role", "scope_type", "scope_value").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
     classes = classes.withColumns({"_path": path_of(F.col("scope_value")), "_class": F.struct("role", "scope_type", "scope_value", "lo", "hi")})
+    classes = materialise(classes.select("identity_name", "scope_value", "_path", "_class"), "classes")  # few against the rows; read by four sides
     other = classes.select(F.col("identity_name").alias("_i"), F.col("scope_value").alias("_v"), F.col("_class").alias("y"))
     own = classes.select("identity_name", "scope_value", F.col("_class").alias("x"))
     order = lambda c: F.struct(F.col(f"{c}.role"), F.col(f"{c}.scope_type"))
@@ -124,24 +126,20 @@ def overlap(rows: DataFrame) -> DataFrame:
     deep = classes.select("identity_name", F.explode(ancestors(F.col("_path"))).alias("_path"), F.col("_class").alias("y"))
     below = wide.join(deep, ["identity_name", "_path"]).filter(scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))).select(
         "identity_name", "x", "y")
-    pairs = same.unionByName(below)
     level = lambda c: number(F.col(f"{c}.role"), PRIVILEGE, 0)
-    gap = level("x") - level("y")
+    gap, alike = level("x") - level("y"), F.col("x.role") == F.col("y.role")
 
-    def covers(pairs: DataFrame, d: str, e: str, later: bool) -> DataFrame:
-        """identity_name, the place of the pair, its covering class, the class it covers and that class's assignment in the pair."""
+    def covers(holds: Column, d: str, e: str) -> Column:
+        """The place of the pair, its covering class, the class it covers and that class's assignment in the pair; null if d doesn't cover e."""
         first, second = F.col(f"{d}.lo"), F.col(f"{e}.lo")
-        met = F.when(second["ord"] > first["ord"], second).otherwise(F.col(f"{e}.hi")) if later else second
+        met = F.when(alike & (second["ord"] <= first["ord"]), F.col(f"{e}.hi")).otherwise(second)
         at = F.struct(F.least(first["ord"], met["ord"]).alias("a"), F.greatest(first["ord"], met["ord"]).alias("b"))
-        return pairs.select("identity_name", at.alias("_at"), F.col(d).alias("d"), F.col(e).alias("e"), met.alias("_met"))
-
-    apart, alike = pairs.filter(F.col("x.role") != F.col("y.role")), pairs.filter(F.col("x.role") == F.col("y.role"))
-    found = [covers(apart.filter(gap > 0), "x", "y", False), covers(apart.filter(gap < 0), "y", "x", False)]
-    found += [covers(alike.filter(F.col("x.lo.ord") < F.col("y.hi.ord")), "x", "y", True), covers(alike.filter(F.col("y.lo.ord") < F.col("x.hi.ord")),
-        "y", "x", True)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        return F.when(holds, F.struct(at.alias("_at"), F.col(d).alias("d"), F.col(e).alias("e"), met.alias("_met")))
+
+    later = lambda d, e: F.col(f"{d}.lo.ord") < F.col(f"{e}.hi.ord")
+    both = F.array(covers(F.when(alike, later("x", "y")).otherwise(gap > 0), "x", "y"), covers(F.when(alike, later("y", "x")).otherwise(gap < 0), "y", "x"))
+    # one pass over the pairs: each gives up to two coverings
+    out = same.unionByName(below).select("identity_name", F.inline(F.array_compact(both)))
     value = F.coalesce(F.nullif("d.scope_value", F.lit("")), F.col("e.scope_value"))
     fill = lambda c: F.coalesce(F.nullif(f"d.lo.{c}", F.lit("")), F.col(f"_met.{c}"))
     out = out.select("identity_name", F.col("d.role").alias("_d"), F.col("e.role").alias("_e"), value.alias("scope_value"), F.struct("_at",
@@ -161,7 +159,9 @@ def broad_redundant(rows: DataFrame) -> DataFrame:
     """
     rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name").withColumn("_path",
         path_of(F.col("scope_value")))
-    deep = rows.select("identity_name", "role", F.explode(ancestors(F.col("_path"))).alias("_path"), scope_order(F.col("scope_type")).alias("_o"))
+    # classes first: only one row for each (identity, role, path) walks up its path
+    deep = rows.groupBy("identity_name", "role", "_path").agg(F.max(scope_order(F.col("scope_type"))).alias("_o"))
+    deep = deep.select("identity_name", "role", F.explode(ancestors(F.col("_path"))).alias("_path"), "_o")
     deep = deep.groupBy("identity_name", "role", "_path").agg(F.max("_o").alias("_narrowest"))
     out = rows.filter("_path <> ''").join(deep, ["identity_name", "role", "_path"]).filter(scope_order(F.col("scope_type")) < F.col("_narrowest"))
     severity = F.when(F.col("scope_type") == "subscription", "MEDIUM").otherwise("LOW")
