@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkseam.llm.batches import give_back
+from sparkseam.llm.shard_table import free_name
 from sparkseam.session import materialise
 
 SHINGLE = 5
@@ -561,17 +562,17 @@ def _linked_by_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "component_id"), "_node", "_comp")
 
 
-def with_nodes(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _node, the number of each row's set (null without shingles)."""
+def with_nodes(docs: DataFrame, text_col: str, node: str) -> DataFrame:
+    """docs with a column `node`, the number of each row's set (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for row, end, sets, sizes in chunks(batch, at):
                 nodes = node_ids(sets, sizes)
-                yield batch.slice(row, end - row).append_column("_node", pa.array(nodes.view(np.int64), mask=nodes == 0))
+                yield batch.slice(row, end - row).append_column(node, pa.array(nodes.view(np.int64), mask=nodes == 0))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(node, LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -593,12 +594,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return docs.join(own, same, "left_semi")
     again = few(repeated)
     single = docs.join(again, docs[id_col].eqNullSafe(repeated["_again"]), "left_anti").join(own, same, "left_semi")
-    more = with_nodes(docs.join(again, docs[id_col].eqNullSafe(repeated["_again"]), "left_semi"), text_col)
-    more = more.join(own, more[id_col].eqNullSafe(stay["_stay"]) & more["_node"].eqNullSafe(stay["_stay_node"]), "left_semi")
+    node = free_name("_node", docs.columns)
+    more = with_nodes(docs.join(again, docs[id_col].eqNullSafe(repeated["_again"]), "left_semi"), text_col, node)
+    more = more.join(own, more[id_col].eqNullSafe(stay["_stay"]) & more[node].eqNullSafe(stay["_stay_node"]), "left_semi")
     rest = [c for c in docs.columns if c != text_col]
-    best = more.filter("_node is not null").groupBy(F.col(id_col).alias("_key"), "_node").agg(F.min(F.struct(text_col, *rest)).alias("_best"))
-    return single.unionByName(best.select(*[F.col("_best")[c].alias(c) for c in docs.columns])).unionByName(more.filter("_node is null").select(*docs.columns))
-
+    set_of, key, kept = F.col(node), free_name("_key", [node]), free_name("_best", [node])
+    best = more.filter(set_of.isNotNull()).groupBy(F.col(id_col).alias(key), node).agg(F.min(F.struct(text_col, *rest)).alias(kept))
+    return single.unionByName(best.select(*[F.col(kept)[c].alias(c) for c in docs.columns])).unionByName(more.filter(set_of.isNull()).select(*docs.columns))
 
 
 

@@ -528,8 +528,9 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
 
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: Compiled | None = None) -> DataFrame:
-    """docs with personal data in text_col replaced by the kind, and length_col set to the new length where it changed."""
+    """docs with personal data in text_col replaced by the kind, and length_col, if docs has it, set to the new length where it changed."""
     model = model or trained()
+    length_col = length_col if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):

@@ -304,3 +304,23 @@ def test_query_13_on_few_or_no_rows(spark, tmp_path):
     assert sorted(map(tuple, rows), key=str) == resampled_by_hand([(1, "too short"), (2, None), (3, "word " * 30)], ["word"])
     none = resampling.resample(docs.limit(0), spark.createDataFrame([], "text string"))
     assert none.columns == ["doc_id", "n_features", "weight", "score", "rank"] and none.count() == 0
+
+
+# ---- names that operators use inside, as columns of the documents
+
+
+def test_pipeline_stages_bear_their_inner_names(spark):
+    from sparkseam.llm import jaccard_join, line_quality, pii
+
+    inner = ["_node", "_stay", "_stay_node", "_again", "_id", "_key", "_best", "_comp", "_rows", "_row", "_host", "spans"]
+    words = [" ".join(f"w{k}x{i}" for i in range(70)) for k in range(3)]
+    texts = [words[0], words[0] + " more", words[1], words[1], words[2] + " mail a.b@example.org now"]
+    rows = [(i, t, "s", *["x"] * len(inner)) for i, t in zip([1, 2, 3, 3, 5], texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in inner))
+    once = jaccard_join.keep_one(docs)
+    assert once.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in once.collect()) == [(1, texts[0]), (3, texts[2]), (5, texts[4])]
+    assert all(r["_node"] == "x" for r in once.collect())
+    # no n_chars here
+    masked = pii.masked(docs)
+    assert masked.columns == docs.columns and {r["doc_id"]: r["text"] for r in masked.collect()}[5].endswith(" mail [EMAIL] now")
+    assert line_quality.keep_good(docs).columns == docs.columns and line_quality.keep_good(docs).count() == 5
