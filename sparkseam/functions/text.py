@@ -53,6 +53,34 @@ def long_text_entropy(text: Column) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.lit(0.0)).otherwise(let(codes, of))
 
 
+#: Classes of characters that take all of a text but its other ones, and how many each has.
+_CLASSES = [("[etaoinsr]+", 8), ("[a-z]+", 18), (" +", 1), ("[A-Z]+", 26), ("[0-9]+", 10)]
+
+
+def entropy_bound(text: Column) -> Column:
+    """Not below the entropy: that of the classes, and within each class that of equally frequent characters.
+
+    Of other characters each may be a different one.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def part(n: Column, all_: Column, size: Column) -> Column:
+        return F.when(n > 0, n / all_ * (F.log2(size) + F.log2(all_ / n))).otherwise(F.lit(0.0))
+
+    def of(left: Column, all_: Column, rest: list[tuple[str, int]]) -> Column:
+        if not rest:
+            return part(F.length(left), all_, F.length(left).cast("double"))
+        (pattern, size), *more = rest
+        return let(F.regexp_replace(left, pattern, ""), lambda x: part(F.length(left) - F.length(x), all_, F.lit(float(size))) + of(x, all_, more))
+
+    return let(F.length(text), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(of(text, n, _CLASSES)))
+
+
+def entropy_is_above(text: Column, limit: float) -> Column:
+    """Whether a text's entropy is above a limit; only texts whose bound is above it are counted by character."""
+    return F.when(entropy_bound(text) + 1e-6 <= limit, F.lit(False)).otherwise(long_text_entropy(text) > limit)
+
+
 def repetition(text: Column) -> Column:
     """Share of word pairs that repeat an earlier one; 0 below two words."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-from sparkseam.functions.text import contains_any, long_text_entropy, repetition, severity_rank
+from sparkseam.functions.text import contains_any, entropy_is_above, repetition, severity_rank
 from sparkseam.operators.detectors import redact
 
 # Patterns and tiers.
@@ -59,16 +59,14 @@ EVENT_SEVERITY = {
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(p)
-    return out
+    """Whether any pattern is found: one pass over the text for all of them, each with its own flags."""
+    return text.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def validate(rows: DataFrame, text: str = "text", reject: bool = True, entropy_above: float = 5.5, repetition_above: float = 0.6) -> DataFrame:
     """rows with accepted, validation_score and flags."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumns({"_i": any_of(t, INJECTION), "_x": any_of(t, EXFILTRATION), "_e": long_text_entropy(t) > entropy_above,
+    rows = rows.withColumns({"_i": any_of(t, INJECTION), "_x": any_of(t, EXFILTRATION), "_e": entropy_is_above(t, entropy_above),
         "_r": repetition(t) > repetition_above})
     off = lambda c, w: F.when(F.col(c), F.lit(w)).otherwise(0.0)
     score = F.round(F.greatest(F.lit(0.0), 1.0 - off("_i", 0.5) - off("_x", 0.3) - off("_e", 0.2) - off("_r", 0.2)), 3)

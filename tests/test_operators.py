@@ -43,6 +43,24 @@ def test_entropy(spark):
         assert one(spark, T.long_text_entropy(F.col("t")), t=t) == pytest.approx(want)
 
 
+def test_entropy_bound_holds_and_the_gate_changes_nothing(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "aaaa", "the cat sat on the mat " * 9, "".join(map(chr, range(33, 127))), "日本語🙂é" * 3, "".join(map(chr, range(0x4E00, 0x4E60))),
+        *("".join(rng.choices([*map(chr, range(32, 127)), "é", "日"], k=rng.randint(1, 400))) for _ in range(40))]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(T.long_text_entropy(F.col("t")).alias("e"), T.entropy_bound(F.col("t")).alias("b"),
+        *[T.entropy_is_above(F.col("t"), x).alias(f"g{i}") for i, x in enumerate((2.0, 4.0, 5.5, 6.0))])
+    for r in rows.collect():
+        assert r["b"] >= r["e"] - 1e-9
+        assert [r[f"g{i}"] for i in range(4)] == [r["e"] > x for x in (2.0, 4.0, 5.5, 6.0)]
+
+
+def test_patterns_in_one_pass_keep_their_flags(spark):
+    patterns = ["(?i)drop\\s+it", "Stop", "(?s)a.b"]
+    texts = ["DROP  it", "stop", "Stop", "a\nb", "A\nB", "", "x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", governance.any_of(F.col("t"), patterns).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in got} == dict(zip(texts, [True, False, True, True, False, False, False]))
+
+
 def test_high_entropy_threshold_is_inclusive(spark):
     rows = frame(spark, ["k", "t"], [("a", "abcdefghijklmnopqrst"), ("b", "abcdefghijklmnopqrs"), ("c", "a" * 40)])
     exact = math.log2(20)
