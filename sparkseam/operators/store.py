@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkseam.functions.text import terms
 from sparkseam.operators.ranges import row_numbers
 
+# Columns that a metadata filter may name.
 FILTER_KEYS = ("file_path", "file_type", "resource_type", "cloud_provider", "repo")
 
 
