@@ -49,7 +49,9 @@ ORDER, ROWS, MOST_LANGS, GRAMS = 5, 6000, 256, 1_000_000
 #: Share of a language's own texts that calibration rejects.
 REJECT = 0.002
 #: Words whose cost a worker remembers, the longest of them, and symbols looked up at once.
-MEMO, LONGEST, BLOCK = 100_000, 40, 500_000
+MEMO, LONGEST, BLOCK = 100_000, 40, 200_000
+#: Languages that are looked up together.
+TOGETHER = 8
 UNKNOWN = "und"
 
 _START, _END = "\x02", "\x03"
@@ -107,6 +109,28 @@ class Table:
         return np.where(self.keys[at] == keys, self.values[at], missing)
 
 
+@dataclass
+class Joined:
+    """Tables of some languages under one sorted array of hashes: a row of numbers for each, the last row for hashes that aren't there."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(tables: list[Table], missing: float) -> Joined:
+        keys = np.unique(np.concatenate([t.keys for t in tables]))
+        rows = np.full((len(keys) + 1, len(tables)), missing, np.float32)
+        for lang, t in enumerate(tables):
+            rows[np.searchsorted(keys, t.keys), lang] = t.values
+        return Joined(keys, rows)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return self.rows[np.zeros(len(keys), np.int64)]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.rows[np.where(self.keys[at] == keys, at, len(self.keys))]
+
+
 def discount(counts: list[float]) -> float:
     n1, n2 = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
@@ -145,6 +169,19 @@ class Model:
 
     def __post_init__(self):
         self.memo: dict[str, np.ndarray] = {}
+        self.joined: list[tuple[int, list[tuple[Joined, Joined]]]] = []
+
+    def __getstate__(self):
+        """What a worker makes for itself doesn't travel."""
+        return self.__dict__ | {"memo": {}, "joined": []}
+
+    def _joined(self) -> list[tuple[int, list[tuple[Joined, Joined]]]]:
+        """Number of the first language, and for each order the terms and weights, of each TOGETHER languages."""
+        if not self.joined:
+            for at in range(0, len(self.langs), TOGETHER):
+                own = self.tables[at : at + TOGETHER]
+                self.joined.append((at, [(Joined.of([t[k][0] for t in own], 0.0), Joined.of([t[k][1] for t in own], 1.0)) for k in range(self.order)]))
+        return self.joined
 
     def cost(self, new: list[str]) -> np.ndarray:
         """Nats of each word in each language."""
@@ -158,13 +195,13 @@ class Model:
             before = np.concatenate([np.zeros(1, np.uint64), grams[-1][:-1]])  # of the k - 1 symbols before
             grams.append(np.where(place >= k - 1, before * _P + code, np.uint64(0)))
         out = np.empty((len(new), len(self.langs)))
-        for lang, tables in enumerate(self.tables):
-            p = np.full(len(code), 1.0 / self.letters)
+        for first, tables in self._joined():
+            p = np.full((len(code), tables[0][0].rows.shape[1]), 1.0 / self.letters)
             for k, (terms, rest) in enumerate(tables, 1):
                 at = np.flatnonzero(place >= max(1, k - 1))
-                p[at] = terms.get(grams[k][at], 0.0) + rest.get(grams[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64), 1.0) * p[at]
+                p[at] = terms.get(grams[k][at]) + rest.get(grams[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)) * p[at]
             p[place == 0] = 1.0
-            out[:, lang] = -np.add.reduceat(np.log(p), ends - sizes)
+            out[:, first : first + p.shape[1]] = -np.add.reduceat(np.log(p), ends - sizes, axis=0)
         return out
 
     def costs(self, texts: list[Counter]) -> tuple[np.ndarray, np.ndarray]:

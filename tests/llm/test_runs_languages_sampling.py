@@ -324,3 +324,11 @@ def test_pipeline_stages_bear_their_inner_names(spark):
     masked = pii.masked(docs)
     assert masked.columns == docs.columns and {r["doc_id"]: r["text"] for r in masked.collect()}[5].endswith(" mail [EMAIL] now")
     assert line_quality.keep_good(docs).columns == docs.columns and line_quality.keep_good(docs).count() == 5
+
+
+def test_many_languages_are_looked_up_in_groups(monkeypatch):
+    counts = {f"l{i}": Counter(g for w in [f"{chr(97 + i)}ab", "same", "é" * (i + 1)] for g in language_id.grams(w)) for i in range(5)}
+    new = ["same", "bab", "éé", "zzz"]
+    want = language_id.fitted(counts).cost(new)
+    monkeypatch.setattr(language_id, "TOGETHER", 2)
+    assert language_id.fitted(counts).cost(new) == pytest.approx(want) and want.shape == (4, 5)
