@@ -168,12 +168,13 @@ class Model:
     slope: float = 1.0
 
     def __post_init__(self):
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, int] = {}
+        self.known, self.used = np.empty((0, len(self.langs) + 1)), 0
         self.joined: list[tuple[int, list[tuple[Joined, Joined]]]] = []
 
     def __getstate__(self):
         """What a worker makes for itself doesn't travel."""
-        return self.__dict__ | {"memo": {}, "joined": []}
+        return self.__dict__ | {"memo": {}, "known": np.empty((0, len(self.langs) + 1)), "used": 0, "joined": []}
 
     def _joined(self) -> list[tuple[int, list[tuple[Joined, Joined]]]]:
         """Number of the first language, and for each order the terms and weights, of each TOGETHER languages."""
@@ -205,28 +206,30 @@ class Model:
         return out
 
     def costs(self, texts: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats of each text in each language, and its symbols."""
+        """Nats of each text in each language, and its symbols. memo: word -> its row of known, nats by language and symbols."""
         distinct = {w for t in texts for w in t}
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new, size, memo = [], 0, dict(self.memo) if len(distinct) > MEMO else self.memo
+        if self.used > MEMO:
+            self.memo, self.used, self.known = {}, 0, np.empty((0, len(self.langs) + 1))
+        memo, new, size = self.memo, [], 0
         todo = [w for w in distinct if w not in memo]
+        if self.used + len(todo) > len(self.known):
+            self.known = np.concatenate([self.known[: self.used], np.empty((max(len(todo), self.used), len(self.langs) + 1))])
         for n, w in enumerate(todo, 1):
             new.append(w)
             size += len(w) + 2
             if size >= BLOCK or n == len(todo):
-                memo.update(zip(new, self.cost(new), strict=True))
-                new, size = [], 0
-        out, symbols = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+                rows = slice(self.used, self.used + len(new))
+                self.known[rows, :-1], self.known[rows, -1] = self.cost(new), [len(x) + 1 for x in new]
+                memo.update(zip(new, range(rows.start, rows.stop), strict=True))
+                self.used, new, size = rows.stop, [], 0
+        total = np.zeros((len(texts), len(self.langs) + 1))
         for i, t in enumerate(texts):
-            if t:
-                n = np.fromiter(t.values(), float, len(t))
-                at = list(t)
-                for k in range(0, len(at), MEMO):  # a part of a very long text at once
-                    out[i] += n[k : k + MEMO] @ np.stack([memo[w] for w in at[k : k + MEMO]])
-                symbols[i] = n @ np.fromiter((len(w) + 1 for w in at), float, len(at))
+            n, at = np.fromiter(t.values(), float, len(t)), np.fromiter(map(memo.__getitem__, t), np.int64, len(t))
+            for k in range(0, len(at), MEMO):  # a part of a very long text at once
+                total[i] += n[k : k + MEMO] @ self.known[at[k : k + MEMO]]
+        out, symbols = total[:, :-1].copy(), total[:, -1].copy()
         for w in [w for w in distinct if len(w) > LONGEST]:
-            memo.pop(w, None)
+            del memo[w]
         return out, symbols
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
