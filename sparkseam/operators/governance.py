@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructTy
 
 from sparkseam.functions.text import contains_any, entropy_is_above, repetition, severity_rank
 from sparkseam.operators.detectors import redact
+from sparkseam.operators.recursion import json_values
 
 # Patterns and tiers.
 INJECTION = [
@@ -140,6 +141,29 @@ def sanitised_nested(rows: DataFrame, column: str, most: int = MAX_INPUT, html:
     return rows.withColumn("rejected", F.filter(found, lambda x: x["reason"].isNotNull())).withColumn(column, map_strings(F.col(column), kind, sanitised))
 
 
+def sanitised_json(json: Column) -> Column:
+    """A JSON text with every string value in it sanitised, names as they are; null unless it is JSON.
+
+    The text is written anew from its parsed form, cut at string literals and joined again, so it may have any shape and
+    depth. A literal with a colon after it is a name. Escaped backslashes and quotes stand as control characters
+    meanwhile, which written JSON can't hold, so a literal ends at its next quote. A text too large for a variant is null.
+    """
+    backslash, quote = F.lit("\x01"), F.lit("\x02")
+    flat = F.replace(F.replace(F.to_json(F.try_parse_json(json)), F.lit("\\\\"), backslash), F.lit('\\"'), quote)
+    back = lambda x: F.replace(F.replace(x, quote, F.lit('\\"')), backslash, F.lit("\\\\"))
+    value = lambda x: F.get(F.from_json(F.concat(F.lit("["), back(x), F.lit("]")), "array<string>"), F.lit(0))
+    literal = lambda x: F.regexp_replace(F.to_json(F.array(sanitised(value(x)))), r"^\[|\]$", "")
+    parts = F.regexp_extract_all(flat, F.lit('"[^"]*":?|[^"]+'), F.lit(0))
+    changed = F.transform(parts, lambda x: F.when(F.startswith(x, F.lit('"')) & ~F.endswith(x, F.lit(":")), literal(x)).otherwise(back(x)))
+    return F.array_join(changed, "")
+
+
+def json_rejects(rows: DataFrame, key: str, column: str, most: int = MAX_INPUT, html: bool = False) -> DataFrame:
+    """key, at, reason: where in a JSON text of any shape which string fails a check."""
+    strings = json_values(rows, key, column).filter("kind = 'STRING'")
+    return strings.select(key, "at", reason(F.col("value"), most, html).alias("reason")).filter("reason is not null")
+
+
 def nfc(rows: DataFrame, text: str) -> DataFrame:
     """rows with text in Unicode NFC; there is no built-in for it."""
     normal = F.pandas_udf(lambda s: s.str.normalize("NFC"), "string")

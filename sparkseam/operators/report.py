@@ -150,6 +150,37 @@ def write_sarif(issues: DataFrame, order: str, path: str) -> None:
     issues.sparkSession.range(1).select(F.lit(head).alias("value")).write.mode("overwrite").text(f"{path}/head")
 
 
+#: Places of the pieces of a document written in parts.
+HEAD, RULES, MIDDLE, RESULTS, TAIL = range(5)
+
+
+def sarif_parts(issues: DataFrame, order: str) -> DataFrame:
+    """section, position, line: a whole SARIF document as rows, one for each rule and result, in the order they are written in.
+
+    A line after the first of its section begins with its comma, so any cut between rows gives pieces that only need
+    joining. Numbers come from ranges, so no task holds the issues; equal issues are different results.
+    """
+    rules = row_numbers(sarif_rules(issues, order), [F.col("rule")], "position")
+    rule = F.to_json(F.struct(F.col("rule").alias("id"), "name", F.struct("detector").alias("properties")))
+    place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias(
+        "physicalLocation"))
+    keys = ["rule", "uri", "start_line", "message", "level"]
+    results = row_numbers(sarif_results(issues), [F.col(k) for k in keys], "position")
+    result = F.to_json(F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
+        F.array(place).alias("locations")))
+    comma = F.when(F.col("position") > 1, ",").otherwise("")
+    fixed = [(HEAD, '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"sparkseam","rules":['), (MIDDLE, ']}},"results":['), (TAIL, "]}]}")]
+    ends = issues.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(0).cast("long").alias("position"),
+        F.lit(text).alias("line")) for n, text in fixed])))
+    return ends.unionByName(rules.select(F.lit(RULES).alias("section"), "position", F.concat(comma, rule).alias("line"))).unionByName(
+        results.select(F.lit(RESULTS).alias("section"), "position", F.concat(comma, result).alias("line")))
+
+
+def write_sarif_parts(issues: DataFrame, order: str, path: str) -> None:
+    """One SARIF document of any size: the part files of the folder, joined in the order of their names."""
+    sarif_parts(issues, order).orderBy("section", "position").select("line").write.mode("overwrite").text(path)
+
+
 def write_sarif_document(issues: DataFrame, order: str, path: str) -> None:
     sarif_document(issues, order).coalesce(1).write.mode("overwrite").text(path)
 
