@@ -123,16 +123,18 @@ def rank_of(severity: Column) -> Column:
 def applicable(resources: DataFrame, rules: DataFrame) -> DataFrame:
     """resource columns and rule columns for every rule that holds for a resource (resource_type, cloud_provider, category).
 
-    The rule table is a small dimension; it is broadcast, so the OR condition needs no shuffle of the resources.
+    A resource looks up at most four pairs (kind, cloud): its type, or `general` if it has none, and its category, each for
+    its cloud and for any. A rule has one pair, so it is met once, and both sides may be of any size.
     """
     r = rules.select(*[F.col(c).alias(f"_r_{c}") for c in FIELDS])
     cloud = F.lower(F.coalesce("_r_cloud_provider", F.lit("generic")))
-    kind = F.lower(F.coalesce("_r_resource_type", F.lit("general")))
+    r = r.withColumns({"_kind": F.lower(F.coalesce("_r_resource_type", F.lit("general"))), "_cloud": F.when(cloud.isin("generic", "all", "unknown"),
+        "*").otherwise(cloud)})
     own, cat = F.lower(F.coalesce("resource_type", F.lit(""))), F.lower(F.coalesce(F.nullif("category", F.lit("")), F.lit("general")))
-    provider = F.lower(filled(F.col("cloud_provider"), F.lit("generic")))
-    fits = ((cloud == provider) | cloud.isin("generic", "all", "unknown")) & (((own != "") & (kind == own)) | (kind == cat) | ((own == "") & (
-        kind == "general")))
-    return resources.join(F.broadcast(r), fits)
+    kinds = F.array_distinct(F.array(F.when(own != "", own).otherwise("general"), cat))
+    clouds = F.array_distinct(F.array(F.lit("*"), F.lower(filled(F.col("cloud_provider"), F.lit("generic")))))
+    asked = resources.withColumn("_kind", F.explode(kinds)).withColumn("_cloud", F.explode(clouds))
+    return asked.join(r, ["_kind", "_cloud"]).drop("_kind", "_cloud")
 
 
 def rule_score(rule_type: Column, resource_type: Column, rule_id: Column) -> Column:

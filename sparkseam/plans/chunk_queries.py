@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkseam.functions import classify as C
 from sparkseam.functions import text as T
 from sparkseam.operators import chunking, rules, search
-from sparkseam.plans.fixtures import frame, values
+from sparkseam.plans.fixtures import beside, frame, pick, pick_sql, printf_sql, values
 from sparkseam.session import read_table
 
 Q, SQL = {}, {}
@@ -94,8 +94,47 @@ TF_EXPECTED = [
 _BLOCK = ["chunk_id", "block_type", "resource_type", "block_name", "chunk_index", "dependencies"]
 
 
-def _chunks(spark, rows, kind):
-    files = frame(spark, TF, rows).withColumn("file_type", F.lit(kind))
+
+# Files that every part, customer and order stands for, and the blocks they have.
+PART_TF = ('variable "v%d" {\n  default = "%s"\n}\n\nresource "aws_vpc" "n%d" {\n  cidr = var.v%d\n  tags = { note = "a } brace" }\n}\n\noutput "o%d" {\n'
+    '  value = aws_vpc.n%d.id\n%s}\n')
+_ALSO = "  depends_on = [module.m]\n"
+_PART_SQL = "select 'parts/p' || p_partkey || '.tf' as file_path, " + printf_sql(PART_TF, "p_partkey", "p_brand", "p_partkey", "p_partkey", "p_partkey",
+    "p_partkey", f"case when p_size % 2 = 0 then '{_ALSO}' else '' end") + " as content from part"
+_PART_BLOCKS = """select 'p' || k || '_variable_v' || k as chunk_id, 'variable' as block_type, '' as resource_type, 'v' || k as block_name, 0::bigint as chunk_index, '' as dependencies from (select p_partkey as k from part)
+ union all select 'p' || k || '_resource_aws_vpc_n' || k, 'resource', 'aws_vpc', 'n' || k, 1, 'var.v' || k from (select p_partkey as k from part)
+ union all select 'p' || k || '_output_o' || k, 'output', '', 'o' || k, 2, 'aws_vpc.n' || k || case when p_size % 2 = 0 then ',module.m' else '' end from (select p_partkey as k, p_size from part)"""
+CUSTOMER_YAML = "kind: Pod\nmetadata:\n  name: c%d\nspec:\n  image: ${IMG%d}\n---\nkind: Service\nmetadata:\n  name: s%d\n"
+_CUSTOMER_SQL = "select 'k/c' || c_custkey || '.yaml' as file_path, " + printf_sql(CUSTOMER_YAML, "c_custkey", "c_nationkey",
+    "c_custkey") + " as content from customer"
+_CUSTOMER_BLOCKS = """select 'c' || k || '_yaml_Pod_c' || k as chunk_id, 'kind' as block_type, 'Pod' as resource_type, 'c' || k as block_name, 0::bigint as chunk_index, 'IMG' || n as dependencies from (select c_custkey as k, c_nationkey as n from customer)
+ union all select 'c' || k || '_yaml_Service_s' || k, 'kind', 'Service', 's' || k, 1, '' from (select c_custkey as k from customer)"""
+ORDER_JSON = ('{"Version": "2012", "Statement": [{"Sid": "S%d", "Resource": "arn:aws:s3:::b%d"}, {"Effect": "Allow", "Resource": {"Ref": "R%d"}}]}')
+_ORDER_BLOCKS = """select 'o' || k || '_json_header' as chunk_id, 'policy_header' as block_type, '' as resource_type, 'header' as block_name, 0::bigint as chunk_index, '' as dependencies from (select o_orderkey as k from orders)
+ union all select 'o' || k || '_json_S' || k, 'statement', '', 'S' || k, 1, 'arn:aws:s3:::b' || c from (select o_orderkey as k, o_custkey as c from orders)
+ union all select 'o' || k || '_json_1', 'statement', '', '1', 2, 'R' || k from (select o_orderkey as k from orders)"""
+
+
+def part_files(spark, sf):
+    k = F.col("p_partkey")
+    return read_table(spark, sf, "part").select(F.format_string("parts/p%d.tf", k).alias("file_path"), F.format_string(PART_TF, k, "p_brand", k, k, k, k,
+        F.when(F.col("p_size") % 2 == 0, _ALSO).otherwise("")).alias("content"))
+
+
+def customer_files(spark, sf):
+    k = F.col("c_custkey")
+    return read_table(spark, sf, "customer").select(F.format_string("k/c%d.yaml", k).alias("file_path"), F.format_string(CUSTOMER_YAML, k, "c_nationkey",
+        k).alias("content"))
+
+
+def order_files(spark, sf):
+    k = F.col("o_orderkey")
+    return read_table(spark, sf, "orders").select(F.format_string("p/o%d.json", k).alias("file_path"), F.format_string(ORDER_JSON, k, "o_custkey",
+        k).alias("content"))
+
+
+def _chunks(spark, rows, kind, more):
+    files = frame(spark, TF, rows).unionByName(more).withColumn("file_type", F.lit(kind))
     return chunking.structured_chunks(files)
 
 
@@ -104,15 +143,16 @@ def _flat(chunks):
         ",").alias("dependencies"))
 
 
-@query("tf_block_split", f"select * from {values(_BLOCK, TF_EXPECTED)}")
+@query("tf_block_split", f"select * from {beside(_BLOCK, TF_EXPECTED, _PART_BLOCKS)}")
 def tf_block_split(spark, sf):
-    return _flat(_chunks(spark, TF_ROWS, "terraform"))
+    return _flat(_chunks(spark, TF_ROWS, "terraform", part_files(spark, sf)))
 
 
-@query("tf_dependencies", """with c as (select * from """ + values(TF,
-    TF_ROWS) + """), r as (select file_path, unnest(list_concat(regexp_extract_all(content, '\\bvar\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\blocal\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bmodule\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bdata\\.[a-zA-Z_]\\w+\\.[a-zA-Z_]\\w+\\b'), regexp_extract_all(content, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\.[a-zA-Z_]\\w*\\b'))) as ref from c) select distinct file_path, ref from r""")
+@query("tf_dependencies", """with c as (select * from """ + beside(TF,
+    TF_ROWS, _PART_SQL) + """), r as (select file_path, unnest(list_concat(regexp_extract_all(content, '\\bvar\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\blocal\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bmodule\\.[a-zA-Z_]\\w*\\b'), regexp_extract_all(content, '\\bdata\\.[a-zA-Z_]\\w+\\.[a-zA-Z_]\\w+\\b'), regexp_extract_all(content, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\.[a-zA-Z_]\\w*\\b'))) as ref from c) select distinct file_path, ref from r""")
 def tf_dependencies(spark, sf):
-    return frame(spark, TF, TF_ROWS).select("file_path", F.explode(chunking.tf_dependencies(F.col("content"))).alias("ref"))
+    files = frame(spark, TF, TF_ROWS).unionByName(part_files(spark, sf))
+    return files.select("file_path", F.explode(chunking.tf_dependencies(F.col("content"))).alias("ref"))
 
 
 YAML_ROWS = [
@@ -126,15 +166,16 @@ YAML_EXPECTED = [("pod_yaml_Pod_web", "kind", "Pod", "web", 0, "IMAGE"), ("pod_y
     1, ""), ("bad_yaml_fixed_0", "fixed_window", "", "", 0, "")]
 
 
-@query("yaml_block_split", f"select * from {values(_BLOCK, YAML_EXPECTED)}")
+@query("yaml_block_split", f"select * from {beside(_BLOCK, YAML_EXPECTED, _CUSTOMER_BLOCKS)}")
 def yaml_block_split(spark, sf):
-    return _flat(_chunks(spark, YAML_ROWS, "yaml"))
+    return _flat(_chunks(spark, YAML_ROWS, "yaml", customer_files(spark, sf)))
 
 
 @query("yaml_doc_split", "with c as (select file_path, unnest(list_filter(regexp_split_to_array(content, '(?m)^---[ \\t]*$'), lambda x: "
-    "regexp_matches(x, '\\S'))) as document from " + values(TF, YAML_ROWS) + ") select file_path, document from c")
+    "regexp_matches(x, '\\S'))) as document from " + beside(TF, YAML_ROWS, _CUSTOMER_SQL) + ") select file_path, document from c")
 def yaml_doc_split(spark, sf):
-    return frame(spark, TF, YAML_ROWS).select("file_path", F.explode(chunking.yaml_documents(F.col("content"))).alias("document"))
+    files = frame(spark, TF, YAML_ROWS).unionByName(customer_files(spark, sf))
+    return files.select("file_path", F.explode(chunking.yaml_documents(F.col("content"))).alias("document"))
 
 
 JSON_ROWS = [
@@ -148,15 +189,16 @@ JSON_EXPECTED = [("policy_json_header", "policy_header", "", "header", 0, ""), (
     ("list_json_0", "item", "", "0", 0, ""), ("list_json_1", "item", "", "1", 1, ""), ("bad_json_fixed_0", "fixed_window", "", "", 0, "")]
 
 
-@query("json_statement_split", f"select * from {values(_BLOCK, JSON_EXPECTED)}")
+@query("json_statement_split", f"select * from {beside(_BLOCK, JSON_EXPECTED, _ORDER_BLOCKS)}")
 def json_statement_split(spark, sf):
-    return _flat(_chunks(spark, JSON_ROWS, "json"))
+    return _flat(_chunks(spark, JSON_ROWS, "json", order_files(spark, sf)))
 
 
-@query("chunk_router", f"select * from (select * from {values(_BLOCK, TF_EXPECTED)} union all select * from {values(_BLOCK, YAML_EXPECTED)} union all "
-    f"select * from {values(_BLOCK, JSON_EXPECTED)})")
+@query("chunk_router", f"select * from ({' union all '.join('select * from ' + beside(_BLOCK, r, q) for r, q in ((TF_EXPECTED, _PART_BLOCKS), (YAML_EXPECTED, _CUSTOMER_BLOCKS), (JSON_EXPECTED, _ORDER_BLOCKS)))})")
 def chunk_router(spark, sf):
     files = frame(spark, TF, TF_ROWS + YAML_ROWS + JSON_ROWS)
+    for more in (part_files, customer_files, order_files):
+        files = files.unionByName(more(spark, sf))
     kind = F.when(F.col("file_path").endswith(".tf"), "terraform").when(F.col("file_path").endswith(".json"), "json").otherwise("yaml")
     return _flat(chunking.structured_chunks(files.withColumn("file_type", kind)))
 
@@ -171,37 +213,45 @@ DEP_ROWS = [
     (6, "c_var2", "variable", "", "region", ()),
     (7, "c_loc", "locals", "", "", ("c_var",)),
 ]
-_SYM = f"""e as (select * from {values(DEP, DEP_ROWS)}), s as (select ref, max_by(chunk_id, ord) as target from (select *, case when block_type = 'variable' and block_name <> '' then 'var.' || block_name when block_type in ('output', 'module') and block_name <> '' then block_type || '.' || block_name when block_type = 'locals' then 'locals' when block_type = 'resource' and block_name <> '' and resource_type <> '' then resource_type || '.' || block_name when block_type = 'data' and block_name <> '' and resource_type <> '' then 'data.' || resource_type || '.' || block_name end as ref from e) where ref is not null group by ref),
+_KINDS = ["variable", "resource", "module", "data"]
+_ORDER_DEPS = f"select 100 + o_orderkey, 'n' || o_orderkey, {pick_sql(_KINDS, 'o_orderkey')}, case when o_orderkey % 2 = 1 then 'aws_x' else '' end, 'b' || (o_orderkey % 5000), ['var.b' || (o_custkey * 4 % 5000), 'aws_x.b' || (o_custkey % 5000), 'n' || o_custkey] from orders"
+_SYM = f"""e as (select * from {beside(DEP, DEP_ROWS, _ORDER_DEPS)}), s as (select ref, max_by(chunk_id, ord) as target from (select *, case when block_type = 'variable' and block_name <> '' then 'var.' || block_name when block_type in ('output', 'module') and block_name <> '' then block_type || '.' || block_name when block_type = 'locals' then 'locals' when block_type = 'resource' and block_name <> '' and resource_type <> '' then resource_type || '.' || block_name when block_type = 'data' and block_name <> '' and resource_type <> '' then 'data.' || resource_type || '.' || block_name end as ref from e) where ref is not null group by ref),
 g as (select chunk_id as src, i, coalesce((select target from s where ref = d), d) as dst from (select chunk_id, unnest(dependencies) as d, unnest(range(len(dependencies))) as i from e))"""
 
 
-def _deps(spark):
+def _deps(spark, sf):
+    """Fixed chunks, and one for each order that names variables, resources and chunks by its customer's number."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = read_table(spark, sf, "orders").select((o + 100).alias("ord"), F.concat(F.lit("n"), o).alias("chunk_id"), pick(_KINDS, o).alias("block_type"),
+        F.when(o % 2 == 1, "aws_x").otherwise("").alias("resource_type"), F.concat(F.lit("b"), o % 5000).alias("block_name"), F.array(F.concat(
+        F.lit("var.b"), c * 4 % 5000), F.concat(F.lit("aws_x.b"), c % 5000), F.concat(F.lit("n"), c)).alias("dependencies"))
     return frame(spark, DEP, [(*r[:5], "|".join(r[5])) for r in DEP_ROWS]).withColumn("dependencies", F.filter(F.split("dependencies", r"\|"),
-        lambda x: x != ""))
+        lambda x: x != "")).unionByName(orders)
 
 
 @query("dependency_symbols", f"with {_SYM} select ref, target from s")
 def dependency_symbols(spark, sf):
-    return chunking.symbols(_deps(spark), "ord")
+    return chunking.symbols(_deps(spark, sf), "ord")
 
 
 @query("dependency_resolve", f"with {_SYM} select e.chunk_id, coalesce((select string_agg(dst, ',' order by i) from g where src = e.chunk_id), '') as "
     f"dependencies from e")
 def dependency_resolve(spark, sf):
-    return chunking.resolve(_deps(spark), "ord").select("chunk_id", F.array_join("dependencies", ",").alias("dependencies"))
+    return chunking.resolve(_deps(spark, sf), "ord").select("chunk_id", F.array_join("dependencies", ",").alias("dependencies"))
 
 
-def _edges(spark):
-    return chunking.resolve(_deps(spark), "ord").select(F.col("chunk_id").alias("src"), F.explode("dependencies").alias("dst"))
+def _edges(spark, sf):
+    return chunking.resolve(_deps(spark, sf), "ord").select(F.col("chunk_id").alias("src"), F.explode("dependencies").alias("dst"))
 
 
-_BFS = f"""with recursive {_SYM}, b(id, level) as (select 'c_out', 0 union select dst, level + 1 from b join g on src = id where level < 2 and dst in (select chunk_id from e)), m as (select id, min(level)::int as level from b group by id)"""
+_BFS = f"""with recursive {_SYM}, b(id, level) as (select chunk_id, 0 from e where chunk_id = 'c_out' or (ord - 100) % 50 = 0 union select dst, level + 1 from b join g on src = id where level < 2 and dst in (select chunk_id from e)), m as (select id, min(level)::int as level from b group by id)"""
 
 
 @query("dependency_bfs", f"{_BFS} select id, level from m")
 def dependency_bfs(spark, sf):
-    seeds = spark.range(1).select(F.lit("c_out").alias("id"))
-    return chunking.expand(_edges(spark), seeds, _deps(spark).select(F.col("chunk_id").alias("id")), 3)
+    """From the fixed seed and from every fiftieth order."""
+    seeds = _deps(spark, sf).filter("chunk_id = 'c_out' or (ord - 100) % 50 = 0").select(F.col("chunk_id").alias("id"))
+    return chunking.expand(_edges(spark, sf), seeds, _deps(spark, sf).select(F.col("chunk_id").alias("id")), 3)
 
 
 @query("dependency_append", f"{_BFS} select 'c_out' as id, 0.9::double as score, 1 as rank union all select id, 0::double, (1 + row_number() over "
@@ -214,9 +264,9 @@ def dependency_append(spark, sf):
 @query("dependency_graph", f"with {_SYM} select e.chunk_id, (select count(*) from g where src = e.chunk_id) as n_out, (select count(*) from g where "
     f"dst = e.chunk_id) as n_in from e")
 def dependency_graph(spark, sf):
-    edges = _edges(spark)
+    edges = _edges(spark, sf)
     out, into = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
-    rows = _deps(spark).select("chunk_id")
+    rows = _deps(spark, sf).select("chunk_id")
     return rows.join(out, rows["chunk_id"] == out["src"], "left").join(into, rows["chunk_id"] == into["dst"], "left").select("chunk_id",
         F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
@@ -253,7 +303,9 @@ TAG_ROWS = [
     ("t5", "yaml", "plain", "x.yaml", "", "K8S", ""),
 ]
 _RT = r"""case when resource_type <> '' then resource_type when file_type = 'terraform' then coalesce(nullif(regexp_extract(text, 'resource\s+"([^"]+)"\s+"[^"]+"', 1), ''), regexp_extract(text, 'data\s+"([^"]+)"\s+"[^"]+"', 1)) when file_type in ('yaml', 'json') then regexp_extract(text, '(?m)^kind\s*:\s*([A-Za-z0-9_\-]+)', 1) else '' end"""
-_TAGGED = f"""t as (select chunk_id, {_RT} as rt, text, file_path, cloud_provider as cp, category as ct from {values(TAG, TAG_ROWS)}),
+_TAG_KINDS = ["terraform", "yaml", "json"]
+_DOC_TAG = f"""select 'd' || doc_id, {pick_sql(_TAG_KINDS, 'doc_id')}, case doc_id % 3 when 0 then 'resource "aws_' || lang || '" "b" ' when 1 then 'kind: ' || lang || chr(10) else '' end || coalesce(text, ''), source, '', case when doc_id % 5 = 0 then 'K8S' else '' end, '' from documents"""
+_TAGGED = f"""t as (select chunk_id, {_RT} as rt, text, file_path, cloud_provider as cp, category as ct from {beside(TAG, TAG_ROWS, _DOC_TAG)}),
 p as (select *, lower(case when cp <> '' then cp else {_PROV.replace('resource_type', 'rt').replace('content', 'text')} end) as pr from t),
 tagged as (select chunk_id, rt as resource_type, case pr when 'google' then 'gcp' when 'k8s' then 'kubernetes' when '' then 'unknown' else pr end as cloud_provider, case when ct <> '' then ct else {case_sql("lower(rt || ' ' || text)", C.CATEGORIES, 'general')} end as category from p)"""
 
@@ -265,14 +317,25 @@ def tag(rows):
         F.col("text"))).alias("category"))
 
 
+def to_tag(spark, sf):
+    """Fixed chunks, and the documents as files of three kinds."""
+    d = F.col("doc_id")
+    head = F.when(d % 3 == 0, F.concat(F.lit('resource "aws_'), "lang", F.lit('" "b" '))).when(d % 3 == 1, F.concat(F.lit("kind: "), "lang",
+        F.lit("\n"))).otherwise("")
+    docs = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), d).alias("chunk_id"), pick(_TAG_KINDS, d).alias("file_type"), F.concat(head,
+        F.coalesce("text", F.lit(""))).alias("text"), F.col("source").alias("file_path"), F.lit("").alias("resource_type"), F.when(d % 5 == 0,
+        "K8S").otherwise("").alias("cloud_provider"), F.lit("").alias("category"))
+    return frame(spark, TAG, TAG_ROWS).unionByName(docs)
+
+
 @query("resource_tag", f"with {_TAGGED} select * from tagged")
 def resource_tag(spark, sf):
-    return tag(frame(spark, TAG, TAG_ROWS))
+    return tag(to_tag(spark, sf))
 
 
 @query("resource_matches", f"with {_TAGGED} select resource_type, cloud_provider, category, min(substr(chunk_id, 2)::int) as rank from tagged group by all")
 def resource_matches(spark, sf):
-    rows = tag(frame(spark, TAG, TAG_ROWS)).withColumn("rank", F.substring("chunk_id", 2, 9).cast("int"))
+    rows = tag(to_tag(spark, sf)).withColumn("rank", F.substring("chunk_id", 2, 9).cast("int"))
     return rows.groupBy("resource_type", "cloud_provider", "category").agg(F.min("rank").alias("rank"))
 
 
@@ -309,7 +372,10 @@ RAW_ROWS = [
     ("gcp-01", "gcp", "HIGH", "replaced", "", "", "", "google_storage_bucket", "gcp"),
 ]
 _PROBE = "lower(title || ' ' || description || ' ' || indicators || ' ' || \"references\" || ' ' || category)"
-_NORM = f"""n as (select *, {_PROBE} as probe from {values([*RAW[:6], '"references"', *RAW[7:]], RAW_ROWS)}),
+_SOURCES, _LEVELS = ["aws", "azure", "gcp", "cis_k8s", "identity", "general"], ["LOW", "high", "CRITICAL"]
+_ABOUT = ["storage bucket", "pod security", "password in text", "iam role", "firewall", "plain", "virtual machine"]
+_PART_RULES = f"select 'p' || p_partkey, {pick_sql(_SOURCES, 'p_size')}, {pick_sql(_LEVELS, 'p_size')}, p_name, {pick_sql(_ABOUT, 'p_partkey')}, '', '', '', '' from part"
+_NORM = f"""n as (select *, {_PROBE} as probe from {beside([*RAW[:6], '"references"', *RAW[7:]], RAW_ROWS, _PART_RULES)}),
 m as (select *, case when resource_type <> '' then resource_type else {case_sql('probe', rules.RULE_TYPES, 'general')} end as rt0 from n),
 m1 as (select *, case when rt0 = '*storage' then case when contains(probe, 'azure') then 'azurerm_storage_account' else 'storage' end else rt0 end as rt from m),
 norm as (select id as rule_id, category as source_category, upper(severity) as severity, rt as resource_type,
@@ -318,24 +384,41 @@ norm as (select id as rule_id, category as source_category, upper(severity) as s
 cat as (select * from {values(rules.FIELDS, rules.built_in_rows())} where rule_id not in (select rule_id from norm) union all select * from norm)"""
 
 
-def _rules(spark):
-    return rules.catalogue(spark, rules.normalise(frame(spark, RAW, RAW_ROWS)))
+def _raw_rules(spark, sf):
+    """Fixed rules, and one for each part."""
+    k, none = F.col("p_partkey"), F.lit("")
+    own = [F.concat(F.lit("p"), k), pick(_SOURCES, F.col("p_size")), pick(_LEVELS, F.col("p_size")), F.col("p_name"), pick(_ABOUT, k), none, none, none, none]
+    return frame(spark, RAW, RAW_ROWS).unionByName(read_table(spark, sf, "part").select(*[c.alias(n) for n, c in zip(RAW, own, strict=True)]))
+
+
+def _rules(spark, sf):
+    return rules.catalogue(spark, rules.normalise(_raw_rules(spark, sf)))
 
 
 @query("rules_normalized", f"with {_NORM} select * from cat")
 def rules_normalized(spark, sf):
-    return _rules(spark)
+    return _rules(spark, sf)
 
 
 RES = ["rank", "resource_type", "cloud_provider", "category"]
 RES_ROWS = [(1, "azurerm_storage_account", "azure", "storage"), (2, "kubernetes_pod", "kubernetes", "compute"), (3, "", "aws", ""), (4, "typed_thing",
     "generic", "secrets")]
-_FIT = f"""f as (select s.*, r.rule_id, r.severity, r.resource_type as rule_type from {values(RES, RES_ROWS)} s join cat r on (lower(r.cloud_provider) = lower(coalesce(nullif(s.cloud_provider, ''), 'generic')) or lower(r.cloud_provider) in ('generic','all','unknown')) and ((s.resource_type <> '' and lower(r.resource_type) = lower(s.resource_type)) or lower(r.resource_type) = lower(coalesce(nullif(s.category, ''), 'general')) or (s.resource_type = '' and lower(r.resource_type) = 'general')))"""
+_TYPES, _CLOUDS, _GROUPS = ["azurerm_storage_account", "kubernetes_pod", "", "AWS_s3_bucket"], ["aws", "Azure", "", "kubernetes", "gcp"], ["storage", "", "compute"]
+_NATIONS = f"select 10 + n_nationkey, {pick_sql(_TYPES, 'n_nationkey')}, {pick_sql(_CLOUDS, 'n_nationkey')}, {pick_sql(_GROUPS, 'n_nationkey')} from nation"
+_FIT = f"""f as (select s.*, r.rule_id, r.severity, r.resource_type as rule_type from {beside(RES, RES_ROWS, _NATIONS)} s join cat r on (lower(r.cloud_provider) = lower(coalesce(nullif(s.cloud_provider, ''), 'generic')) or lower(r.cloud_provider) in ('generic','all','unknown')) and ((s.resource_type <> '' and lower(r.resource_type) = lower(s.resource_type)) or lower(r.resource_type) = lower(coalesce(nullif(s.category, ''), 'general')) or (s.resource_type = '' and lower(r.resource_type) = 'general')))"""
+
+
+def resources(spark, sf):
+    """Fixed resources, and one for each nation."""
+    n = F.col("n_nationkey")
+    own = read_table(spark, sf, "nation").select((n + 10).cast("long").alias("rank"), pick(_TYPES, n).alias("resource_type"), pick(_CLOUDS, n).alias(
+        "cloud_provider"), pick(_GROUPS, n).alias("category"))
+    return frame(spark, RES, RES_ROWS).unionByName(own)
 
 
 @query("rule_filter_join", f"with {_NORM}, {_FIT} select rank, rule_id, severity from f")
 def rule_filter_join(spark, sf):
-    return rules.applicable(frame(spark, RES, RES_ROWS), _rules(spark)).select("rank", F.col("_r_rule_id").alias("rule_id"),
+    return rules.applicable(resources(spark, sf), _rules(spark, sf)).select("rank", F.col("_r_rule_id").alias("rule_id"),
         F.col("_r_severity").alias("severity"))
 
 
@@ -343,12 +426,12 @@ def rule_filter_join(spark, sf):
     f"""with {_NORM}, {_FIT}, s as (select rule_id, any_value(severity) as severity, max(round(case when lower(rule_type) = lower(resource_type) then 0.95 else 0.85 end + case when starts_with(rule_id, 'custom-') then 0.2 else 0 end, 6)::double) as score from f group by rule_id),
 o as (select *, row_number() over (order by score desc, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 when 'INFO' then 4 else 9 end, rule_id)::int as rank from s) select rule_id, severity, score, rank from o where rank <= 7""")
 def rule_aware_topk(spark, sf):
-    return rules.rule_aware(frame(spark, RES, RES_ROWS), _rules(spark), 7)
+    return rules.rule_aware(resources(spark, sf), _rules(spark, sf), 7)
 
 
 @query("rule_lookup", f"with {_NORM} select rule_id, severity, title from cat where rule_id = 'gcp-01'")
 def rule_lookup(spark, sf):
-    return _rules(spark).filter("rule_id = 'gcp-01'").select("rule_id", "severity", "title")
+    return _rules(spark, sf).filter("rule_id = 'gcp-01'").select("rule_id", "severity", "title")
 
 
 @query("rule_text_build",
@@ -356,7 +439,7 @@ def rule_lookup(spark, sf):
   || title || ' (' || resource_type || ', ' || cloud_provider || ').' || chr(10) || chr(10) || 'Indicators: Settings of ' || resource_type || ' that show: ' || lower(title) || chr(10) || chr(10)
   || 'Remediation: Change the ' || category || ' settings so that this no longer holds.' || chr(10) || chr(10) || 'References: ' as text from cat""")
 def rule_text_build(spark, sf):
-    return rules.rule_text(_rules(spark))
+    return rules.rule_text(_rules(spark, sf))
 
 
 @query("rule_vector_topk")
@@ -364,7 +447,7 @@ def rule_vector_topk(spark, sf):
     """Rules embedded by the offline encoder, ranked for a question."""
     from sparkseam.operators.store import embed
 
-    docs = embed(rules.rule_text(_rules(spark))).select("rule_id", "embedding")
+    docs = embed(rules.rule_text(_rules(spark, sf))).select("rule_id", "embedding")
     asked = embed(spark.range(1).select(F.lit("public storage bucket open to anonymous readers").alias("text"))).select("embedding").first()[0]
     return search.vector_topk(docs, list(asked), 7, "rule_id").select("rule_id", "score", "rank")
 
@@ -373,7 +456,13 @@ ISS = ["iid", "rule_id", "rule_description"]
 ISS_ROWS = [(1, "", ""), (2, "own-1", ""), (3, "own-2", "said")]
 
 
+_LABEL_ISS = "select 100 + doc_id, case when doc_id % 3 = 0 then '' else 'own-' || doc_id end, case when doc_id % 2 = 0 then '' else 'said' end from labels"
+
+
 @query("issue_enrich", f"with {_NORM} select iid, coalesce(nullif(i.rule_id, ''), 'gcp-01') as rule_id, coalesce(nullif(rule_description, ''), "
-    f"(select title from cat where rule_id = 'gcp-01')) as rule_description from {values(ISS, ISS_ROWS)} i")
+    f"(select title from cat where rule_id = 'gcp-01')) as rule_description from {beside(ISS, ISS_ROWS, _LABEL_ISS)} i")
 def issue_enrich(spark, sf):
-    return rules.enrich(frame(spark, ISS, ISS_ROWS), _rules(spark).filter("rule_id = 'gcp-01'"))
+    d = F.col("doc_id")
+    own = read_table(spark, sf, "labels").select((d + 100).alias("iid"), F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("own-"), d)).alias("rule_id"),
+        F.when(d % 2 == 0, "").otherwise("said").alias("rule_description"))
+    return rules.enrich(frame(spark, ISS, ISS_ROWS).unionByName(own), _rules(spark, sf).filter("rule_id = 'gcp-01'"))

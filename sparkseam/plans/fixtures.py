@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,22 @@ def values(names: list[str], rows: list[tuple]) -> str:
 
     body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
     return f"(select * from (values {body}) t({', '.join(names)}))"
+
+
+def beside(names: list[str], rows: list[tuple], sql: str) -> str:
+    """The fixed rows and those that a select over the given tables yields, as one table."""
+    return f"(select * from {values(names, rows)} union all {sql})"
+
+
+def pick(items: list[str], number: Column) -> Column:
+    """The item at a remainder."""
+    return F.get(F.array(*map(F.lit, items)), (number % len(items)).cast("int"))
+
+
+def pick_sql(items: list[str], number: str) -> str:
+    return "([" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + f"])[({number}) % {len(items)} + 1]"
+
+
+def printf_sql(template: str, *values: str) -> str:
+    """A text as F.format_string writes it."""
+    return f"printf('{template.replace(chr(39), chr(39) * 2)}', {', '.join(values)})"
