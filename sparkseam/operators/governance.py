@@ -248,15 +248,15 @@ def access(requests: DataFrame, roles: DataFrame | None = None, extra_tools: Dat
     """requests (role, tool) with allowed: an unknown tool needs run_scan, an unknown role has nothing."""
     spark = requests.sparkSession
     known = tools(spark, extra_tools).withColumnRenamed("tool", "_tool")
-    need = requests.withColumns({"_role": F.lower("role"), "_name": F.lower("tool")}).join(F.broadcast(known), F.col("_name") == F.col("_tool"), "left")
+    need = requests.withColumns({"_role": F.lower("role"), "_name": F.lower("tool")}).join(known, F.col("_name") == F.col("_tool"), "left")
     need = need.drop("_name", "_tool").withColumn("permission", F.coalesce("permission", F.lit("run_scan")))
     have = grants(spark, roles).select(F.col("role").alias("_role"), "permission", F.lit(True).alias("_ok")).distinct()
-    return need.join(F.broadcast(have), ["_role", "permission"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_role", "_ok")
+    return need.join(have, ["_role", "permission"], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_role", "_ok")
 
 
 def accessible_tools(spark: SparkSession, roles: DataFrame | None = None, extra_tools: DataFrame | None = None) -> DataFrame:
     """role, tool for every tool that a role may use."""
-    return grants(spark, roles).join(F.broadcast(tools(spark, extra_tools)), "permission").select("role", "tool").distinct()
+    return grants(spark, roles).join(tools(spark, extra_tools), "permission").select("role", "tool").distinct()
 
 
 def require(spark: SparkSession, role: str, permission: str = "", tool: str = "", roles: DataFrame | None = None, extra_tools: DataFrame | None = None) -> None:

@@ -457,10 +457,22 @@ _PAT = " union all ".join(f"select {i} as i, '{k}' as secret_type, '{p.replace(c
     (k, p, s) in enumerate(D.SECRETS))
 
 
+# Each customer's file has a password or a key.
+CUSTOMER_SECRET = ["name = c%1$d\npassword: Sup3rS3cr3tP@ssword%1$d!", 'access_key = "AKIA%1$016d"']
+CUSTOMER_FOUND = "select 'c' || c_custkey as file_path, 2 - c_custkey % 2 as line_number, case when c_custkey % 2 = 0 then 'password' else 'aws_key' end as secret_type from customer"
+
+
+def secret_files(spark, sf):
+    k = F.col("c_custkey")
+    text = F.get(F.array(*[F.format_string(t, k) for t in CUSTOMER_SECRET]), (k % 2).cast("int"))
+    own = read_table(spark, sf, "customer").select(F.concat(F.lit("c"), k).alias("file_path"), text.alias("text"))
+    return frame(spark, ["file_path", "text"], SEC_ROWS).unionByName(own)
+
+
 @query("secrets_findings",
-    f"select file_path, line_number::int as line_number, secret_type from {values(['file_path', 'line_number', 'secret_type'], SEC_OUT)}")
+    f"select file_path, line_number::int as line_number, secret_type from {beside(['file_path', 'line_number', 'secret_type'], SEC_OUT, CUSTOMER_FOUND)}")
 def secrets_findings(spark, sf):
-    return D.secret_findings(frame(spark, ["file_path", "text"], SEC_ROWS)).select("file_path", "line_number", "secret_type")
+    return D.secret_findings(secret_files(spark, sf)).select("file_path", "line_number", "secret_type")
 
 
 _HOLD = ", ".join(f"'{p}'" for p in D.PLACEHOLDERS)
@@ -501,12 +513,17 @@ SCAN_ROWS = [("main.tf", 10), ("a/b.YAML", 5), ("node_modules/x.json", 5), ("a/.
     ("d/e.json", 1), ("env.tf", 2)]
 
 
-_SCAN = f"select file_path, case lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) when 'tf' then 'terraform' when 'json' then 'json' else 'yaml' end as file_type from {values(SCAN, SCAN_ROWS)} where lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('tf', 'yml', 'yaml', 'json') and not list_has_any(string_split(file_path, '/'), [{', '.join(f"'{d}'" for d in files_.IGNORED)}]) and length <= 10485760"
+_DIRS, _ENDS = ["", "a/", "node_modules/", "x/.git/", "b/c/"], [".tf", ".YAML", ".json", ".md", ".yml", ".tf.bak"]
+_DOC_SCAN = f"select {pick_sql(_DIRS, 'doc_id')} || 'd' || doc_id || {pick_sql(_ENDS, 'doc_id // 5')}, case when doc_id % 11 = 0 then 20000000 else n_chars end from documents"
+_SCAN = f"select file_path, case lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) when 'tf' then 'terraform' when 'json' then 'json' else 'yaml' end as file_type from {beside(SCAN, SCAN_ROWS, _DOC_SCAN)} where lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) in ('tf', 'yml', 'yaml', 'json') and not list_has_any(string_split(file_path, '/'), [{', '.join(f"'{d}'" for d in files_.IGNORED)}]) and length <= 10485760"
 
 
 @query("file_scan_filter", _SCAN)
 def file_scan_filter(spark, sf):
-    return frame(spark, SCAN, SCAN_ROWS).filter(files_.selectable(F.col("file_path"), F.col("length"))).select("file_path",
+    d = F.col("doc_id")
+    own = read_table(spark, sf, "documents").select(F.concat(pick(_DIRS, d), F.lit("d"), d, pick(_ENDS, F.expr("doc_id div 5"))).alias("file_path"),
+        F.when(d % 11 == 0, 20000000).otherwise(F.col("n_chars")).cast("long").alias("length"))
+    return frame(spark, SCAN, SCAN_ROWS).unionByName(own).filter(files_.selectable(F.col("file_path"), F.col("length"))).select("file_path",
         files_.file_type(F.col("file_path")).alias("file_type"))
 
 
@@ -518,10 +535,20 @@ def file_count(spark, sf):
 PARSE_ROWS = [("a.tf", "x = 1"), ("b.json", '{"a": 1}'), ("c.json", "{bad"), ("d.yaml", "a: [1"), ("e.yml", "a: 1"), ("f.tf", " \n"), ("g.md", "x")]
 
 
+_PARSE_ENDS, _WELL = [".tf", ".json", ".yml"], ["x = %1$d", '{"a": %1$d}', "a: %1$d"]
+
+
 @query("file_parse", f"select file_path, case file_path when 'a.tf' then 'terraform' when 'b.json' then 'json' else 'yaml' end as file_type, "
-    f"'abcdef12' as commit from {values(['file_path', 'content'], PARSE_ROWS)} where file_path in ('a.tf', 'b.json', 'e.yml')")
+    f"'abcdef12' as commit from {values(['file_path', 'content'], PARSE_ROWS)} where file_path in ('a.tf', 'b.json', 'e.yml') union all select "
+    f"'d' || doc_id || {pick_sql(_PARSE_ENDS, 'doc_id')}, {pick_sql(['terraform', 'json', 'yaml'], 'doc_id')}, 'abcdef12' from documents where doc_id % 7 > 0 or "
+    f"doc_id % 3 = 0")
 def file_parse(spark, sf):
-    return files_.parse(frame(spark, ["file_path", "content"], PARSE_ROWS), "r", "main", "abcdef1234567").select("file_path", "file_type", "commit")
+    """Every seventh of the documents' files is cut off, which only JSON and YAML readers mind."""
+    d = F.col("doc_id")
+    well = F.get(F.array(*[F.format_string(t, d) for t in _WELL]), (d % 3).cast("int"))
+    own = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), d, pick(_PARSE_ENDS, d)).alias("file_path"), F.when(d % 7 == 0,
+        "{bad: [").otherwise(well).alias("content"))
+    return files_.parse(frame(spark, ["file_path", "content"], PARSE_ROWS).unionByName(own), "r", "main", "abcdef1234567").select("file_path", "file_type", "commit")
 
 
 @query("changed_files", "select 'd' || doc_id || '.tf' as file_path from documents where doc_id in (select doc_id from labels) or lang = 'fr'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkseam.operators import context, quality, report
 from sparkseam.operators import governance as G
 from sparkseam.functions import text as T
-from sparkseam.plans.fixtures import frame, values
+from sparkseam.plans.fixtures import beside, frame, pick, pick_sql, values
 from sparkseam.operators.keyed_table import KeyedTable
 from sparkseam.session import folder, read_table
 from sparkseam.streaming import ingest, stateful, streams
@@ -108,9 +108,12 @@ EXIT_ROWS = [(1, False, 0), (0, True, 0), (0, False, 3), (0, False, 0), (2, True
 
 
 @query("exit_code", f"select errors, failed, high, case when errors > 0 then 2 when failed then 1 when high > 0 then 1 else 0 end as code "
-    f"from {values(EXIT, EXIT_ROWS)}")
+    f"from {beside(EXIT, EXIT_ROWS, 'select greatest(o_orderkey % 3 - 1, 0), o_orderkey % 5 = 0, o_custkey % 4 from orders')}")
 def exit_code(spark, sf):
-    return frame(spark, EXIT, EXIT_ROWS).withColumn("code", report.exit_code(F.col("errors"), F.col("failed"), F.col("high"), True))
+    o = F.col("o_orderkey")
+    own = read_table(spark, sf, "orders").select(F.greatest(o % 3 - 1, F.lit(0)).alias("errors"), (o % 5 == 0).alias("failed"), (F.col("o_custkey") % 4).alias(
+        "high"))
+    return frame(spark, EXIT, EXIT_ROWS).unionByName(own).withColumn("code", report.exit_code(F.col("errors"), F.col("failed"), F.col("high"), True))
 
 
 @query("sarif_results", f"with {_ISS} select rule_id as rule, case severity when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then "
@@ -366,10 +369,17 @@ GI_ROWS = [("g1", "A", "WARN", "d", "CWE-79", "see https://evil.example/aaaaaaaa
     ("g6", "E", "LOW", "y" * 8001, "", "")]
 
 
+_SAID, _CWE = ["WARN", "odd", "note", "fatal error"], ["CWE-79", "cwe-1", "CWE79", "none"]
+_DOC_GI = f"select 'd' || doc_id, lang, {pick_sql(['MEDIUM', 'UNKNOWN', 'LOW', 'HIGH'], 'doc_id')}, case when doc_id % 4 < 2 then {pick_sql(_CWE, 'doc_id')} else '' end, 'see [URL REDACTED] of ' || doc_id from documents where text <> '' and length(text) <= 8000 and not regexp_matches(text, '{G.OUTPUT_INJECTION}')"
+
+
 @query("guardrail_issues", "select * from (values ('g1', 'A', 'MEDIUM', 'CWE-79', 'see [URL REDACTED] now'), ('g3', 'B', 'HIGH', '', "
-    "'https://owasp.org/abcdefghijkl'), ('g5', 'D', 'CRITICAL', '', '')) t(gid, title, severity, cwe, recommendation)")
+    "'https://owasp.org/abcdefghijkl'), ('g5', 'D', 'CRITICAL', '', '')) t(gid, title, severity, cwe, recommendation) " + f"union all {_DOC_GI}")
 def guardrail_issues(spark, sf):
-    return G.guarded(frame(spark, GI, GI_ROWS), ["title", "severity", "description", "cwe", "recommendation"]).select("gid", "title", "severity",
+    d = F.col("doc_id")
+    own = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), d).alias("gid"), F.col("lang").alias("title"), pick(_SAID, d).alias("severity"),
+        F.col("text").alias("description"), pick(_CWE, d).alias("cwe"), F.format_string("see https://evil.example/a/long/path of %d", d).alias("recommendation"))
+    return G.guarded(frame(spark, GI, GI_ROWS).unionByName(own), ["title", "severity", "description", "cwe", "recommendation"]).select("gid", "title", "severity",
         "cwe", "recommendation")
 
 
@@ -403,10 +413,15 @@ _GR = values(["role", "permission"], [(r, p) for r, ps in G.GRANTS.items() for p
 _TO = values(["tool", "permission"], list(G.TOOLS.items()))
 
 
+_ASKERS, _ASKED_TOOLS = [*(r[0] for r in ROLES), "Engineer"], [*G.TOOLS, "unlisted"]
+_EVENT_RQ = f"select {pick_sql(_ASKERS, 'user_id')}, {pick_sql(_ASKED_TOOLS, 'event_id')} from events"
+
+
 @query("rbac_access", f"select q.role, q.tool, coalesce(t.permission, 'run_scan') as permission, exists (select 1 from {_GR} g where g.role = "
-    f"lower(q.role) and g.permission = coalesce(t.permission, 'run_scan')) as allowed from {values(RQ, RQ_ROWS)} q left join {_TO} t using (tool)")
+    f"lower(q.role) and g.permission = coalesce(t.permission, 'run_scan')) as allowed from {beside(RQ, RQ_ROWS, _EVENT_RQ)} q left join {_TO} t using (tool)")
 def rbac_access(spark, sf):
-    return G.access(frame(spark, RQ, RQ_ROWS)).select("role", "tool", "permission", "allowed")
+    own = read_table(spark, sf, "events").select(pick(_ASKERS, F.col("user_id")).alias("role"), pick(_ASKED_TOOLS, F.col("event_id")).alias("tool"))
+    return G.access(frame(spark, RQ, RQ_ROWS).unionByName(own)).select("role", "tool", "permission", "allowed")
 
 
 @query("audit_filter", "select event_id, user_id from events where event_type = 'error' and ts >= timestamp '2024-01-10'")
@@ -420,9 +435,14 @@ def audit_last_n(spark, sf):
     return G.last_events(read_table(spark, sf, "events"), 100).select("event_id")
 
 
-@query("audit_factories", f"select event_type, severity from {values(['event_type', 'severity'], list(G.EVENT_SEVERITY.items()))}")
+_KINDS_OF_EVENT = list(G.EVENT_SEVERITY)
+_EVENT_KIND = f"select {pick_sql(_KINDS_OF_EVENT, 'event_id')}, {pick_sql(list(G.EVENT_SEVERITY.values()), 'event_id')} from events"
+
+
+@query("audit_factories", f"select * from {beside(['event_type', 'severity'], list(G.EVENT_SEVERITY.items()), _EVENT_KIND)}")
 def audit_factories(spark, sf):
-    return G.event_rows(frame(spark, ["event_type"], [(k,) for k in G.EVENT_SEVERITY])).select("event_type", "severity")
+    own = read_table(spark, sf, "events").select(pick(_KINDS_OF_EVENT, F.col("event_id")).alias("event_type"))
+    return G.event_rows(frame(spark, ["event_type"], [(k,) for k in G.EVENT_SEVERITY]).unionByName(own)).select("event_type", "severity")
 
 
 _AP_SEVERITY, _AP_DECISION = ["LOW", "medium", "HIGH", "CRITICAL", "INFO", "odd", "Unknown", ""], ["", "approve", "reject", "other"]
@@ -431,11 +451,16 @@ AP_ROWS = [(f"{s}/{d}/{t}/{r}", s, d, t, r) for s in _AP_SEVERITY for d in _AP_D
 _AP_RANK = "list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO', 'UNKNOWN'], {})"
 
 
+_EVENT_AP = f"select 'e' || event_id, {pick_sql(_AP_SEVERITY, 'event_id')}, {pick_sql(_AP_DECISION, 'user_id')}, {pick_sql(['HIGH', 'LOW'], 'event_id // 8')}, event_id // 16 % 2 = 0 from events"
+
+
 @query("approval_status",
     f"""select aid, case when not reviewer or coalesce({_AP_RANK.format('upper(severity)')}, 6) > {_AP_RANK.format('threshold')} then 'auto_approved'
- when decision = 'approve' then 'approved' when decision = 'reject' then 'rejected' else 'pending' end as status from {values(AP, AP_ROWS)}""")
+ when decision = 'approve' then 'approved' when decision = 'reject' then 'rejected' else 'pending' end as status from {beside(AP, AP_ROWS, _EVENT_AP)}""")
 def approval_status(spark, sf):
-    rows = frame(spark, AP, AP_ROWS)
+    own = [F.concat(F.lit("e"), "event_id"), pick(_AP_SEVERITY, F.col("event_id")), pick(_AP_DECISION, F.col("user_id")), pick(["HIGH", "LOW"],
+        F.expr("event_id div 8")), F.expr("event_id div 16 % 2 = 0")]
+    rows = frame(spark, AP, AP_ROWS).unionByName(read_table(spark, sf, "events").select(*[c.alias(n) for n, c in zip(AP, own, strict=True)]))
     out = None
     for t in ("HIGH", "LOW"):
         for r in (True, False):

@@ -12,7 +12,7 @@ from sparkseam.operators.recursion import forest, json_values
 from sparkseam.plans import detector_queries as dq
 from sparkseam.plans import report_queries as rq
 from sparkseam.plans.engine import Engine, scan_errors, scan_issues
-from sparkseam.plans.fixtures import frame, values
+from sparkseam.plans.fixtures import beside, frame, pick, pick_sql, values
 from sparkseam.session import folder, read_table
 from sparkseam.sources import parsers
 
@@ -135,19 +135,30 @@ ERRORS = [("deep/a.json", "iam"), ("deep/a.json", "workload_identity"), ("deep/b
     "workload_identity"), ("none/d.tf", "iam"), ("none/d.tf", "workload_identity")]
 
 
-@query("scan_errors", f"select * from {values(['file_path', 'detector'], ERRORS)}")
+_NATION_ERRORS = "select 'deep/n' || n_nationkey || '.json', unnest(['iam', 'workload_identity']) from nation where n_nationkey % 2 = 0"
+
+
+def broken(spark, sf):
+    """Files that can't be read, and one for each nation, every other too deep."""
+    n = F.col("n_nationkey")
+    own = read_table(spark, sf, "nation").select(F.format_string("deep/n%d.json", n).alias("file_path"), F.lit("json").alias("file_type"), F.when(n % 2 == 0,
+        F.repeat(F.lit("["), F.lit(100_000))).otherwise("[]").alias("content"))
+    return frame(spark, FILE, BROKEN).unionByName(own)
+
+
+@query("scan_errors", f"select * from {beside(['file_path', 'detector'], ERRORS, _NATION_ERRORS)}")
 def scan_errors_query(spark, sf):
     """Files that a reader can't read are rows, and don't end the scan."""
-    return scan_errors(frame(spark, FILE, BROKEN)).select("file_path", "detector")
+    return scan_errors(broken(spark, sf)).select("file_path", "detector")
 
 
-_SECRET_OUT = values(["file_path", "line_number", "secret_type"], dq.SEC_OUT)
+_SECRET_OUT = beside(["file_path", "line_number", "secret_type"], dq.SEC_OUT, dq.CUSTOMER_FOUND)
 
 
-@query("scan_exit", f"select {len(ERRORS)}::bigint as errors, (select count(*) from {_SECRET_OUT}) as total, 2 as code")
+@query("scan_exit", f"select (select count(*) from {beside(['file_path', 'detector'], ERRORS, _NATION_ERRORS)}) as errors, (select count(*) from {_SECRET_OUT}) as total, 2 as code")
 def scan_exit(spark, sf):
     """A scan with detector errors ends with 2, whatever it found."""
-    files = frame(spark, FILE, BROKEN).unionByName(frame(spark, ["file_path", "text"], dq.SEC_ROWS).select("file_path",
+    files = broken(spark, sf).unionByName(dq.secret_files(spark, sf).select("file_path",
         F.lit("other").alias("file_type"), F.col("text").alias("content")))
     issues, summary = report.run([scan_issues(files)], scan_errors(files), "ord")
     return summary.select("errors", "total", report.exit_code(F.col("errors"), F.lit(False), F.col("high"), True).alias("code"))
@@ -157,9 +168,9 @@ def scan_exit(spark, sf):
     f"""with p as (select unnest({[k for k, _, _ in detectors.SECRETS]}) as secret_type, unnest({[s for _, _, s in detectors.SECRETS]}) as severity union all select 'high_entropy', 'MEDIUM'),
 f as (select file_path, severity from {_SECRET_OUT} join p using (secret_type))
 select count(*) as total, count(*) filter (where severity = 'HIGH') as high, count(*) filter (where severity = 'MEDIUM') as medium, count(*) filter (where severity = 'LOW') as low, count(distinct file_path) as files_with_findings,
-(select count(*) from {values(['file_path', 'text'], dq.SEC_ROWS)}) as files_analysed, case when count(*) filter (where severity = 'HIGH') > 0 then 'HIGH' else 'other' end as worst from f""")
+{len(dq.SEC_ROWS)} + (select count(*) from customer) as files_analysed, case when count(*) filter (where severity = 'HIGH') > 0 then 'HIGH' else 'other' end as worst from f""")
 def secret_summary(spark, sf):
-    return detectors.secret_report(frame(spark, ["file_path", "text"], dq.SEC_ROWS))
+    return detectors.secret_report(dq.secret_files(spark, sf))
 
 
 _FILES = "(select severity, string_agg(file_path, ', ' order by file_path) as files from (select distinct severity, file_path, dense_rank() over (partition by severity order by file_path) as n from d where file_path <> '') where n <= 5 group by severity)"
@@ -250,16 +261,21 @@ _NEW_R, _NEW_T = values(["role", "permission"], [(r.lower(), p) for r, p in NEW_
 _G2 = f"g as (select * from {rq._GR} where role not in (select role from {_NEW_R}) union all select * from {_NEW_R}), tl as (select * from {rq._TO} where tool not in (select tool from {_NEW_T}) union all select * from {_NEW_T})"
 
 
+_ASKERS, _ASKED_TOOLS = ["auditor", "Viewer", "analyst", "nobody"], ["LEDGER", "llm_client", "iam_analyzer", "unheard_of", "user_management"]
+_EVENT_ASKS = f"select {pick_sql(_ASKERS, 'user_id')}, {pick_sql(_ASKED_TOOLS, 'event_id')} from events"
+
+
 def _new(spark):
     return frame(spark, ["role", "permission"], NEW_ROLES), frame(spark, ["tool", "permission"], NEW_TOOLS)
 
 
 @query("rbac_registered", f"with {_G2}, n as (select q.role, q.tool, coalesce(tl.permission, 'run_scan') as permission "
-    f"from {values(['role', 'tool'], RQ_ROWS)} q left join tl on tl.tool = lower(q.tool)) select *, exists (select 1 from g where g.role = "
+    f"from {beside(['role', 'tool'], RQ_ROWS, _EVENT_ASKS)} q left join tl on tl.tool = lower(q.tool)) select *, exists (select 1 from g where g.role = "
     f"lower(n.role) and g.permission = n.permission) as allowed from n")
 def rbac_registered(spark, sf):
     roles, tools = _new(spark)
-    return G.access(frame(spark, ["role", "tool"], RQ_ROWS), roles, tools).select("role", "tool", "permission", "allowed")
+    own = read_table(spark, sf, "events").select(pick(_ASKERS, F.col("user_id")).alias("role"), pick(_ASKED_TOOLS, F.col("event_id")).alias("tool"))
+    return G.access(frame(spark, ["role", "tool"], RQ_ROWS).unionByName(own), roles, tools).select("role", "tool", "permission", "allowed")
 
 
 @query("rbac_tools", f"with {_G2} select distinct role, tool from g join tl using (permission)")
