@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkseam.functions import classify as C
 from sparkseam.functions.text import terms
 from sparkseam.operators import chunking, context, detectors, federation, iam, prompts, report, rules, search, store
+from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.sources import files as files_
 from sparkseam.sources import parsers
 from sparkseam.session import exists, materialise, remove
@@ -185,14 +186,30 @@ class Engine:
             empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
             new = store.insert_new(had if had is not None else empty, chunks, "ord", dedup=False).withColumn("segment", F.lit(number))
             self._append(segments, new, fresh.select("file_path", "content_hash", F.lit(number).alias("segment")))
+            self._index()
         self.cache.clear()
         return self.chunks()
 
+    def _index(self) -> None:
+        """Brings the keyword index to the newest manifest's chunks. Without its mark, from before the first change on, nobody reads it."""
+        number = self._newest()[0]
+        remove(self.spark, f"{self.root}/keywords-of")
+        KeywordIndex(self.spark, f"{self.root}/keywords").sync(self.chunks(), "index_id", "text")
+        self.spark.range(1).select(F.lit(str(number)).alias("value")).coalesce(1).write.text(f"{self.root}/keywords-of")
+
+    def _keywords(self) -> KeywordIndex | None:
+        """The keyword index if it is the newest manifest's; an ingest that ended before its index leaves searches to scan the chunks."""
+        path = f"{self.root}/keywords-of"
+        if not exists(self.spark, f"{path}/_SUCCESS") or int(self.spark.read.text(path).first()[0]) != self._newest()[0]:
+            return None
+        return KeywordIndex(self.spark, f"{self.root}/keywords")
+
     def compact(self) -> None:
         """One segment in place of all. The old ones stay on disk until remove_old(), for readers that began before."""
         chunks, files = self._live(), self.registry()
         if chunks is not None:
             self._append([], chunks, files)
+            self._index()
 
     def remove_old(self) -> int:
         """Deletes segments that the manifest doesn't name, and earlier manifests; returns how many segments went."""
@@ -213,13 +230,13 @@ class Engine:
         self.cache.clear()
 
     def retrieve(self, query: str, k: int = 12, where: dict | None = None, depth: int = 0) -> DataFrame:
-        """Hybrid top-k of the stored chunks; with a depth, then what they depend on within so many levels."""
+        """Hybrid top-k of the stored chunks, by the keyword index; with a depth, then what they depend on within so many levels."""
         have = self.chunks()
         if have is None:
             raise FileNotFoundError("nothing has been ingested")
         vector = store.embed(self.spark.range(1).select(F.lit(query).alias("text")), self.dimension).select("embedding").first()[0]
         asked = self.spark.range(1).select(terms(F.lit(query))).first()[0]
-        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where).select("id",
+        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where, keywords=self._keywords()).select("id",
             F.col("final_score").alias("score"), "rank", "semantic_score", "keyword_score")
         if depth > 0:
             rows = chunking.resolve(have.withColumn("_at", F.col("index_id")), "_at")
