@@ -231,7 +231,7 @@ def registered(base: DataFrame, extra: DataFrame | None, key: str) -> DataFrame:
     if extra is None:
         return base
     extra = extra.select(F.lower(key).alias(key), *[c for c in base.columns if c != key])
-    return base.join(F.broadcast(extra.select(key).distinct()), key, "left_anti").select(*base.columns).unionByName(extra)
+    return base.join(extra.select(key).distinct(), key, "left_anti").select(*base.columns).unionByName(extra)
 
 
 def grants(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
