@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkseam.functions import classify as C
 from sparkseam.functions.text import terms
-from sparkseam.operators import chunking, context, detectors, federation, iam, prompts, report, rules, search, store
+from sparkseam.operators import analysers, chunking, context, detectors, federation, iam, prompts, report, rules, search, store
 from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.sources import files as files_
 from sparkseam.sources import parsers
@@ -89,6 +89,12 @@ class Cache:
 
 
 CHUNK_BUDGET, RULE_BUDGET = 1950, 1050
+#: What is retrieved for an intent that is judged by rule: a filter before the search, and a test of what it finds.
+ROUTES = {"iam": ({"cloud_provider": "azure"}, "category = 'identity'"), "workload_identity": (None, "category = 'identity'"),
+    "secrets": (None, "category = 'secrets'"), "prompt_injection": (None, "file_type = 'yaml'")}
+# What a model is told to look at for the other intents.
+HINTS = {"network": "network exposure, firewall, and public access", "compliance": "compliance, benchmark, and policy violations",
+    "general_security": "general security"}
 
 
 @dataclass
@@ -281,21 +287,35 @@ class Engine:
         self.cache.put(key, out)
         return out
 
-    def dispatch(self, query: str, k: int = 12) -> tuple[str, DataFrame]:
-        """The intent of a question, and its answer: findings of a detector over the files that retrieval met, or the issues of analyze()."""
-        intent = self.spark.range(1).select(C.intent(F.lit(query))).first()[0]
-        if intent not in ("iam", "workload_identity", "secrets", "prompt_injection"):
-            return intent, self.analyze(query, k, hint=intent if intent != "general" else "")["issues"]
-        found = self.retrieve(query, k)
-        files = self.chunks().join(found.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "file_type",
-            F.col("text").alias("content"))
-        if intent == "iam":
-            return intent, iam.analyse(materialise(parsers.role_assignments(files), "roles"))
-        if intent == "workload_identity":
-            return intent, federation.findings(parsers.federation_configs(files))
-        if intent == "secrets":
-            return intent, detectors.secret_findings(files.withColumnRenamed("content", "text"))
-        return intent, detectors.pipeline_findings(materialise(parsers.pipeline_snippets(files), "steps"))
+    def retrieve_within(self, query: str, k: int, where: dict | None = None, kept: str | None = None) -> DataFrame:
+        """The k best that pass a test, out of three times as many (at least 10)."""
+        found = self.retrieve(query, max(3 * k, 10), where)
+        if kept is None:
+            return found.filter(F.col("rank") <= k)
+        return search.post_filtered(found, F.expr(kept), k, "final_score")
+
+    def dispatch(self, query: str, k: int = 5, k_rules: int = 3, intent: str | None = None, said: DataFrame | None = None) -> dict:
+        """A question answered by its intent (by keywords, if none is given), in one form for all intents.
+
+        intent, query; findings (analysers.FINDING; `issues` is the same); code: what was retrieved; sources: file_path of code and findings,
+        each once; rules; summary and metadata. Access, federation, secrets and pipeline questions are judged by rule over what
+        was retrieved for them (said: a model's findings, merged in); others go to analyze() with the intent's hint.
+        """
+        intent = intent or self.spark.range(1).select(C.intent(F.lit(query))).first()[0]
+        if intent in ROUTES:
+            where, kept = ROUTES[intent]
+            code = materialise(self.retrieve_within(query, k, where, kept), "code")
+            units = analysers.access_chunks(code, self._live().drop("index_id")) if intent == "iam" else code
+            done = analysers.analyse(intent, analysers.of_chunks(units), said, all_files=True)
+            findings, summary, hold, analysis = done.findings, done.summary.first().asDict(), None, ""
+            meta = {"files_analyzed": summary["files"], "units": summary["units"], "retrieval": {"code_count": code.count(), "rule_count": 0}}
+        else:
+            out = self.analyze(query, k, k_rules, hint=HINTS.get(intent, HINTS[C.DEFAULT_INTENT]))
+            code, hold, analysis, summary, meta = out["code"], out["rules"], out["analysis"], out["summary"], out["metadata"]
+            issues = out["issues"].withColumnsRenamed({"title": "issue"})
+            findings = analysers.finding(issues.withColumn("type", F.lit(intent)))
+        return {"intent": intent, "query": query, "findings": findings, "issues": findings, "code": code, "rules": hold, "analysis": analysis,
+            "summary": summary, "sources": report.sources(code, findings), "chunks_retrieved": meta["retrieval"]["code_count"], "metadata": meta}
 
     def ci_scan(self, files: DataFrame, policy: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Issues, summary (with the number of detector errors) and policy verdict of a repository."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkseam.plans import chunk_queries, detector_queries, engine_queries, report_queries, review_queries, search_queries
+from sparkseam.plans import analysis_queries, chunk_queries, detector_queries, engine_queries, report_queries, review_queries, search_queries
 
-_MODULES = [search_queries, chunk_queries, detector_queries, report_queries, engine_queries, review_queries]
+_MODULES = [search_queries, chunk_queries, detector_queries, analysis_queries, report_queries, engine_queries, review_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
