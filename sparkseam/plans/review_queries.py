@@ -238,20 +238,6 @@ def policy_overrides(spark, sf):
     return frame(spark, POL, rows)
 
 
-@query("engine_analyze",
-    f"select * from {values(['title', 'severity', 'cached', 'summary'], [('Broad role', 'HIGH', False, 'one'), ('Broad role', 'HIGH', True, 'one')])}")
-def engine_analyze(spark, sf):
-    """A question asked twice: the second answer comes from the cache."""
-    from sparkseam.plans.engine_queries import files
-
-    said = '{"issues": [{"title": "Broad role", "severity": "high"}], "summary": "one"}'
-    engine = Engine(spark, folder(spark, "engine"), answer=prompts.recorded({"managed identity": said}))
-    engine.ingest(files(spark))
-    parts = [engine.analyze("what does the managed identity own", 5, 3) for _ in range(2)]
-    rows = [p["issues"].select("title", "severity", F.lit(p["metadata"]["cached"]).alias("cached"), F.lit(p["summary"]).alias("summary")) for p in parts]
-    return rows[0].unionByName(rows[1])
-
-
 # ---- roles
 
 NEW_ROLES, NEW_TOOLS = [("Auditor", "view_audit"), ("VIEWER", "run_scan")], [("Ledger", "view_audit"), ("llm_client", "view_audit")]
@@ -343,43 +329,6 @@ def json_sink(spark, sf):
     return spark.read.schema(rows.schema).json(path)
 
 
-STATE = ["step", "chunks", "files", "entries"]
-STATE_OUT = [("empty", 0, 0, False), ("first", 2, 2, True), ("same", 2, 2, True), ("changed", 3, 2, True), ("copied", 3, 3, True), ("compacted", 3, 3,
-    True), ("damaged", 3, 3, True), ("other dimension", -1, -1, True), ("cleared", 0, 0, False)]
-
-
-@query("store_state", f"select * from {values(STATE, STATE_OUT)}")
-def store_state(spark, sf):
-    """Chunks and files of the store after each step: ingests, a changed file, a copy of a file's text, a manifest without its segments."""
-    engine, seen = Engine(spark, folder(spark, "engine")), []
-    one, two = 'variable "a" {\n  default = 1\n}\n', 'variable "b" {\n  default = 2\n}\n'
-
-    def look(step: str, at: Engine = engine) -> None:
-        try:
-            chunks, files = at.chunks(), at.registry()
-            seen.append((step, chunks.count() if chunks is not None else 0, files.count() if files is not None else 0, at.has_entries()))
-        except ValueError:
-            seen.append((step, -1, -1, at.has_entries()))
-
-    def ingest(step: str, *files: tuple[str, str]) -> None:
-        engine.ingest(frame(spark, FILE, [(p, "terraform", c) for p, c in files]))
-        look(step)
-
-    look("empty")
-    ingest("first", ("a.tf", one), ("b.tf", two))
-    ingest("same", ("a.tf", one), ("b.tf", two))
-    ingest("changed", ("b.tf", two + 'variable "c" {\n  default = 3\n}\n'))
-    ingest("copied", ("d.tf", one))  # equal chunks are stored once
-    engine.compact()
-    look("compacted")
-    spark.range(1).select(F.lit("missing").alias("value")).coalesce(1).write.text(f"{engine.root}/manifest/999")
-    look("damaged")
-    look("other dimension", Engine(spark, engine.root, dimension=3))
-    engine.clear()
-    look("cleared")
-    return frame(spark, STATE, seen)
-
-
 @query("store_documents", """with v as (select case when doc_id % 5 = 0 then reverse(text) else text end as t from documents)
 select sha256(t) as content_hash, count(*) as files, 1::bigint as shown from v where length(t) > 0 group by t""")
 def store_documents(spark, sf):
