@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +91,67 @@ def policy_frame(spark: SparkSession, policy: dict) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def settings(text: Column, environment: Column, over: Column) -> Column:
+    """struct<policy: string, error: string> of policy_of() on each row: the merged policy as JSON, or why there is none.
+
+    text: YAML or JSON, environment: a name or empty, over: overrides as JSON. Nulls count as empty. YAML has no expression in Spark, so this
+    one step runs in Python, over Arrow batches.
+    """
+
+    @F.pandas_udf("policy string, error string")
+    def merged(texts: pd.Series, names: pd.Series, overs: pd.Series) -> pd.DataFrame:
+        def one(text, name, more):
+            try:
+                return json.dumps(policy_of(text, name or "", load_config(more)), default=str), None
+            except (ValueError, TypeError, AttributeError, RecursionError) as e:  # no such environment, a part that isn't a mapping, too deep
+                return None, str(e)[:200]
+
+        return pd.DataFrame([one(*row) for row in zip(texts, names, overs, strict=True)], columns=["policy", "error"])
+
+    return merged(*[F.coalesce(c, F.lit("")) for c in (text, environment, over)])
+
+
+def policies(rows: DataFrame, key: str) -> DataFrame:
+    """key, severity, fail_on, max_allowed, error: the four limits of each row's policy (key, text, environment, overrides); a policy that
+    can't be merged is one row with its error."""
+    kind = "fail_on map<string,string>, max_allowed map<string,string>"
+    each = rows.select(key, settings(F.col("text"), F.col("environment"), F.col("overrides")).alias("_s"))
+    each = each.select(key, F.col("_s.error").alias("error"), F.from_json("_s.policy", kind).alias("_p"))
+    limits = []
+    for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"):
+        most, fails = F.try_element_at("_p.max_allowed", F.lit(s.lower())), F.try_element_at("_p.fail_on", F.lit(s.lower()))
+        named = F.coalesce(F.map_contains_key("_p.max_allowed", s.lower()), F.lit(False))
+        limits.append(F.struct(F.lit(s).alias("severity"), (~F.coalesce(fails, F.lit("")).isin("", "false", "0", "null", "{}", "[]")).alias("fail_on"),
+            F.when(named, F.coalesce(most.try_cast("double").try_cast("bigint"), F.lit(0))).otherwise(0 if s in ("CRITICAL", "HIGH") else 999999).cast("long").alias("max_allowed")))
+    none = F.struct(F.lit(None).cast("string").alias("severity"), F.lit(None).cast("boolean").alias("fail_on"), F.lit(None).cast("long").alias("max_allowed"))
+    return each.select(key, F.inline(F.when(F.col("error").isNull(), F.array(*limits)).otherwise(F.array(none))), "error")
+
+
+def overrides_json(fails: Column, limits: Column) -> Column:
+    """overrides() on each row as JSON: fails array<string>, limits map<string,bigint>; nulls count as empty."""
+    low = F.array_distinct(F.transform(F.coalesce(fails, F.array().cast("array<string>")), lambda x: F.lower(x)))
+    on = F.map_from_arrays(low, F.transform(low, lambda x: F.lit(True)))
+    most = F.transform_keys(F.coalesce(limits, F.create_map().cast("map<string,bigint>")), lambda k, v: F.lower(k))
+    return F.when((F.size(on) > 0) | (F.size(most) > 0), F.to_json(F.struct(on.alias("fail_on"), most.alias("max_allowed")))).otherwise("{}")
+
+
+def evaluate_each(issues: DataFrame, limits: DataFrame, key: str) -> DataFrame:
+    """evaluate() for each key by its own limits (policies()): key, severity, count, max_allowed, violated, reason. A policy with an error isn't judged."""
+    counts = issues.groupBy(key, "severity").agg(F.count(F.lit(1)).alias("_c"))
+    rows = limits.filter("severity is not null").join(counts, [key, "severity"], "left").withColumn("count", F.coalesce("_c", F.lit(0)))
+    reason = violation(F.col("count"), F.col("fail_on"), F.col("max_allowed"))
+    return rows.withColumn("reason", reason).select(key, "severity", "count", "max_allowed", (F.col("reason") != "").alias("violated"), "reason")
+
+
+def violation(count: Column, fail_on: Column, most: Column) -> Column:
+    return F.when(count <= 0, "").when(fail_on, "zero tolerance").when(count > most, "over the limit").otherwise("")
+
+
 def evaluate(issues: DataFrame, policy: DataFrame) -> DataFrame:
     """severity, count, max_allowed, violated, reason for every severity of the policy."""
     counts = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("_c"))
     rows = policy.join(counts, "severity", "left").withColumn("count", F.coalesce("_c", F.lit(0))).drop("_c")
-    reason = F.when(F.col("count") <= 0, "").when(F.col("fail_on"), "zero tolerance").when(F.col("count") > F.col("max_allowed"),
-        "over the limit").otherwise("")
+    reason = violation(F.col("count"), F.col("fail_on"), F.col("max_allowed"))
     return rows.withColumn("reason", reason).select("severity", "count", "max_allowed", (F.col("reason") != "").alias("violated"), "reason")
 
 

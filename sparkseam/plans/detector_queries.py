@@ -487,7 +487,17 @@ def secrets_patterns(spark, sf):
     return D.secret_lines(rows).filter("secret_type <> 'high_entropy'").select("file_path", "line_number", "secret_type", "match")
 
 
-@query("secrets_lines_all")
+_PLAIN = f"not list_bool_or(list_transform([{_HOLD}], lambda x: contains(lower(v), x)))"
+
+
+@query("secrets_lines_all",
+    f"""with f as (select * from {values(['file_path', 'text'], SEC_ROWS)} union all select 'd' || doc_id, text from documents),
+l as (select file_path, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line_number from f), p as ({_PAT}),
+h as (select file_path, line_number, secret_type, i, regexp_extract(line, pat, 1) as v from l, p where regexp_matches(line, pat)), g as (select *, row_number() over (partition by file_path, line_number, v order by i) as n from h where {_PLAIN}),
+t as (select distinct file_path, line_number, unnest(regexp_extract_all(line, '{D.B64_TOKEN}')) as v from l where not exists (select 1 from g where g.file_path = l.file_path and g.line_number = l.line_number)),
+e as (select file_path, line_number, v, c.ch, count(*)::double as c from t, unnest(string_split(v, '')) c(ch) where {_PLAIN} group by all),
+s as (select file_path, line_number, v, -sum(c / length(v) * log2(c / length(v))) as entropy from e group by file_path, line_number, v)
+select file_path, line_number, secret_type, substr(v, 1, 4) || '***' as match from g where n = 1 union all select file_path, line_number, 'high_entropy', substr(v, 1, 4) || '***' from s where entropy >= 4.5""")
 def secrets_lines_all(spark, sf):
     """All kinds, high_entropy too, over the sample rows and all documents."""
     rows = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file_path"), "text")

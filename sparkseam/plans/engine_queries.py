@@ -65,7 +65,7 @@ def ci_scan(spark, sf):
 
 ALL = 100_000
 KINDS = ["kindone", "kindtwo", "kindthree", "kindfour", "kindfive"]
-NOTE = "name: s%d\nnote: %s\n"
+NOTE = "s%d: %s\n"
 
 
 def notes(spark, sf):

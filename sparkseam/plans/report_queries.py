@@ -84,9 +84,41 @@ def _policy(spark):
     return report.policy_frame(spark, report.policy_of(POLICY, "prod", {"max_allowed": {"low": 7}}))
 
 
-@query("policy_merge", f"select * from {_POL}")
+# A policy for each customer: none, YAML with an environment, JSON, no mapping; every third sets a limit over it, some name no environment.
+POLICY_YAML = "max_allowed:\n  medium: %d\n  low: 100000\nenvironments:\n  prod:\n    max_allowed:\n      medium: %d\n    fail_on:\n      low: true\n"
+POLICY_JSON = '{"max_allowed": {"high": %d}, "fail_on": {"high": false}}'
+_POLS = """p as (select c_custkey as repo, c_custkey % 4 as kind, c_nationkey as n, c_custkey % 3 = 0 as own, c_custkey % 20 = 2 as lost from customer),
+pol as (select repo, s.severity, case s.severity when 'HIGH' then kind <> 2 when 'LOW' then kind = 1 else false end as fail_on,
+ (case s.severity when 'CRITICAL' then 0 when 'HIGH' then case when kind = 2 then n else 0 end when 'MEDIUM' then case when kind = 1 then n + 1 else 5 end
+ else case when own then 7 when kind = 1 then 100000 else 10 end end)::bigint as max_allowed, null::varchar as error
+ from p, (values ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) s(severity) where not lost
+ union all select repo, null, null, null, 'no environment named dev' from p where lost)"""
+
+
+def written_policies(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = F.when(k % 4 == 0, "").when(k % 4 == 1, F.format_string(POLICY_YAML, n, n + 1)).when(k % 4 == 2, F.format_string(POLICY_JSON, n)).otherwise("- a list")
+    where = F.when(k % 20 == 2, "dev").when(k % 4 == 1, "prod")
+    return read_table(spark, sf, "customer").select(k.alias("repo"), text.alias("text"), where.alias("environment"), F.when(k % 3 == 0,
+        '{"max_allowed": {"low": 7}}').alias("overrides"))
+
+
+@query("policy_merge", f"with {_POLS} select * replace (coalesce(max_allowed, -1) as max_allowed) from pol")
 def policy_merge(spark, sf):
-    return _policy(spark)
+    """Defaults, the written policy, its environment, and what is set over it, for each customer."""
+    return report.policies(written_policies(spark, sf), "repo").withColumn("max_allowed", F.coalesce("max_allowed", F.lit(-1)))
+
+
+@query("policies_evaluate", f"""with {_POLS}, i as (select o_custkey as repo, case when o_orderkey % 7 = 0 then 'HIGH' when o_orderkey % 2 = 0 then 'MEDIUM' else 'LOW' end as severity from orders),
+c as (select repo, severity, count(*) as n from i group by all), e as (select repo, severity, coalesce(n, 0) as count, max_allowed,
+ case when coalesce(n, 0) = 0 then '' when fail_on then 'zero tolerance' when n > max_allowed then 'over the limit' else '' end as reason from pol left join c using (repo, severity) where error is null)
+select repo, severity, count, max_allowed, reason <> '' as violated, reason from e""")
+def policies_evaluate(spark, sf):
+    """Each order an issue of its customer's repository, judged by that repository's own policy."""
+    o = F.col("o_orderkey")
+    issues = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.when(o % 7 == 0, "HIGH").when(o % 2 == 0, "MEDIUM").otherwise(
+        "LOW").alias("severity"))
+    return report.evaluate_each(issues, report.policies(written_policies(spark, sf), "repo"), "repo")
 
 
 _EV = f"c as (select severity, count(*) as n from d group by severity), e as (select severity, coalesce(n, 0) as count, max_allowed, case when coalesce(n, 0) = 0 then '' when fail_on then 'zero tolerance' when n > max_allowed then 'over the limit' else '' end as reason from {_POL} left join c using (severity))"
@@ -287,7 +319,24 @@ def focus_terms(spark, sf):
     return quality.focus(rows, "conv_id")
 
 
-@query("skill_loop")
+_WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_SHORTER = f"(select case when len(w) > 0 then array_to_string(w, ' ') else query end from (select list_filter({_WORDS.format(x='query')}, lambda x: x not in ({_in(quality.FILLER)})) as w))"
+_FIRST = ("(select case when len(w) > 0 then w[1] else query end from (select list_filter(list_transform(regexp_split_to_array(query, '(?i)\\b(?:and|or)\\b'), "
+    "lambda x: trim(x, ' ,;:.' || chr(9) || chr(10))), lambda x: x <> '') as w))")
+_OFF = lambda phrase, w: f"case when contains(lower(answer), '{phrase}') then {w} else 0 end"
+
+
+def _tries(i: int) -> str:
+    """The tries of a round and the questions of the next; the answer to a question is the question, after three words."""
+    return f"""t{i} as (select qid, query, 'the answer is ' || query as answer from q{i}),
+m{i} as (select *, len(list_filter({_WORDS.format(x='answer')}, lambda x: not list_contains({_WORDS.format(x='query')}, x)))::double / len({_WORDS.format(x='answer')}) as miss,
+ greatest(0, 1.0::double - {_OFF('i think', 0.3)} - {_OFF('maybe', 0.2)} - {_OFF('possibly', 0.2)} - case when len(regexp_extract_all(answer, '\\S+')) < 5 then 0.4 else 0 end) as sure from t{i}),
+f{i} as (select *, miss > 0.5 or round(sure, 6) < 0.5 as fails, ' ' || lower(query) || ' ' as low from m{i}),
+q{i + 1} as (select qid, case when miss > 0.5 then {_SHORTER} when contains(low, ' and ') or contains(low, ' or ') or contains(low, ',') or contains(low, ';') then {_FIRST} else query end as query from f{i} where fails)"""
+
+
+@query("skill_loop", f"with q1 as (select qid, text as query from {_ASK}), {_tries(1)}, {_tries(2)}, {_tries(3)} select qid, query, 1 as round from f1 where not fails union all "
+    "select qid, query, 2 from f2 where not fails union all select qid, query, 3 from f3")
 def skill_loop(spark, sf):
     """Three rounds at most, with recorded answers (each question's own words, echoed)."""
     rows = asked(spark, sf).withColumnRenamed("text", "query")

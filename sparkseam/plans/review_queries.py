@@ -9,6 +9,7 @@ from sparkseam.operators import detectors, prompts, quality, report, search, sto
 from sparkseam.operators import governance as G
 from sparkseam.operators import rules as rules_
 from sparkseam.operators.recursion import forest, json_values
+from sparkseam.plans import chunk_queries as cq
 from sparkseam.plans import detector_queries as dq
 from sparkseam.plans import report_queries as rq
 from sparkseam.plans.engine import Engine, scan_errors, scan_issues
@@ -114,15 +115,17 @@ def prompt_snippet(spark, sf):
 
 
 def _client(prompt: str) -> str:
-    if "Who" in prompt:
+    if prompt.endswith("? late"):
         raise TimeoutError("too slow")
     return prompts.recorded({"storage": '{"issues": [{"title": "Open bucket", "severity": "high"}], "summary": "one"}'})(prompt)
 
 
-@query("model_answers", f"select * from {values(['qid', 'titles', 'summary'], [(1, 'Open bucket', 'one'), (2, '', 'no answer: too slow'), (3, '', '')])}")
+@query("model_answers", f"select qid, case when hint = 'storage' then 'Open bucket' else '' end as titles, case hint when 'storage' then 'one' when '' then 'no answer: too slow' else '' end as "
+    f"summary from {_ASK}")
 def model_answers(spark, sf):
-    """A recorded client: an answer, an error, and no answer."""
-    said = parsers.model_output(prompts.answered(frame(spark, ASK, ASKED).select("qid", F.concat_ws(" ", "query", "hint").alias("prompt")), _client))
+    """A recorded client asked for every conversation: an answer, an error, or no answer."""
+    asked = questions(spark, sf).select("qid", F.concat_ws(" ", "query", F.when(F.col("hint") == "", "late").otherwise(F.col("hint"))).alias("prompt"))
+    said = parsers.model_output(prompts.answered(asked, _client))
     return said.select("qid", F.array_join(F.transform("issues", lambda x: x["title"]), ",").alias("titles"), "summary")
 
 
@@ -225,17 +228,16 @@ def sarif_document(spark, sf):
         F.get("run.results", F.lit(0))["ruleId"].alias("first_rule"))
 
 
-POL = ["fails", "most", "text"]
-POL_ROWS = [("", -1, "{}"), ("HIGH", -1, '{"fail_on": {"high": true}, "max_allowed": {}}'), ("", 3, '{"fail_on": {}, "max_allowed": {"low": 3}}'),
-    ("low", 0, '{"fail_on": {"low": true}, "max_allowed": {"low": 0}}')]
+_FAILS = [[], ["HIGH"], ["low", "LOW"]]
 
 
-@query("policy_overrides", f"select fails, most, text from {values(POL, POL_ROWS)}")
+@query("policy_overrides", """select o_orderkey, case when o_orderkey % 3 = 0 and o_custkey % 2 = 0 then '{}' else '{"fail_on":{' || case o_orderkey % 3 when 1 then '"high":true'
+ when 2 then '"low":true' else '' end || '},"max_allowed":{' || case when o_custkey % 2 = 1 then '"low":' || o_custkey else '' end || '}}' end as text from orders""")
 def policy_overrides(spark, sf):
-    import json
-
-    rows = [(f, m, json.dumps(report.overrides([f] if f else [], None if m < 0 else {"LOW": m}))) for f, m, _ in POL_ROWS]
-    return frame(spark, POL, rows)
+    """What each order sets over a policy, as JSON."""
+    fails = F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in _FAILS]), (F.col("o_orderkey") % 3).cast("int"))
+    limits = F.when(F.col("o_custkey") % 2 == 1, F.create_map(F.lit("LOW"), F.col("o_custkey")))
+    return read_table(spark, sf, "orders").select("o_orderkey", report.overrides_json(fails, limits).alias("text"))
 
 
 # ---- roles
@@ -243,7 +245,11 @@ def policy_overrides(spark, sf):
 NEW_ROLES, NEW_TOOLS = [("Auditor", "view_audit"), ("VIEWER", "run_scan")], [("Ledger", "view_audit"), ("llm_client", "view_audit")]
 RQ_ROWS = [(r, t) for r in ("auditor", "AUDITOR", "viewer", "admin", "nobody") for t in ("ledger", "LEDGER", "llm_client", "iam_analyzer",
     "unheard_of", "user_management")]
-_NEW_R, _NEW_T = values(["role", "permission"], [(r.lower(), p) for r, p in NEW_ROLES]), values(["tool", "permission"], [(t.lower(), p) for t, p in NEW_TOOLS])
+PERMISSIONS = sorted({p for ps in G.GRANTS.values() for p in ps})
+_OWN_R = f"select distinct lower(c_mktsegment), {pick_sql(PERMISSIONS, 'c_nationkey')} from customer where c_custkey % 10 = 0"
+_OWN_T = f"select lower(n_name), {pick_sql(PERMISSIONS, 'n_nationkey')} from nation"
+_NEW_R = beside(["role", "permission"], [(r.lower(), p) for r, p in NEW_ROLES], _OWN_R)
+_NEW_T = beside(["tool", "permission"], [(t.lower(), p) for t, p in NEW_TOOLS], _OWN_T)
 _G2 = f"g as (select * from {rq._GR} where role not in (select role from {_NEW_R}) union all select * from {_NEW_R}), tl as (select * from {rq._TO} where tool not in (select tool from {_NEW_T}) union all select * from {_NEW_T})"
 
 
@@ -251,28 +257,32 @@ _ASKERS, _ASKED_TOOLS = ["auditor", "Viewer", "analyst", "nobody"], ["LEDGER", "
 _EVENT_ASKS = f"select {pick_sql(_ASKERS, 'user_id')}, {pick_sql(_ASKED_TOOLS, 'event_id')} from events"
 
 
-def _new(spark):
-    return frame(spark, ["role", "permission"], NEW_ROLES), frame(spark, ["tool", "permission"], NEW_TOOLS)
+def _new(spark, sf):
+    """Roles of the customers' segments and tools of the nations, registered beside fixed ones."""
+    roles = read_table(spark, sf, "customer").filter("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("role"), pick(PERMISSIONS, F.col("c_nationkey")).alias(
+        "permission")).distinct()
+    tools = read_table(spark, sf, "nation").select(F.col("n_name").alias("tool"), pick(PERMISSIONS, F.col("n_nationkey")).alias("permission"))
+    return frame(spark, ["role", "permission"], NEW_ROLES).unionByName(roles), frame(spark, ["tool", "permission"], NEW_TOOLS).unionByName(tools)
 
 
 @query("rbac_registered", f"with {_G2}, n as (select q.role, q.tool, coalesce(tl.permission, 'run_scan') as permission "
     f"from {beside(['role', 'tool'], RQ_ROWS, _EVENT_ASKS)} q left join tl on tl.tool = lower(q.tool)) select *, exists (select 1 from g where g.role = "
     f"lower(n.role) and g.permission = n.permission) as allowed from n")
 def rbac_registered(spark, sf):
-    roles, tools = _new(spark)
+    roles, tools = _new(spark, sf)
     own = read_table(spark, sf, "events").select(pick(_ASKERS, F.col("user_id")).alias("role"), pick(_ASKED_TOOLS, F.col("event_id")).alias("tool"))
     return G.access(frame(spark, ["role", "tool"], RQ_ROWS).unionByName(own), roles, tools).select("role", "tool", "permission", "allowed")
 
 
 @query("rbac_tools", f"with {_G2} select distinct role, tool from g join tl using (permission)")
 def rbac_tools(spark, sf):
-    roles, tools = _new(spark)
+    roles, tools = _new(spark, sf)
     return G.accessible_tools(spark, roles, tools)
 
 
 @query("rbac_permissions", f"with {_G2} select * from g")
 def rbac_permissions(spark, sf):
-    return G.grants(spark, _new(spark)[0])
+    return G.grants(spark, _new(spark, sf)[0])
 
 
 # ---- nested texts, flat texts, freed ids, appended events
@@ -347,28 +357,38 @@ def store_documents(spark, sf):
     return engine.registry().groupBy("content_hash").agg(F.count(F.lit(1)).alias("files")).join(shown, "content_hash").select("content_hash", "files", "shown")
 
 
-@query("session_isolated", f"select * from {values(['session', 'view', 'partitions'], [('own', False, 'same'), ('other', True, 'changed')])}")
+@query("session_isolated", "select case when user_id % 2 = 0 then 'even' else 'odd' end as session, count(*) as seen, case when user_id % 2 = 0 then '11111' else '22222' end as "
+    "threshold, false as outside from events group by all")
 def session_isolated(spark, sf):
-    """A view and a setting of one session aren't seen in another."""
-    other, before = G.isolated(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "12345")
-    other.range(1).createOrReplaceTempView("only_there")
-    rows = [(name, s.catalog.tableExists("only_there"), "changed" if s.conf.get("spark.sql.autoBroadcastJoinThreshold") != before else "same")
-        for name, s in (("own", spark), ("other", other))]
-    other.catalog.dropTempView("only_there")
-    return frame(spark, ["session", "view", "partitions"], rows)
-
-
-CONF = ["text", "env", "high", "low", "kept"]
-CONF_ROWS = [("", "", 0, 10, 0), ("max_allowed: {low: 3}", "", 0, 3, 0), ("- a list", "", 0, 10, 0), ("{bad", "", 0, 10, 0),
-    ('{"max_allowed": {"high": 1}, "other": {"kept": 4}}', "", 1, 10, 4), ("environments: {dev: {max_allowed: {low: 99}}}", "dev", 0, 99, 0)]
-
-
-@query("config_merge", f"select * from {values(CONF, CONF_ROWS)}")
+    """Two sessions with a view and a setting of one name each: both see their own events, and the session outside sees neither."""
+    parts = []
+    for odd, (name, threshold) in enumerate((("even", "11111"), ("odd", "22222"))):
+        own = G.isolated(spark)
+        own.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        read_table(own, sf, "events").filter(f"user_id % 2 = {odd}").createOrReplaceTempView("own_events")
+        parts.append((name, own))
+    outside = spark.catalog.tableExists("own_events")
+    seen = [s.table("own_events").agg(F.count(F.lit(1)).alias("seen")).select(F.lit(name).alias("session"), "seen", F.lit(s.conf.get(
+        "spark.sql.autoBroadcastJoinThreshold")).alias("threshold"), F.lit(outside).alias("outside")) for name, s in parts]
+    paths = [folder(spark, "session") for _ in seen]
+    for rows, path in zip(seen, paths, strict=True):
+        rows.write.parquet(path)
+    return spark.read.parquet(*paths)
+
+
+CONF_TEXTS = ["", "max_allowed: {low: %d}", "- a list", "{bad", '{"max_allowed": {"high": %d}, "other": {"kept": 4}}', "environments: {dev: {max_allowed: {low: %d}}}"]
+
+
+@query("config_merge", "select s_suppkey, case when s_suppkey % 6 = 4 then s_nationkey else 0 end as high, case when s_suppkey % 6 in (1, 5) then s_nationkey else 10 end as low, "
+    "case when s_suppkey % 6 = 4 then 4 else 0 end::bigint as kept from supplier")
 def config_merge(spark, sf):
-    """Settings over their defaults: YAML, JSON, an environment's, and what isn't a mapping."""
-    merged = [(t, e, report.policy_of(t, e)) for t, e, *_ in CONF_ROWS]
-    return frame(spark, CONF, [(t, e, p["max_allowed"]["high"], p["max_allowed"]["low"], p.get("other", {}).get("kept", 0)) for t, e, p in merged])
+    """Settings of each supplier over the defaults: none, YAML, what isn't a mapping, broken text, JSON, an environment's."""
+    k = F.col("s_suppkey")
+    text = F.get(F.array(*[F.format_string(t, "s_nationkey") if "%d" in t else F.lit(t) for t in CONF_TEXTS]), (k % 6).cast("int"))
+    made = report.settings(text, F.when(k % 6 == 5, "dev"), F.lit(None).cast("string"))
+    number = lambda at: F.get_json_object("_p", at).cast("long")
+    rows = read_table(spark, sf, "supplier").select("s_suppkey", made["policy"].alias("_p"))
+    return rows.select("s_suppkey", number("$.max_allowed.high").alias("high"), number("$.max_allowed.low").alias("low"), F.coalesce(number("$.other.kept"), F.lit(0)).alias("kept"))
 
 
 WORDS = ["storage", "public", "identity", "network", "secret", "azure"]
@@ -377,14 +397,14 @@ ASKED_RULE = "public storage of an Azure identity"
 
 
 @query("rule_feature_topk",
-    f"""with r as (select * from {values(['rule_id', 'title'], [(r[0], r[6]) for r in rules_.BUILT_IN])}), v as (select rule_id, {_HAS('title')} as e, {_HAS(text(ASKED_RULE))} as q from r),
+    f"""with {cq._NORM}, r as (select rule_id, title from cat), v as (select rule_id, {_HAS('title')} as e, {_HAS(text(ASKED_RULE))} as q from r),
 s as (select rule_id, round(list_inner_product(e, q) / greatest(sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)), 1e-10), 6) as score from v)
 select rule_id, score, row_number() over (order by score desc, rule_id)::int as rank from s order by score desc, rule_id limit 7""")
 def rule_feature_topk(spark, sf):
     """Rules ranked for a question by an encoder of six features."""
     has = lambda c: F.array(*[F.contains(F.lower(c), F.lit(w)).cast("int").cast("float") for w in WORDS])
     asked = [float(w in ASKED_RULE.lower()) for w in WORDS]
-    return search.vector_topk(rules_.catalogue(spark).select("rule_id", has(F.col("title")).alias("embedding")), asked, 7,
+    return search.vector_topk(cq._rules(spark, sf).select("rule_id", has(F.col("title")).alias("embedding")), asked, 7,
         "rule_id").select("rule_id", "score", "rank")
 
 
