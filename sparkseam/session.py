@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -95,5 +96,16 @@ def release(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -
             _WRITTEN.remove(path)
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    """What this process wrote and still stands goes with it, as long as its session still runs then."""
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _WRITTEN:
+            release(spark)
+    except (Py4JError, OSError):  # the JVM has gone first
+        pass
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
