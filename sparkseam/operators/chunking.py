@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkseam.functions import trees
 from sparkseam.functions.text import chunk_id, windows, words
 from sparkseam.operators.ranges import row_numbers
-from sparkseam.session import materialise
+from sparkseam.session import materialise, spread
 
 CHUNK = "chunk_id string, text string, file_path string, file_type string, chunk_index int, tokens int, dependencies array<string>, block_type string, resource_type string, block_name string"
 # Terraform blocks and names that are never resource references.
@@ -124,9 +125,9 @@ def tree_blocks(content: str, file_type: str) -> list[dict] | None:
     import yaml
 
     pattern = _YAML_REF if file_type == "yaml" else _JSON_REF
-    dump = (lambda x: yaml.dump(x, default_flow_style=False, allow_unicode=True)) if file_type == "yaml" else (lambda x: json.dumps(x, indent=2))
+    dump = trees.written if file_type == "yaml" else (lambda x: json.dumps(x, indent=2))
     try:
-        documents = list(yaml.safe_load_all(content)) if file_type == "yaml" else [json.loads(content)]
+        documents = trees.documents(content) if file_type == "yaml" else [json.loads(content)]
     except (yaml.YAMLError, ValueError):
         return None
 
@@ -166,7 +167,7 @@ def structured_chunks(files: DataFrame, size: int = 400, overlap: int = 40, stra
                     rows.append((path, kind, -1, content, None, None, None, None, False))
             yield pd.DataFrame(rows, columns=["file_path", "file_type", "at", "body", "block_type", "resource_type", "block_name", "refs", "whole"])
 
-    blocks = files.select("file_path", "file_type", "content").mapInPandas(run,
+    blocks = spread(files.select("file_path", "file_type", "content")).mapInPandas(run,
         "file_path string, file_type string, at int, body string, block_type string, resource_type string, block_name string, refs array<string>, "
         "whole boolean")
     alone = fallback_chunks(blocks.filter("at < 0").select("file_path", "file_type", F.col("body").alias("content")), size, overlap)

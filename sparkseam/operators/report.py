@@ -12,6 +12,7 @@ from sparkseam.functions.classify import filled
 from sparkseam.functions.text import severity_rank
 from sparkseam.operators.ranges import row_numbers
 from sparkseam.operators.store import first_of_each
+from sparkseam.session import spread
 from sparkseam.sources.files import deep_merge, load_config
 
 ISSUE = ["file_path", "rule_id", "issue", "line_number", "severity", "detector"]
@@ -115,7 +116,7 @@ def policies(rows: DataFrame, key: str) -> DataFrame:
     """key, severity, fail_on, max_allowed, error: the four limits of each row's policy (key, text, environment, overrides); a policy that
     can't be merged is one row with its error."""
     kind = "fail_on map<string,string>, max_allowed map<string,string>"
-    each = rows.select(key, settings(F.col("text"), F.col("environment"), F.col("overrides")).alias("_s"))
+    each = spread(rows.select(key, "text", "environment", "overrides")).select(key, settings(F.col("text"), F.col("environment"), F.col("overrides")).alias("_s"))
     each = each.select(key, F.col("_s.error").alias("error"), F.from_json("_s.policy", kind).alias("_p"))
     limits = []
     for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"):

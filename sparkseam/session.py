@@ -62,6 +62,11 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over spark.sql.shuffle.partitions tasks, for steps that take long for each row: a table of few bytes is read by one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Deletes a folder or file in whatever store it lies in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

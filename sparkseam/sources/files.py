@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseam.functions import trees
+from sparkseam.session import spread
+
 # Supported files and folders that are never entered.
 EXTENSIONS = {"tf": "terraform", "yml": "yaml", "yaml": "yaml", "json": "json"}
 IGNORED = [".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".nox"]
@@ -52,8 +55,7 @@ def parse(files: DataFrame, repo: str = "", branch: str = "", commit: str = "")
 
         def ok(text: str) -> bool:
             try:
-                for _ in yaml.safe_load_all(text):
-                    pass
+                trees.documents(text)
             except yaml.YAMLError:
                 return False
             return True
@@ -62,8 +64,8 @@ def parse(files: DataFrame, repo: str = "", branch: str = "", commit: str = "")
             yield b[[ok(t) for t in b["content"]]] if len(b) else b
 
     others = rows.filter("file_type = 'terraform' or (file_type = 'json' and try_parse_json(content) is not null)")
-    trees = rows.filter("file_type = 'yaml'").mapInPandas(valid, rows.schema)
-    return others.unionByName(trees).select("*", F.lit(repo).alias("repo"), F.lit(branch).alias("branch"), F.lit(commit[:8]).alias("commit"))
+    checked = spread(rows.filter("file_type = 'yaml'")).mapInPandas(valid, rows.schema)
+    return others.unionByName(checked).select("*", F.lit(repo).alias("repo"), F.lit(branch).alias("branch"), F.lit(commit[:8]).alias("commit"))
 
 
 def restricted(files: DataFrame, changed: DataFrame, root: str = "") -> DataFrame:
@@ -118,7 +120,7 @@ def load_config(text: str | None) -> dict:
     import yaml
 
     try:
-        data = yaml.safe_load(text or "")
+        data = trees.document(text or "")
     except yaml.YAMLError:
         return {}
     return data if isinstance(data, dict) else {}
