@@ -200,20 +200,39 @@ def fetch_size(k: int, factor: int = 3) -> int:
     return max(k * factor, 10)
 
 
+def with_ties(rows: DataFrame, n: int) -> DataFrame:
+    """id, score of the n best by score and of all that equal the last of these."""
+    bar = rows.orderBy(F.desc("score")).limit(n).agg(F.min("score").alias("_bar"))
+    return rows.crossJoin(F.broadcast(bar)).filter(F.col("score") >= F.col("_bar")).select("id", "score")
+
+
+def agreed(rows: DataFrame, other: DataFrame, n: int) -> DataFrame:
+    """The n best of rows (id, score); of equal ones those that the other branch has first, by its score, then by id."""
+    both = rows.join(other.select("id", F.col("score").alias("_other")), "id", "left")
+    return both.orderBy(F.desc("score"), F.desc_nulls_last("_other"), "id").limit(n).select("id", "score")
+
+
 def hybrid(corpus: DataFrame, vectors: DataFrame, query: list[str], vector: list[float], k: int, id_col: str = "doc_id", text_col: str = "text",
     vec_id: str = "vec_id", where: dict | None = None, filter_both: bool = False, keep: int | None = None, keywords: KeywordIndex | None = None,
-    cells: VectorIndex | None = None) -> DataFrame:
+    cells: VectorIndex | None = None, agree: bool = False) -> DataFrame:
     """id, the two scores, final_score, rank of the k best, or of the `keep` best of the merged list. A metadata filter holds for the vector branch, and for keywords only with filter_both.
 
     keywords, cells: stored indexes of the corpus and the vectors, searched in place of them (keywords not with filter_both, which changes the corpus).
+    agree: of rows that a branch scores equally it takes those that the other branch found too, not those with the smallest ids (not with cells);
+    else, of very many equal rows, each branch may take others, and none gets both scores.
     """
     n = fetch_size(k)
-    found = cells.topk(vector, n, where) if cells else vector_topk(vectors, vector, n, vec_id, where)
-    semantic = found.select(F.col(vec_id).alias("id"), "score")
     base = equal_to(corpus, where or {}) if filter_both else corpus
     words = keywords.bm25_topk(query, n) if keywords and not filter_both else bm25(base, query, id_col, text_col)
     words = words.withColumn("score", F.round("score", 6)).filter("score > 0")
-    keyword = ranked(words, "score", n, "id").select("id", "score")
+    if agree:
+        q = F.array(*[F.lit(float(x)) for x in vector])
+        scored = equal_to(vectors, where or {}).select(F.col(vec_id).alias("id"), F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+        near, said = materialise(with_ties(scored, n), "near"), materialise(with_ties(words, n), "said")
+        semantic, keyword = agreed(near, said, n), agreed(said, near, n)
+    else:
+        found = cells.topk(vector, n, where) if cells else vector_topk(vectors, vector, n, vec_id, where)
+        semantic, keyword = found.select(F.col(vec_id).alias("id"), "score"), ranked(words, "score", n, "id").select("id", "score")
     return ranked(fuse(semantic, keyword).withColumn("final_score", F.round("final_score", 6)), "final_score", keep or k, "id")
 
 

@@ -162,7 +162,10 @@ class Engine:
     def chunks(self) -> DataFrame | None:
         """The chunks of the latest version of each file; a text that several files hold is there once, under its smallest id."""
         rows = self._live()
-        return None if rows is None else store.first_of_each(rows, ["content_hash"], "index_id")
+        if rows is None:
+            return None
+        first = rows.groupBy("content_hash").agg(F.min("index_id").alias("index_id"))  # ids alone are compared, texts are read once
+        return rows.join(first, ["content_hash", "index_id"], "left_semi")
 
     def _live(self) -> DataFrame | None:
         """The same with a row for each file that holds a text, so that a text outlives its first file."""
@@ -188,7 +191,8 @@ class Engine:
             had = self._read("chunks")  # of all segments, so that no id is given twice
             # a text that is stored already keeps its embedding
             chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension, known=had)
-            chunks = chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path"))
+            # numbering counts, samples and writes its rows: they are chunked and embedded once
+            chunks = materialise(chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path")), "chunks")
             empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
             new = store.insert_new(had if had is not None else empty, chunks, "ord", dedup=False).withColumn("segment", F.lit(number))
             self._append(segments, new, fresh.select("file_path", "content_hash", F.lit(number).alias("segment")))
@@ -200,7 +204,7 @@ class Engine:
         """Brings the keyword index to the newest manifest's chunks. Without its mark, from before the first change on, nobody reads it."""
         number = self._newest()[0]
         remove(self.spark, f"{self.root}/keywords-of")
-        KeywordIndex(self.spark, f"{self.root}/keywords").sync(self.chunks(), "index_id", "text")
+        KeywordIndex(self.spark, f"{self.root}/keywords").sync(materialise(self.chunks().select("index_id", "text"), "texts"), "index_id", "text")
         self.spark.range(1).select(F.lit(str(number)).alias("value")).coalesce(1).write.text(f"{self.root}/keywords-of")
 
     def _keywords(self) -> KeywordIndex | None:
@@ -242,7 +246,7 @@ class Engine:
             raise FileNotFoundError("nothing has been ingested")
         vector = store.embed(self.spark.range(1).select(F.lit(query).alias("text")), self.dimension).select("embedding").first()[0]
         asked = self.spark.range(1).select(terms(F.lit(query))).first()[0]
-        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where, keywords=self._keywords()).select("id",
+        found = search.hybrid(have, have, asked or [""], list(vector), k, "index_id", "text", "index_id", where, keywords=self._keywords(), agree=True).select("id",
             F.col("final_score").alias("score"), "rank", "semantic_score", "keyword_score")
         if depth > 0:
             rows = chunking.resolve(have.withColumn("_at", F.col("index_id")), "_at")

@@ -434,3 +434,13 @@ def test_a_cluster_needs_a_shared_folder(spark):
     assert kept.count() == 3 and session.written() == mark + 1
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_hybrid_takes_equal_rows_that_both_branches_find(spark):
+    """Two hundred rows hold the word alike; of those near the vector the smallest ids are others than of all."""
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("word again").alias("text"), F.when(F.col("id") >= 120, F.array(F.lit(1.0),
+        F.lit(0.0))).otherwise(F.array(F.lit(0.6), F.lit(0.8))).alias("embedding"))
+    corpus = rows.unionByName(spark.range(200, 400).select(F.col("id").alias("doc_id"), F.lit("other thing").alias("text"), F.array(F.lit(0.0),
+        F.lit(1.0)).alias("embedding")))
+    found = search.hybrid(corpus, corpus, ["word"], [1.0, 0.0], 3, vec_id="doc_id", agree=True).collect()
+    assert [(r["id"], r["semantic_score"], r["keyword_score"]) for r in found] == [(120, 1.0, 1.0), (121, 1.0, 1.0), (122, 1.0, 1.0)]
