@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from sparkseam.functions.text import contains_any, entropy_is_above, repetition, severity_rank
@@ -164,10 +167,25 @@ def json_rejects(rows: DataFrame, key: str, column: str, most: int = MAX_INPUT,
     return strings.select(key, "at", reason(F.col("value"), most, html).alias("reason")).filter("reason is not null")
 
 
+#: Characters that stand in NFC whatever is beside them; most texts hold no others.
+SETTLED = r"[\x00-\u02ff\u0400-\u0482\u048a-\u0530\u2010-\u2027\u2030-\u205e\u20a0-\u20c0\u2190-\u21ff\u2500-\u27bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]*"
+#: Bytes of a batch's texts that a worker turns into Python strings at a time.
+NFC_BYTES = 4_000_000
+
+
+def _nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        step = max(1, NFC_BYTES * len(batch) // max(1, batch.nbytes))
+        done = [pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in batch.slice(at, step).to_pylist()], pa.string()) for at in range(
+            0, len(batch), step)]
+        yield pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def nfc(rows: DataFrame, text: str) -> DataFrame:
-    """rows with text in Unicode NFC; there is no built-in for it."""
-    normal = F.pandas_udf(lambda s: s.str.normalize("NFC"), "string")
-    return rows.withColumn(text, normal(text))
+    """rows with text in Unicode NFC. There is no built-in for it, so texts with characters that may change go through Python; no other text does."""
+    normal = F.arrow_udf(_nfc, "string", ArrowUDFType.SCALAR_ITER)
+    open_ = F.when(~F.col(text).rlike(f"^(?:{SETTLED})$"), F.col(text))
+    return rows.withColumn(text, F.coalesce(normal(open_), F.col(text)))
 
 
 def clean_severity(raw: Column) -> Column:

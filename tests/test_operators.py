@@ -2,7 +2,10 @@
 
 import math
 import random
+import re
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,3 +447,22 @@ def test_hybrid_takes_equal_rows_that_both_branches_find(spark):
         F.lit(1.0)).alias("embedding")))
     found = search.hybrid(corpus, corpus, ["word"], [1.0, 0.0], 3, vec_id="doc_id", agree=True).collect()
     assert [(r["id"], r["semantic_score"], r["keyword_score"]) for r in found] == [(120, 1.0, 1.0), (121, 1.0, 1.0), (122, 1.0, 1.0)]
+
+
+def test_nfc_of_texts_that_may_change_only(spark):
+    texts = ["plain\ntext\n", "na\u00efve \u2014 \u00e9", "e\u0301", "\u1100\u1161\u11a8", "\u212b", "\uac00\u11a8", "", None, "\U0001d15e", "\u0958 \u4e2d", "a\u0323\u0307", "\u2126" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["text"] for r in governance.nfc(rows, "text").collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    settled = re.compile(governance.SETTLED)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]):
+        if settled.fullmatch(c):
+            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c)
+
+
+def test_nfc_holds_few_texts_at_once(monkeypatch):
+    monkeypatch.setattr(governance, "NFC_BYTES", 100)
+    sizes, normalise = [], pa.array
+    monkeypatch.setattr(governance.pa, "array", lambda values, kind: sizes.append(len(values)) or normalise(values, kind))
+    out = list(governance._nfc(iter([normalise(["e\u0301" * 5] * 50), normalise([], pa.string())])))
+    assert out[0].to_pylist() == ["\u00e9" * 5] * 50 and len(out[1]) == 0 and max(sizes) <= 7
