@@ -17,7 +17,7 @@ from sparkseam.operators import analysers, chunking, context, detectors, federat
 from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.sources import files as files_
 from sparkseam.sources import parsers
-from sparkseam.session import exists, materialise, remove
+from sparkseam.session import exists, materialise, remove, spread
 
 
 def tagged(chunks: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ READS = {"pipeline": ("yaml",), "iam": ("terraform", "yaml", "json"), "workload_
 
 def scan_issues(files: DataFrame) -> DataFrame:
     """Issues (file_path, rule_id, issue, line_number, severity, detector, ord) of all detectors over parsed files (file_path, file_type, content)."""
-    text = files.withColumnRenamed("content", "text")
+    text = spread(files.select("file_path", F.col("content").alias("text")))  # a few bytes of a table may be very many files
     of = lambda name: files.filter(F.col("file_type").isin(*READS[name]))
     line0 = F.lit(0)
     # each detector reads what was parsed several times; it is parsed once

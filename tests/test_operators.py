@@ -466,3 +466,28 @@ def test_nfc_holds_few_texts_at_once(monkeypatch):
     monkeypatch.setattr(governance.pa, "array", lambda values, kind: sizes.append(len(values)) or normalise(values, kind))
     out = list(governance._nfc(iter([normalise(["e\u0301" * 5] * 50), normalise([], pa.string())])))
     assert out[0].to_pylist() == ["\u00e9" * 5] * 50 and len(out[1]) == 0 and max(sizes) <= 7
+
+
+def test_only_files_that_may_hold_a_finding_are_parsed(spark):
+    """Files without any of a reader's words don't reach Python; those that say them in disguise do."""
+    arm = '{"resources": [{"type": "Microsoft.Authorization/%s", "name": "r", "properties": {"roleDefinitionName": "Owner", "scope": "/subscriptions/1"}}]}'
+    said = [("a.json", "json", arm % "roleAssignments"), ("b.json", "json", arm % "role\\u0041ssignments"), ("c.yaml", "yaml",
+        'resources:\n- type: "x/\\x72oleAssignments"\n  name: r\n  properties: {roleDefinitionName: Owner}\n'), ("d.tf", "terraform",
+        'RESOURCE "AZURERM_ROLE_ASSIGNMENT" "r" {\n  role_definition_name = "Owner"\n}\n'), ("e.tf", "terraform",
+        'resource "azurerm_role_a\u017fsignment" "r" {\n  role_definition_name = "Owner"\n}\n')]
+    mute = [("f.yaml", "yaml", "db:\n  password: secret\n"), ("g.tf", "terraform", 'variable "n" {}\n'), ("h.json", "json", "{}"), ("i.yaml", "yaml", None)]
+    files = spark.createDataFrame(said + mute, "file_path string, file_type string, content string")
+    held = files.filter(parsers.may_hold(F.col("content"), parsers.ROLE_WORDS))
+    assert sorted(r[0] for r in held.collect()) == [f[0] for f in said]
+    every = {r["file_path"] for r in parsers.per_file(files, parsers.read_roles, parsers.ROLE_ROWS).collect()}
+    assert {r["file_path"] for r in parsers.role_assignments(files).collect()} == every == {f[0] for f in said}
+
+
+def test_steps_are_found_in_known_places_and_by_words(spark):
+    step = "%s:\n- run: make\n"
+    rows = [(".github/workflows/a.yml", "x:\n  steps:\n  - run: make\n"), ("b/Azure-Pipelines.yml", "- name: s\n  run: make : all: x\n"), ("c.yml", step % "steps"),
+        ("d.yml", step % '"\\x73teps"'), ("e.yml", "PR: 1\nx:\n  Steps:\n  - bash: make\n"), ("f.yml", "x: 1\ny: password\n"), ("g.yml", "on:\n  - run: make : all: x\n"),
+        ("workflows/.github/h.yml", "- run: make : all: x\n")]
+    files = spark.createDataFrame(rows, "file_path string, content string")
+    every = parsers.per_file(files.select("file_path", F.lit("yaml").alias("file_type"), "content"), parsers.read_snippets, parsers.SNIPPET_ROWS)
+    assert sorted(parsers.pipeline_snippets(files).collect()) == sorted(every.collect()) and every.count() >= 6
