@@ -31,6 +31,8 @@ from sparkseam.session import exists, materialise, published, remove
 
 #: Documents in a block; blocks that a search scores at first; block numbers that are pushed to the files as literals.
 BLOCK, FIRST, LITERALS = 128, 16, 500
+#: What stands between terms while they are on their way to their block; no term holds it.
+BETWEEN = "\x00"
 
 
 def tfidf_tokens(text: Column) -> Column:
@@ -68,10 +70,12 @@ class KeywordIndex:
         last = rows.groupBy("id").agg(F.max_by(F.struct("dl", "block"), "segment").alias("_d"), F.max("segment").alias("segment"))
         return last.select("id", "_d.dl", "_d.block", "segment").filter("dl is not null")
 
+    def _postings(self) -> str:
+        return f"term string, block int, df int, max_tf int, min_dl int, docs array<struct<id: {self.id_type}, tf: int, dl: int>>"
+
     def blocks(self, asked: list[str] | None = None) -> DataFrame:
-        """Posting rows, of some terms only: the filter reaches the files, which are sorted by term."""
-        each = f"array<struct<id: {self.id_type}, tf: int, dl: int>>"
-        rows = self._read("postings", f"term string, block int, df int, max_tf int, min_dl int, docs {each}")
+        """Posting rows, of some terms only: the filter reaches the files, each of which is sorted by term."""
+        rows = self._read("postings", self._postings())
         return rows if asked is None else rows.filter(F.col("term").isin(list(asked)))
 
     def df(self) -> DataFrame:
@@ -108,42 +112,58 @@ class KeywordIndex:
         fresh = rows.filter("dl is not null")
         placed = row_numbers(fresh.select("id", "dl"), [F.col("dl"), F.col("id")], "_n").select("id", "dl", F.expr(f"int((_n - 1) div {BLOCK})").alias("block"))
         placed = materialise(placed.unionByName(rows.filter("dl is null").select("id", "dl", F.lit(None).cast("int").alias("block"))), "placed")
-        found = fresh.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        found = materialise(found.join(placed, "id"), "found")
-        lists = found.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+        # the documents of a block meet in one task and stay there: their terms are counted and listed without another shuffle
+        packed = fresh.filter("dl > 0").select("id", F.array_join("t", BETWEEN).alias("_t"))  # half the bytes of an array
+        dealt = packed.join(placed.filter("block is not null"), "id").repartition("block")
+        found = dealt.select("block", "id", "dl", F.explode(F.split("_t", BETWEEN)).alias("term")).groupBy("block", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        lists = found.groupBy("block", "term").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
             F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs"))  # BLOCK documents at most
-        self._write(lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings", segment)
+        names = self.blocks().columns[:-1]
+        self._write(lists.select(*names).sortWithinPartitions("term", "block"), "postings", segment)
+        lists = self.spark.read.schema(self._postings()).parquet(f"{self.folder}/postings/segment={segment}")
 
-        # what gives way, and the terms it held: only the blocks in which it lies are read
+        # what gives way, and how many of it each list held: only the blocks in which it lies are read
         old = self.docs().join(placed.select("id"), "id", "left_semi")
         old = materialise(old, "old") if segment else old.limit(0)
-        lost = self.blocks().join(old.select("segment", "block").distinct(), ["segment", "block"], "left_semi").select("term", "segment", F.inline("docs"))
-        lost = lost.join(old.select("id", "segment"), ["id", "segment"], "left_semi")
-        change = found.select("term", F.lit(1).alias("df")).unionByName(lost.select("term", F.lit(-1).alias("df")))
-        change = change.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-        self._write(change, "df", segment)
+        gone = old.groupBy("segment", "block").agg(F.collect_list("id").alias("_gone"))  # BLOCK ids at most
+        lost = self.blocks().select("term", "segment", "block", F.col("docs.id").alias("_ids")).join(gone, ["segment", "block"])
+        lost = lost.select("term", F.size(F.array_intersect("_ids", "_gone")).alias("df")).filter("df > 0")
+        # was: documents that held the term before; df: how many more do now; held: by the new ones
+        of = lambda rows, was, df, held: rows.select("term", *[(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n)
+            for n, x in (("was", was), ("df", df), ("held", held))])
+        change = of(lists, 0, F.col("df"), 1).unionByName(of(lost, 0, -F.col("df"), 0))
+        if self.norms:
+            change = change.unionByName(of(self._read("df", "term string, df long"), F.col("df"), 0, 0))
+        change = change.groupBy("term").agg(F.sum("was").alias("was"), F.sum("df").alias("df"), F.max("held").alias("held")).filter("df <> 0 or held > 0")
         if self.norms:
-            self._follow(found, old, self.spark.read.schema("term string, df long").parquet(f"{self.folder}/df/segment={segment}"), segment)
+            change = materialise(change, "changed")
+            self._follow(lists, old, change, segment)
+        self._write(change.filter("df <> 0").select("term", "df"), "df", segment)
         self._write(placed, "docs", segment)
         count = lambda t: t.agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         (n, dl), (n_old, dl_old) = count(placed), count(old)
         self._write(self.spark.range(1).select(F.lit(n - n_old).cast("long").alias("n"), F.lit(dl - dl_old).cast("long").alias("dl")), "totals", segment)
 
-    def _follow(self, found: DataFrame, old: DataFrame, change: DataFrame, segment: int) -> None:
-        """Writes the sums of new documents, and what changes in those of the others."""
+    def _follow(self, lists: DataFrame, old: DataFrame, change: DataFrame, segment: int) -> None:
+        """Writes the sums of new documents, and what changes in those of the others.
+
+        Lists go to their terms' numbers and back to their blocks as they are, so that a row that is shuffled is a list and not a document's
+        term. Of new documents all terms count, those too whose df is as before, since as many documents lost them.
+        """
+        all_ = self.blocks().unionByName(lists.withColumn("segment", F.lit(segment)))
+        each = all_.select("segment", "block", "term", F.col("docs.id").alias("id"), F.col("docs.tf").alias("tf")).join(change, "term")
+        each = each.filter(f"df <> 0 or segment = {segment}")
+        each = each.select("segment", "block", "id", "tf", F.when(F.col("segment") < segment, F.col("was")).cast("int").alias("was"), (F.col("was") + F.col(
+            "df")).cast("int").alias("now")).repartition("segment", "block").select("segment", "block", "was", "now", F.inline(F.arrays_zip("id", "tf")))
+        u, v = F.coalesce(F.ln(1 + F.col("was")), F.lit(0.0)), F.ln(1 + F.col("now"))
         a = F.pow(1 + F.ln("tf"), F.lit(2))
-        before = self.df().join(change.select("term"), "term", "left_semi").withColumnRenamed("df", "was")
-        both = materialise(change.join(before, "term", "left").select("term", F.coalesce("was", F.lit(0)).alias("was"),
-            (F.coalesce("was", F.lit(0)) + F.col("df")).alias("now")), "changed")
-        u, v = F.ln(1 + F.col("was")), F.ln(1 + F.col("now"))
-        stay = self._live(self.blocks().join(both.select("term"), "term", "left_semi")).join(old.select("id", "segment"), ["id", "segment"], "left_anti")
-        moved = stay.join(both, "term").groupBy("id", F.col("segment").alias("of")).agg(F.lit(0.0).alias("s0"), F.sum(a * (v - u)).alias("s1"),
+        sums = each.groupBy("segment", "block", "id").agg(F.sum(F.when(F.col("segment") == segment, a).otherwise(0.0)).alias("s0"), F.sum(a * (v - u)).alias("s1"),
             F.sum(a * (v * v - u * u)).alias("s2"))
-        # of new documents all terms count, those too whose df is as before, since as many documents lost them
-        known = self.df().join(found.select("term").distinct(), "term", "left_semi").withColumnRenamed("df", "was")
-        now = known.join(both.select("term", "now"), "term", "full").select("term", F.coalesce("now", "was").alias("now"))
-        new = found.join(now, "term").groupBy("id").agg(F.sum(a).alias("s0"), F.sum(a * v).alias("s1"), F.sum(a * v * v).alias("s2"))
-        self._write(moved.unionByName(new.withColumn("of", F.lit(segment))), "norms", segment)
+        sums = materialise(sums.select("id", F.col("segment").alias("of"), "s0", "s1", "s2"), "sums")
+        # of the others only those count that are still there
+        named = lambda rows: rows.select("id", F.col("segment").alias("of"))
+        stay = sums.filter(f"of < {segment}").join(named(self.docs()), ["id", "of"], "left_semi").join(named(old), ["id", "of"], "left_anti")
+        self._write(stay.unionByName(sums.filter(f"of = {segment}")), "norms", segment)
 
     def sync(self, corpus: DataFrame, id_col: str, text_col: str) -> bool:
         """Brings the index to a corpus if its (count, sum of the hashes of ids and texts) isn't the one it holds; says whether it did.
@@ -161,8 +181,9 @@ class KeywordIndex:
             return False
         kept = materialise(now.select("id", "key"), "state")
         gone = materialise(was.join(kept, "id", "left_anti").select("id"), "gone")
-        fresh = now.join(was, ["id", "key"], "left_anti")
-        self.add(fresh, "id", "text")
+        if had["n"]:  # ids alone are compared; texts meet only those of what is new
+            now = now.join(materialise(kept.join(was, ["id", "key"], "left_anti").select("id"), "fresh"), "id", "left_semi")
+        self.add(now, "id", "text")
         if not gone.isEmpty():
             self.remove(gone, "id")
         kept.write.mode("overwrite").parquet(path)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseam.operators import keyword_index, search
 from sparkseam.operators.keyword_index import KeywordIndex
@@ -127,3 +128,15 @@ def test_refusals_and_changes_that_broke_off(spark):
     assert same(again.bm25(["oak"])).keys() == {1}
     again.add(frame(spark, [(3, "oak")]), "id", "text")
     assert same(again.bm25(["oak"])).keys() == {1, 3} and again.totals() == (2, 3)
+
+
+def test_a_block_is_listed_where_its_documents_are(spark, small_blocks):
+    """No list is put together from several tasks: all of a block's lie in one file, sorted by term."""
+    index = KeywordIndex(spark, folder(spark, "kw"))
+    index.add(frame(spark, made(5, 200)), "id", "text")
+    rows = index.blocks().withColumn("file", F.input_file_name()).collect()
+    where = {}
+    for r in rows:
+        where.setdefault(r["block"], set()).add(r["file"])
+    assert len(where) == 25 and all(len(files) == 1 for files in where.values())
+    assert sum(r["df"] for r in rows) == sum(len(set(t.split())) for _, t in made(5, 200))
