@@ -20,7 +20,8 @@ def in_order(rows: DataFrame, column: str, files: int, name: str) -> str:
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.filter(F.col(column) > F.lit(low))
         part = part if high is None else part.filter((F.col(column) <= F.lit(high)) | (F.col(column).isNull() if low is None else F.lit(False)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        # the table is read by many tasks; only the rows of a file meet in one
+        part.repartition(1).write.mode("append").parquet(path)
     return path
 
 

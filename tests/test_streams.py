@@ -111,3 +111,9 @@ def test_complete_mode_keeps_the_last_table(spark):
     rows = events(2, 40)
     stream = source(spark, rows, 3).groupBy("who").agg(F.count(F.lit(1)).alias("n"))
     assert {r["who"]: r["n"] for r in streams.drain(stream, "complete", "complete").collect()} == Counter(r[2] for r in rows)
+
+
+def test_a_file_in_order_is_read_by_many_tasks(spark):
+    rows = spark.range(0, 1000, 1, 4).withColumn("task", F.spark_partition_id())
+    back = spark.read.parquet(streams.in_order(rows, "id", 2, "tasks"))
+    assert len(back.inputFiles()) == 2 and back.count() == 1000 and back.select("task").distinct().count() == 4
