@@ -1,36 +1,60 @@
-"""Keyed state with event-time expiry: approval requests and a lookup cache, one row of state for each key.
+"""Keyed state with event-time expiry: approval requests and a lookup cache, an entry of state for each key.
+
+Keys are dealt over buckets by hash, and a bucket's entries are one row of state: a call of Python, and what Spark does around it, costs
+milliseconds, so there is one for each bucket of a batch and not for each key.
 
 Rows of a key are taken in the order of (time, tie) within a batch; a stream should bring them in about that order
 (rows behind the watermark are dropped). State holds one pending request or one entry for each key, so it grows with the
-keys and not with the rows, and timers remove it when the watermark passes its end. Python runs here because Spark has
+keys and not with the rows, and timers end requests when the watermark passes their end. Python runs here because Spark has
 no built-in operator for keyed state; rows reach it in Arrow batches.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Buckets that keys are dealt over. They stay the same as long as a stream's checkpoint does; very many keys want more.
+BUCKETS = 256
+
 #: What a row does to a key's pending request.
 SUBMIT, APPROVE, REJECT = "submit", "approve", "reject"
 
 
-def _millis(at: pd.Timestamp) -> int:
-    return at.value // 1_000_000
+def _by_key(batches: Iterator[pd.DataFrame], mark: int, keys: int) -> dict[tuple, list[tuple]]:
+    """Each key's rows (time in microseconds, tie, others) in order, without those behind the watermark (in milliseconds): Spark itself would drop
+    them only from the next batch on. Columns: bucket, keys, time, tie, others."""
+    out: dict[tuple, list[tuple]] = {}
+    for batch in batches:
+        columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in batch.columns[1:]]
+        columns[keys] = batch.iloc[:, keys + 1].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for row in zip(*columns, strict=True):
+            if mark <= 0 or row[keys] >= mark * 1000:
+                out.setdefault(row[:keys], []).append(row[keys:])
+    for rows in out.values():
+        rows.sort(key=lambda r: r[:2])
+    return out
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    """Keys with nulls have buckets of their own: beside a null, pandas holds whole numbers as floats."""
+    nulls = sum((F.when(F.col(k).isNull(), 2**i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    return (F.pmod(F.xxhash64(*keys), F.lit(buckets)) + nulls * buckets).cast("int").alias("_bucket")
 
 
-def _in_time(batches: Iterator[pd.DataFrame], state: GroupState, order: list[str]) -> pd.DataFrame:
-    """A key's rows in order, without those behind the watermark: Spark itself would drop them only from the next batch on."""
-    rows = pd.concat(list(batches))
-    mark = state.getCurrentWatermarkMs()
-    return (rows[rows[order[0]] >= pd.Timestamp(mark, unit="ms")] if mark > 0 else rows).sort_values(order)
+def _frame(rows: list[tuple], names: list[str], times: tuple[str, ...] = ()) -> pd.DataFrame:
+    columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+    return pd.DataFrame({n: np.array(v, "datetime64[us]") if n in times else pd.Series(v, dtype=object) for n, v in columns.items()})
 
 
-def approvals(stream: DataFrame, key: str, action: Column, below: Column, ttl: str, late: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
+def approvals(stream: DataFrame, key: str, action: Column, below: Column, ttl: str, late: str, time: str = "ts", tie: str = "event_id",
+    buckets: int = BUCKETS) -> DataFrame:
     """key, request (tie of the row that submitted it), submitted, status, decided: a row for each request that ended.
 
     action: submit, approve, reject, or null for rows that do nothing; below: whether a submission lies below the severity
@@ -39,78 +63,74 @@ def approvals(stream: DataFrame, key: str, action: Column, below: Column, ttl: s
     the next row of its key, whichever comes first; decided is then its end). A decision at the very end still counts. Decisions
     without a pending request do nothing. What is pending at the end of the stream has no row.
     """
-    life = pd.Timedelta(ttl)
-    rows = stream.withColumn("_action", action).filter(F.col("_action").isNotNull()).select(F.col(key), F.col(tie).alias("_tie"), F.col(time).alias("_at"),
-        "_action", F.coalesce(below, F.lit(False)).alias("_below")).withWatermark("_at", late)
+    life = pd.Timedelta(ttl).value // 1000
+    rows = stream.withColumn("_action", action).filter(F.col("_action").isNotNull()).select(_bucket([key], buckets), F.col(key), F.col(time).alias("_at"),
+        F.col(tie).alias("_tie"), "_action", F.coalesce(below, F.lit(False)).alias("_below")).withWatermark("_at", late)
     names = [key, "request", "submitted", "status", "decided"]
 
     def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else None
-        out = []
+        waiting: dict = pickle.loads(state.get[0]) if state.exists else {}  # request, microseconds by key
+        mark, out = state.getCurrentWatermarkMs(), []
+
+        def end(who: tuple, status: str, at: int) -> None:
+            request, since = waiting.pop(who)
+            out.append((*who, request, since, status, at))
 
-        def end(status: str, at: pd.Timestamp) -> None:
-            nonlocal pending
-            out.append((of[0], pending[0], pending[1], status, at))
-            pending = None
-
-        if state.hasTimedOut:
-            if pending:
-                end("expired", pending[1] + life)
-        else:
-            for r in _in_time(batches, state, ["_at", "_tie"]).itertuples(index=False):
-                at, what, low = r[2], r[3], r[4]
-                if pending and at > pending[1] + life:
-                    end("expired", pending[1] + life)
+        for who, rows_ in ({} if state.hasTimedOut else _by_key(batches, mark, 1)).items():
+            for at, tie_, what, low in rows_:
+                if who in waiting and at > waiting[who][1] + life:
+                    end(who, "expired", waiting[who][1] + life)
                 if what == SUBMIT and low:
-                    out.append((of[0], r[1], at, "auto_approved", at))
+                    out.append((*who, tie_, at, "auto_approved", at))
                 elif what == SUBMIT:
-                    if pending:
-                        end("superseded", at)
-                    pending = (r[1], at)
-                elif pending:
-                    end("approved" if what == APPROVE else "rejected", at)
-        if pending:
-            state.update((pending[0], pending[1].value // 1000))
-            state.setTimeoutTimestamp(max(_millis(pending[1] + life), state.getCurrentWatermarkMs() + 1))
+                    if who in waiting:
+                        end(who, "superseded", at)
+                    waiting[who] = (tie_, at)
+                elif who in waiting:
+                    end(who, "approved" if what == APPROVE else "rejected", at)
+        for who, (_, since) in list(waiting.items()):  # whose end the watermark has passed, rows or none
+            if (since + life) // 1000 < mark:
+                end(who, "expired", since + life)
+        if waiting:
+            state.update((pickle.dumps(waiting),))
+            state.setTimeoutTimestamp(max((min(since for _, since in waiting.values()) + life) // 1000, mark + 1))
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield _frame(out, names, ("submitted", "decided"))
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = f"`{key}` {kinds[key]}, request {kinds[tie]}, submitted timestamp, status string, decided timestamp"
-    return rows.groupBy(key).applyInPandasWithState(step, schema, f"request {kinds[tie]}, submitted long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, schema, "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def lookups(stream: DataFrame, keys: list[str], ttl: str, late: str, time: str = "ts", tie: str = "event_id") -> DataFrame:
+def lookups(stream: DataFrame, keys: list[str], ttl: str, late: str, time: str = "ts", tie: str = "event_id",
+    buckets: int = BUCKETS) -> DataFrame:
     """keys, tie, outcome of every row as a lookup in a cache whose key is all of `keys`.
 
     miss: no entry of the key is known; hit: there is one younger than ttl; expired: there was one, at least ttl old. A miss or an
     expired entry stores a new one at the row's time. A key whose entry has expired is kept with its last time, so that
-    its next lookup is told from a first one; what a timer drops is the entry.
+    its next lookup is told from a first one.
     """
-    life = pd.Timedelta(ttl)
-    rows = stream.select(*keys, F.col(tie), F.col(time).alias("_at")).withWatermark("_at", late)
+    life = pd.Timedelta(ttl).value // 1000
+    rows = stream.select(_bucket(keys, buckets), *keys, F.col(time).alias("_at"), F.col(tie)).withWatermark("_at", late)
 
     def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = state.get[0] if state.exists else None  # microseconds; -1: an entry that has expired
-        if state.hasTimedOut:
-            state.update((-1,))
-            return
-        frame = _in_time(batches, state, ["_at", tie])
-        if not len(frame):
-            return
-        outcome = []
-        for at in frame["_at"]:
-            if stored is not None and stored >= 0 and at - pd.Timestamp(stored, unit="us") < life:
-                outcome.append("hit")
-                continue
-            outcome.append("miss" if stored is None else "expired")
-            stored = at.value // 1000
-        state.update((stored,))
-        state.setTimeoutTimestamp(max(_millis(pd.Timestamp(stored, unit="us") + life), state.getCurrentWatermarkMs() + 1))
-        yield frame.drop(columns="_at").assign(outcome=outcome)[[*keys, tie, "outcome"]]
+        stored: dict = pickle.loads(state.get[0]) if state.exists else {}  # microseconds by key
+        out = []
+        for who, rows_ in _by_key(batches, state.getCurrentWatermarkMs(), len(keys)).items():
+            last = stored.get(who)
+            for at, tie_ in rows_:
+                if last is not None and at - last < life:
+                    out.append((*who, tie_, "hit"))
+                    continue
+                out.append((*who, tie_, "miss" if last is None else "expired"))
+                last = at
+            stored[who] = last
+        state.update((pickle.dumps(stored),))
+        if out:
+            yield _frame(out, [*keys, tie, "outcome"])
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, tie]) + ", outcome string"
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, schema, "stored binary", "append", GroupStateTimeout.NoTimeout)

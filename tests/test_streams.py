@@ -117,3 +117,13 @@ def test_a_file_in_order_is_read_by_many_tasks(spark):
     rows = spark.range(0, 1000, 1, 4).withColumn("task", F.spark_partition_id())
     back = spark.read.parquet(streams.in_order(rows, "id", 2, "tasks"))
     assert len(back.inputFiles()) == 2 and back.count() == 1000 and back.select("task").distinct().count() == 4
+
+
+def test_keys_share_calls_and_nulls_keep_numbers_whole(spark):
+    """A bucket is one call for many keys; beside a null, large whole numbers stay as they are."""
+    big = 2**60 + 1
+    rows = [(big + i, T0 + timedelta(hours=i), None if i % 3 == 0 else big + i % 2, "x") for i in range(12)]
+    path = streams.in_order(spark.createDataFrame(rows, "event_id long, ts timestamp, user long, kind string"), "ts", 2, "nulls")
+    out = streams.drain(stateful.lookups(streams.source(spark, path, files=1), ["user", "kind"], "4 hours", "1 day", buckets=1), "nulls")
+    assert {(r["user"], r["event_id"]) for r in out.collect()} == {(r[2], r[0]) for r in rows}
+    assert Counter(r["outcome"] for r in out.collect())["miss"] == 3
