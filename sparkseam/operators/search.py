@@ -146,8 +146,9 @@ def bm25_of(hits: DataFrame, stats: DataFrame, query: list[str], k1: float = 1.5
 
 
 def tfidf_terms(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf (1 + ln of its count) of every document."""
-    rows = corpus.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(TFIDF_TOKEN), F.lit(0)).alias("t"))
+    """id, term, tf (1 + ln of its count) of every document. Texts are dealt by id, so their terms are counted where they are."""
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id")
+    rows = rows.select("id", F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(TFIDF_TOKEN), F.lit(0)).alias("t"))
     return rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg((1 + F.ln(F.count(F.lit(1)))).alias("tf"))
 
 

@@ -491,3 +491,10 @@ def test_steps_are_found_in_known_places_and_by_words(spark):
     files = spark.createDataFrame(rows, "file_path string, content string")
     every = parsers.per_file(files.select("file_path", F.lit("yaml").alias("file_type"), "content"), parsers.read_snippets, parsers.SNIPPET_ROWS)
     assert sorted(parsers.pipeline_snippets(files).collect()) == sorted(every.collect()) and every.count() >= 6
+
+
+def test_terms_are_counted_where_their_text_is(spark):
+    rows = search.tfidf_terms(frame(spark, ["id", "text"], [(1, "oak oak elm"), (2, None)]), "id", "text")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(id#" in plan and ", term#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert {(r["id"], r["term"]) for r in rows.collect()} == {(1, "oak"), (1, "elm")}
