@@ -6,9 +6,18 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Rows, and bytes of the batch, that are worked on at once.
 ROWS, BYTES = 1000, 4_000_000
+#: A session's bound of bytes for a batch that goes to Python, and Spark's own value of it.
+BOUND, UNBOUND = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends about BYTES bytes at once to Python, unless it has a bound of its own: an executor holds a batch several times outside its heap."""
+    if spark.conf.get(BOUND) == UNBOUND:
+        spark.conf.set(BOUND, str(BYTES))
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

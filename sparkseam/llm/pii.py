@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseam.llm.batches import parts
+from sparkseam.llm.batches import parts, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 PATTERNED = 4  # kinds that have a base pattern
@@ -512,6 +512,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Compiled | None = None) -> DataFrame:
     """id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every row."""
+    small_batches(docs.sparkSession)
     model = model or trained()
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, *[f"n_{k}" for k in KINDS[:PATTERNED]], "base_sha256", "spans", "n_added"]
@@ -529,6 +530,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: Compiled | None = None) -> DataFrame:
     """docs with personal data in text_col replaced by the kind, and length_col, if docs has it, set to the new length where it changed."""
+    small_batches(docs.sparkSession)
     model = model or trained()
     length_col = length_col if length_col in docs.columns else None
 

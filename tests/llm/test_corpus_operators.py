@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseam.llm import bpe, chat, jaccard_join, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
+from sparkseam.llm import batches, bpe, chat, jaccard_join, line_quality, packing, pii, shard_table, toxicity, url_filter, winnow
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -280,6 +281,36 @@ def test_token_ids_are_the_librarys():
         assert own.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_are_split_alike_without_looking_ahead_and_special_strings_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    full, own = Tokenizer.from_file(path), packing.Tokens(path)
+    assert "full" not in own.__dict__  # the slower library is loaded for special strings only
+    rng, bits = random.Random(2), [" ", " ", "\n", "\t", "\x85", "\xa0", "\x1c", "a", "é", "1", "²", "'s", "'", "_", "٣", "漢"]
+    for _ in range(3000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+        assert own.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids
+    assert "full" not in own.__dict__
+    texts = ["a <|endoftext|> b", "plain", "two\n\n\nthree  "]
+    out = packing.pack(docs_of(spark, texts), path).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in out} == {i: len(full.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    packing.pack(docs_of(spark, ["x"]), P.path("byte_bpe_50k.json"))
+    rows = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) as t").mapInArrow(sizes, "n long").collect()
+    assert max(r[0] for r in rows) < 2 * batches.BYTES
+    spark.conf.set(batches.BOUND, "16m")  # a session's own bound stays
+    batches.small_batches(spark)
+    assert spark.conf.get(batches.BOUND) == "16m"
+    spark.conf.unset(batches.BOUND)
+
+
 def test_layout_is_gapless_and_whole():
     rng = random.Random(4)
     for _ in range(150):
