@@ -223,17 +223,40 @@ LEAST_GAIN = 1e-2
 
 
 class Compiled:
-    """A tagger's weights as inference wants them: features before windows, embedding and input weights in one table."""
+    """A tagger's weights as inference wants them: the input and recurrent weights of a direction in one matrix, gates by one exponential."""
 
     def __init__(self, model: Tagger):
         p = model.p
-        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, so that one tanh does all four gates
-        half = np.repeat(np.float32([0.5, 0.5, 0.5, 1.0]), HIDDEN)
-        self.table = [np.ascontiguousarray(((p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) * half).T.astype(np.float32)) for d in "fb"]
-        self.inner = np.stack([(p[f"h{d}"] * half).T for d in "fb"]).astype(np.float32)
+        # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 1 - 2 / (1 + exp(2 x)), so that one exponential does all four gates
+        scale = np.repeat(np.float32([-1, -1, -1, 2]), HIDDEN)
+        self.embed = np.ascontiguousarray(p["embed"].T)
+        # what is read at a place: the state, the embedding, and 1 for the bias
+        self.inner = np.stack([(np.concatenate([p[f"h{d}"], p[f"x{d}"], p[f"c{d}"][None]]) * scale).T for d in "fb"]).astype(np.float32)
         self.out, self.bias = np.ascontiguousarray(p["out"].T), p["bias"][:, None]
         self.moves, self.first, self.last = model.moves(), p["first"], p["last"]
 
+    def hopeful(self, e: np.ndarray) -> np.ndarray:
+        """Windows that candidates() can name: the same forward pass with all kinds as one, each score the largest of any kind's.
+
+        Rounded sums keep the order of what is summed, so no score lies below one of candidates().
+        """
+        begin, inside = np.arange(1, K, 2), np.arange(2, K, 2)
+        m, first, last = self.moves, self.first, self.last
+        to_o, to_b = (m[begin, 0].max(), m[inside, 0].max()), (m[0, begin].max(), m[np.ix_(begin, begin)].max(), m[np.ix_(inside, begin)].max())
+        follow, stay = m[begin, inside].max(), m[inside, inside].max()
+        eb, ei = e[:, 1::2].max(1), e[:, 2::2].max(1)
+        o, b, i = first[0] + e[0, 0], first[begin].max() + eb[0], first[inside].max() + ei[0]
+        none = o.copy()
+        for t in range(1, len(e)):
+            o, b, i = (np.maximum(np.maximum(o + m[0, 0], b + to_o[0]), i + to_o[1]), np.maximum(np.maximum(o + to_b[0], b + to_b[1]), i + to_b[2]),
+                np.maximum(b + follow, i + stay))
+            o += e[t, 0]
+            b += eb[t]
+            i += ei[t]
+            none += m[0, 0] + e[t, 0]
+        best = np.maximum(np.maximum(o + last[0], b + last[begin].max()), i + last[inside].max())
+        return np.flatnonzero(best > none + last[0] + LEAST_GAIN)
+
     def candidates(self, e: np.ndarray) -> np.ndarray:
         """Windows whose best path is better than that of O alone, from the scores of Viterbi's forward pass."""
         begin, inside = np.arange(1, K, 2), np.arange(2, K, 2)
@@ -250,33 +273,48 @@ class Compiled:
             none += self.moves[0, 0] + e[t, 0]
         return np.flatnonzero((score + self.last[:, None]).max(0) > none + self.last[0] + LEAST_GAIN)
 
+    @np.errstate(over="ignore")
     def emissions(self, windows: np.ndarray) -> np.ndarray:
-        """(time, tags, batch) of windows (batch, time)."""
+        """(time, tags, batch) of windows (batch, time). An exponential beyond single precision is infinite, and its gate at its end."""
         x = np.ascontiguousarray(windows.T, dtype=np.intp)
         steps, n = x.shape
-        h, c, t1 = (np.zeros((2, HIDDEN, n), np.float32) for _ in range(3))
-        a, part = (np.empty((2, 4 * HIDDEN, n), np.float32) for _ in range(2))
+        read = np.ones((2, HIDDEN + EMBED + 1, n), np.float32)
+        h, here = read[:, :HIDDEN], read[:, HIDDEN:-1]
+        h[:] = 0
+        c, t1, t2 = (np.zeros((2, HIDDEN, n), np.float32) for _ in range(3))
+        a = np.empty((2, 4 * HIDDEN, n), np.float32)
+        i, f, o, g = (a[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         both = np.empty((steps, 2 * HIDDEN, n), np.float32)
         for t in range(steps):
-            np.take(self.table[0], x[t], axis=1, out=a[0], mode="clip")
-            np.take(self.table[1], x[steps - 1 - t], axis=1, out=a[1], mode="clip")
-            np.matmul(self.inner, h, out=part)
-            a += part
-            np.tanh(a, out=a)
-            gates = a[:, : 3 * HIDDEN]
-            gates *= 0.5
-            gates += 0.5
-            c *= a[:, HIDDEN : 2 * HIDDEN]
-            np.multiply(a[:, :HIDDEN], a[:, 3 * HIDDEN :], out=t1)
+            np.take(self.embed, x[t], axis=1, out=here[0], mode="clip")
+            np.take(self.embed, x[steps - 1 - t], axis=1, out=here[1], mode="clip")
+            np.matmul(self.inner, read, out=a)
+            np.exp(a, out=a)
+            a += 1
+            # c = f c + i tanh(g), h = o tanh(c)
+            c /= f
+            np.divide(2, g, out=t1)
+            np.subtract(1, t1, out=t1)
+            t1 /= i
             c += t1
-            np.tanh(c, out=t1)
-            np.multiply(a[:, 2 * HIDDEN : 3 * HIDDEN], t1, out=h)
+            np.add(c, c, out=t2)
+            np.exp(t2, out=t2)
+            t2 += 1
+            np.divide(2, t2, out=t2)
+            np.subtract(1, t2, out=t2)
+            np.divide(t2, o, out=h)
             both[t, :HIDDEN], both[steps - 1 - t, HIDDEN:] = h[0], h[1]
         return np.matmul(self.out, both) + self.bias
 
     def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows that may hold other tags than O, their Viterbi tags (rows, time), and each place's margin of its tag over O."""
         e = self.emissions(windows)
+        rows = self.hopeful(e)
+        some, tags, margins = self.paths(e[:, :, rows])
+        return rows[some], tags, margins
+
+    def paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of emissions."""
         rows = self.candidates(e)
         e = e[:, :, rows].transpose(0, 2, 1)
         steps, n = e.shape[:2]
@@ -465,13 +503,27 @@ def tagged(texts: list[str], model: Compiled) -> list[list[Span]]:
     owner = np.repeat(np.arange(len(texts)), count)
     start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     parts: dict[int, list[Part]] = {}
+    waiting: list[np.ndarray] = []  # windows that may hold a span, few of most blocks, are decoded together
+    scores: list[np.ndarray] = []
+
+    def decoded() -> None:
+        which = np.concatenate(waiting)
+        for r, t, g in zip(*model.paths(np.concatenate(scores, axis=2)), strict=True):
+            if t.any():
+                i, s = int(owner[which[r]]), int(start[which[r]])
+                n = int(sizes[i])
+                parts.setdefault(i, []).extend(window_spans(t, g, s, min(WINDOW, n - s), n))
+        waiting.clear()
+        scores.clear()
+
     for at in range(0, len(owner), BLOCK):
         i, s = owner[at : at + BLOCK], start[at : at + BLOCK]
-        rows, tags, margins = model.decode(flat[(base[i] + s)[:, None] + np.arange(WINDOW)])
-        for r, t, g in zip(rows.tolist(), tags, margins, strict=True):
-            if t.any():
-                n = int(sizes[i[r]])
-                parts.setdefault(int(i[r]), []).extend(window_spans(t, g, int(s[r]), min(WINDOW, n - int(s[r])), n))
+        e = model.emissions(flat[(base[i] + s)[:, None] + np.arange(WINDOW)])
+        rows = model.hopeful(e)
+        waiting.append(at + rows)
+        scores.append(e[:, :, rows])
+        if sum(map(len, waiting)) >= BLOCK or at + BLOCK >= len(owner):
+            decoded()
     return [reconcile(joined(parts.get(i, []))) for i in range(len(texts))]
 
 

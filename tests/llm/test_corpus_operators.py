@@ -159,6 +159,23 @@ def test_tagger_adds_and_leaves_clean_texts(spark):
         docs_of(spark, [])).count() == 0
 
 
+def test_tagger_scores_kinds_apart_only_where_a_span_may_be(monkeypatch):
+    for seed in range(5):
+        own = pii.Tagger(np.random.default_rng(seed)).compiled()
+        e = own.emissions(np.random.default_rng(seed).integers(0, pii.VOCAB, (200, 20)).astype(np.uint8))
+        e[:, 1:] -= seed  # from every window to few
+        assert set(own.candidates(e)) <= set(own.hopeful(e))
+    model, seen = pii.trained(), []
+    texts = ["plain words of a text " * 60, "", 'token = "0123456789abcdef0123456789abcdef01234567" words ' + "and more " * 200] * 20
+    alone = [pii.tagged([t], model)[0] for t in texts[:3]]
+    whole = pii.Compiled.candidates
+    monkeypatch.setattr(pii.Compiled, "candidates", lambda self, e: seen.append(e.shape[2]) or whole(self, e))
+    monkeypatch.setattr(pii, "BLOCK", 64)
+    assert pii.tagged(texts, model) == alone * 20 and alone[2] and not alone[1]
+    windows = sum(1 + max(0, -(-(len(t) - pii.WINDOW) // pii.STRIDE)) for t in texts if t)
+    assert sum(seen) < windows / 5 and len(seen) < windows / 64  # before: every window, block by block
+
+
 def test_compiled_tagger_equals_the_trained_layout():
     """Emissions of both layouts agree, and the forward pass drops only windows whose Viterbi path is O alone."""
     rng = np.random.default_rng(1)
