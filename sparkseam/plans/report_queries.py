@@ -548,7 +548,7 @@ def stream_audit_window(spark, sf):
 def stream_exactly_once(spark, sf):
     """documents in three batches, the second of which is published, breaks off before its checkpoint, and comes again."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    rows = streams.source(spark, streams.in_order(docs, "doc_id", 3, "texts"), files=1)
+    rows = streams.ordered(docs, "doc_id", 3, "texts")
     schema = docs.limit(0).select(F.lit("").alias("content_hash"), F.lit(0).cast("long").alias("n")).schema
     table, state = KeyedTable(spark, folder(spark, "texts"), "content_hash", schema), folder(spark, "ingest")
     lost = []
@@ -584,7 +584,7 @@ select user_id, request, {_STAMP.format('submitted')} as submitted, status, {_ST
 def stream_approvals(spark, sf):
     """Requests of users over events: signups submit, purchases approve, errors reject; values below 20 need no reviewer; 18 hours to live."""
     events = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    rows = streams.source(spark, streams.in_order(events, "ts", 4, "events"), files=1)
+    rows = streams.ordered(events, "ts", 4, "events")
     action = F.create_map(*[F.lit(x) for kv in _ACTS.items() for x in kv])[F.col("event_type")]
     out = streams.drain(stateful.approvals(rows, "user_id", action, F.col("value") < 20, "18 hours", "2 days"), "approvals")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
@@ -598,5 +598,5 @@ from events e left join s on e.user_id = s.user_id and e.event_type = s.event_ty
 def stream_cache_lookups(spark, sf):
     """Every event as a lookup in a cache by user and type whose entries live for three days."""
     events = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    rows = streams.source(spark, streams.in_order(events, "ts", 4, "events"), files=1)
+    rows = streams.ordered(events, "ts", 4, "events")
     return streams.drain(stateful.lookups(rows, ["user_id", "event_type"], "3 days", "2 days"), "lookups")

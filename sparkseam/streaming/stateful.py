@@ -32,7 +32,7 @@ def _by_key(batches: Iterator[pd.DataFrame], mark: int, keys: int) -> dict[tuple
     them only from the next batch on. Columns: bucket, keys, time, tie, others."""
     out: dict[tuple, list[tuple]] = {}
     for batch in batches:
-        columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in batch.columns[1:]]
+        columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() if batch[c].hasnans else batch[c].tolist() for c in batch.columns[1:]]
         columns[keys] = batch.iloc[:, keys + 1].to_numpy().astype("datetime64[us]").astype("int64").tolist()
         for row in zip(*columns, strict=True):
             if mark <= 0 or row[keys] >= mark * 1000:

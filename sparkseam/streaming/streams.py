@@ -7,24 +7,41 @@ from pyspark.sql import functions as F
 
 from sparkseam.session import folder, remove
 
+#: Rows of one file of a batch, about, in ordered().
+FILE_ROWS = 250_000
 
-def in_order(rows: DataFrame, column: str, files: int, name: str) -> str:
+
+def in_order(rows: DataFrame, column: str, files: int, name: str, each: int = 1) -> str:
     """Writes a table as files that follow each other in a column (equal counts, about), one written after the other; returns their folder.
 
-    A stream of it with one file for each batch sees the rows in batches of that order.
+    A stream of it with one file for each batch sees the rows in batches of that order. With `each`, so many files, written at once, stand for one.
     """
     spark = rows.sparkSession
     path = folder(spark, f"input-{name}")
     cuts = rows.select(F.expr(f"percentile_approx(`{column}`, array({', '.join(str(i / files) for i in range(1, files))}))")).first()[0] if files > 1 else []
-    edges = [None, *(cuts or []), None]
+    edges, done = [None, *(cuts or []), None], 0
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.filter(F.col(column) > F.lit(low))
         part = part if high is None else part.filter((F.col(column) <= F.lit(high)) | (F.col(column).isNull() if low is None else F.lit(False)))
         # the table is read by many tasks; only the rows of a file meet in one
-        part.repartition(1).write.mode("append").parquet(path)
+        part.repartition(each).write.mode("append").parquet(path)
+        done += each
+        for _ in range(done - _files(spark, path) if each > 1 else 0):  # a task without rows writes none, and batches are counted in files
+            rows.limit(0).repartition(1).write.mode("append").parquet(path)
     return path
 
 
+def _files(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sum(x.getPath().getName().startswith("part-") for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
+def ordered(rows: DataFrame, column: str, batches: int, name: str) -> DataFrame:
+    """A stream of a table in so many batches that follow each other in a column; the files of a batch grow in number, not in size, with the table."""
+    each = max(1, rows.count() // batches // FILE_ROWS)
+    return source(rows.sparkSession, in_order(rows, column, batches, name, each), files=each)
+
+
 def source(spark: SparkSession, path: str, times: tuple[str, ...] = (), files: int | None = None) -> DataFrame:
     """A stream of the Parquet files at path (a folder, or one file: the stream then watches its folder for that name). times: columns cast to timestamps; files: of one batch at most."""
     schema = spark.read.parquet(path).schema

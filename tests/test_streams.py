@@ -127,3 +127,17 @@ def test_keys_share_calls_and_nulls_keep_numbers_whole(spark):
     out = streams.drain(stateful.lookups(streams.source(spark, path, files=1), ["user", "kind"], "4 hours", "1 day", buckets=1), "nulls")
     assert {(r["user"], r["event_id"]) for r in out.collect()} == {(r[2], r[0]) for r in rows}
     assert Counter(r["outcome"] for r in out.collect())["miss"] == 3
+
+
+def test_batches_in_order_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    rows = spark.range(200).selectExpr("id % 7 as who", "if(id < 190, 0, id) as at", "id")  # ranges without rows
+    seen = []
+    stream = streams.ordered(rows, "at", 4, "several")
+    query = stream.writeStream.foreachBatch(lambda b, n: seen.append([r["at"] for r in b.select("at").collect()])).trigger(availableNow=True)
+    query.option("checkpointLocation", streams.folder(spark, "several")).start().awaitTermination()
+    assert sorted(x for b in seen for x in b) == [0] * 190 + list(range(190, 200))
+    full = [b for b in seen if b]
+    assert all(max(a) <= min(b) for a, b in zip(full, full[1:])) and len(seen) <= 4
+    path = streams.in_order(spark.range(200).toDF("id"), "id", 4, "files", 2)
+    assert spark.read.parquet(path).selectExpr("input_file_name() as f").distinct().count() == 8 and spark.read.parquet(path).count() == 200
