@@ -115,17 +115,18 @@ def overlap(rows: DataFrame) -> DataFrame:
     """
     one = F.struct("ord", "file_path", "block_name")
     classes = rows.groupBy("identity_name", "role", "scope_type", "scope_value").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    classes = classes.withColumns({"_path": path_of(F.col("scope_value")), "_class": F.struct("role", "scope_type", "scope_value", "lo", "hi")})
-    classes = materialise(classes.select("identity_name", "scope_value", "_path", "_class"), "classes")  # few against the rows; read by four sides
-    other = classes.select(F.col("identity_name").alias("_i"), F.col("scope_value").alias("_v"), F.col("_class").alias("y"))
-    own = classes.select("identity_name", "scope_value", F.col("_class").alias("x"))
+    # a scope of slashes alone has no path and meets only its equals
+    path = path_of(F.col("scope_value"))
+    classes = classes.select("identity_name", F.when(path != "", path).otherwise(F.col("scope_value")).alias("_at"), (path != "").alias("_deep"),
+        F.struct("role", "scope_type", "scope_value", "lo", "hi").alias("_class")).filter("_at <> ''")
+    classes = materialise(classes, "classes")  # few against the rows; read by two sides
+    wide = classes.select("identity_name", "_at", F.col("_class").alias("x"))
+    deep = classes.select("identity_name", F.explode(F.when(F.col("_deep"), ancestors(F.col("_at"))).otherwise(F.array("_at"))).alias("_at"),
+        F.col("_class").alias("y"))
+    # equal scopes meet where nested ones do, so one join finds both and what a path's pairs agree on is joined before it is shuffled
     order = lambda c: F.struct(F.col(f"{c}.role"), F.col(f"{c}.scope_type"))
-    same = own.filter("scope_value <> ''").join(other, (F.col("identity_name") == F.col("_i")) & (F.col("scope_value") == F.col("_v")) & (
-        order("x") <= order("y"))).select("identity_name", "x", "y")
-    wide = classes.filter("_path <> ''").select("identity_name", "_path", F.col("_class").alias("x"))
-    deep = classes.select("identity_name", F.explode(ancestors(F.col("_path"))).alias("_path"), F.col("_class").alias("y"))
-    below = wide.join(deep, ["identity_name", "_path"]).filter(scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))).select(
-        "identity_name", "x", "y")
+    same = (F.col("x.scope_value") == F.col("y.scope_value")) & (order("x") <= order("y"))
+    pairs = wide.join(deep, ["identity_name", "_at"]).filter(same | (scope_order(F.col("x.scope_type")) < scope_order(F.col("y.scope_type"))))
     level = lambda c: number(F.col(f"{c}.role"), PRIVILEGE, 0)
     gap, alike = level("x") - level("y"), F.col("x.role") == F.col("y.role")
 
@@ -139,7 +140,7 @@ def overlap(rows: DataFrame) -> DataFrame:
     later = lambda d, e: F.col(f"{d}.lo.ord") < F.col(f"{e}.hi.ord")
     both = F.array(covers(F.when(alike, later("x", "y")).otherwise(gap > 0), "x", "y"), covers(F.when(alike, later("y", "x")).otherwise(gap < 0), "y", "x"))
     # one pass over the pairs: each gives up to two coverings
-    out = same.unionByName(below).select("identity_name", F.inline(F.array_compact(both)))
+    out = pairs.select("identity_name", F.inline(F.array_compact(both)))
     value = F.coalesce(F.nullif("d.scope_value", F.lit("")), F.col("e.scope_value"))
     fill = lambda c: F.coalesce(F.nullif(f"d.lo.{c}", F.lit("")), F.col(f"_met.{c}"))
     out = out.select("identity_name", F.col("d.role").alias("_d"), F.col("e.role").alias("_e"), value.alias("scope_value"), F.struct("_at",
@@ -157,13 +158,18 @@ def broad_redundant(rows: DataFrame) -> DataFrame:
     What matters of all scopes at or below a path is only how narrow the narrowest type there is, so one row for each
     (identity, role, path) is joined.
     """
-    rows = rows.select("ord", "identity_name", "role", "scope_type", "scope_value", "file_path", "block_name").withColumn("_path",
-        path_of(F.col("scope_value")))
+    path = path_of(F.col("scope_value"))
+    rows = rows.select("ord", "identity_name", "role", "scope_type", "file_path", "block_name", path.alias("_path"),
+        F.when(F.col("scope_value") != path, F.col("scope_value")).alias("_written"))  # the path stands for a scope that equals it
     # classes first: only one row for each (identity, role, path) walks up its path
     deep = rows.groupBy("identity_name", "role", "_path").agg(F.max(scope_order(F.col("scope_type"))).alias("_o"))
     deep = deep.select("identity_name", "role", F.explode(ancestors(F.col("_path"))).alias("_path"), "_o")
     deep = deep.groupBy("identity_name", "role", "_path").agg(F.max("_o").alias("_narrowest"))
-    out = rows.filter("_path <> ''").join(deep, ["identity_name", "role", "_path"]).filter(scope_order(F.col("scope_type")) < F.col("_narrowest"))
+    # no scope of the narrowest type there is lies above a narrower one, so its rows needn't be shuffled
+    top = F.broadcast(rows.agg(F.max(scope_order(F.col("scope_type"))).alias("_top")))
+    out = rows.filter("_path <> ''").join(top, scope_order(F.col("scope_type")) < F.col("_top")).drop("_top")
+    out = out.join(deep, ["identity_name", "role", "_path"]).filter(scope_order(F.col("scope_type")) < F.col("_narrowest")).withColumn("scope_value",
+        F.coalesce("_written", "_path"))
     severity = F.when(F.col("scope_type") == "subscription", "MEDIUM").otherwise("LOW")
     advice = F.array(F.concat(F.lit("Reduce scope from "), F.col("scope_type"), F.lit(" to "), narrower(F.col("scope_type"))))
     return finding(out, F.lit("IAM-AZ-008"), severity, F.lit("Role assigned at broader scope than necessary"), advice)

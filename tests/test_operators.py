@@ -498,3 +498,19 @@ def test_terms_are_counted_where_their_text_is(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(id#" in plan and ", term#" not in plan.split("hashpartitioning(")[1].split(")")[0]
     assert {(r["id"], r["term"]) for r in rows.collect()} == {(1, "oak"), (1, "elm")}
+
+
+def test_iam_pairs_meet_in_one_join_and_scopes_of_slashes_only_their_equals(spark):
+    scopes = [("//", "resource"), ("//", "subscription"), ("/", "resource"), ("", "resource"), (None, "unknown"), ("/S/1/", "subscription"), ("/s/1", "resource"), ("/s/1/x", "unknown")]
+    rows = spark.createDataFrame([(i, "a", "user", r, t, v, f"f{i}", "b") for i, ((v, t), r) in enumerate((s, r) for s in scopes for r in ("Owner", "Reader"))],
+        "ord long, identity_name string, identity_type string, role string, scope_type string, scope_value string, file_path string, block_name string")
+    out = iam.overlap(rows)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    got = {(r["role"], r["scope_value"], r["ord"]) for r in out.collect()}
+    assert got == {("Owner + Reader", "//", 0), ("Owner + Owner", "//", 0), ("Reader + Reader", "//", 1), ("Owner + Reader", "/", 4),
+        ("Owner + Reader", "/S/1/", 10), ("Owner + Owner", "/S/1/", 10), ("Reader + Reader", "/S/1/", 11), ("Owner + Reader", "/s/1", 11),
+        ("Owner + Owner", "/s/1", 12), ("Reader + Reader", "/s/1", 13), ("Owner + Reader", "/s/1/x", 11), }, got
+    needless = {(r["ord"], r["scope_value"]) for r in iam.broad_redundant(rows).collect()}
+    assert needless == {(10, "/S/1/"), (11, "/S/1/"), (12, "/s/1"), (13, "/s/1")}
+    plan = iam.broad_redundant(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_top" in plan  # rows of the narrowest type are dropped before the join
