@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 
 def words(text: Column) -> Column:
@@ -16,6 +21,63 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-zA-Z0-9./]+"), lambda x: F.length(x) >= 2)
 
 
+#: Characters of terms that are counted at once, beyond those of one text; what stands between terms that are given as one string.
+AT_ONCE, BETWEEN = 4_000_000, "\x00"
+_OF_TERMS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789./"))
+
+
+def _counted(texts: pa.Array, inside: np.ndarray, least: int) -> pa.StructArray:
+    """The distinct runs of bytes that are inside of each text, of some length at least, and how often each is there."""
+    n, at = len(texts), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at, here = at - at[0], inside[data]
+    begins, ends = here.copy(), here.copy()
+    begins[1:] &= ~here[:-1]
+    ends[:-1] &= ~here[1:]
+    # a run ends with its text
+    whole = np.flatnonzero(np.diff(at))
+    begins[at[whole]], ends[at[whole + 1] - 1] = here[at[whole]], here[at[whole + 1] - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    long = last - first >= least
+    first, last = first[long], last[long]
+    # runs and what lies between them share the text's bytes; every second one is a run
+    edges = pa.py_buffer(np.column_stack([first, last]).ravel())
+    runs = pa.LargeStringArray.from_buffers(max(0, 2 * len(first) - 1), edges, pa.py_buffer(data)).take(pa.array(np.arange(0, 2 * len(first), 2)))
+    coded = runs.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    of, count = np.unique((np.searchsorted(at, first, side="right") - 1) * size + coded.indices.to_numpy(), return_counts=True)
+    where = pa.array(np.searchsorted(of, np.arange(n + 1) * size).astype(np.int32))
+    words = coded.dictionary.take(pa.array(of % size)).cast(pa.string())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(where, words), pa.ListArray.from_arrays(where, pa.array(count.astype(np.int32)))], ["terms", "tf"])
+
+
+def _counter(inside: np.ndarray, least: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            texts = texts.cast(pa.large_string()).fill_null("")
+            step, out = max(1, AT_ONCE * len(texts) // max(1, texts.nbytes)), []
+            for k in range(0, len(texts), step):
+                out.append(_counted(texts[k : k + step], inside, least))
+            yield pa.concat_arrays(out) if out else pa.array([], COUNTS)
+
+    return run
+
+
+COUNTS = pa.struct([("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int32()))])
+
+
+def term_counts(text: Column, tokens=None) -> Column:
+    """The distinct terms of a text and how often each is there, as (terms, tf); tokens: another way to take a text's terms than terms().
+
+    Splitting by a pattern and counting in Spark's arrays took most of an ingest's time, so bytes are looked up in tables by an Arrow function.
+    """
+    schema = "struct<terms: array<string>, tf: array<int>>"
+    count = lambda inside, least: F.arrow_udf(_counter(inside, least), schema, ArrowUDFType.SCALAR_ITER)
+    if tokens in (None, terms):
+        return count(_OF_TERMS, 2)(F.lower(F.coalesce(text, F.lit(""))))
+    return count(np.arange(256) != ord(BETWEEN), 1)(F.array_join(tokens(text), BETWEEN))
+
+
 def alnum_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -113,11 +175,15 @@ def contains_any(text: Column, needles: list[str]) -> Column:
 
 
 def first_match(text: Column, cases: list[tuple[str, list[str]]], default: str) -> Column:
-    """The name of the first case of which text contains a needle."""
-    out = F.lit(default)
-    for name, needles in reversed(cases):
-        out = F.when(contains_any(text, needles), F.lit(name)).otherwise(out)
-    return out
+    """The name of the first case of which text contains a needle; text is computed once for all needles."""
+
+    def of(t: Column) -> Column:
+        out = F.lit(default)
+        for name, needles in reversed(cases):
+            out = F.when(contains_any(t, needles), F.lit(name)).otherwise(out)
+        return out
+
+    return let(text, of)
 
 
 def chunk_id(base: Column) -> Column:

@@ -30,9 +30,9 @@ def fixed_windows(rows: DataFrame, size: int, overlap: int, text: str = "text")
 def split_tokens(text: Column, size: int, overlap: int) -> Column:
     """The text itself if it has at most `size` words, else its windows; nothing for the empty string."""
     step = max(1, size - overlap)
-    n = F.size(words(text))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(windows(text,
-        size, size - step))
+    length = F.coalesce(F.length(text), F.lit(0))
+    few = (length <= size) | (F.size(words(text)) <= size)  # a text has no more words than characters
+    return F.when(length == 0, F.array().cast("array<string>")).when(few, F.array(text)).otherwise(windows(text, size, size - step))
 
 
 def split_by(text: Column, size: int, overlap: int, strategy: str) -> Column:
@@ -154,7 +154,7 @@ def tree_blocks(content: str, file_type: str) -> list[dict] | None:
 
 
 def structured_chunks(files: DataFrame, size: int = 400, overlap: int = 40, strategy: str = "hybrid") -> DataFrame:
-    """file_path, file_type, content -> chunks by block, key or statement; files without any get fixed windows."""
+    """file_path, file_type, content -> chunks by block, key or statement; files without any get fixed windows, those of other types without Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,10 +167,14 @@ def structured_chunks(files: DataFrame, size: int = 400, overlap: int = 40, stra
                     rows.append((path, kind, -1, content, None, None, None, None, False))
             yield pd.DataFrame(rows, columns=["file_path", "file_type", "at", "body", "block_type", "resource_type", "block_name", "refs", "whole"])
 
-    blocks = spread(files.select("file_path", "file_type", "content")).mapInPandas(run,
+    files = files.select("file_path", "file_type", "content")
+    structured = F.coalesce(F.col("file_type").isin("terraform", "yaml", "json"), F.lit(False))
+    blocks = spread(files.filter(structured)).mapInPandas(run,
         "file_path string, file_type string, at int, body string, block_type string, resource_type string, block_name string, refs array<string>, "
         "whole boolean")
-    alone = fallback_chunks(blocks.filter("at < 0").select("file_path", "file_type", F.col("body").alias("content")), size, overlap)
+    blocks = materialise(blocks, "blocks")  # read by two sides; a file is parsed once
+    plain = blocks.filter("at < 0").select("file_path", "file_type", F.col("body").alias("content")).unionByName(files.filter(~structured))
+    alone = fallback_chunks(plain, size, overlap)
     own = blocks.filter("at >= 0")
     parts = F.when(F.col("whole"), F.array("body")).otherwise(split_by(F.col("body"), size, overlap, strategy))
     own = own.select("*", F.size(parts).alias("n"), F.posexplode(parts).alias("part", "text"))

@@ -20,25 +20,67 @@ Null ids aren't indexed, null texts have no terms, an id may stand once in a cha
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseam.functions.text import terms
+from sparkseam.functions.text import BETWEEN, term_counts, terms
 from sparkseam.operators.ranges import row_numbers
 from sparkseam.operators.search import TFIDF_TOKEN, bm25_of, minmax, query_weights
 from sparkseam.session import exists, materialise, published, remove
 
 #: Documents in a block; blocks that a search scores at first; block numbers that are pushed to the files as literals.
 BLOCK, FIRST, LITERALS = 128, 16, 500
-#: What stands between terms while they are on their way to their block; no term holds it.
-BETWEEN = "\x00"
+#: Ids that are broadcast to find their texts; terms of documents that are listed at once, beyond those of one block.
+BROADCAST_IDS, AT_ONCE = 1_000_000, 500_000
 
 
 def tfidf_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TFIDF_TOKEN), F.lit(0))
 
 
+def _lists(rows: pa.Table) -> pa.RecordBatch:
+    """The posting rows of whole blocks, whose documents come as (block, id, dl, terms, tf)."""
+    rows = rows.sort_by([("block", "ascending"), ("id", "ascending")]).combine_chunks()
+    words = pc.split_pattern(rows["terms"].combine_chunks(), BETWEEN)
+    coded = words.flatten().dictionary_encode()
+    # a term's number and a document's place in one number: sorted, they are the lists in the order of their ids
+    each = coded.indices.to_numpy().astype(np.int64) * rows.num_rows + pc.list_parent_indices(words).to_numpy()
+    order = np.argsort(each)
+    term, place = each[order] // rows.num_rows, each[order] % rows.num_rows
+    tf, block, dl = rows["tf"].combine_chunks().flatten().to_numpy()[order], rows["block"].to_numpy()[place], rows["dl"].to_numpy()[place]
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+    ends = np.r_[first, len(each)].astype(np.int32)
+    docs = pa.StructArray.from_arrays([rows["id"].combine_chunks().take(pa.array(place)), pa.array(tf), pa.array(dl)], ["id", "tf", "dl"])
+    columns = [coded.dictionary.take(pa.array(term[first])), pa.array(block[first]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, first)),
+        pa.array(np.minimum.reduceat(dl, first)), pa.ListArray.from_arrays(ends, docs)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "df", "max_tf", "min_dl", "docs"])
+
+
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of documents that come sorted by block; a few blocks are held at once."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks, held_by = batch["block"].to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(batch["tf"]).to_numpy(), dtype=np.int64)]
+        cut = 0
+        for at in np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]).tolist():
+            begins = at > 0 or (held and held[-1]["block"][-1].as_py() != blocks[0])  # else the block that is held goes on
+            if begins and size + held_by[at] - held_by[cut] >= AT_ONCE:
+                yield _lists(pa.Table.from_batches([*held, batch.slice(cut, at - cut)]))
+                held, size, cut = [], 0, at
+        if cut < batch.num_rows:
+            held.append(batch.slice(cut))
+            size += int(held_by[-1] - held_by[cut])
+    if held:
+        yield _lists(pa.Table.from_batches(held))
+
+
 class KeywordIndex:
     """ids of type id_type in a folder of the shared store. norms: also keep tf-idf norms; tokens: the terms of a text."""
 
@@ -93,8 +135,10 @@ class KeywordIndex:
     # ---- changes
 
     def add(self, corpus: DataFrame, id_col: str, text_col: str) -> None:
-        rows = corpus.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), self.tokens(F.col(text_col)).alias("t"))
-        rows = materialise(rows.withColumn("dl", F.size("t")), "terms")
+        rows = corpus.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), term_counts(F.col(text_col), self.tokens).alias("t"))
+        # one string takes half the bytes of an array
+        rows = rows.select("id", F.array_join("t.terms", BETWEEN).alias("terms"), "t.tf", F.aggregate("t.tf", F.lit(0), lambda a, x: a + x).alias("dl"))
+        rows = materialise(rows, "terms")
         twice = rows.groupBy("id").count().filter("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"id {twice[0]['id']} stands more than once in a change")
@@ -102,7 +146,7 @@ class KeywordIndex:
 
     def remove(self, ids: DataFrame, id_col: str) -> None:
         gone = ids.select(F.col(id_col).alias("id")).distinct()
-        self._change(gone.select("id", F.array().cast("array<string>").alias("t"), F.lit(None).cast("int").alias("dl")))
+        self._change(gone.select("id", F.lit("").alias("terms"), F.array().cast("array<int>").alias("tf"), F.lit(None).cast("int").alias("dl")))
 
     def clear(self) -> None:
         remove(self.spark, self.folder)
@@ -113,13 +157,9 @@ class KeywordIndex:
         placed = row_numbers(fresh.select("id", "dl"), [F.col("dl"), F.col("id")], "_n").select("id", "dl", F.expr(f"int((_n - 1) div {BLOCK})").alias("block"))
         placed = materialise(placed.unionByName(rows.filter("dl is null").select("id", "dl", F.lit(None).cast("int").alias("block"))), "placed")
         # the documents of a block meet in one task and stay there: their terms are counted and listed without another shuffle
-        packed = fresh.filter("dl > 0").select("id", F.array_join("t", BETWEEN).alias("_t"))  # half the bytes of an array
-        dealt = packed.join(placed.filter("block is not null"), "id").repartition("block")
-        found = dealt.select("block", "id", "dl", F.explode(F.split("_t", BETWEEN)).alias("term")).groupBy("block", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        lists = found.groupBy("block", "term").agg(F.count(F.lit(1)).cast("int").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-            F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs"))  # BLOCK documents at most
-        names = self.blocks().columns[:-1]
-        self._write(lists.select(*names).sortWithinPartitions("term", "block"), "postings", segment)
+        dealt = fresh.filter("dl > 0").select("id", "terms", "tf").join(placed.filter("block is not null"), "id").select("block", "id", "dl", "terms", "tf")
+        lists = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(listed, self._postings())
+        self._write(lists.sortWithinPartitions("term", "block"), "postings", segment)
         lists = self.spark.read.schema(self._postings()).parquet(f"{self.folder}/postings/segment={segment}")
 
         # what gives way, and how many of it each list held: only the blocks in which it lies are read
@@ -127,7 +167,7 @@ class KeywordIndex:
         old = materialise(old, "old") if segment else old.limit(0)
         gone = old.groupBy("segment", "block").agg(F.collect_list("id").alias("_gone"))  # BLOCK ids at most
         lost = self.blocks().select("term", "segment", "block", F.col("docs.id").alias("_ids")).join(gone, ["segment", "block"])
-        lost = lost.select("term", F.size(F.array_intersect("_ids", "_gone")).alias("df")).filter("df > 0")
+        lost = lost.select("term", F.size(F.array_intersect("_gone", "_ids")).alias("df")).filter("df > 0")
         # was: documents that held the term before; df: how many more do now; held: by the new ones
         of = lambda rows, was, df, held: rows.select("term", *[(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n)
             for n, x in (("was", was), ("df", df), ("held", held))])
@@ -165,24 +205,28 @@ class KeywordIndex:
         stay = sums.filter(f"of < {segment}").join(named(self.docs()), ["id", "of"], "left_semi").join(named(old), ["id", "of"], "left_anti")
         self._write(stay.unionByName(sums.filter(f"of = {segment}")), "norms", segment)
 
-    def sync(self, corpus: DataFrame, id_col: str, text_col: str) -> bool:
+    def sync(self, corpus: DataFrame, id_col: str, text_col: str, hash_col: str | None = None, texts: DataFrame | None = None) -> bool:
         """Brings the index to a corpus if its (count, sum of the hashes of ids and texts) isn't the one it holds; says whether it did.
 
-        Only documents that are new, gone or changed are indexed again.
+        Only documents that are new, gone or changed are indexed again. hash_col: a hash of the text that stands for it, so that texts that are
+        known aren't read. texts: a table that holds the corpus's ids and texts, each id once, and maybe others; texts are taken from there.
         """
         key = lambda i, t: F.xxhash64(i, F.coalesce(t, F.lit("")))
-        now = corpus.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key(F.col(id_col),
-            F.col(text_col)).alias("key"))
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("key").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum")).first()
+        named = lambda rows, *more: rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *more)
+        kept = named(corpus, key(F.col(id_col), F.col(hash_col or text_col)).alias("key"))
+        kept = materialise(kept, "state") if hash_col else kept
+        state = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("key").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum")).first()
         path = f"{self.folder}/state"
         was = self.spark.read.parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], f"id {self.id_type}, key long")
         had = was.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("key").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum")).first()
         if state == had and (state["n"] or exists(self.spark, path)):
             return False
-        kept = materialise(now.select("id", "key"), "state")
+        kept = kept if hash_col else materialise(kept, "state")
         gone = materialise(was.join(kept, "id", "left_anti").select("id"), "gone")
-        if had["n"]:  # ids alone are compared; texts meet only those of what is new
-            now = now.join(materialise(kept.join(was, ["id", "key"], "left_anti").select("id"), "fresh"), "id", "left_semi")
+        now = named(corpus if texts is None else texts, F.col(text_col).alias("text"))
+        if had["n"] or texts is not None:  # ids alone are compared; texts meet only those of what is new
+            fresh = materialise(kept.join(was, ["id", "key"], "left_anti").select("id"), "fresh")
+            now = now.join(F.broadcast(fresh) if fresh.count() <= BROADCAST_IDS else fresh, "id", "left_semi")
         self.add(now, "id", "text")
         if not gone.isEmpty():
             self.remove(gone, "id")

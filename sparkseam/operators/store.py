@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from sparkseam.functions.text import terms
-from sparkseam.operators.ranges import row_numbers
+from sparkseam.functions.text import term_counts
+from sparkseam.operators.ranges import hash_numbers, row_numbers
 
 # Columns that a metadata filter may name.
 FILTER_KEYS = ("file_path", "file_type", "resource_type", "cloud_provider", "repo")
@@ -55,6 +59,12 @@ def numbered(rows: DataFrame, order: str, first: DataFrame, name: str = "index_i
     return out.withColumn(name, (F.col("next_id") + F.col("_number") - 1).cast("long")).drop("_number", "next_id")
 
 
+def numbered_by_hash(rows: DataFrame, order: str, first: DataFrame, name: str = "index_id") -> DataFrame:
+    """The same where the column is a 64-bit hash: its leading bits are the ranges, so rows are moved once and written by nobody."""
+    out = hash_numbers(rows, order, "_number").crossJoin(F.broadcast(first))
+    return out.withColumn(name, (F.col("next_id") + F.col("_number") - 1).cast("long")).drop("_number", "next_id")
+
+
 def upsert(store: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """store with the last batch row of each key in place of its own."""
     last = first_of_each(batch, [key], order, last=True).drop(order)
@@ -140,31 +150,33 @@ def reconcile(spark: SparkSession, store_path: str, registry_path: str) -> bool:
     return all(found)
 
 
-def hashed(texts: DataFrame, dimension: int, text: str = "text") -> DataFrame:
-    """content_hash, embedding: terms hashed into signed buckets, at length one; zeros for a text without terms. One row for each content_hash in."""
-    hits = texts.select("content_hash", F.explode_outer(F.transform(terms(F.col(text)), lambda t: F.xxhash64(t))).alias("_h"))
-    sign = F.when(F.col("_h") < 0, -1.0).when(F.col("_h").isNotNull(), 1.0).otherwise(0.0)
-    sums = hits.groupBy("content_hash", F.coalesce(F.pmod("_h", F.lit(dimension)), F.lit(0)).cast("int").alias("_at")).agg(F.sum(sign).alias("_w"))
-    vectors = sums.groupBy("content_hash").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_m"),
-        F.greatest(F.sqrt(F.sum(F.col("_w") * F.col("_w"))), F.lit(1e-10)).alias("_n"))
-    place = F.sequence(F.lit(0), F.lit(dimension - 1))
-    return vectors.select("content_hash", F.transform(place, lambda i: (F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).cast(
-        "float")).alias("embedding"))
+def hashed(counts: Column, dimension: int) -> Column:
+    """The vector of a text by its term_counts: terms hashed into signed buckets, at length one; zeros for a text without terms."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hashes, tf in batches:
+            h, n = hashes.flatten().to_numpy(), len(hashes)
+            at = pc.list_parent_indices(hashes).to_numpy() * dimension + h % dimension
+            sums = np.bincount(at, np.where(h < 0, -1.0, 1.0) * tf.flatten().to_numpy(), n * dimension).reshape(n, dimension)
+            unit = (sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-10)).astype(np.float32)
+            yield pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dimension, pa.array(unit.ravel()))
+
+    return F.arrow_udf(run, "array<float>", ArrowUDFType.SCALAR_ITER)(F.transform(counts["terms"], lambda t: F.xxhash64(t)), counts["tf"])
 
 
 def embed(rows: DataFrame, dimension: int = 64, text: str = "text", encoder: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
-    """rows with `embedding`. Each distinct text is encoded once, and not at all if `known` (content_hash, embedding) has it.
+    """rows with `embedding`.
 
-    The default encoder is native. encoder: Arrow batches of (content_hash, text) to batches of (content_hash, embedding).
+    The default encoder works in each row, so no text is moved for it. encoder: Arrow batches of (content_hash, text) to batches of
+    (content_hash, embedding); each distinct text is encoded once, and not at all if `known` (content_hash, embedding) has it.
     """
     keyed = rows.withColumn("content_hash", content_hash(text))
+    if not encoder:
+        return keyed.withColumn("_counts", term_counts(F.col(text))).withColumn("embedding", hashed(F.col("_counts"), dimension)).drop("_counts")
     distinct = keyed.select("content_hash", text).dropDuplicates(["content_hash"])
     if known is not None:
         distinct = distinct.join(known.select("content_hash"), "content_hash", "left_anti")
-    if encoder:
-        coded = distinct.mapInArrow(encoder, "content_hash string, embedding array<float>")
-    else:
-        coded = hashed(distinct, dimension, text)
+    coded = distinct.mapInArrow(encoder, "content_hash string, embedding array<float>")
     if known is not None:
         coded = coded.unionByName(known.select("content_hash", "embedding").dropDuplicates(["content_hash"]))
     return keyed.join(coded, "content_hash")

@@ -164,8 +164,8 @@ class Engine:
         rows = self._live()
         if rows is None:
             return None
-        first = rows.groupBy("content_hash").agg(F.min("index_id").alias("index_id"))  # ids alone are compared, texts are read once
-        return rows.join(first, ["content_hash", "index_id"], "left_semi")
+        first = rows.groupBy("content_hash").agg(F.min("index_id").alias("index_id"))  # ids alone are compared, texts are moved once
+        return self._read("chunks").join(first.select("index_id"), "index_id", "left_semi")
 
     def _live(self) -> DataFrame | None:
         """The same with a row for each file that holds a text, so that a text outlives its first file."""
@@ -189,12 +189,10 @@ class Engine:
         fresh = materialise(fresh, "fresh")
         if not fresh.isEmpty():
             had = self._read("chunks")  # of all segments, so that no id is given twice
-            # a text that is stored already keeps its embedding
-            chunks = store.embed(tagged(chunking.structured_chunks(fresh, size, overlap, strategy)), self.dimension, known=had)
-            # numbering counts, samples and writes its rows: they are chunked and embedded once
-            chunks = materialise(chunks.withColumn("ord", F.xxhash64("chunk_id", "file_path")), "chunks")
-            empty = chunks.limit(0).withColumn("index_id", F.lit(0).cast("long"))
-            new = store.insert_new(had if had is not None else empty, chunks, "ord", dedup=False).withColumn("segment", F.lit(number))
+            chunks = chunking.structured_chunks(fresh, size, overlap, strategy).withColumn("ord", F.xxhash64("chunk_id", "file_path"))
+            first = store.next_id(had if had is not None else self.spark.range(0).withColumnRenamed("id", "index_id"))
+            # a chunk is moved once, to its number; it is tagged and embedded where it is written
+            new = store.embed(tagged(store.numbered_by_hash(chunks, "ord", first)), self.dimension).withColumn("segment", F.lit(number))
             self._append(segments, new, fresh.select("file_path", "content_hash", F.lit(number).alias("segment")))
             self._index()
         self.cache.clear()
@@ -204,7 +202,8 @@ class Engine:
         """Brings the keyword index to the newest manifest's chunks. Without its mark, from before the first change on, nobody reads it."""
         number = self._newest()[0]
         remove(self.spark, f"{self.root}/keywords-of")
-        KeywordIndex(self.spark, f"{self.root}/keywords").sync(materialise(self.chunks().select("index_id", "text"), "texts"), "index_id", "text")
+        # a text's hash stands for it; only texts that are new to the index are read
+        KeywordIndex(self.spark, f"{self.root}/keywords").sync(self.chunks(), "index_id", "text", "content_hash", self._read("chunks"))
         self.spark.range(1).select(F.lit(str(number)).alias("value")).coalesce(1).write.text(f"{self.root}/keywords-of")
 
     def _keywords(self) -> KeywordIndex | None:
