@@ -162,12 +162,18 @@ class KeywordIndex:
         self._write(lists.sortWithinPartitions("term", "block"), "postings", segment)
         lists = self.spark.read.schema(self._postings()).parquet(f"{self.folder}/postings/segment={segment}")
 
-        # what gives way, and how many of it each list held: only the blocks in which it lies are read
+        # what gives way, and how many of it each list held
         old = self.docs().join(placed.select("id"), "id", "left_semi")
         old = materialise(old, "old") if segment else old.limit(0)
-        gone = old.groupBy("segment", "block").agg(F.collect_list("id").alias("_gone"))  # BLOCK ids at most
-        lost = self.blocks().select("term", "segment", "block", F.col("docs.id").alias("_ids")).join(gone, ["segment", "block"])
-        lost = lost.select("term", F.size(F.array_intersect("_gone", "_ids")).alias("df")).filter("df > 0")
+        count = lambda t: t.agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        (n, dl), (n_old, dl_old) = count(placed), count(old)
+        if n_old <= BROADCAST_IDS:
+            lost = self.blocks().select("term", "segment", F.explode("docs.id").alias("id"))
+            lost = lost.join(F.broadcast(old.select("id", "segment")), ["id", "segment"], "left_semi").select("term", F.lit(1).alias("df"))
+        else:  # a block's ids meet its lists, whose rows are moved once each
+            gone = old.groupBy("segment", "block").agg(F.collect_list("id").alias("_gone"))  # BLOCK ids at most
+            lost = self.blocks().select("term", "segment", "block", F.col("docs.id").alias("_ids")).join(gone, ["segment", "block"])
+            lost = lost.select("term", F.size(F.array_intersect("_gone", "_ids")).alias("df")).filter("df > 0")
         # was: documents that held the term before; df: how many more do now; held: by the new ones
         of = lambda rows, was, df, held: rows.select("term", *[(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n)
             for n, x in (("was", was), ("df", df), ("held", held))])
@@ -180,8 +186,6 @@ class KeywordIndex:
             self._follow(lists, old, change, segment)
         self._write(change.filter("df <> 0").select("term", "df"), "df", segment)
         self._write(placed, "docs", segment)
-        count = lambda t: t.agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        (n, dl), (n_old, dl_old) = count(placed), count(old)
         self._write(self.spark.range(1).select(F.lit(n - n_old).cast("long").alias("n"), F.lit(dl - dl_old).cast("long").alias("dl")), "totals", segment)
 
     def _follow(self, lists: DataFrame, old: DataFrame, change: DataFrame, segment: int) -> None:

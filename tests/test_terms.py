@@ -2,10 +2,11 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkseam.functions.text import alnum_tokens, term_counts, terms
-from sparkseam.operators import chunking, ranges, store
+from sparkseam.operators import chunking, keyword_index, ranges, store
 from sparkseam.operators.keyword_index import KeywordIndex
 from sparkseam.session import folder
 
@@ -48,3 +49,15 @@ def test_sync_by_hash_reads_only_texts_that_are_new(spark):
     assert not index.sync(state((2, "e"), (1, "o")), "id", "text", "hash", texts())
     assert index.sync(state((1, "o"), (3, "f")), "id", "text", "hash", texts((3, "fir")))
     assert {(r["term"], r["df"]) for r in index.df().collect()} == {("oak", 1), ("fir", 1)} and index.totals() == (2, 3)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_terms_of_replaced_documents_are_taken_off(spark, monkeypatch, most):
+    """Few ids find their lists by a broadcast, many by their blocks."""
+    monkeypatch.setattr(keyword_index, "BROADCAST_IDS", most)
+    index = KeywordIndex(spark, folder(spark, "kw"))
+    texts = lambda *rows: spark.createDataFrame(rows, "id long, text string")
+    index.add(texts((1, "oak elm"), (2, "oak oak"), (3, "fir")), "id", "text")
+    index.add(texts((1, "elm ash"), (3, None)), "id", "text")
+    index.add(texts((1, "yew")), "id", "text")
+    assert {(r["term"], r["df"]) for r in index.df().collect()} == {("oak", 1), ("yew", 1)} and index.totals() == (3, 3)
